@@ -62,7 +62,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch by rows so that each part holds about SLICE_BYTES of text."""
     if batch.num_rows == 0:
         return
@@ -70,7 +70,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
     sizes = np.diff(utf8(column)[1])
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size

@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, language_id, quality_rules, url_reputation
 from .jaccard_join import jaccard_components
-from .tables import read
+from .tables import crc_remainder, read
+
+BPE_FILE = "word_bpe_49k.json"
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), "3/4", 5)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)))
+    model = language_id.fit(docs.where("not held_out").select(F.col("doc_id").alias("key"), "text", "lang"))
+    return language_id.identify(docs, model, ["doc_id", "held_out"])
+
+
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(read(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op4_url_reputation": op4_url_reputation,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
