@@ -15,7 +15,7 @@ every order; what is left is verified exactly on the whole sets.
 Large groups of near copies are never expanded to all pairs.  A first pass
 compares each member of a posting list with the list's least edited members and
 joins what links; the second, complete pass then only pairs classes that are not
-yet connected.  Connected components need no more, and no link is lost.
+yet connected, and whose parity bitmaps do not already rule a link out.  Connected components need no more, and no link is lost.
 """
 
 from __future__ import annotations
@@ -205,49 +205,97 @@ def _distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidate_pairs(posted: DataFrame, groups: int, threshold: Fraction, complete: bool) -> DataFrame:
-    """(ord, a, b): distinct candidate pairs by order.
+def hub_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
+    """(a, b): each member of a posting list with the list's HUBS least edited members, where sizes allow a link."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(table: pa.Table) -> pa.Table:
+        token, cls, n, own = (table[c].to_numpy() for c in ("token", "cls", "n", "own"))
+        order = np.lexsort((cls, own, token))
+        token, cls, n = token[order], cls[order], n[order]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, count in zip(*_runs(token), strict=True):
+            c, m = cls[lo : lo + count], n[lo : lo + count]
+            for i in range(min(HUBS, count - 1)):
+                j = np.arange(i + 1, count)
+                j = j[(m[j] * den >= num * m[i]) & (m[i] * den >= num * m[j])]
+                left.append(np.full(len(j), c[i]))
+                right.append(c[j])
+        a, b = _distinct_pairs(left, right)
+        return pa.table({"a": a, "b": b})
 
-    ``posted`` has ord, token, cls, n, own and comp.  Sizes must allow the
-    threshold.  Complete: all pairs of a posting list from different components.
-    Else: each member with the list's HUBS least edited members.
+    dealt = posted.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(groups)))
+    return dealt.groupBy("ord", "part").applyInArrow(run, "a long, b long")
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(cls, bits): the parity of each class's shared shingles per bit, about four bits a shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tokens in batch.column(1):
+                token = A.mix(np.frombuffer(tokens.as_buffer(), U))
+                width = max(128, 1 << (4 * len(token) - 1).bit_length())
+                flips = np.bincount((token & U(width - 1)).astype(np.int64), minlength=width) & 1
+                out.append(np.packbits(flips.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cls", "bits"])
+
+    return sets.select("cls", "tokens").mapInArrow(run, "cls long, bits binary")
+
+
+def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarray, bits: list, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one posting list from different components that sizes and bitmaps allow to link.
+
+    Two sets differ in at least their unshared shingles and the bits in which their
+    parities differ.  Bitmaps of neighbouring widths meet at the narrower one.
     """
     num, den = threshold.numerator, threshold.denominator
+    widths = np.array([len(b) for b in bits])
+    for width in np.unique(widths):
+        same, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+        index = np.concatenate([same, wider])
+        rows = np.zeros((len(index), width // 8), U)
+        for at, i in enumerate(index.tolist()):
+            raw = np.frombuffer(bits[i], U)
+            rows[at] = raw if at < len(same) else raw[: width // 8] ^ raw[width // 8 :]
+        c, m, o, p = cls[index], n[index], own[index], comp[index]
+        values, counts = np.unique(p, return_counts=True)
+        few = p != values[counts.argmax()]
+        narrow = np.arange(len(index)) < len(same)
+        done = np.zeros(len(index), bool)
+        for i in np.flatnonzero(few).tolist():
+            j = np.flatnonzero((p != p[i]) & ~done & (narrow | narrow[i]))
+            done[i] = True
+            j = j[(m[j] * den >= num * m[i]) & (m[i] * den >= num * m[j])]
+            apart = np.bitwise_count(rows[j] ^ rows[i]).sum(1, dtype=np.int64) + o[j] + o[i]
+            j = j[apart * (den + num) <= (den - num) * (m[j] + m[i])]
+            if len(j):
+                yield np.full(len(j), c[i]), c[j]
+
+
+def remaining_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
+    """(ord, a, b): all candidate pairs by order that are not yet connected.
+
+    ``posted`` has ord, token, cls, n, own, comp and bits.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        k = key[0].as_py()
         token, cls, n, own, comp = (table[c].to_numpy() for c in ("token", "cls", "n", "own", "comp"))
-        order = np.lexsort((cls, n, token)) if complete else np.lexsort((cls, own, token))
-        token, cls, n, comp = token[order], cls[order], n[order], comp[order]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        held = 0
-        for lo, count in zip(*_runs(token), strict=True):
-            if count < 2:
-                continue
-            c, m, p = cls[lo : lo + count], n[lo : lo + count], comp[lo : lo + count]
-            if complete:
-                if (p == p[0]).all():
-                    continue
-                top = np.searchsorted(m * num, m * den, "right")  # sizes up to n/t; m ascends
-                for i in range(count - 1):
-                    j = np.arange(i + 1, top[i])
-                    j = j[p[j] != p[i]]
-                    if len(j):
-                        left.append(np.full(len(j), c[i]))
-                        right.append(c[j])
-                        held += len(j)
-            else:
-                for i in range(min(HUBS, count)):
-                    j = np.arange(i + 1, count)
-                    j = j[(m[j] * den >= num * m[i]) & (m[i] * den >= num * m[j])]
-                    left.append(np.full(len(j), c[i]))
-                    right.append(c[j])
-                    held += len(j)
-            if held > 2_000_000:
+        bits = table["bits"].combine_chunks()
+        left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        order = np.lexsort((cls, token))
+        for lo, count in zip(*_runs(token[order]), strict=True):
+            at = order[lo : lo + count]
+            for a, b in _unconnected(cls[at], n[at], own[at], comp[at], [bits[i].as_buffer() for i in at.tolist()], threshold):
+                left.append(a)
+                right.append(b)
+                held += len(a)
+            if held > 1_000_000:
                 a, b = _distinct_pairs(left, right)
                 left, right, held = [a], [b], 0
         a, b = _distinct_pairs(left, right)
-        return pa.table({"ord": np.full(len(a), k, np.int64), "a": a, "b": b})
+        return pa.table({"ord": np.full(len(a), key[0].as_py(), np.int64), "a": a, "b": b})
 
     dealt = posted.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(groups)))
     return dealt.groupBy("ord", "part").applyInArrow(run, "ord long, a long, b long")
@@ -293,11 +341,13 @@ def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int
         sets = stored(shared_shingles(docs, n_tokens, n_classes, limit, words_each))
         posted = stored(postings(sets, limit))
         groups = max(1, -(-posted.count() // 200_000))
-        hubs = candidate_pairs(posted.withColumn("comp", F.col("cls")), groups, limit, complete=False)
-        links = stored(verified(hubs.select("a", "b").distinct(), sets, limit))
+        hubs = hub_pairs(posted, groups, limit)
+        links = stored(verified(hubs.distinct(), sets, limit))
         roots = components(links)
-        near = posted.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("ord", "token", "cls", "n", "own", F.coalesce("root", "cls").alias("comp"))
-        rest = candidate_pairs(near, groups, limit, complete=True)
+        near = posted.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+        mixed = near.groupBy("ord", "token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("ord", "token")
+        near = near.join(mixed, ["ord", "token"]).join(bitmaps(sets), "cls")
+        rest = remaining_pairs(near, groups, limit)
         rest = rest.groupBy("a", "b").agg(F.count_distinct("ord").alias("orders")).where(F.col("orders") == ORDERS)
         more = stored(verified(rest.select("a", "b"), sets, limit))
         if not more.isEmpty():

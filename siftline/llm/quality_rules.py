@@ -31,9 +31,9 @@ PRIOR_ROWS = 50
 #: The judged features: their expression over the base counts, and the least distance of a fence from the median.
 FEATURES: dict[str, tuple[str, float]] = {
     "mean_word_chars": ("word_chars / n_words", 2.0),
-    "symbol_share": ("n_symbols / (word_chars + 1)", 0.08),
-    "repeat_share": ("n_repeat_words / n_words", 0.25),
-    "dup_line_share": ("n_dup_lines / n_words", 0.05),
+    "symbol_share": ("n_symbols / (word_chars + 1)", 0.05),
+    "repeat_share": ("n_repeat_words / n_words", 0.4),
+    "dup_line_share": ("n_dup_lines / n_words", 0.1),
 }
 
 _SYMBOLS = np.zeros(256, bool)
