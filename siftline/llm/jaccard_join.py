@@ -321,7 +321,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int = 5) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     ``docs`` needs doc_id and text; other columns are ignored.  Texts are
     lower-cased (A-Z) and cut at ASCII white space; a text of fewer than
@@ -329,8 +329,7 @@ def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int
     link with nothing.  Two documents link when their Jaccard similarity is at
     least ``threshold``; component_id is the smallest doc_id that links reach.
     Repeated rows each come back; null doc_ids are kept and win no minimum.
-    class_id is equal for equal sets.  Shingles and classes are told apart by
-    64-bit hashes.  An empty table gives an empty result.
+    Shingles and classes are told apart by 64-bit hashes.  An empty table gives no rows.
     """
     limit = Fraction(threshold)
     rows = stored(document_classes(docs, words_each))
@@ -357,5 +356,5 @@ def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int
         ids = rooted.drop("low").join(lows, "root")
     ids = stored(ids.select("cls", F.col("low").alias("component_id")))
     return rows.join(maybe_broadcast(ids, 24), "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )

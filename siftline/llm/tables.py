@@ -55,3 +55,8 @@ def crc_remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo a number; null ids give null."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+def row_key() -> Column:
+    """A key of a row of documents: equal for rows with equal doc_id and text only."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
