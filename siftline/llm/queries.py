@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, quality_rules, sharding, sql, url_reputation
+from . import bpe, decontamination, language_id, line_dedup, quality_rules, sharding, sql, substring_dedup, tree_weighting, url_reputation
 from .jaccard_join import jaccard_components
 from .tables import crc_remainder, read
 
@@ -37,6 +37,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 10)
 
 
+def op6_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_remainder("doc_id", 7) == 2, F.lit(False)))
+    return tree_weighting.score(docs)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -49,18 +54,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read(spark, sf_dir, "documents"), 35, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_url_reputation": op4_url_reputation,
     "op5_decontamination": op5_decontamination,
+    "op6_tree_weighting": op6_tree_weighting,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": sql.OP2,
     "op5_decontamination": sql.OP5,
     "op7_line_dedup": sql.OP7,
+    "op10_substring_dedup": sql.OP10,
 }
