@@ -92,16 +92,16 @@ def report(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataF
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with all their columns."""
-    keys = stored(hits(docs, benchmark, length).select(F.col("key").alias("_hit_key")))
-    return docs.join(maybe_broadcast(keys, 16), row_key() == F.col("_hit_key"), "left_anti")
+    keys = stored(hits(docs, benchmark, length).select(F.col("key").alias("_siftline_key")))
+    return docs.join(maybe_broadcast(keys, 16), row_key() == F.col("_siftline_key"), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """All rows of ``docs``; hit words leave the text together with the separators that follow them."""
-    side = maybe_broadcast(stored(hits(docs, benchmark, length).select(F.col("key").alias("_hit_key"), F.col("spans").alias("_hit_spans"))), 300)
-    joined = docs.join(side, row_key() == F.col("_hit_key"), "left")
+    side = maybe_broadcast(stored(hits(docs, benchmark, length).select(F.col("key").alias("_siftline_key"), F.col("spans").alias("_siftline_spans"))), 300)
+    joined = docs.join(side, row_key() == F.col("_siftline_key"), "left")
     pieces = F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))
     lead = F.regexp_extract("text", r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
-    kept = F.filter(pieces, lambda _, i: ~F.exists("_hit_spans", lambda s: (s["start"] <= i) & (i < s["end"])))
-    cleaned = F.when(F.col("_hit_key").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
+    kept = F.filter(pieces, lambda _, i: ~F.exists("_siftline_spans", lambda s: (s["start"] <= i) & (i < s["end"])))
+    cleaned = F.when(F.col("_siftline_key").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
     return joined.withColumn("text", cleaned).select(*docs.columns)

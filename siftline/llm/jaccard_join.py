@@ -358,3 +358,16 @@ def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int
     return rows.join(maybe_broadcast(ids, 24), "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, threshold: str = "3/4", words_each: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: the smallest doc_id.
+
+    All columns stay.  Of repeated rows (equal doc_id and text) one stays.  Rows
+    with a null doc_id cannot be named by others and stay.
+    """
+    found = stored(jaccard_components(docs, threshold, words_each))
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_siftline_id")).distinct())
+    kept = docs.join(maybe_broadcast(gone, 16), F.col("doc_id") == F.col("_siftline_id"), "left_anti")
+    rows, ids = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    return kept.dropDuplicates(["doc_id", "text"]) if rows > ids else kept

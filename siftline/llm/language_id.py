@@ -248,16 +248,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Identifier:
     return out
 
 
-def identify(docs: DataFrame, model: Identifier, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default doc_id), then lang_pred, score and rejected; one row per row.
-
-    Reads the column text only.  A null text or one without letters is 'und', with
-    score 0, rejected.  Repeated rows each come back; an empty table gives none.
-    """
-    keep = keep or ["doc_id"]
+def _judged(docs: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
+    """kept_0, kept_1, ... (the columns ``keep``), lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and LANGUAGES
     frame = docs.select("text", *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
-    schema = ", ".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    schema = "".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     names = [f"kept_{i}" for i in range(len(keep))] + ["lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,5 +262,20 @@ def identify(docs: DataFrame, model: Identifier, keep: list[str] | None = None)
                 lang, score, rejected = model.judge(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=names)
 
-    out = frame.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
-    return out.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+    return frame.mapInArrow(run, schema + "lang_pred string, score double, rejected boolean")
+
+
+def identify(docs: DataFrame, model: Identifier, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default doc_id), then lang_pred, score and rejected; one row per row.
+
+    Reads the column text only.  A null text or one without letters is 'und', with
+    score 0, rejected.  Repeated rows each come back; an empty table gives none.
+    """
+    keep = keep or ["doc_id"]
+    return _judged(docs, model, keep).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, model: Identifier) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    kept = _judged(docs, model, docs.columns).where("not rejected")
+    return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])

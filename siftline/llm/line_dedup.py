@@ -79,20 +79,20 @@ def repeated_lines(lines: DataFrame, batches: int = BATCHES, least_documents: in
 
 
 def dropped_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_documents: int = LEAST_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
-    """(_key, _drop): the positions of the lines that each row of ``docs`` loses."""
+    """(_siftline_key, _siftline_drop): the positions of the lines that each row of ``docs`` loses."""
     line = F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")
     exploded = docs.where("text is not null").select("doc_id", row_key().alias("key"), line)
     keyed = exploded.withColumn("line", F.btrim("line", F.lit(_BLANK))).where(F.length("line") >= least_length)
     lines = stored(keyed.select(F.xxhash64(ascii_lower("line")).alias("h"), "doc_id", "key", "pos"))
     hot = repeated_lines(lines, batches, least_documents)
     gone = lines.join(hot, "h").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return stored(gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("pos").alias("_drop")))
+    return stored(gone.groupBy(F.col("key").alias("_siftline_key")).agg(F.collect_set("pos").alias("_siftline_drop")))
 
 
 def _joined(docs: DataFrame, **limits: int) -> tuple[DataFrame, Column]:
     side = maybe_broadcast(dropped_lines(docs, **limits), 160)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    return docs.join(side, row_key() == F.col("_key"), "left"), F.when(F.col("_key").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_siftline_drop", i)), "\n")
+    return docs.join(side, row_key() == F.col("_siftline_key"), "left"), F.when(F.col("_siftline_key").isNull(), F.col("text")).otherwise(kept)
 
 
 def report(docs: DataFrame, **limits: int) -> DataFrame:
@@ -106,7 +106,7 @@ def report(docs: DataFrame, **limits: int) -> DataFrame:
     joined, kept = _joined(docs.select("doc_id", "text"), **limits)
     text = F.coalesce("text", F.lit(""))
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    n_dropped = F.when(F.col("_key").isNull(), F.lit(0)).otherwise(F.size("_drop"))
+    n_dropped = F.when(F.col("_siftline_key").isNull(), F.lit(0)).otherwise(F.size("_siftline_drop"))
     return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
 
 
