@@ -1 +1 @@
-"""functions."""
+"""Column functions and fixed values."""

@@ -1 +1 @@
-"""operators."""
+"""Operators: functions from DataFrames to DataFrames."""

@@ -1,10 +1,613 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL.
+
+The tables stand in for the domain's inputs: lineitem rows are variants, part rows
+expression, document and benchmark texts sequences, labels and documents assay
+labels and rankings, events measurements.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, residues
+from ..operators import audit, evaluation, learning, matching, scoring, statistics, variants
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, and its SQL if there is any."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def r6(c: Column | str, name: str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+# --- stand-ins ---------------------------------------------------------------
+
+
+def lineitem_variants(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    return li.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("key"), F.col("l_partkey").alias("gene"), F.concat(F.lit("T"), F.col("l_partkey") % 50).alias("transcript"),
+        (F.col("l_discount") * 5).alias("dna_vaf"), (F.col("l_tax") / 1000).alias("population_af"), F.col("l_tax").alias("rna_vaf"), F.col("l_quantity").cast("int").alias("depth"),
+        (1 + F.col("l_linenumber") % 4).cast("double").alias("copies"), F.array(F.when(F.col("l_returnflag") == "N", "PASS").otherwise(F.col("l_returnflag"))).alias("filters"),
+        F.col("l_extendedprice").alias("price"), F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("line"),
+    )
+
+
+V = """
+v AS (
+  SELECT l_orderkey || ':' || l_linenumber AS key, l_partkey AS gene, 'T' || (l_partkey % 50) AS transcript, l_discount * 5 AS dna_vaf, l_tax / 1000 AS population_af,
+    l_tax AS rna_vaf, l_quantity::INT AS depth, (1 + l_linenumber % 4)::DOUBLE AS copies, l_returnflag AS flag, l_extendedprice AS price, l_suppkey AS supplier, l_linenumber AS line
+  FROM lineitem
+), ex AS (SELECT p_partkey AS gene, (p_size - 1)::DOUBLE AS tpm FROM part),
+ve AS (
+  SELECT v.*, ex.tpm, CASE WHEN dna_vaf > 0 THEN least(greatest(dna_vaf * (0.5 * copies + 1.0) / 0.5, 0), 1) END AS ccf FROM v LEFT JOIN ex USING (gene)
+), vr AS (
+  SELECT *, CASE WHEN flag <> 'N' THEN 'not_pass' WHEN depth < 20 THEN 'low_depth' WHEN dna_vaf < 0.05 THEN 'low_vaf' WHEN population_af > 0.0001 THEN 'germline_common'
+    WHEN ccf < 0.6 THEN 'subclonal' WHEN tpm < 1 THEN 'not_expressed' WHEN rna_vaf < 0.02 THEN 'allele_not_expressed' END AS reason FROM ve
+)"""
+
+
+def gene_expression(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("gene"), (F.col("p_size") - 1).cast("double").alias("tpm"))
+
+
+def judged_variants(spark: SparkSession, sf: str) -> DataFrame:
+    joined = lineitem_variants(spark, sf).join(gene_expression(spark, sf), "gene", "left")
+    return variants.annotated(joined)
+
+
+def scored_variants(spark: SparkSession, sf: str) -> DataFrame:
+    f = {
+        "presentation": scoring.presentation_feature(F.lit(None).cast("double"), F.col("price") / 1000, F.lit(None).cast("double")),
+        "clonality": F.coalesce("ccf", F.lit(0.5)),
+        "expression": scoring.expression_feature(F.col("tpm")),
+        "agretopicity": scoring.agretopicity_feature(scoring.agretopicity(F.col("price"), F.col("depth") * 1000)),
+    }
+    kept = judged_variants(spark, sf).where("reason is null")
+    return kept.withColumns(f).withColumn("score", scoring.sigmoid(scoring.logit({k: F.col(k) for k in f})))
+
+
+S = V + """, sf AS (
+  SELECT *, least(greatest(1 - log10(greatest(price / 1000, 0.01) + 1) / 2, 0), 1) AS presentation, coalesce(ccf, 0.5) AS clonality,
+    coalesce(least(greatest(log10(greatest(tpm, 0) + 1) / 2.5, 0), 1), 0.5) AS expression,
+    CASE WHEN price > 0 AND depth > 0 THEN least(greatest(log10(depth * 1000 / price) / 2 + 0.5, 0), 1) ELSE 0.5 END AS agretopicity
+  FROM vr WHERE reason IS NULL
+), sc AS (SELECT *, 1 / (1 + exp(-(-3.0 + 2.5 * presentation + 1.5 * clonality + 1.2 * expression + 0.5 * agretopicity))) AS score FROM sf)"""
+
+# --- filters and projections ---------------------------------------------------
+
+
+@query(f"WITH {V} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM vr GROUP BY 1")
+def variant_filter_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.reason_counts(judged_variants(spark, sf))
+
+
+@query(f"WITH {V} SELECT key, round(ccf, 6) AS ccf FROM ve")
+def ccf_projection(spark: SparkSession, sf: str) -> DataFrame:
+    v = lineitem_variants(spark, sf)
+    return v.select("key", r6(variants.ccf(F.col("dna_vaf"), F.col("copies"), 0.5), "ccf"))
+
+
+@query(f"""WITH {V}, bt AS (SELECT 'T' || (p_partkey % 70) AS transcript, arg_max(p_retailprice, p_partkey) AS t FROM part WHERE p_partkey % 70 < 30 GROUP BY 1)
+SELECT key, round(coalesce(t, tpm), 6) AS tpm FROM ve LEFT JOIN bt USING (transcript)""")
+def expression_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part").where("p_partkey % 70 < 30")
+    rows = p.select(F.col("p_partkey").alias("line"), F.concat(F.lit("T"), F.col("p_partkey") % 70).alias("transcript"), F.lit(None).cast("long").alias("gene"), F.col("p_retailprice").alias("tpm"))
+    by_transcript, _ = variants.expression_tables(rows)
+    return variants.expression_lookup(lineitem_variants(spark, sf), by_transcript, gene_expression(spark, sf)).select("key", r6("tpm", "tpm"))
+
+
+# --- scoring and ranking -------------------------------------------------------
+
+
+@query(f"WITH {S} SELECT key, round(score, 6) AS score FROM sc")
+def logistic_score(spark: SparkSession, sf: str) -> DataFrame:
+    return scored_variants(spark, sf).select("key", r6("score", "score"))
+
+
+@query(f"""WITH {S}, p AS (
+  SELECT *, round(score, 9) AS s, CASE WHEN gene % 5 = 0 THEN 6 ELSE 2 END AS cap FROM sc
+), q AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY s DESC, key) AS place FROM p)
+SELECT row_number() OVER (ORDER BY s DESC, key)::INT AS rank, key, gene, round(s, 6) AS score FROM q WHERE place <= cap ORDER BY s DESC, key LIMIT 50""")
+def ranked_shortlist(spark: SparkSession, sf: str) -> DataFrame:
+    scored = scored_variants(spark, sf).withColumn("s", F.round("score", 9))
+    cap = F.when(F.col("gene") % 5 == 0, 6).otherwise(2)
+    out = scoring.shortlist(scored, "gene", [F.desc("s"), F.asc("key")], 50, cap)
+    return out.select("rank", "key", "gene", r6("s", "score"))
+
+
+@query(f"""WITH {S} SELECT key, feature, round(value, 6) AS value, round(value * weight, 6) AS contribution FROM (
+  SELECT key, 'presentation' AS feature, presentation AS value, 2.5 AS weight FROM sc UNION ALL SELECT key, 'clonality', clonality, 1.5 FROM sc
+  UNION ALL SELECT key, 'expression', expression, 1.2 FROM sc UNION ALL SELECT key, 'agretopicity', agretopicity, 0.5 FROM sc)""")
+def score_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    long = scoring.contributions(scored_variants(spark, sf), "key")
+    return long.select("key", "feature", r6("value", "value"), r6("contribution", "contribution"))
+
+
+@query(f"""WITH {V}, g AS (
+  SELECT key, price / 20000 > 2.0 AS weak, rna_vaf < 0.01 AS low, line = 1 AS is_self, tpm > 40 AS normal FROM ve
+) SELECT key, concat_ws(',', CASE WHEN weak THEN 'weak_binder' END, CASE WHEN low THEN 'low_presentation' END,
+  CASE WHEN is_self AND NOT weak AND NOT low THEN 'self_peptide' END, CASE WHEN normal THEN 'normal_tissue_expressed' END) AS gates FROM g""")
+def gate_failures(spark: SparkSession, sf: str) -> DataFrame:
+    gates = scoring.gates(F.col("price") / 20000, F.col("rna_vaf"), F.col("line") == 1, F.col("tpm"), 2.0, 0.01, 40.0)
+    return judged_variants(spark, sf).select("key", F.array_join(gates, ",").alias("gates"))
+
+
+U64 = "(('0x' || substr(sha256({}), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0"
+
+
+@query(f"""SELECT doc_id, round(-n_chars::DOUBLE, 6) AS binding_only, round(quality::DOUBLE, 6) AS presentation_only, round({U64.format("'siftline:' || doc_id")}, 6) AS arbitrary
+FROM labels JOIN documents USING (doc_id)""")
+def baseline_rankers(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    rows = d.select("doc_id", F.col("n_chars").cast("double").alias("percentile"), F.lit(None).cast("double").alias("nanomolar"), F.col("quality").cast("double").alias("presentation"), F.col("doc_id").cast("string").alias("id"))
+    return rows.select("doc_id", *[r6(scoring.RANKERS[n](), n) for n in ("binding_only", "presentation_only", "arbitrary")])
+
+
+@query(f"""WITH x AS (SELECT i.item_id, n.n_name, {U64.format("i.item_id || '|' || n.n_name")} AS u FROM benchmark i, nation n)
+SELECT item_id, n_name, round(u, 6) AS presentation_score, round(100 * (1 - u) * (1 - u), 6) AS affinity_percentile FROM x""")
+def null_predictor(spark: SparkSession, sf: str) -> DataFrame:
+    """Peptides times alleles: the alleles are a handful, so they ride along as an array."""
+    alleles = F.broadcast(read(spark, sf, "nation").agg(F.collect_list("n_name").alias("alleles")))
+    pairs = read(spark, sf, "benchmark").select("item_id").join(alleles).select("item_id", F.explode("alleles").alias("n_name"))
+    call = scoring.null_prediction(F.col("item_id").cast("string"), F.col("n_name"))
+    return pairs.select("item_id", "n_name", r6(call["presentation_score"], "presentation_score"), r6(call["affinity_percentile"], "affinity_percentile"))
+
+
+# --- sequences -------------------------------------------------------------------
+
+AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sequence_of(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, az, AZ), f"[^{residues.ALPHABET}]", "")
+
+
+def residue_rows(spark: SparkSession, sf: str, table: str, id_: str, text: str = "text") -> DataFrame:
+    return read(spark, sf, table).select(id_, sequence_of(F.col(text)).alias("seq"))
+
+
+SEQ = f"regexp_replace(translate({{}}, '{az}', '{AZ}'), '[^{residues.ALPHABET}]', '', 'g')"
+
+
+@query(f"""WITH s AS (SELECT item_id, {SEQ.format("text")} AS seq FROM benchmark)
+SELECT item_id, i::INT AS start, substr(seq, i, 9) AS kmer FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 7)) AS i FROM s WHERE length(seq) >= 9)""")
+def kmer_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.kmers(residue_rows(spark, sf, "benchmark", "item_id"), "item_id", 9)
+
+
+@query(f"""SELECT doc_id, regexp_full_match({SEQ.format("text")}, '[{residues.ALPHABET}]+') AS valid, length({SEQ.format("text")})::INT AS n FROM documents""")
+def residue_valid(spark: SparkSession, sf: str) -> DataFrame:
+    s = residue_rows(spark, sf, "documents", "doc_id")
+    return s.select("doc_id", residues.is_valid(F.col("seq")).alias("valid"), F.length("seq").alias("n"))
+
+
+_KD = " + ".join(f"(length(w) - length(replace(w, '{r}', ''))) * ({v}::DOUBLE)" for r, v in residues.KYTE_DOOLITTLE.items())
+
+
+@query(f"""WITH s AS (SELECT doc_id, {SEQ.format("text")} AS seq FROM documents), i AS (SELECT doc_id, CASE WHEN length(seq) > 3 THEN substr(seq, 3, length(seq) - 3) ELSE '' END AS w FROM s)
+SELECT doc_id, round(CASE WHEN w = '' THEN 0.5 ELSE least(greatest((({_KD}) / length(w) + 4.5) / 9.0, 0), 1) END, 6) AS hydropathy FROM i""")
+def hydropathy(spark: SparkSession, sf: str) -> DataFrame:
+    s = residue_rows(spark, sf, "documents", "doc_id")
+    return s.select("doc_id", r6(residues.hydropathy(F.col("seq")), "hydropathy"))
+
+
+_BL = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in residues.PAIR_SCORES.items()) + "}"
+
+
+@query(f"""WITH w AS (SELECT item_id, i, substr(seq, i, 9) AS a, substr(seq, i + 1, 9) AS b FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 8)) AS i FROM (
+  SELECT item_id, {SEQ.format("text")} AS seq FROM benchmark) WHERE length(seq) >= 10)),
+e AS (SELECT item_id, i, a, b, unnest(range(3, 9)) AS p FROM w),
+c AS (SELECT item_id, i, avg(CASE WHEN substr(a, p, 1) <> substr(b, p, 1) THEN least(greatest((4 - m[substr(a, p, 1) || substr(b, p, 1)]) / 8.0, 0), 1) END) AS d FROM e, (SELECT {_BL} AS m) GROUP BY item_id, i)
+SELECT item_id, i::INT AS start, round(coalesce(d, 0), 6) AS dissimilarity FROM c""")
+def substitution_dissimilarity(spark: SparkSession, sf: str) -> DataFrame:
+    s = residue_rows(spark, sf, "benchmark", "item_id")
+    w = s.select("item_id", F.explode(residues.windows(F.col("seq"), 10)).alias("w"))
+    a, b = F.substring("w.kmer", 1, 9), F.substring("w.kmer", 2, 9)
+    return w.select("item_id", F.col("w.start").alias("start"), r6(residues.substitution_dissimilarity(a, b), "dissimilarity"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > l_quantity % 6 + 2 OR l_linenumber < 1 THEN 0.5 WHEN l_linenumber = 2 OR l_linenumber = l_quantity % 6 + 2 THEN 0.0
+  WHEN l_linenumber = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS exposure FROM lineitem""")
+def mutation_exposure(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", residues.mutation_exposure(F.col("l_linenumber"), F.col("l_quantity") % 6 + 2).alias("exposure"))
+
+
+_CODE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in residues.CODONS.items()) + "}"
+
+
+@query(f"""WITH s AS (SELECT item_id, regexp_replace(translate(text, '{az}', '{AZ}'), '[^ACGT]', '', 'g') AS c FROM benchmark), k AS (SELECT {_CODE} AS m)
+SELECT item_id, regexp_extract(array_to_string(list_transform(range(1, length(c) - 1, 3), lambda i: coalesce(m[substr(c, i, 3)], 'X')), ''), '^[^*]*\\*?') AS protein FROM s, k""")
+def codon_translate(spark: SparkSession, sf: str) -> DataFrame:
+    s = read(spark, sf, "benchmark").select("item_id", F.regexp_replace(F.translate("text", az, AZ), "[^ACGT]", "").alias("cds"))
+    return s.select("item_id", residues.translate_codons(F.col("cds")).alias("protein"))
+
+
+# --- matching ----------------------------------------------------------------------
+
+
+@query(f"""WITH b AS (SELECT {SEQ.format("text")} AS seq FROM benchmark), d AS (SELECT {SEQ.format("text")} AS seq FROM documents),
+q AS (SELECT DISTINCT substr(seq, i, 12) AS peptide FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM b WHERE length(seq) >= 12)),
+r AS (SELECT DISTINCT substr(seq, i, 12) AS peptide FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM d WHERE length(seq) >= 12))
+SELECT peptide FROM q SEMI JOIN r USING (peptide)""")
+def exact_self_match(spark: SparkSession, sf: str) -> DataFrame:
+    peptides = matching.kmers(residue_rows(spark, sf, "benchmark", "item_id"), "item_id", 12).select(F.col("kmer").alias("peptide")).distinct()
+    return matching.exact_matches(peptides, residue_rows(spark, sf, "documents", "doc_id"), 12)
+
+
+_LOW = "MAP {" + ", ".join(f"'{a}': {min(residues.BLOSUM62[a, b] for b in residues.ALPHABET)}.0" for a in residues.ALPHABET) + "}"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {SEQ.format("p_name")} AS peptide FROM part), q AS (SELECT peptide FROM p WHERE length(peptide) >= 8),
+b AS (SELECT item_id, {SEQ.format("text")} AS seq FROM benchmark), m AS (SELECT {_BL} AS m, {_LOW} AS lo),
+qs AS (SELECT peptide, o, substr(peptide, o, 4) AS seed FROM (SELECT peptide, unnest(range(1, length(peptide) - 2)) AS o FROM q)),
+bs AS (SELECT seq, a, substr(seq, a, 4) AS seed FROM (SELECT seq, unnest(range(1, length(seq) - 2)) AS a FROM b WHERE length(seq) >= 4)),
+h AS (SELECT DISTINCT peptide, substr(seq, a - o + 1, length(peptide)) AS w FROM qs JOIN bs USING (seed) WHERE a - o + 1 >= 1 AND a - o + length(peptide) <= length(seq)),
+s AS (SELECT peptide, max(list_sum(list_transform(range(1, length(peptide) + 1), lambda i: m[substr(peptide, i, 1) || substr(w, i, 1)]))) AS score FROM h, m GROUP BY peptide),
+t AS (SELECT q.peptide, score, list_sum(list_transform(range(1, length(q.peptide) + 1), lambda i: m[substr(q.peptide, i, 1) || substr(q.peptide, i, 1)])) AS own,
+  list_sum(list_transform(range(1, length(q.peptide) + 1), lambda i: lo[substr(q.peptide, i, 1)])) AS worst FROM q LEFT JOIN s USING (peptide), m)
+SELECT peptide, round(CASE WHEN score IS NULL OR score <= worst OR own = worst THEN 0.0 ELSE greatest(0.0, least(1.0, (score - worst) / (own - worst))) END, 6) AS similarity FROM t""")
+def nearest_self(spark: SparkSession, sf: str) -> DataFrame:
+    peptides = residue_rows(spark, sf, "part", "p_partkey", "p_name").select(F.col("seq").alias("peptide")).where(F.length("peptide") >= 8)
+    found = matching.nearest_similarity(peptides, residue_rows(spark, sf, "benchmark", "item_id"), "item_id")
+    return found.select("peptide", r6("similarity", "similarity"))
+
+
+@query(f"""WITH s AS (SELECT source, doc_id, {SEQ.format("text")} AS seq FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(seq) DESC, doc_id) AS k FROM s)
+SELECT source, seq FROM r WHERE k = 1""")
+def keep_longest(spark: SparkSession, sf: str) -> DataFrame:
+    s = read(spark, sf, "documents").select("source", "doc_id", sequence_of(F.col("text")).alias("seq"))
+    return matching.keep_longest(s, "source", "doc_id")
+
+
+@query(f"""WITH i AS (SELECT lang AS symbol, doc_id AS transcript, {SEQ.format("text")} AS seq, doc_id % 7 = 0 AS prim FROM documents),
+c AS (SELECT item_id AS change_id, CASE item_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' WHEN 3 THEN 'es' ELSE 'xx' END AS symbol, (item_id % 30 + 1)::INT AS s, (item_id % 30 + 2)::INT AS e,
+  substr({SEQ.format("text")}, 1, 1 + (item_id % 2)::INT) AS ref FROM benchmark),
+j AS (SELECT c.*, i.transcript, i.prim, length(i.seq) AS n, e <= length(i.seq) AND (ref = '' OR substr(i.seq, s, length(ref)) = ref) AS fits FROM c LEFT JOIN i USING (symbol)),
+k AS (SELECT change_id, count(transcript) AS isoforms, min(CASE WHEN fits THEN ROW(CASE WHEN prim THEN 0 ELSE 1 END, -n, transcript) END) AS best FROM j GROUP BY change_id)
+SELECT change_id, best[3] AS transcript, CASE WHEN isoforms = 0 THEN 'unknown_symbol' WHEN best IS NULL THEN 'no_isoform_fits' ELSE 'resolved' END AS outcome FROM k""")
+def isoform_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    isoforms = read(spark, sf, "documents").select(F.col("lang").alias("symbol"), F.col("doc_id").alias("transcript"), sequence_of(F.col("text")).alias("seq"), (F.col("doc_id") % 7 == 0).alias("primary"))
+    i = F.col("item_id")
+    symbol = F.when(i % 5 == 0, "en").when(i % 5 == 1, "de").when(i % 5 == 2, "fr").when(i % 5 == 3, "es").otherwise("xx")
+    ref = F.substring(sequence_of(F.col("text")), F.lit(1), (1 + i % 2).cast("int"))
+    changes = read(spark, sf, "benchmark").select(i.alias("change_id"), symbol.alias("symbol"), (i % 30 + 1).cast("int").alias("start"), (i % 30 + 2).cast("int").alias("end"), ref.alias("ref"))
+    return matching.resolve_isoform(changes, isoforms)
+
+
+_SHAPES = ("'p.' || r || n || a", "'p.' || r || n || 'fs'", "r || n || '_' || a || (n + 3) || 'del'", "'p.' || r || n || 'del'", "'p.' || r || n || '_' || a || (n + 1) || 'ins' || a || r", "'c.' || n", "r || n || a || 'fs*12'")
+
+
+@query(f"""WITH x AS (SELECT p_partkey, substr('{residues.ALPHABET}', (p_partkey % 20)::INT + 1, 1) AS r, substr('{residues.ALPHABET}', ((p_partkey // 20) % 20)::INT + 1, 1) AS a, p_partkey % 900 + 1 AS n FROM part),
+t AS (SELECT p_partkey, r, a, n, (p_partkey % 7)::INT AS k, CASE p_partkey % 7 {" ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SHAPES))} END AS text FROM x)
+SELECT p_partkey, text, CASE k WHEN 0 THEN 'missense' WHEN 1 THEN 'frameshift' WHEN 2 THEN 'deletion_range' WHEN 3 THEN 'deletion' WHEN 4 THEN 'insertion' WHEN 6 THEN 'frameshift' END AS kind,
+  CASE WHEN k <> 5 THEN n::INT END AS start_at, CASE WHEN k = 2 THEN (n + 3)::INT WHEN k <> 5 THEN n::INT END AS end_at,
+  CASE WHEN k IN (2, 4) THEN '' WHEN k <> 5 THEN r END AS ref, CASE WHEN k = 0 THEN a WHEN k = 4 THEN a || r WHEN k <> 5 THEN '' END AS alt FROM t""")
+def protein_change_parse(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    letter = lambda e: F.substring(F.lit(residues.ALPHABET), (e % 20 + 1).cast("int"), F.lit(1))
+    x = read(spark, sf, "part").select("p_partkey", letter(k).alias("r"), letter(F.floor(k / 20)).alias("a"), (k % 900 + 1).alias("n"))
+    text = F.expr("CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SHAPES)) + " END")
+    t = x.select("p_partkey", text.alias("text")).withColumn("c", names.protein_change(F.col("text")))
+    return t.select("p_partkey", "text", "c.kind", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"), "c.ref", "c.alt")
+
+
+# --- evaluation ----------------------------------------------------------------------
+
+
+def pool_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Three methods over the labelled documents."""
+    d = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    unit = scoring.hash_unit(F.concat(F.lit("siftline:"), F.col("doc_id").cast("string")))
+    scores = F.array(*[F.struct(F.lit(m).alias("method"), s.alias("score")) for m, s in (("length", F.col("n_chars").cast("double")), ("arbitrary", F.round(unit, 9)), ("mixed", (F.col("n_chars") % 10).cast("double")))])
+    long = d.select(F.col("doc_id").alias("key"), F.col("quality").alias("label"), F.col("lang").alias("stratum"), F.explode(scores).alias("m"))
+    return long.select("key", "label", "stratum", "m.method", "m.score")
+
+
+P = f"""d AS (SELECT doc_id AS key, quality AS label, lang AS stratum, n_chars, {U64.format("'siftline:' || doc_id")} AS u FROM labels JOIN documents USING (doc_id)),
+p AS (SELECT key, label, stratum, 'length' AS method, n_chars::DOUBLE AS score FROM d UNION ALL SELECT key, label, stratum, 'arbitrary', round(u, 9) FROM d
+  UNION ALL SELECT key, label, stratum, 'mixed', (n_chars % 10)::DOUBLE FROM d)"""
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, key) AS k FROM p), h AS (
+  SELECT method, sum(label) FILTER (WHERE k <= 20) AS hits, count(*) FILTER (WHERE k <= 20) AS depth, count(*) AS pool, sum(label) AS positives,
+  min(k) FILTER (WHERE k <= 20 AND label = 1) AS best FROM r GROUP BY method)
+SELECT method, pool::BIGINT AS pool, positives::BIGINT AS positives, depth::BIGINT AS depth, hits::BIGINT AS hits, round(hits / depth, 6) AS rate, best::INT AS best_rank_in_k FROM h""")
+def validation_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.at_k(pool_rows(spark, sf), 20).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, key) AS k FROM p)
+SELECT method, round(sum(label) FILTER (WHERE k <= 10) / sum(label), 6) AS recall_10, round(sum(label) FILTER (WHERE k <= 20) / sum(label), 6) AS recall_20,
+  round(sum(label) FILTER (WHERE k <= 10) / count(*) FILTER (WHERE k <= 10), 6) AS precision_10, min(k) FILTER (WHERE label = 1)::BIGINT AS best_rank FROM r GROUP BY method""")
+def retrieval_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    r = evaluation.ranks(pool_rows(spark, sf), ["method"])
+    hits = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("label")).otherwise(0))
+    return r.groupBy("method").agg(
+        r6(hits(10) / F.sum("label"), "recall_10"), r6(hits(20) / F.sum("label"), "recall_20"), r6(hits(10) / F.count_if(F.col("rank") <= 10), "precision_10"),
+        F.min(F.when(F.col("label") == 1, F.col("rank"))).alias("best_rank"),
+    )
+
+
+@query(f"""WITH {P}, f AS (SELECT * FROM p WHERE NOT (method = 'length' AND key % 3 = 0) AND NOT (method = 'mixed' AND key % 5 = 0)),
+s AS (SELECT * FROM f WHERE key IN (SELECT key FROM f GROUP BY key HAVING count(DISTINCT method) = 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, key) AS k FROM s),
+h AS (SELECT method, count(*) AS pool, sum(label) FILTER (WHERE k <= 20) / count(*) FILTER (WHERE k <= 20) AS rate FROM r GROUP BY method)
+SELECT method, pool::BIGINT AS pool, round(rate, 6) AS rate, round(b, 6) AS baseline_rate, round(CASE WHEN b <> 0 THEN rate / b END, 6) AS lift FROM h, (SELECT rate AS b FROM h WHERE method = 'arbitrary')""")
+def shared_pool_compare(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pool_rows(spark, sf)
+    partial = rows.where(~((F.col("method") == "length") & (F.col("key") % 3 == 0)) & ~((F.col("method") == "mixed") & (F.col("key") % 5 == 0)))
+    out = evaluation.compare(evaluation.shared_pool(partial, 3), 20, "arbitrary")
+    return out.select("method", "pool", r6("rate", "rate"), r6("baseline_rate", "baseline_rate"), r6("lift", "lift"))
+
+
+@query(f"""WITH {P} SELECT method AS feature, round(avg(score) FILTER (WHERE label = 1), 6) AS mean_positive, round(avg(score) FILTER (WHERE label = 0), 6) AS mean_negative,
+  count(*) FILTER (WHERE label = 1) AS n_positive, count(*) FILTER (WHERE label = 0) AS n_negative FROM p GROUP BY method""")
+def enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluation.enrichment(pool_rows(spark, sf).select(F.col("method").alias("feature"), F.col("score").alias("value"), "label"))
+    return out.select("feature", r6("mean_positive", "mean_positive"), r6("mean_negative", "mean_negative"), "n_positive", "n_negative")
+
+
+_MID = "rank() OVER (PARTITION BY {g} ORDER BY score) + (count(*) OVER (PARTITION BY {g}, score) - 1) / 2"
+
+
+@query(f"""WITH {P}, m AS (SELECT *, {_MID.format(g="method")} AS r FROM p)
+SELECT method, round((sum(r * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM m GROUP BY method""")
+def rank_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.rank_auc(pool_rows(spark, sf), ["method"]).select("method", r6("auc", "auc"))
+
+
+@query(f"""WITH {P}, m AS (SELECT *, {_MID.format(g="method, stratum")} AS r FROM p),
+g AS (SELECT method, stratum, sum(label) AS pos, count(*) - sum(label) AS neg, sum(r * label) - sum(label) * (sum(label) + 1) / 2 AS wins FROM m GROUP BY method, stratum)
+SELECT method, count(*) AS strata, round(sum(wins) / sum(pos * neg), 6) AS auc FROM g WHERE pos > 0 AND neg > 0 GROUP BY method""")
+def stratified_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.stratified_auc(pool_rows(spark, sf)).select("method", "strata", r6("auc", "auc"))
+
+
+@query(f"""WITH {P}, s AS (SELECT method, score, sum(label) AS pos, count(*) AS n FROM p GROUP BY method, score),
+c AS (SELECT method, sum(n) OVER w AS depth, sum(pos) OVER w AS found FROM s WINDOW w AS (PARTITION BY method ORDER BY score DESC)), t AS (SELECT method, sum(label) AS tp, count(*) AS tn FROM p GROUP BY method)
+SELECT method, depth::BIGINT AS depth, found::BIGINT AS found, round(tp * depth / tn, 6) AS chance FROM c JOIN t USING (method)""")
+def recall_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.recall_curve(pool_rows(spark, sf)).withColumn("chance", F.round("chance", 6))
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, key) AS rank FROM p) SELECT method, key, rank FROM r WHERE label = 1""")
+def positive_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.ranks(pool_rows(spark, sf), ["method"]).where("label = 1").select("method", "key", "rank")
+
+
+@query("SELECT least(n_chars // 500, 40) AS bin, count(*) FILTER (WHERE quality = 1) AS passed, count(*) FILTER (WHERE quality = 0) AS gated FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return d.groupBy(F.least(F.floor(F.col("n_chars") / 500), F.lit(40)).alias("bin")).agg(F.count_if(F.col("quality") == 1).alias("passed"), F.count_if(F.col("quality") == 0).alias("gated"))
+
+
+# --- exact statistics --------------------------------------------------------------------
+
+_LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+_TAIL = f"list_sum(list_transform(list_filter(range(greatest(hits, 0), least(drawn, positives) + 1), lambda h: drawn - h <= pool - positives), lambda h: exp({_LC.format('positives', 'h')} + {_LC.format('(pool - positives)', '(drawn - h)')} - {_LC.format('pool', 'drawn')})))"
+_STRATA = "g AS (SELECT lang, count(*) AS pool, sum(quality) AS positives, least(20, count(*)) AS drawn, sum(toxic) FILTER (WHERE quality = 1) AS raw FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
+
+
+def strata(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    g = d.groupBy("lang").agg(F.count("*").alias("pool"), F.sum("quality").alias("positives"), F.least(F.lit(20), F.count("*")).alias("drawn"), F.sum(F.when(F.col("quality") == 1, F.col("toxic"))).alias("raw"))
+    return g.withColumn("hits", F.least("raw", "drawn", "positives"))
+
+
+@query(f"WITH {_STRATA}, x AS (SELECT *, least(raw, drawn, positives) AS hits FROM g) SELECT lang, round({_TAIL}, 6) AS p FROM x")
+def hypergeom_tail(spark: SparkSession, sf: str) -> DataFrame:
+    return strata(spark, sf).select("lang", r6(statistics.hypergeometric_tail("hits", "drawn", "positives", "pool"), "p"))
+
+
+@query(f"""WITH {_STRATA}, b AS (SELECT DISTINCT drawn, pool - positives AS positives, pool FROM g), t AS (SELECT *, unnest(range(1, greatest(least(drawn, positives), 1) + 1)) AS hits FROM b),
+x AS (SELECT *, {_TAIL} AS p FROM t)
+SELECT drawn::BIGINT AS drawn, positives::BIGINT AS positives, pool::BIGINT AS pool, min(hits) FILTER (WHERE p <= 0.05)::BIGINT AS hits_needed, round(drawn * positives / pool, 6) AS expected_hits FROM x GROUP BY drawn, positives, pool""")
+def design_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    designs = strata(spark, sf).select("drawn", (F.col("pool") - F.col("positives")).alias("positives"), "pool").distinct()
+    return statistics.design_capacity(designs).withColumn("expected_hits", F.round("expected_hits", 6))
+
+
+@query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, label, key) AS k FROM p),
+x AS (SELECT method, sum(label) FILTER (WHERE k <= 20) AS hits, count(*) FILTER (WHERE k <= 20) AS drawn, sum(label) AS positives, count(*) AS pool FROM r GROUP BY method)
+SELECT method, hits::BIGINT AS hits, round({_TAIL}, 6) AS p FROM x""")
+def topk_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal scores put negatives first."""
+    rows = pool_rows(spark, sf).withColumn("tie", F.struct("label", "key"))
+    at = evaluation.at_k(rows, 20, F.col("tie").asc())
+    return at.select("method", "hits", r6(statistics.hypergeometric_tail("hits", "depth", "positives", "pool"), "p"))
+
+
+_M = """m AS (SELECT user_id AS feature, avg(value) FILTER (WHERE event_id % 2 = 0) AS a, avg(value) FILTER (WHERE event_id % 2 = 1) AS b,
+  count(value) FILTER (WHERE event_id % 2 = 0) AS na, count(value) FILTER (WHERE event_id % 2 = 1) AS nb FROM events GROUP BY user_id)"""
+
+
+def measurements(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "events").select(F.col("user_id").alias("feature"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("group"), "value")
+
+
+@query(f"WITH {_M} SELECT feature, round((a - b) / sqrt(1 / na + 1 / nb), 6) AS z FROM m WHERE na > 0 AND nb > 0")
+def z_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.z_test(measurements(spark, sf)).select("feature", r6("z", "z"))
+
+
+@query()
+def z_test(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.z_test(measurements(spark, sf)).select("feature", r6("z", "z"), r6("p", "p"))
+
+
+_T = f"""t AS (SELECT user_id AS feature, round({U64.format("user_id || ':' || count(*)")} * least(1, 40 / count(*)), 9) AS p FROM events GROUP BY user_id),
+k AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rank, count(*) OVER () AS m FROM t),
+j AS (SELECT *, least(1, min(p * m / rank) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS adjusted, max(CASE WHEN p * m / rank <= 0.05 THEN p END) OVER () AS cut FROM k)"""
+
+
+@query(f"WITH {_T} SELECT feature, round(p, 6) AS p, rank, round(adjusted, 6) AS adjusted, coalesce(p <= cut, false) AS step_up, p <= 0.05 / m AS bonferroni, p < 0.05 AS uncorrected FROM j")
+def multiple_testing(spark: SparkSession, sf: str) -> DataFrame:
+    counts = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    unit = scoring.hash_unit(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("n").cast("string")))
+    tests = counts.select(F.col("user_id").alias("feature"), F.round(unit * F.least(F.lit(1.0), 40 / F.col("n")), 9).alias("p"))
+    out = statistics.corrected(tests)
+    return out.select("feature", r6("p", "p"), "rank", r6("adjusted", "adjusted"), "step_up", "bonferroni", "uncorrected")
+
+
+@query()
+def power_min_n(spark: SparkSession, sf: str) -> DataFrame:
+    """Population and group come from orders; the whole range of sample sizes is looked at."""
+    facts = read(spark, sf, "customer").agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("k")).first()
+    curve = statistics.power_curve(spark, facts.n, facts.k, 2.5)
+    return statistics.smallest_sample(curve, 0.8)
+
+
+# --- audit ------------------------------------------------------------------------------------
+
+_SPELL = ("'A*02:' || n", "'hla-a02' || n", "'HLA_B*07:' || n", "'Cw*03:' || n", "'B 44 ' || n", "'bad' || n", "'OLD' || n", "'DRB1*15:' || n || '-DQB1*06:' || n")
+_NN = "lpad((k % 90 + 10)::VARCHAR, 2, '0')"
+_CANON = ("'HLA-A*02:' || n", "'HLA-A*02:' || n", "'HLA-B*07:' || n", "'HLA-C*03:' || n", "'HLA-B*44:' || n", "NULL", "CASE WHEN n::INT % 2 = 0 THEN 'HLA-A*01:' || n END", "'HLA-DQB1*06:' || n || '-HLA-DRB1*15:' || n")
+
+
+def spelled(spark: SparkSession, sf: str, table: str, key: str, shift: int) -> DataFrame:
+    t = read(spark, sf, table).select(F.col(key).alias("k")).withColumn("n", F.lpad((F.col("k") % 90 + 10).cast("string"), 2, "0"))
+    text = F.expr(f"CASE (k + {shift}) % 8 " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_SPELL)) + " END")
+    return t.select("k", text.alias("name"))
+
+
+def _canon(table: str, key: str, shift: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(_CANON))
+    return f"(SELECT k, CASE (k + {shift}) % 8 {cases} END AS canonical FROM (SELECT {key} AS k, lpad(({key} % 90 + 10)::VARCHAR, 2, '0') AS n FROM {table}))"
+
+
+@query(f"""WITH a AS (SELECT canonical, max(k) AS payload_a FROM {_canon("part", "p_partkey", 0)} WHERE canonical IS NOT NULL GROUP BY 1),
+b AS (SELECT canonical, max(k) AS payload_b FROM {_canon("customer", "c_custkey", 3)} WHERE canonical IS NOT NULL AND k % 3 <> 0 GROUP BY 1)
+SELECT canonical, payload_a, payload_b, CASE WHEN payload_a IS NULL THEN 'only_b' WHEN payload_b IS NULL THEN 'only_a' ELSE 'both' END AS side FROM a FULL JOIN b USING (canonical)""")
+def allele_normalize_join(spark: SparkSession, sf: str) -> DataFrame:
+    numbers = spark.range(10, 100).where("id % 2 = 0").select(F.concat(F.lit("OLD"), F.col("id").cast("string")).alias("alias"), F.concat(F.lit("HLA-A*01:"), F.col("id").cast("string")).alias("canonical"))
+    a = audit.canonicalised(spelled(spark, sf, "part", "p_partkey", 0), numbers, "name").withColumnRenamed("k", "payload")
+    b = audit.canonicalised(spelled(spark, sf, "customer", "c_custkey", 3).where("k % 3 <> 0"), numbers, "name").withColumnRenamed("k", "payload")
+    return audit.merged(a, b)
+
+
+_NORM = "CASE WHEN regexp_full_match(upper(regexp_replace({0}, '\\s+', '', 'g')), '[A-Z]+') THEN upper(regexp_replace({0}, '\\s+', '', 'g')) END"
+
+
+@query(f"""WITH b AS (SELECT c_custkey, {_NORM.format("c_mktsegment || ' ' || chr(97 + (c_custkey % 26)::INT)")} AS peptide, c_nationkey AS allele FROM customer),
+t AS (SELECT {_NORM.format("lower(c_mktsegment) || chr(65 + (c_custkey % 13)::INT)")} AS peptide, c_nationkey AS allele FROM customer WHERE c_custkey % 4 = 0),
+h AS (SELECT {_NORM.format("c_mktsegment || chr(65 + (c_custkey % 13)::INT)")} AS peptide, c_nationkey AS allele FROM customer WHERE c_custkey % 20 = 0)
+SELECT c_custkey FROM b WHERE (peptide, allele) IN (SELECT DISTINCT peptide, allele FROM t EXCEPT SELECT peptide, allele FROM h)""")
+def leak_detect(spark: SparkSession, sf: str) -> DataFrame:
+    c = read(spark, sf, "customer")
+    letter = lambda base, n: F.chr((F.lit(base) + F.col("c_custkey") % n).cast("long"))
+    key = lambda text: (names.normalize_peptide(text).alias("peptide"), F.col("c_nationkey").alias("allele"))
+    bench = c.select("c_custkey", *key(F.concat("c_mktsegment", F.lit(" "), letter(97, 26))))
+    panel = c.where("c_custkey % 4 = 0").select(*key(F.concat(F.lower("c_mktsegment"), letter(65, 13))))
+    held = c.where("c_custkey % 20 = 0").select(*key(F.concat("c_mktsegment", letter(65, 13))))
+    return audit.leaked(bench, panel, held, ["peptide", "allele"]).select("c_custkey")
+
+
+@query(f"""WITH {P}, l AS (SELECT key FROM p WHERE key % 6 = 0), c AS (SELECT * FROM p WHERE key NOT IN (SELECT key FROM l)), m AS (SELECT *, {_MID.format(g="method")} AS r FROM c)
+SELECT method, count(*) AS n_clean, round((sum(r * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM m GROUP BY method""")
+def leak_clean_auc(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pool_rows(spark, sf)
+    kept = audit.clean(rows, rows.where("key % 6 = 0"), ["key"])
+    return evaluation.rank_auc(kept, ["method"]).select("method", (F.col("positives") + F.col("negatives")).alias("n_clean"), r6("auc", "auc"))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS item FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT count(*) AS population, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS grouped, count(s.item) AS sampled, count(s.item) FILTER (WHERE c_mktsegment = 'BUILDING') AS overlap
+FROM customer LEFT JOIN s ON s.item = c_custkey""")
+def population_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    population = read(spark, sf, "customer").select(F.col("c_custkey").alias("item"), (F.col("c_mktsegment") == "BUILDING").alias("in_group"))
+    sample = read(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("item"))
+    return statistics.population_overlap(sample, population)
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, list_distinct(list(o_orderpriority)) AS x FROM orders GROUP BY 1), b AS (SELECT o_custkey AS k, list_distinct(list(o_orderpriority)) AS y FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT k, round(len(list_intersect(x, coalesce(y, []))) / len(list_distinct(list_concat(x, coalesce(y, [])))), 6) AS similarity FROM a LEFT JOIN b USING (k)""")
+def jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    sets = o.groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("x"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("y"))
+    return sets.select("k", r6(audit.jaccard(F.col("x"), F.col("y")), "similarity"))
+
+
+@query("""SELECT l_suppkey AS submission, round(CASE WHEN bool_and(l_returnflag <> 'R' OR l_linenumber <> 7) THEN avg((l_returnflag <> 'R')::INT) ELSE 0 END, 6) AS score,
+  bool_and(l_returnflag <> 'R' OR l_linenumber <> 7) AND bool_and(l_returnflag <> 'R' OR l_linenumber <> 1) AS passed, count(*) AS checks FROM lineitem GROUP BY 1""")
+def grader_score(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    checks = li.select(F.col("l_suppkey").alias("submission"), (F.col("l_returnflag") != "R").alias("passed"), (F.col("l_linenumber") == 7).alias("gate"), (F.col("l_linenumber") == 1).alias("required"))
+    return audit.grade(checks, "submission").withColumn("score", F.round("score", 6))
+
+
+# --- learning -----------------------------------------------------------------------------------
+
+
+@query("""SELECT o.o_orderkey AS peptide, coalesce(e.label, w.label) AS label FROM orders o
+LEFT JOIN (SELECT o_orderkey, (o_totalprice > 150000)::INT AS label FROM orders WHERE o_orderkey % 3 = 0) e USING (o_orderkey)
+LEFT JOIN (SELECT o_orderkey, (o_totalprice > 100000)::INT AS label FROM orders WHERE o_orderkey % 5 = 0) w USING (o_orderkey) WHERE coalesce(e.label, w.label) IS NOT NULL""")
+def training_set(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    base = o.select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("peptide"), F.col("o_orderstatus").alias("allele"), "o_totalprice")
+    exact = base.where("peptide % 3 = 0").withColumn("label", (F.col("o_totalprice") > 150000).cast("int"))
+    wild = base.where("peptide % 5 = 0").withColumn("allele", F.lit("*")).withColumn("label", (F.col("o_totalprice") > 100000).cast("int"))
+    labels = exact.unionByName(wild).drop("o_totalprice")
+    return learning.training_set(base, labels).select("peptide", "label")
+
+
+@query(f"""WITH {S}, a AS (SELECT key, gene, supplier, round(0.6 * round(score, 6) + 0.4 * (1 - 2 * abs(round(score, 6) - 0.5)), 9) AS acq FROM sc),
+q AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY acq DESC, key) AS k FROM a)
+SELECT key, round(acq, 6) AS acquisition, row_number() OVER (ORDER BY acq DESC, key)::INT AS rank FROM q WHERE k <= 2 ORDER BY acq DESC, key LIMIT 40""")
+def active_batch(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.round("score", 6)
+    items = scored_variants(spark, sf).select("key", F.col("gene").alias("variant"), F.col("supplier").alias("allele"), F.round(scoring.acquisition(s, scoring.outcome_uncertainty(s)), 9).alias("acq"))
+    out = learning.active_batch(items, [F.desc("acq"), F.asc("key")], 40, 2, 0)
+    return out.select("key", r6("acq", "acquisition"), "rank")
+
+
+@query()
+def active_batch_two_caps(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.round("score", 6)
+    items = scored_variants(spark, sf).select("key", F.col("gene").alias("variant"), F.col("supplier").alias("allele"), F.round(scoring.acquisition(s, scoring.outcome_uncertainty(s)), 9).alias("acq"))
+    return learning.active_batch(items, [F.desc("acq"), F.asc("key")], 40, 2, 3).select("key", "variant", "allele", r6("acq", "acquisition"), "rank")
+
+
+@query("SELECT l_orderkey AS key, round(least(1, coalesce(stddev_samp(l_discount * 5), 0) / 0.5), 6) AS spread FROM lineitem GROUP BY 1")
+def ensemble_spread(spark: SparkSession, sf: str) -> DataFrame:
+    scores = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_discount") * 5).alias("score"))
+    return learning.ensemble_spread(scores, "key").select("key", r6("spread", "spread"))
+
+
+@query()
+def refit(spark: SparkSession, sf: str) -> DataFrame:
+    names_ = ["presentation", "clonality", "expression", "agretopicity"]
+    rows = scored_variants(spark, sf).withColumn("label", (F.col("line") % 3 == 0).cast("int"))
+    fitted = learning.refit(rows, names_) or {}
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in fitted.items()], "name string, weight double")
+
+
+@query()
+def permutation_p(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.permutation_p(pool_rows(spark, sf).where("method = 'length'"), 500)
+
+
+@query()
+def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.bootstrap_interval(pool_rows(spark, sf).where("method = 'length'"), 200)

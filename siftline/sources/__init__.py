@@ -1 +1 @@
-"""sources."""
+"""Readers and writers."""
