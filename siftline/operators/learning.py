@@ -57,7 +57,7 @@ def active_batch(items: DataFrame, order: list[Column], batch_size: int, per_var
     if per_variant and not per_allele:
         near = near.withColumn("_n", F.row_number().over(W.partitionBy("variant").orderBy(*order))).where(F.col("_n") <= per_variant).drop("_n")
         return near.orderBy(*order).limit(batch_size).withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    placed = near.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = near.orderBy(*order).withColumns({"_place": F.monotonically_increasing_id(), "_all": F.lit(1)})
     schema = T.StructType([*near.schema.fields, T.StructField("rank", T.IntegerType())])
 
     def pick(frame):  # one row at a time, in order: the caps of later rows depend on it
@@ -72,7 +72,7 @@ def active_batch(items: DataFrame, order: list[Column], batch_size: int, per_var
             taken.append(i)
             if len(taken) == batch_size:
                 break
-        out = frame.iloc[taken].drop(columns="_place")
+        out = frame.iloc[taken].drop(columns=["_place", "_all"])
         return out.assign(rank=range(1, len(out) + 1))
 
-    return placed.groupBy(F.lit(1)).applyInPandas(pick, schema)
+    return placed.groupBy("_all").applyInPandas(pick, schema)

@@ -407,7 +407,7 @@ def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 _LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
 _TAIL = f"list_sum(list_transform(list_filter(range(greatest(hits, 0), least(drawn, positives) + 1), lambda h: drawn - h <= pool - positives), lambda h: exp({_LC.format('positives', 'h')} + {_LC.format('(pool - positives)', '(drawn - h)')} - {_LC.format('pool', 'drawn')})))"
-_STRATA = "g AS (SELECT lang, count(*) AS pool, sum(quality) AS positives, least(20, count(*)) AS drawn, sum(toxic) FILTER (WHERE quality = 1) AS raw FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
+_STRATA = "g AS (SELECT lang, count(*) AS pool, sum(quality)::BIGINT AS positives, least(20, count(*))::BIGINT AS drawn, (sum(toxic) FILTER (WHERE quality = 1))::BIGINT AS raw FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
 
 
 def strata(spark: SparkSession, sf: str) -> DataFrame:
@@ -430,7 +430,7 @@ def design_capacity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, label, key) AS k FROM p),
-x AS (SELECT method, sum(label) FILTER (WHERE k <= 20) AS hits, count(*) FILTER (WHERE k <= 20) AS drawn, sum(label) AS positives, count(*) AS pool FROM r GROUP BY method)
+x AS (SELECT method, (sum(label) FILTER (WHERE k <= 20))::BIGINT AS hits, count(*) FILTER (WHERE k <= 20) AS drawn, sum(label)::BIGINT AS positives, count(*) AS pool FROM r GROUP BY method)
 SELECT method, hits::BIGINT AS hits, round({_TAIL}, 6) AS p FROM x""")
 def topk_significance(spark: SparkSession, sf: str) -> DataFrame:
     """Equal scores put negatives first."""
@@ -457,7 +457,7 @@ def z_test(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.z_test(measurements(spark, sf)).select("feature", r6("z", "z"), r6("p", "p"))
 
 
-_T = f"""t AS (SELECT user_id AS feature, round({U64.format("user_id || ':' || count(*)")} * least(1, 40 / count(*)), 9) AS p FROM events GROUP BY user_id),
+_T = f"""t AS (SELECT user_id AS feature, round({U64.format("user_id || ':' || count(*)")} * least(1, 40 / count(*)), 13) AS p FROM events GROUP BY user_id),
 k AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rank, count(*) OVER () AS m FROM t),
 j AS (SELECT *, least(1, min(p * m / rank) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS adjusted, max(CASE WHEN p * m / rank <= 0.05 THEN p END) OVER () AS cut FROM k)"""
 
@@ -466,7 +466,7 @@ j AS (SELECT *, least(1, min(p * m / rank) OVER (ORDER BY p DESC RANGE UNBOUNDED
 def multiple_testing(spark: SparkSession, sf: str) -> DataFrame:
     counts = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
     unit = scoring.hash_unit(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("n").cast("string")))
-    tests = counts.select(F.col("user_id").alias("feature"), F.round(unit * F.least(F.lit(1.0), 40 / F.col("n")), 9).alias("p"))
+    tests = counts.select(F.col("user_id").alias("feature"), F.round(unit * F.least(F.lit(1.0), 40 / F.col("n")), 13).alias("p"))
     out = statistics.corrected(tests)
     return out.select("feature", r6("p", "p"), "rank", r6("adjusted", "adjusted"), "step_up", "bonferroni", "uncorrected")
 
