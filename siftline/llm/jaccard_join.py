@@ -34,8 +34,8 @@ from .tables import maybe_broadcast, stored
 
 U = np.uint64
 #: Shingles dealt to one group of the shuffle by shingle, and classes to one of that by class.
-TOKENS_A_PART = 3_000_000
-CLASSES_A_PART = 20_000
+TOKENS_A_PART = 1_500_000
+CLASSES_A_PART = 10_000
 #: Independent token orders, and least edited members that a posting list is first compared with.
 ORDERS = 2
 HUBS = 4
