@@ -30,7 +30,7 @@ from .tables import maybe_broadcast, row_key, stored
 U = np.uint64
 WINDOW, SEED = 35, 20
 #: Hashes that one group of a shuffle holds.
-HASHES_A_PART = 3_000_000
+HASHES_A_PART = 1_500_000
 
 _HITS = "part long, head binary, body binary, pos binary"
 
