@@ -92,22 +92,45 @@ def contexts(keys: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _pieces(texts: list[str], most: int = 300_000) -> Iterator[list[str]]:
+    """Texts in runs of about so many characters, so that the arrays of one run stay small."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def longest_grams(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """All distinct n-grams of the highest order: the hashes of their ends and contexts by length, and their counts."""
+    held: list[np.ndarray] = []
+    for piece in _pieces(texts):
+        codes, rows = characters(piece)
+        keys = grams(codes, rows)
+        _, at, count = np.unique(keys[ORDER], return_index=True, return_counts=True)
+        held.append(np.stack([*(k[at] for k in keys), *(b[at] for b in contexts(keys, rows)), count.astype(U)]))
+    whole = np.concatenate(held, 1) if held else np.zeros((2 * ORDER + 2, 0), U)
+    _, at, inverse = np.unique(whole[ORDER], return_index=True, return_inverse=True)
+    count = np.bincount(inverse, whole[-1].astype(np.int64), len(at)).astype(np.int64)
+    return list(whole[: ORDER + 1, at]), list(whole[ORDER + 1 : -1, at]), count
+
+
 def train(texts: list[str]) -> dict[str, np.ndarray]:
     """Sorted hash arrays of one language: key{n}/p{n} for n-grams, ctx{n}/gamma{n} for contexts of n characters."""
-    codes, rows = characters(texts)
-    keys = grams(codes, rows)
-    before = contexts(keys, rows)
+    keys, before, count = longest_grams(texts)
     tables: dict[int, tuple] = {}
-    key, at, count = None, None, None
+    at = np.arange(len(count))
     for n in range(ORDER, 0, -1):
-        if n == ORDER:
-            key, at, count = np.unique(keys[n], return_index=True, return_counts=True)
-        else:  # continuation counts: of how many longer n-grams it is the end
-            key, first, count = np.unique(keys[n][at], return_index=True, return_counts=True)
+        if n < ORDER:  # continuation counts: of how many longer n-grams it is the end
+            _, first, count = np.unique(keys[n][at], return_index=True, return_counts=True)
             at = at[first]
-        tables[n] = (key, at, count)
+        tables[n] = (keys[n][at], at, count)
     out: dict[str, np.ndarray] = {}
-    size = len(tables[1][0]) + 1 if len(codes) else 1
+    size = len(tables[1][0]) + 1
     out["floor"] = np.array([1 / size])
     lower = None
     for n in range(1, ORDER + 1):
@@ -160,11 +183,8 @@ class Identifier:
 
     def share(self, texts: list[str]) -> None:
         """Fill the shared array with the longest n-grams of the given (training) texts."""
-        codes, rows = characters(texts)
-        keys = grams(codes, rows)
-        before = contexts(keys, rows)
-        self.keys, at = np.unique(keys[ORDER], return_index=True)
-        keys, before = [k[at] for k in keys], [b[at] for b in before]
+        keys, before, _ = longest_grams(texts)
+        self.keys = keys[ORDER]
         self.table = np.stack([log_probs(self.models[x], keys, before) for x in self.languages], 1).astype(np.float32) if self.languages else self.table
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +207,8 @@ class Identifier:
 
     def calibrate(self, texts: list[str], truth: list[str]) -> None:
         """Learn the usual cross-entropies, the rejection limit and the sharpness from labelled texts."""
-        entropy, counts, square = self.entropies(texts)
+        parts = [self.entropies(piece) for piece in _pieces(texts)]
+        entropy, counts, square = (np.concatenate([p[i] for p in parts]) for i in range(3))
         column = np.array([self.languages.index(t) for t in truth], int)
         ok = counts > 0
         for j in range(len(self.languages)):
