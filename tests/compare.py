@@ -18,8 +18,8 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 def cell(v):
     if hasattr(v, "item") and getattr(v, "ndim", 0) == 0:
         v = v.item()
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+    if isinstance(v, int | float) and not isinstance(v, bool):
+        return None if math.isnan(v) else round(float(v), 6)
     return None if v is None or str(v) in ("<NA>", "NaT") else v
 
 
