@@ -38,7 +38,7 @@ def design_capacity(designs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(drawn, positives, pool) with hits_needed: the fewest hits that reach ``alpha``; null if none does."""
     tries = designs.select("drawn", "positives", "pool", F.explode(F.sequence(F.lit(1), F.greatest(F.least("drawn", "positives"), F.lit(1)))).alias("hits"))
     tails = tries.withColumn("p", hypergeometric_tail("hits", "drawn", "positives", "pool"))
-    return tails.groupBy("drawn", "positives", "pool").agg(F.min(F.when(F.col("p") <= alpha, F.col("hits"))).alias("hits_needed"), (F.first("drawn") * F.first("positives") / F.first("pool")).alias("expected_hits"))
+    return tails.groupBy("drawn", "positives", "pool").agg(F.min(F.when((F.col("p") <= alpha) & (F.col("hits") <= F.least("drawn", "positives")), F.col("hits"))).alias("hits_needed"), (F.first("drawn") * F.first("positives") / F.first("pool")).alias("expected_hits"))
 
 
 def z_test(measurements: DataFrame) -> DataFrame:
