@@ -8,17 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.residues import ALPHABET, BLOSUM62, PAIR_SCORES, literal_map, windows
 
 SEED = 4
+#: Window starts of one block of a sequence.
+BLOCK = 256
 
 
 def kmers(sequences: DataFrame, id_column: str, length: int) -> DataFrame:
-    """(id, start, kmer): all windows of a length over each sequence (column seq)."""
-    return sequences.select(id_column, F.explode(windows(F.col("seq"), length)).alias("w")).select(id_column, "w.start", "w.kmer")
+    """(id, start, kmer): all windows of a length over each sequence (column seq).
+
+    A sequence is cut into blocks first: taking a substring costs as much as what
+    lies before it, which would grow with the square of a long sequence.
+    """
+    long = sequences.where(F.length("seq") >= length)
+    firsts = F.explode(F.sequence(F.lit(0), F.length("seq") - length, F.lit(BLOCK))).alias("first")
+    blocks = long.select(id_column, "seq", firsts).select(id_column, "first", F.substring(F.col("seq"), F.col("first") + 1, F.lit(BLOCK + length - 1)).alias("block"))
+    inner = blocks.select(id_column, "first", "block", F.explode(F.sequence(F.lit(1), F.length("block") - length + 1)).alias("at"))
+    return inner.select(id_column, (F.col("first") + F.col("at")).alias("start"), F.substring(F.col("block"), F.col("at"), F.lit(length)).alias("kmer"))
 
 
 def exact_matches(peptides: DataFrame, reference: DataFrame, length: int) -> DataFrame:
-    """The peptides (column peptide, of one length) that occur anywhere in the reference sequences."""
-    seen = kmers(reference.withColumn("_one", F.lit(1)), "_one", length).select(F.col("kmer").alias("peptide")).distinct()
-    return peptides.where(F.length("peptide") == length).join(seen, "peptide", "left_semi")
+    """The peptides (column peptide, of one length) that occur anywhere in the reference sequences.
+
+    Windows that no peptide asks for drop out before anything is shuffled, where the
+    peptides are few enough for Spark to send them along.
+    """
+    wanted = peptides.where(F.length("peptide") == length)
+    windows_ = kmers(reference.withColumn("_one", F.lit(1)), "_one", length).select(F.col("kmer").alias("peptide"))
+    seen = windows_.join(wanted.select("peptide").distinct(), "peptide", "left_semi").distinct()
+    return wanted.join(seen, "peptide", "left_semi")
 
 
 def keep_longest(sequences: DataFrame, key: str, order: str) -> DataFrame:
