@@ -7,6 +7,8 @@ small; a single text longer than that forms a slice of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,13 @@ _BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give freed memory back to the machine, as idle workers stay next to later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words so that all output bits depend on all input bits."""
     x = x ^ (x >> U(30))

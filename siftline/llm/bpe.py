@@ -29,10 +29,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import release
+
 END = "</w>"
 #: The pre-token pattern of the vocabulary file; white space is the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-MEMO = 250_000
+MEMO = 120_000
 NEVER = 1 << 30
 
 
@@ -314,6 +316,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 rows.append((n, sha(ids), sha(decoded), [int(i) for i in ids.split()]) if with_ids else (n, sha(ids), sha(decoded)))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate([pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 3 + with_ids])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+        release()
 
     kinds = ["long", "long", "string", "string", "array<int>"]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=False)))

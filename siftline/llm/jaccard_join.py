@@ -82,6 +82,7 @@ def document_classes(docs: DataFrame, words_each: int = 5) -> DataFrame:
             for part, owner, grams, sizes in shingle_sets(batch, words_each):
                 keys = set_keys(owner, grams, sizes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(keys)], names=["doc_id", "n_shingles", "cls"])
+        A.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -135,8 +136,10 @@ def shared_shingles(docs: DataFrame, n_tokens: int, n_classes: int, threshold: F
                 part, grams, owner = part[order], grams[order], owner[order]
                 rows = [(p, h, A.pack5(g)) for p, h, g in _blobs(part, keys[owner], sizes[owner], grams)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], names=["part", "head", "body"])
+        A.release()
 
     def by_token(key: tuple, table: pa.Table) -> pa.Table:
+        A.release()
         heads = [_heads(x.as_py()) for x in table["head"]]
         cls, size = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads])
         low = np.concatenate([A.unpack5(x.as_py()) for x in table["body"]])
@@ -155,6 +158,7 @@ def shared_shingles(docs: DataFrame, n_tokens: int, n_classes: int, threshold: F
         return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "head", "tokens", "levels"])
 
     def by_class(table: pa.Table) -> pa.Table:
+        A.release()
         heads = [_heads(x.as_py()) for x in table["head"]]
         cls, size = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads])
         token = np.concatenate([np.frombuffer(x.as_py(), U) for x in table["tokens"]])
@@ -210,6 +214,7 @@ def hub_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
     num, den = threshold.numerator, threshold.denominator
 
     def run(table: pa.Table) -> pa.Table:
+        A.release()
         token, cls, n, own = (table[c].to_numpy() for c in ("token", "cls", "n", "own"))
         order = np.lexsort((cls, own, token))
         token, cls, n = token[order], cls[order], n[order]
@@ -281,6 +286,7 @@ def remaining_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> Data
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        A.release()
         token, cls, n, own, comp = (table[c].to_numpy() for c in ("token", "cls", "n", "own", "comp"))
         bits = table["bits"].combine_chunks()
         left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
@@ -313,6 +319,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
                 (len(np.intersect1d(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), assume_unique=True)) for x, y in zip(ta, tb, strict=True)), np.int64, len(sizes)
             )
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(common * den >= num * (sizes - common)))
+        A.release()
 
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))

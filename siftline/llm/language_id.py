@@ -282,6 +282,7 @@ def _judged(docs: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
             for part in A.slices(batch, most=1 << 20):
                 lang, score, rejected = model.judge(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=names)
+        A.release()
 
     return frame.mapInArrow(run, schema + "lang_pred string, score double, rejected boolean")
 

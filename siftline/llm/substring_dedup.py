@@ -55,6 +55,7 @@ def _repeated(dealt: DataFrame) -> DataFrame:
     """(key, pos) of all hashes that occur at least twice, in whichever rows."""
 
     def run(table: pa.Table) -> pa.Table:
+        A.release()
         keys = []
         for blob in table["head"]:
             head = np.frombuffer(blob.as_py(), U)
@@ -134,6 +135,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
                 at, runs = winnowed(hashes, counts, window, seed)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 yield _deal(max(1, parts // 4), keys, owner[at], runs[at], place[at])
+        A.release()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +149,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
                 at = np.flatnonzero(valid & near[: len(valid)])
                 owner = np.repeat(np.arange(len(counts)), counts)
                 yield _deal(parts, keys, owner[at], A.window_hashes(hashes, window)[at], place[at])
+        A.release()
 
     anchors = _repeated(keyed.mapInArrow(seeds, _HITS))
     shared = stored(_intervals(anchors, window - seed, 1))  # starts of the windows that contain an anchor
