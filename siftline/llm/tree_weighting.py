@@ -1,18 +1,19 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 Training counts every (DEPTH + 1)-gram of the normalised training bytes, all of
-them, in one shuffle.  A byte is eight binary decisions, so a context of d bytes
-holds a small tree of binary nodes; each node has a Krichevsky-Trofimov estimate
-from its zeros and ones, and its weighted probability is half that estimate and
-half the product of the weighted probabilities one byte deeper.  The counts are
-grouped by the two most recent context bytes: all deeper nodes of a group are known
-to it alone, so whole subtrees are weighted inside one group, and only sums for the
-contexts of fewer bytes, at most 255 * (1 + 256) nodes, meet once more.
-
-Scoring mixes the estimates of all depths along the path of each byte's context,
-from the deepest node that training saw.  The table of nodes that scoring needs has
-a fixed size: SLOTS slots a depth, each for the node that was seen most often, with
-a check value.  A node that finds no slot is scored by its shallower contexts.
+them.  A byte is eight binary decisions, so a context of d bytes holds a small tree
+of binary nodes; each node has a Krichevsky-Trofimov estimate from its zeros and
+ones, and its weighted probability is half that estimate and half the product of
+the weighted probabilities one byte deeper.  Scoring mixes the estimates of all
+depths along the path of each byte's context, from the deepest node that training
+saw.
+
+No table of all nodes is ever held in one place.  Documents are dealt to chunks, and
+a chunk asks for each distinct gram of its texts once, with its count in training
+texts; grams are dealt by their two most recent context bytes, so that whole
+subtrees lie in one part.  A first pass over the parts adds up what contexts of one
+and no byte need, at most 255 * 257 nodes; a second weights each part's subtrees
+again, answers its grams from all nodes, and the answers join the chunk's texts.
 """
 
 from __future__ import annotations
@@ -24,20 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import arrays as A
 from .tables import stored
 
 U = np.uint64
 DEPTH = 5
-#: Slots of each depth's table; with 6 bytes a slot this bounds what a broadcast holds.
-SLOT_BITS = 21
+#: Text whose distinct grams are asked for together, and text for each part of the grams.
+CHUNK_BYTES = 16 << 20
+PART_BYTES = 8 << 20
+#: Grams whose subtrees are weighted at once, unless one pair of context bytes has more.
+BLOCK_GRAMS = 100_000
 #: Groups of the shuffle that counts words, by input words.
 WORDS_A_PART = 1_500_000
 #: Documents whose sums one group adds up.
 DOCS_A_GROUP = 20_000
-_MEMO_BITS = 21
 _LN10 = math.log(10.0)
 
 
@@ -76,31 +78,58 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n): how often each (DEPTH + 1)-gram occurs in the column text."""
+def _near(gram: np.ndarray) -> np.ndarray:
+    """The two most recent context bytes."""
+    return (gram >> U(8)) & U(65535)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([h[1] for h in held])).astype(np.int64)
+def _pack(gram: np.ndarray) -> bytes:
+    return np.ascontiguousarray(gram.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].tobytes()
 
-        for batch in batches:
+
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // (DEPTH + 1), 8), np.uint8)
+    out[:, : DEPTH + 1] = np.frombuffer(blob, np.uint8).reshape(-1, DEPTH + 1)
+    return out.view("<u8").reshape(-1)
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    keys, inverse = np.unique(key, return_inverse=True)
+    return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
+
+
+def asked_grams(texts: DataFrame, parts: int) -> DataFrame:
+    """(part, chunk, grams, n): the distinct grams of each chunk's texts by part, packed, and their counts in training texts.
+
+    ``texts`` has chunk, held_out and text.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        A.release()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        merged = lambda: _summed(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+        for batch in table.select(["held_out", "text"]).to_batches():
             for part in A.slices(batch, most=1 << 20):
-                data, offsets, _ = normalised(*A.utf8(part.column(0)))
-                held.append(np.unique(grams(data, offsets), return_counts=True))
-                if sum(len(h[0]) for h in held) > 1_000_000:
+                data, offsets, _ = normalised(*A.utf8(part.column(1)))
+                learns = ~part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                for side in (True, False):
+                    mine = np.repeat(learns == side, np.diff(offsets))
+                    gram, times = np.unique(grams(data, offsets)[mine], return_counts=True)
+                    held.append((gram, times if side else np.zeros(len(gram), np.int64)))
+                if sum(len(h[0]) for h in held) > 2_000_000:
                     held = [merged()]
-                    if len(held[0][0]) > 700_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["gram", "n"])
-                        held = []
-        if held:
-            keys, counts = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
-        A.release()
+        gram, n = merged()
+        group = ((A.mix(_near(gram)) >> U(44)) * U(parts)) >> U(20)
+        order = np.argsort(group, kind="stable")
+        group, gram, n = group[order], gram[order], n[order]
+        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+        chunk = table["chunk"][0].as_py()
+        out = [(int(group[lo]), chunk, _pack(gram[lo:hi]), n[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["part", "chunk", "grams", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.groupBy("chunk").applyInArrow(run, "part long, chunk long, grams binary, n binary")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -151,162 +180,128 @@ def _parents(key: np.ndarray, depth: int) -> np.ndarray:
     return key & mask
 
 
-NODES = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("n", T.DoubleType()), T.StructField("p", T.DoubleType()), T.StructField("odds", T.DoubleType()), T.StructField("weight", T.DoubleType())])
-
+Nodes = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _table(depth: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, odds: np.ndarray, weight: np.ndarray) -> pa.Table:
-    n = zeros + ones
-    return pa.table({"depth": np.full(len(key), depth, np.int32), "node": key.view(np.int64), "n": n, "p": (ones + 0.5) / (n + 1), "odds": odds, "weight": weight if depth == 2 else np.zeros(len(key))})
 
-
-def subtrees(counts: DataFrame) -> DataFrame:
-    """Nodes of two and more context bytes, weighted within groups of the two most recent ones."""
+def subtrees(gram: np.ndarray, n: np.ndarray) -> tuple[list[Nodes], np.ndarray, np.ndarray]:
+    """Of all training grams of some pairs of context bytes: by depth from DEPTH to 2 the nodes, their estimates of a one and
+    log odds; and the nodes one byte shallower with the sums of the weights under them."""
+    byte, out, below, sums = gram & U(255), [], None, None
+    for depth in range(DEPTH, 1, -1):
+        context = (gram >> U(8)) & ((U(1) << U(8 * depth)) - U(1))
+        key, zeros, ones = nodes_of(context, byte, n)
+        if sums is not None:
+            below = sums[1][np.searchsorted(sums[0], key)]
+        weight, odds = _weighted(key, zeros, ones, below)
+        out.append((key, (ones + 0.5) / (zeros + ones + 1), odds))
+        parent, inverse = np.unique(_parents(key, depth), return_inverse=True)
+        sums = parent, np.bincount(inverse, weight, len(parent))
+    return out, *sums
+
+
+def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A part's distinct grams, ascending, and their training counts, in blocks of whole pairs of context bytes."""
+    gram, n = _summed(np.concatenate([_unpack(x.as_py()) for x in table["grams"]]), np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["n"]]))
+    order = np.argsort(_near(gram), kind="stable")
+    near = _near(gram[order])
+    cuts = [*np.flatnonzero(np.r_[True, near[1:] != near[:-1]]).tolist(), len(near)]
+    start = 0
+    for cut, after in zip(cuts[1:], [*cuts[2:], None], strict=True):
+        if after is None or after - start > BLOCK_GRAMS:
+            yield gram[order[start:cut]], n[order[start:cut]]
+            start = cut
+
+
+def shallow(asked: DataFrame) -> list[Nodes]:
+    """Nodes of one and no context byte, at most 255 * 257, from sums of the rest."""
 
     def run(table: pa.Table) -> pa.Table:
-        gram, n = table["gram"].to_numpy().view(U), table["n"].to_numpy()
-        byte, out, below, sums = gram & U(255), [], None, None
-        for depth in range(DEPTH, 1, -1):
-            context = (gram >> U(8)) & ((U(1) << U(8 * depth)) - U(1))
-            key, zeros, ones = nodes_of(context, byte, n)
-            if sums is not None:
-                below = sums[1][np.searchsorted(sums[0], key)]
-            weight, odds = _weighted(key, zeros, ones, below)
-            out.append(_table(depth, key, zeros, ones, odds, weight))
-            parent, inverse = np.unique(_parents(key, depth), return_inverse=True)
-            sums = parent, np.bincount(inverse, weight, len(parent))
-        return pa.concat_tables(out)
-
-    return counts.withColumn("near", F.expr("(gram >> 8) & 65535")).groupBy("near").applyInArrow(run, NODES)
-
-
-def shallow(counts: DataFrame, deep: DataFrame) -> list[pa.Table]:
-    """Nodes of one and no context byte, at most 255 * 257, from sums of the rest."""
-    pairs = counts.groupBy(F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()
-    gram, n = pairs["gram"].to_numpy(np.int64).view(U), pairs["n"].to_numpy()
-    parent = F.expr("node & 65535")
-    lower = deep.where("depth = 2").groupBy(parent.alias("node")).agg(F.sum("weight").alias("weight")).orderBy("node").toPandas()
-    sums = lower["node"].to_numpy(np.int64).view(U), lower["weight"].to_numpy()
+        A.release()
+        pairs, nodes = [], []
+        for gram, n in _blocks(table):
+            seen = n > 0
+            if seen.any():
+                pairs.append(_summed(gram[seen] & U(65535), n[seen]))
+                nodes.append(subtrees(gram[seen], n[seen])[1:])
+        columns = [np.concatenate([x[i] for x in rows]) if rows else np.zeros(0, kind) for rows in (pairs, nodes) for i, kind in enumerate((U, float))]
+        kind = np.repeat([0, 1], [len(columns[0]), len(columns[2])])
+        return pa.table({"kind": kind.astype(np.int64), "node": np.concatenate([columns[0], columns[2]]).astype(np.int64), "value": np.concatenate([columns[1], columns[3]]).astype(float)})
+
+    rows = asked.select("part", "grams", "n").groupBy("part").applyInArrow(run, "kind long, node long, value double")
+    both = rows.groupBy("kind", "node").agg(F.sum("value").alias("value")).orderBy("kind", "node").toPandas()
+    (gram, n), sums = ((x["node"].to_numpy(np.int64).view(U), x["value"].to_numpy()) for x in (both[both["kind"] == k] for k in (0, 1)))
     out = []
     for depth in (1, 0):
         context = (gram >> U(8)) & ((U(1) << U(8 * depth)) - U(1))
         key, zeros, ones = nodes_of(context, gram & U(255), n)
         weight, odds = _weighted(key, zeros, ones, sums[1][np.searchsorted(sums[0], key)])
-        out.append(_table(depth, key, zeros, ones, odds, weight))
+        out.append((key, (ones + 0.5) / (zeros + ones + 1), odds))
         up, inverse = np.unique(_parents(key, depth), return_inverse=True)
         sums = up, np.bincount(inverse, weight, len(up))
     return out
 
 
-def _slot(depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and check value of nodes."""
-    h = A.mix(key ^ (U(depth + 1) << U(56)))
-    return (h >> U(64 - SLOT_BITS)).astype(np.int64), ((h & U(0x7FFF)) + U(1)).astype(np.uint16)
-
-
-class Tree:
-    """The fixed-size node tables: check value, logit of a one and log odds, a slot each."""
-
-    def __init__(self) -> None:
-        size = 1 << SLOT_BITS
-        self.check = np.zeros((DEPTH + 1, size), np.uint16)  # 0: empty
-        self.logit = np.zeros((DEPTH + 1, size), np.float16)
-        self.odds = np.zeros((DEPTH + 1, size), np.float16)
-        self._memo: tuple[np.ndarray, np.ndarray] | None = None
-
-    def put(self, depth: int, key: np.ndarray, p: np.ndarray, odds: np.ndarray) -> None:
-        slot, check = _slot(depth, key)
-        self.check[depth, slot] = check
-        self.logit[depth, slot], self.odds[depth, slot] = np.log(p / (1 - p)), np.clip(odds, -3e4, 3e4)
-
-    def path(self, gram: np.ndarray) -> np.ndarray:
-        """Log10 probability of each gram's last byte after the bytes before it."""
-        byte, out = gram & U(255), np.zeros(len(gram))
-        for at in range(8):
-            prefix = (U(1) << U(at)) | (byte >> U(8 - at))
-            one = ((byte >> U(7 - at)) & U(1)).astype(bool)
-            p = np.full(len(gram), 0.5)
-            for depth in range(DEPTH, -1, -1):
-                context = (gram >> U(8)) & ((U(1) << U(8 * depth)) - U(1))
-                slot, check = _slot(depth, (context << U(8)) | prefix)
-                known = self.check[depth, slot] == check
-                own = 1 / (1 + np.exp(-self.logit[depth, slot].astype(float)))
-                if depth == DEPTH:
-                    deeper = np.zeros(len(gram), bool)
-                # A share of own / (own + deeper); all of it where nothing deeper was seen.
-                share = np.where(deeper, 1 / (1 + np.exp(-np.clip(self.odds[depth, slot].astype(float), -500, 500))), 1.0)
-                p = np.where(known, share * own + (1 - share) * p, p)
-                deeper |= known
-            out += np.log(np.clip(np.where(one, p, 1 - p), 1e-9, 1))
-        return out / _LN10
-
-    def bytes_log10(self, gram: np.ndarray) -> np.ndarray:
-        """As path(), but each gram that was scored lately comes from a memo of fixed size."""
-        if self._memo is None:
-            self._memo = np.zeros(1 << _MEMO_BITS, U), np.zeros(1 << _MEMO_BITS)
-        keys, values = self._memo
-        tag = gram + U(1)
-        slot = (A.mix(gram) >> U(64 - _MEMO_BITS)).astype(np.int64)
-        missing = np.flatnonzero(keys[slot] != tag)
-        out = values[slot]
-        if len(missing):
-            new, inverse = np.unique(gram[missing], return_inverse=True)
-            scored = np.concatenate([self.path(new[i : i + 100_000]) for i in range(0, len(new), 100_000)])
-            out[missing] = scored[inverse]
-            at = (A.mix(new) >> U(64 - _MEMO_BITS)).astype(np.int64)
-            # Where several grams share a slot the last one written wins, for key and value alike.
-            last = np.zeros(1 << _MEMO_BITS, np.int64)
-            last[at] = np.arange(len(new))
-            win = np.unique(last[at])
-            keys[at[win]], values[at[win]] = new[win] + U(1), scored[win]
-        return out
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memo": None}
-
-
-def train(texts: DataFrame) -> Tree:
-    """Count all texts, weight the tree and keep, for every slot, the node seen most often."""
-    counts = stored(gram_counts(texts))
-    deep = stored(subtrees(counts))
-    tree = Tree()
-
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            depth, node = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)
-            slot = np.zeros(len(node), np.int64)
-            for d in np.unique(depth):
-                mine = depth == d
-                slot[mine] = _slot(int(d), node[mine])[0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(slot)], names=["depth", "node", "n", "p", "odds", "slot"])
-
-    placed = deep.mapInArrow(slotted, "depth int, node long, n double, p double, odds double, slot long")
-    best = placed.groupBy("depth", "slot").agg(F.max_by(F.struct("node", "p", "odds"), F.struct("n", "node")).alias("b")).select("depth", "b.*")
-    for depth in range(2, DEPTH + 1):  # at most SLOTS rows each
-        held = best.where(F.col("depth") == depth).select("node", F.col("p").cast("float"), F.col("odds").cast("float")).toArrow()
-        tree.put(depth, held["node"].to_numpy().view(U), held["p"].to_numpy(), held["odds"].to_numpy())
-    if counts.isEmpty():
-        return tree
-    for depth, table in zip((1, 0), shallow(counts, deep), strict=True):
-        tree.put(depth, table["node"].to_numpy().view(U), table["p"].to_numpy(), table["odds"].to_numpy())
-    return tree
-
-
-def code_lengths(docs: DataFrame, tree: Tree) -> DataFrame:
+def log10_probs(gram: np.ndarray, tables: list[Nodes]) -> np.ndarray:
+    """Log10 probability of each gram's last byte after the bytes before it, from the nodes of all depths, deepest first."""
+    byte, out = gram & U(255), np.zeros(len(gram))
+    for at in range(8):
+        prefix = (U(1) << U(at)) | (byte >> U(8 - at))
+        one = ((byte >> U(7 - at)) & U(1)).astype(bool)
+        p, deeper = np.full(len(gram), 0.5), np.zeros(len(gram), bool)
+        for depth, (key, own, odds) in zip(range(DEPTH, -1, -1), tables, strict=True):
+            if not len(key):
+                continue
+            node = (((gram >> U(8)) & ((U(1) << U(8 * depth)) - U(1))) << U(8)) | prefix
+            slot = np.minimum(np.searchsorted(key, node), len(key) - 1)
+            known = key[slot] == node
+            # A share of own / (own + deeper); all of it where nothing deeper was seen.
+            share = np.where(deeper, 1 / (1 + np.exp(-np.clip(odds[slot], -500, 500))), 1.0)
+            p = np.where(known, share * own[slot] + (1 - share) * p, p)
+            deeper |= known
+        out += np.log10(np.where(one, p, 1 - p))
+    return out
+
+
+def answers(asked: DataFrame, top: list[Nodes]) -> DataFrame:
+    """(chunk, grams, logs): each chunk's packed grams with their log10 probabilities, one row for each part."""
+    shared = asked.sparkSession.sparkContext.broadcast(top)  # at most 255 * 257 nodes
+
+    def run(table: pa.Table) -> pa.Table:
+        A.release()
+        keys, values = [], []
+        for gram, n in _blocks(table):
+            seen = n > 0
+            keys.append(gram)
+            values.append(log10_probs(gram, [*subtrees(gram[seen], n[seen])[0], *shared.value]).astype(np.float32))
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        logs = [value[np.searchsorted(key, _unpack(x.as_py()))].tobytes() for x in table["grams"]]
+        return pa.table({"chunk": table["chunk"], "grams": table["grams"], "logs": pa.array(logs, pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(run, "chunk long, grams binary, logs binary")
+
+
+def code_lengths(docs: DataFrame, answered: DataFrame) -> DataFrame:
     """doc_id, held_out, key, n_words, n_bytes, score: the log10 probability of each row's normalised bytes and end."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)  # (DEPTH + 1) * 2**SLOT_BITS slots, whatever the input
     names = ["doc_id", "held_out", "key", "n_words", "n_bytes", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        for batch in batches:
+    def run(known: pa.Table, table: pa.Table) -> pa.Table:
+        A.release()
+        key = np.concatenate([_unpack(x.as_py()) for x in known["grams"]])
+        value = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in known["logs"]])
+        order = np.argsort(key)
+        key, value, out = key[order], value[order].astype(float), []
+        for batch in table.select(["doc_id", "held_out", "key", "text"]).to_batches():
             for part in A.slices(batch, most=1 << 20):
                 data, offsets, (_, _, counts) = normalised(*A.utf8(part.column(3)))
-                logs = tree.bytes_log10(grams(data, offsets))
-                sizes = np.diff(offsets)
+                logs, sizes = value[np.searchsorted(key, grams(data, offsets))], np.diff(offsets)
                 score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts.astype(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(score)], names=names)
+                out.append(pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts.astype(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(score)], names=names))
+        return pa.Table.from_batches(out)
 
-    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(run, "doc_id long, held_out boolean, key long, n_words long, n_bytes long, score double")
+    texts = docs.select("doc_id", "held_out", "key", "text", "chunk")
+    return answered.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, key long, n_words long, n_bytes long, score double")
 
 
 def word_scores(docs: DataFrame, parts: int, doc_groups: int) -> tuple[DataFrame, DataFrame]:
@@ -397,8 +392,10 @@ def score(docs: DataFrame) -> DataFrame:
     """
     row = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
     keyed = docs.select(F.col("doc_id").cast("long"), "held_out", row.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    tree = train(keyed.where("not held_out"))
-    lengths = stored(code_lengths(keyed, tree))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = keyed.withColumn("chunk", F.pmod("key", F.lit(1 + size // CHUNK_BYTES)))
+    asked = stored(asked_grams(dealt.select("chunk", "held_out", "text"), 1 + size // PART_BYTES))
+    lengths = stored(code_lengths(dealt, answers(asked, shallow(asked))))
     facts = lengths.agg(F.sum("n_words").alias("words"), F.count("*").alias("docs"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     sums, totals = word_scores(keyed, max(1, -(-(facts.words or 0) // WORDS_A_PART)), max(1, -(-facts.docs // DOCS_A_GROUP)))
     # Repeated rows were counted once for each; give each its own share back.

@@ -288,6 +288,57 @@ def test_tree_weighting(spark, docs):
         assert got[i].score == pytest.approx(total, rel=0.02)
 
 
+def exact_tree_scores(texts, held):
+    """Log10 scores by an exact tree of all nodes."""
+    depth, lg = tree_weighting.DEPTH, math.lgamma
+    padded = [bytes(depth) + " ".join(WORD.findall((t or "").translate(LOWER))).encode() + b"\0" for t in texts]
+    grams = Counter(b[j - depth : j + 1] for b, h in zip(padded, held, strict=True) if not h for j in range(depth, len(b)))
+    nodes = [defaultdict(lambda: [0, 0]) for _ in range(depth + 1)]
+    for g, times in grams.items():
+        for d in range(depth + 1):
+            for k in range(8):
+                nodes[d][g[depth - d : depth], 1 << k | g[depth] >> 8 - k][g[depth] >> 7 - k & 1] += times
+    odds, sums = [{} for _ in range(depth + 1)], {}
+    for d in range(depth, -1, -1):
+        up = defaultdict(float)
+        for key, (a, b) in nodes[d].items():
+            own = weight = lg(a + 0.5) + lg(b + 0.5) - 2 * lg(0.5) - lg(a + b + 1)
+            if d < depth:
+                odds[d][key], top = own - sums[key], max(own, sums[key])
+                weight = top + math.log(math.exp(own - top) + math.exp(sums[key] - top)) - math.log(2)
+            up[key[0][1:], key[1]] += weight
+        sums = up
+    scores = []
+    for b in padded:
+        total = 0.0
+        for j in range(depth, len(b)):
+            for k in range(8):
+                p = None
+                for d in range(depth, -1, -1):
+                    key = b[j - d : j], 1 << k | b[j] >> 8 - k
+                    if key in nodes[d]:
+                        a, c = nodes[d][key]
+                        share = 1.0 if p is None else 1 / (1 + math.exp(-max(-500, min(500, odds[d][key]))))
+                        p = share * (c + 0.5) / (a + c + 1) + (1 - share) * (p or 0)
+                p = 0.5 if p is None else p
+                total += math.log10(p if b[j] >> 7 - k & 1 else 1 - p)
+        scores.append(total)
+    return scores
+
+
+def test_tree_keeps_every_node(spark, monkeypatch):
+    """Scores are those of the exact tree, over many chunks, parts and blocks, however many nodes there are."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzäéß", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 150))) for _ in range(60)] + ["", None]
+    texts += [t[: len(t) // 2] for t in texts[:8]]
+    for name, value in (("CHUNK_BYTES", 6000), ("PART_BYTES", 9000), ("BLOCK_GRAMS", 300)):
+        monkeypatch.setattr(tree_weighting, name, value, raising=False)
+    for kind in (5, 1):  # with training rows, and without any
+        held = [i % kind == 0 for i in range(len(texts))]
+        got = {r.doc_id: r.score for r in tree_weighting.score(frame(spark, texts).withColumn("held_out", F.col("doc_id") % kind == 0)).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(exact_tree_scores(texts, held), rel=1e-6)
+
+
 def test_line_dedup_edges(spark):
     line = "x" * 40
     texts = [f"{line}\nonly {i}" for i in range(4)] + [f" {line.upper()}\t\n{line}"] + ["x" * 39] * 6 + ["", None]
