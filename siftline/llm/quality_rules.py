@@ -24,16 +24,16 @@ from .tables import maybe_broadcast, stored
 
 #: Relative accuracy of the quantile sketches.
 ACCURACY = 0.01
-#: Fences stand REACH interquartile ranges beyond the quartiles, at least so far from the median.
-REACH = 4.0
+#: A fence stands REACH times as far from the median as the outer tenth of the group on that side.
+REACH = 3.0
 #: Documents' worth of the language's fence that a group's own fence is mixed with.
 PRIOR_ROWS = 50
-#: The judged features: their expression over the base counts, and the least distance of a fence from the median.
+#: The judged features: their expression over the base counts, and the tiny distance from the median where a group has no spread.
 FEATURES: dict[str, tuple[str, float]] = {
-    "mean_word_chars": ("word_chars / n_words", 2.0),
-    "symbol_share": ("n_symbols / (word_chars + 1)", 0.05),
-    "repeat_share": ("n_repeat_words / n_words", 0.4),
-    "dup_line_share": ("n_dup_lines / n_words", 0.1),
+    "mean_word_chars": ("word_chars / n_words", 0.1),
+    "symbol_share": ("n_symbols / (word_chars + 1)", 0.002),
+    "repeat_share": ("n_repeat_words / n_words", 0.02),
+    "dup_line_share": ("n_dup_lines / n_lines", 0.05),
 }
 
 _SYMBOLS = np.zeros(256, bool)
@@ -54,7 +54,7 @@ def _repeats(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def counts_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word) of each row."""
     rows = len(offsets) - 1
     starts, ends, n_words = A.words(data, offsets)
     owner = np.repeat(np.arange(rows), n_words)
@@ -84,23 +84,23 @@ def counts_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     o, h = line_owner[order], line_hash[order]
     later = np.flatnonzero((o[1:] == o[:-1]) & (h[1:] == h[:-1]))
     dup_lines = np.bincount(o[later], minlength=rows)
-    return [x.astype(np.int64) for x in (n_words, chars, symbols, dup_lines, repeat_words)]
+    return [x.astype(np.int64) for x in (n_words, chars, symbols, dup_lines, repeat_words, np.bincount(line_owner, minlength=rows))]
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base counts, one row per row of ``docs``."""
+    """doc_id, lang, source, the base counts and n_lines, one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, most=2 << 20):
                 columns = counts_of(*A.utf8(part.column(3)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, columns)], names=["doc_id", "lang", "source", *BASE])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, columns)], names=["doc_id", "lang", "source", *BASE, "n_lines"])
 
     kept = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), "text")
-    return kept.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in BASE))
+    return kept.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in [*BASE, "n_lines"]))
 
 
 _GAMMA = math.log((1 + ACCURACY) / (1 - ACCURACY))
@@ -125,11 +125,11 @@ def sketches(features: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """rows, q25, q50 and q75 of each group and feature from its sketch."""
+    """rows, q10, q25, q50, q75 and q90 of each group and feature from its sketch."""
     group = [*by, "feature"]
     running = sketch.withColumn("upto", F.sum("n").over(W.partitionBy(*group).orderBy("bin"))).withColumn("rows", F.sum("n").over(W.partitionBy(*group)))
     at = lambda q: value_of(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bin"))))
-    return running.groupBy(*group).agg(F.max("rows").alias("rows"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return running.groupBy(*group).agg(F.max("rows").alias("rows"), *[at(q / 100).alias(f"q{q:02}") for q in (10, 25, 50, 75, 90)])
 
 
 def fences(features: DataFrame) -> DataFrame:
@@ -137,16 +137,17 @@ def fences(features: DataFrame) -> DataFrame:
     sketch = stored(sketches(features, ["lang", "source"]))
     own = quartiles(sketch, ["lang", "source"])
     wide = sketch.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n"))  # sketches merge by adding
-    whole = quartiles(wide, ["lang"]).select(F.col("lang").alias("l"), F.col("feature").alias("f"), *[F.col(q).alias(f"w{q}") for q in ("q25", "q50", "q75")])
+    used = ("q10", "q50", "q90")
+    whole = quartiles(wide, ["lang"]).select(F.col("lang").alias("l"), F.col("feature").alias("f"), *[F.col(q).alias(f"w{q}") for q in used])
     both = own.join(whole, F.col("lang").eqNullSafe(F.col("l")) & (F.col("feature") == F.col("f")))
     trust = F.col("rows") / (F.col("rows") + PRIOR_ROWS)
-    mixed = {q: F.col(q) * trust + F.col(f"w{q}") * (1 - trust) for q in ("q25", "q50", "q75")}
+    mixed = {q: F.col(q) * trust + F.col(f"w{q}") * (1 - trust) for q in used}
     least = F.coalesce(*[F.when(F.col("feature") == n, F.lit(d)) for n, (_, d) in FEATURES.items()])
-    reach = REACH * (mixed["q75"] - mixed["q25"])
+    error = ACCURACY * mixed["q50"]  # what the sketch may have taken off the spread
     bounds = both.select(
         "lang", "source", "feature",
-        F.least(mixed["q25"] - reach, mixed["q50"] - least).alias("low"),
-        F.greatest(mixed["q75"] + reach, mixed["q50"] + least).alias("high"),
+        (mixed["q50"] - F.greatest(REACH * (mixed["q50"] - mixed["q10"] + error), least)).alias("low"),
+        (mixed["q50"] + F.greatest(REACH * (mixed["q90"] - mixed["q50"] + error), least)).alias("high"),
     )
     pick = lambda n, side: F.max(F.when(F.col("feature") == n, F.col(side))).alias(f"{n}_{side}")
     return bounds.groupBy("lang", "source").agg(*[pick(n, s) for n in FEATURES for s in ("low", "high")])

@@ -385,6 +385,35 @@ def test_quality_outliers(spark):
     assert "symbol_share" in got[60].outliers
 
 
+def test_every_quality_fence_comes_from_its_group(spark):
+    """Each feature's fence differs between groups and removes a planted outlier that the base rules pass."""
+    rng = random.Random(2)
+
+    def text(chars, symbols, repeats, doubled, n=200):
+        words = ["".join(rng.choices("abcdefghij", k=max(2, round(rng.gauss(chars, 1))))) for _ in range(n)]
+        for at in rng.sample(range(n), symbols):
+            words[at] += "#"
+        for k in range(repeats):
+            words[100 + 4 * k : 103 + 4 * k] = ["again", "and", "again"]
+        lines = [" ".join(words[i : i + 10]) for i in range(0, n, 10)]
+        return "\n".join(lines + lines[:1] * doubled)
+
+    usual = {"a": lambda: text(6, rng.randint(0, 4), rng.choice([0, 2, 3]), 0), "b": lambda: text(9, rng.randint(10, 30), rng.choice([0, 4, 6]), rng.randint(0, 2))}
+    rows = [(1000 * k + i, make(), "xx", g) for k, (g, make) in enumerate(usual.items()) for i in range(300)]
+    odd = {"mean_word_chars": text(7.8, 2, 0, 0), "symbol_share": text(6, 40, 0, 0), "repeat_share": text(6, 2, 24, 0), "dup_line_share": text(6, 2, 0, 4)}
+    rows += [(5000 + i, t, "xx", "a") for i, t in enumerate(odd.values())]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(table).collect()}
+    for i, name in enumerate(odd):
+        assert not got[5000 + i].base_failed
+        assert name in got[5000 + i].outliers
+    assert sum(got[r[0]].kept for r in rows[:600]) >= 590
+    features = quality_rules.base_counts(table).withColumns({n: F.expr(e) for n, (e, _) in quality_rules.FEATURES.items()})
+    a, b = quality_rules.fences(features).orderBy("source").collect()
+    for name in odd:
+        assert abs(a[f"{name}_high"] - b[f"{name}_high"]) > 0.1 * a[f"{name}_high"], name
+
+
 def test_quantile_sketch_merges(spark):
     values = spark.createDataFrame([(i % 3, float(i)) for i in range(1, 1000)], "g int, value double")
     bins = values.select("g", F.lit("f").alias("feature"), quality_rules.bin_of(F.col("value")).alias("bin")).groupBy("g", "feature", "bin").agg(F.count("*").alias("n"))
