@@ -9,8 +9,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -443,43 +445,69 @@ def test_bpe_equals_library(spark, docs, library):
         assert got[i].decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
 
 
+def encoded(encoder, texts):
+    """Rows of ids of the given texts."""
+    return [r[3].tolist() for r in encoder.texts(pa.array(texts, pa.string()), hold=True)]
+
+
 def test_bpe_on_random_text(encoder, library):
     rng = random.Random(5)
     pools = ["abcdefghijklmnopqrstuvwxyz", "aeinrst", "!?-_'.", "0123", "éàüßñÅΣσς İ日本", "   \n\t\x85\x1c'sS", ["<|endoftext|>"], ["'ll", "'S", "''"]]
-    for _ in range(1500):
-        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 60)))
-        ids = library.encode(text, add_special_tokens=False).ids
-        n, got, decoded = encoder.text(text.encode())
-        assert (n, got, decoded) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), repr(text)
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for text, (n, ids, decoded, _) in zip(texts, encoder.texts(pa.array(texts)), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert (n, ids, decoded) == (len(want), sha(" ".join(map(str, want))), sha(library.decode(want, skip_special_tokens=False))), repr(text)
 
 
-def test_bpe_streams_long_words(encoder, library):
-    rng = random.Random(6)
-    for size in (65, 200, 3000):
-        for letters in ("a", "ab", "the", "abcdefghijklmnopqrstuvwxyz"):
-            text = "".join(rng.choice(letters) for _ in range(size))
-            assert list(encoder.run_ids(text)) == library.encode(text, add_special_tokens=False).ids
-    text = "Hello World, it's fine " * 5
-    assert list(encoder.ids([text[i : i + 7] for i in range(0, len(text), 7)])) == library.encode(text, add_special_tokens=False).ids
+def test_bpe_has_the_librarys_characters(encoder, library):
+    texts = [f"a{c}a !{c}! {c}1" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    texts = [" ".join(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+    assert encoded(encoder, texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_bpe_emits_before_the_end(encoder):
-    seen = []
-
-    class Watched(str):
-        def __getitem__(self, at):
-            if isinstance(at, slice):
-                seen.append(at.stop)
-            return str.__getitem__(self, at)
-
-    stream = encoder.merges.encode(Watched("thequickbrownfox" * 100))
-    next(stream)
-    assert max(seen) <= 4 * encoder.merges.lookahead + 1
-
-
-def test_plain_decoding(encoder):
-    text = "été à 日本 , x"
-    assert "".join(bpe.plain_text(encoder.ids([text]), encoder.merges.names)).split() == text.split()
+def test_bpe_window_is_bounded(library):
+    encoder = bpe.Encoder(bpe.read_spec(VOCABULARY))
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(size)) for size in (65, 200, 3000) for letters in ("a", "ab", "the", "abcdefghijklmnopqrstuvwxyz")]
+    texts += ["a" * 5000, "thequickbrownfox" * 100, "ab" * 700 + "!" * 900, "é" * 300]
+    assert encoded(encoder, texts) == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.transducer.widest == 4 * encoder.merges.lookahead + 1
+
+
+def test_bpe_tokens_come_from_the_transducer(encoder, library, monkeypatch):
+    made = []
+    together = encoder.transducer._together
+
+    def watched(data, starts, sizes):
+        for lane, place, ids in together(data, starts, sizes):
+            made.append(len(ids))
+            yield lane, place, ids
+
+    monkeypatch.setattr(encoder.transducer, "_together", watched)
+    text = "A quick test of alpharetical wordlings, 12 times"  # no pre-token twice
+    assert encoded(encoder, [text]) == [library.encode(text, add_special_tokens=False).ids]
+    assert sum(made) == len(encoded(encoder, [text])[0])
+
+
+def test_bpe_cuts_long_texts(encoder, library, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 64)
+    texts = ["Some words, été " * 30, None, "", "x" * 200 + " y", "ok"]
+    rows = encoder.texts(pa.array(texts), hold=True)
+    for text, (n, ids, decoded, held) in zip(texts, rows, strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert held.tolist() == want
+        assert (n, ids, decoded) == (len(want), sha(" ".join(map(str, want))), sha(library.decode(want, skip_special_tokens=False)))
+
+
+def test_decoding_in_pieces(encoder, library):
+    text = "été à 日本 , x <|endoftext|> 3"
+    ids = np.array(encoded(encoder, [text])[0])
+    for table, want in ((bpe.Table.readable(encoder.merges), None), (encoder.names, library.decode(ids.tolist(), skip_special_tokens=False))):
+        for step in (1, 2, 5):
+            decoder = bpe.Decoder(table)
+            got = "".join(decoder.feed(ids[i : i + step]) for i in range(0, len(ids), step)) + decoder.finish()
+            assert got.split() == text.split() if want is None else got == want
+    assert bpe.Decoder(encoder.names).feed(np.array([10**6, -1])) == ""
 
 
 def test_substring_dedup(spark, docs):
