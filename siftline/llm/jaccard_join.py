@@ -12,10 +12,15 @@ rare shingles first (by the octave of their class count) and breaks ties by its
 own hash, so the orders differ.  Candidates must share prefix shingles under
 every order; what is left is verified exactly on the whole sets.
 
-Large groups of near copies are never expanded to all pairs.  A first pass
-compares each member of a posting list with the list's least edited members and
-joins what links; the second, complete pass then only pairs classes that are not
-yet connected, and whose parity bitmaps do not already rule a link out.  Connected components need no more, and no link is lost.
+Large groups of near copies are never expanded to all pairs.  In a few rounds each
+class meets one hub under each order, the class of another component that leads most
+of its posting lists; what links is joined into components.  The complete pass then
+only pairs classes that are not yet connected, and whose parity bitmaps do not
+already rule a link out.  Connected components need no more, and no link is lost.
+
+No shingle's classes have to fit in one task.  Shingles that are frequent within
+slices of the input are counted over all slices; those beyond a bound are known to
+be shared and bypass the count.  Long posting lists are cut into blocks.
 """
 
 from __future__ import annotations
@@ -36,9 +41,14 @@ U = np.uint64
 #: Shingles dealt to one group of the shuffle by shingle, and classes to one of that by class.
 TOKENS_A_PART = 1_500_000
 CLASSES_A_PART = 10_000
-#: Independent token orders, and least edited members that a posting list is first compared with.
+#: Independent token orders, and rounds in which classes meet hubs.
 ORDERS = 2
-HUBS = 4
+ROUNDS = 3
+#: Classes of a posting list that are compared in one place.
+LIST_ROWS = 20_000
+#: Classes from which a shingle bypasses the count; it grows so that at most HOT_SHINGLES do.
+HOT_CLASSES = 1_000_000
+HOT_SHINGLES = 1_000_000
 
 
 def shingle_sets(batch: pa.RecordBatch, words_each: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -74,19 +84,52 @@ def set_keys(owner: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def document_classes(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, cls): the size and the class of each document's set, one row per row."""
-    schema = "doc_id long, n_shingles long, cls long"
+    """(doc_id, n_shingles, cls, often): the size and the class of each document's set, one row per row.
+
+    The first row of a slice has in ``often`` the shingles that several of the
+    slice's classes hold, and their numbers of classes; all others have null.
+    """
+    schema = "doc_id long, n_shingles long, cls long, often binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, owner, grams, sizes in shingle_sets(batch, words_each):
-                keys = set_keys(owner, grams, sizes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int64)), pa.array(keys)], names=["doc_id", "n_shingles", "cls"])
+                keys = set_keys(owner, grams, sizes)
+                values, counts = np.unique(grams[_once(keys)[owner]], return_counts=True)
+                often = np.concatenate([values[counts > 1], counts[counts > 1].astype(U)]).tobytes()
+                columns = [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(keys.view(np.int64)), pa.array([often or None] + [None] * (part.num_rows - 1), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "cls", "often"])
         A.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def _once(keys: np.ndarray) -> np.ndarray:
+    """The first of equal values."""
+    _, firsts = np.unique(keys, return_index=True)
+    once = np.zeros(len(keys), bool)
+    once[firsts] = True
+    return once
+
+
+def hot_shingles(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that slices with several of their classes count ``least`` times together, and octaves of their counts.
+
+    A count holds the class of copies in several slices once for each, so there
+    are at most (shingles of all rows) / ``least`` of them.
+    """
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for often in batch.column(0):
+                both = np.frombuffer(often.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[: len(both) // 2]), pa.array(both[len(both) // 2 :])], names=["token", "n"])
+
+    counted = rows.where("often is not null").select("often").mapInArrow(unpack, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= least).toPandas().sort_values("token", key=lambda t: t.astype(np.uint64))
+    return found["token"].to_numpy(np.int64).view(U), np.log2(np.maximum(found["n"].to_numpy(np.int64), 1)).astype(np.uint8)
+
+
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of runs of equal values."""
     if not len(sorted_values):
@@ -112,29 +155,39 @@ def _heads(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(cls, counts), np.repeat((packed >> U(32)).astype(np.int64), counts)
 
 
-def shared_shingles(docs: DataFrame, n_tokens: int, n_classes: int, threshold: Fraction, words_each: int) -> DataFrame:
+def known_at(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in a sorted array, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
+
+
+def shared_shingles(docs: DataFrame, n_tokens: int, n_classes: int, threshold: Fraction, words_each: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(cls, n, tokens, levels) of the classes that may have a partner.
 
     ``tokens`` are the shared shingles (uint64, ascending), ``levels`` the octaves
-    of their class counts; n is the size of the whole set.
+    of their class counts; n is the size of the whole set.  ``hot`` are shingles
+    that are known to be shared, and their levels: their rows are dealt by class.
     """
     parts = max(1, -(-n_tokens // TOKENS_A_PART))
+    known = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT_SHINGLES
     class_parts = max(1, -(-n_classes // CLASSES_A_PART))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, owner, grams, sizes in shingle_sets(batch, words_each):
                 keys = set_keys(owner, grams, sizes)
-                _, firsts = np.unique(keys, return_index=True)  # copies within a slice count once
-                once = np.zeros(len(keys), bool)
-                once[firsts] = True
+                once = _once(keys)  # copies within a slice count once
                 grams, owner = grams[once[owner]], owner[once[owner]]
                 if not len(grams):
                     continue
-                part = ((grams >> U(44)) * U(parts)) >> U(20)
+                part = (((grams >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
+                is_hot, _ = known_at(known.value[0], grams)
+                part[is_hot] = -1 - ((keys[owner[is_hot]] >> U(32)) % U(parts)).astype(np.int64)
                 order = np.lexsort((owner, part))
                 part, grams, owner = part[order], grams[order], owner[order]
-                rows = [(p, h, A.pack5(g)) for p, h, g in _blobs(part, keys[owner], sizes[owner], grams)]
+                rows = [(p, h, g.tobytes()) for p, h, g in _blobs(part, keys[owner], sizes[owner], grams)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], names=["part", "head", "body"])
         A.release()
 
@@ -142,16 +195,18 @@ def shared_shingles(docs: DataFrame, n_tokens: int, n_classes: int, threshold: F
         A.release()
         heads = [_heads(x.as_py()) for x in table["head"]]
         cls, size = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads])
-        low = np.concatenate([A.unpack5(x.as_py()) for x in table["body"]])
-        order = np.lexsort((cls, low))
-        low, cls, size = low[order], cls[order], size[order]
-        new = np.r_[True, (low[1:] != low[:-1]) | (cls[1:] != cls[:-1])]
-        low, cls, size = low[new], cls[new], size[new]
-        starts, counts = _runs(low)
-        counts = np.repeat(counts, counts)
-        many = counts > 1
-        low, cls, size, level = low[many], cls[many], size[many], np.log2(counts[many]).astype(np.uint8)
-        token = (U(key[0].as_py()) << U(40)) | low
+        token = np.concatenate([np.frombuffer(x.as_buffer(), U) for x in table["body"]])
+        order = np.lexsort((cls, token))
+        token, cls, size = token[order], cls[order], size[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]
+        token, cls, size = token[new], cls[new], size[new]
+        if key[0].as_py() < 0:
+            level = known.value[1][known_at(known.value[0], token)[1]]
+        else:
+            starts, counts = _runs(token)
+            counts = np.repeat(counts, counts)
+            many = counts > 1
+            token, cls, size, level = token[many], cls[many], size[many], np.log2(counts[many]).astype(np.uint8)
         part = (A.mix(cls) >> U(40)) % U(class_parts)
         order = np.lexsort((cls, part))
         rows = [(p, h, t.tobytes(), v.tobytes()) for p, h, t, v in _blobs(part[order], cls[order], size[order], token[order], level[order])]
@@ -209,28 +264,30 @@ def _distinct_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarra
     return pairs[:, 0], pairs[:, 1]
 
 
-def hub_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
-    """(a, b): each member of a posting list with the list's HUBS least edited members, where sizes allow a link."""
+def hub_pairs(near: DataFrame, first: bool, threshold: Fraction) -> DataFrame:
+    """(a, b): under each order, each class with the hub that most of its posting lists name, one row at most.
+
+    ``near`` has ord, token, cls, n, own and comp.  A list's hub for a class is the
+    list's leading class of another component: the least edited in the first round,
+    in later ones any by a hash, as the least edited was tried.
+    """
+    lead = F.struct(F.col("own") if first else F.xxhash64("cls", F.lit("hub")), "cls", "n", "comp")
+    one = near.groupBy("ord", "token").agg(F.min(lead).alias("one"))
+    led = near.join(one, ["ord", "token"])
+    two = led.where("comp <> one.comp").groupBy("ord", "token").agg(F.min(lead).alias("two"))
+    met = led.join(two, ["ord", "token"], "left").withColumn("hub", F.when(F.expr("comp <> one.comp"), F.col("one")).otherwise(F.col("two")))
     num, den = threshold.numerator, threshold.denominator
+    met = met.where(f"hub is not null and hub.n * {den} >= {num} * n and n * {den} >= {num} * hub.n").select("ord", "cls", F.col("hub.cls").alias("hub"))
+    votes = met.groupBy("ord", "cls", "hub").count()
+    best = votes.groupBy("ord", "cls").agg(F.max(F.struct("count", "hub")).alias("best"))
+    return best.select(F.least("cls", "best.hub").alias("a"), F.greatest("cls", "best.hub").alias("b")).distinct()
 
-    def run(table: pa.Table) -> pa.Table:
-        A.release()
-        token, cls, n, own = (table[c].to_numpy() for c in ("token", "cls", "n", "own"))
-        order = np.lexsort((cls, own, token))
-        token, cls, n = token[order], cls[order], n[order]
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo, count in zip(*_runs(token), strict=True):
-            c, m = cls[lo : lo + count], n[lo : lo + count]
-            for i in range(min(HUBS, count - 1)):
-                j = np.arange(i + 1, count)
-                j = j[(m[j] * den >= num * m[i]) & (m[i] * den >= num * m[j])]
-                left.append(np.full(len(j), c[i]))
-                right.append(c[j])
-        a, b = _distinct_pairs(left, right)
-        return pa.table({"a": a, "b": b})
 
-    dealt = posted.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(groups)))
-    return dealt.groupBy("ord", "part").applyInArrow(run, "a long, b long")
+def mixed(posted: DataFrame, roots: DataFrame) -> DataFrame:
+    """The posting lists that hold classes of several components, with comp."""
+    near = posted.join(maybe_broadcast(roots.withColumnRenamed("v", "cls"), 16), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    lists = near.groupBy("ord", "token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("ord", "token")
+    return near.join(lists, ["ord", "token"])
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -249,11 +306,13 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("cls", "tokens").mapInArrow(run, "cls long, bits binary")
 
 
-def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarray, bits: list, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one posting list from different components that sizes and bitmaps allow to link.
+def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarray, bits: list, main: int, block: int, blocks: int, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one block of a posting list from different components that sizes and bitmaps allow to link.
 
-    Two sets differ in at least their unshared shingles and the bits in which their
-    parities differ.  Bitmaps of neighbouring widths meet at the narrower one.
+    Members outside the component ``main`` are in all blocks, and meet each other
+    in one of them.  Two sets differ in at least their unshared shingles and the bits
+    in which their parities differ.  Bitmaps of neighbouring widths meet at the
+    narrower one.
     """
     num, den = threshold.numerator, threshold.denominator
     widths = np.array([len(b) for b in bits])
@@ -265,13 +324,14 @@ def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarr
             raw = np.frombuffer(bits[i], U)
             rows[at] = raw if at < len(same) else raw[: width // 8] ^ raw[width // 8 :]
         c, m, o, p = cls[index], n[index], own[index], comp[index]
-        values, counts = np.unique(p, return_counts=True)
-        few = p != values[counts.argmax()]
+        few = p != main
         narrow = np.arange(len(index)) < len(same)
         done = np.zeros(len(index), bool)
         for i in np.flatnonzero(few).tolist():
             j = np.flatnonzero((p != p[i]) & ~done & (narrow | narrow[i]))
             done[i] = True
+            if blocks > 1:
+                j = j[~few[j] | ((c[j] ^ c[i]) % blocks == block)]
             j = j[(m[j] * den >= num * m[i]) & (m[i] * den >= num * m[j])]
             apart = np.bitwise_count(rows[j] ^ rows[i]).sum(1, dtype=np.int64) + o[j] + o[i]
             j = j[apart * (den + num) <= (den - num) * (m[j] + m[i])]
@@ -279,21 +339,32 @@ def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarr
                 yield np.full(len(j), c[i]), c[j]
 
 
-def remaining_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
+def in_blocks(near: DataFrame, list_rows: int) -> DataFrame:
+    """Adds main, block and blocks: members of a list's largest component are dealt to blocks, all others are in each."""
+    sizes = near.groupBy("ord", "token", "comp").count()
+    lists = sizes.groupBy("ord", "token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.ceil(F.sum("count") / list_rows).cast("int").alias("blocks"))
+    dealt = F.array(F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    return near.join(lists, ["ord", "token"]).withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), dealt).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+
+
+def remaining_pairs(near: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
     """(ord, a, b): all candidate pairs by order that are not yet connected.
 
-    ``posted`` has ord, token, cls, n, own, comp and bits.
+    ``near`` has ord, token, cls, n, own, comp, bits, main, block and blocks.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         A.release()
-        token, cls, n, own, comp = (table[c].to_numpy() for c in ("token", "cls", "n", "own", "comp"))
+        token, cls, n, own, comp, main, block, blocks = (table[c].to_numpy() for c in ("token", "cls", "n", "own", "comp", "main", "block", "blocks"))
         bits = table["bits"].combine_chunks()
         left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        order = np.lexsort((cls, token))
-        for lo, count in zip(*_runs(token[order]), strict=True):
-            at = order[lo : lo + count]
-            for a, b in _unconnected(cls[at], n[at], own[at], comp[at], [bits[i].as_buffer() for i in at.tolist()], threshold):
+        order = np.lexsort((cls, block, token))
+        lists = np.stack([token[order], block[order]], 1)
+        cuts = np.flatnonzero(np.r_[True, (lists[1:] != lists[:-1]).any(1), True]) if len(lists) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            one = at[0]
+            for a, b in _unconnected(cls[at], n[at], own[at], comp[at], [bits[i].as_buffer() for i in at.tolist()], main[one], block[one], blocks[one], threshold):
                 left.append(a)
                 right.append(b)
                 held += len(a)
@@ -303,10 +374,17 @@ def remaining_pairs(posted: DataFrame, groups: int, threshold: Fraction) -> Data
         a, b = _distinct_pairs(left, right)
         return pa.table({"ord": np.full(len(a), key[0].as_py(), np.int64), "a": a, "b": b})
 
-    dealt = posted.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(groups)))
+    dealt = near.withColumn("part", F.pmod(F.xxhash64("token", "block"), F.lit(groups)))
     return dealt.groupBy("ord", "part").applyInArrow(run, "ord long, a long, b long")
 
 
+def candidates(near: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): pairs of different components that share a prefix shingle under every order; ``near`` has ord, token, cls, n, own and comp."""
+    groups = max(1, -(-near.count() // 200_000))
+    pairs = remaining_pairs(in_blocks(near, LIST_ROWS).join(bitmaps(sets), "cls"), groups, threshold)
+    return pairs.groupBy("a", "b").agg(F.count_distinct("ord").alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): the pairs whose whole sets reach the threshold.  Unshared shingles lie in no intersection."""
     num, den = threshold.numerator, threshold.denominator
@@ -327,6 +405,43 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
     return joined.mapInArrow(run, "a long, b long")
 
 
+def linked_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, limit: Fraction, words_each: int) -> DataFrame:
+    """(v, root): the classes with a link, and one of each component."""
+    n_classes, n_tokens = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    hot = hot_shingles(rows, max(HOT_CLASSES, total // HOT_SHINGLES))
+    sets = stored(shared_shingles(docs, n_tokens, n_classes, limit, words_each, hot))
+    posted = stored(postings(sets, limit))
+    near, roots, links = posted.withColumn("comp", F.col("cls")), None, docs.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(ROUNDS):
+        met = stored(verified(hub_pairs(near, turn == 0, limit), sets, limit))
+        found = met.count()
+        if found:
+            links = links.union(met)
+            roots = components(links)
+            near = stored(mixed(posted, roots))
+        if found * 50 < n_classes:  # few links are left to find
+            break
+    more = stored(verified(candidates(near, sets, limit), sets, limit))
+    return components(links.union(more)) if roots is None or not more.isEmpty() else roots
+
+
+def linked_pairs(docs: DataFrame, threshold: str = "3/4", words_each: int = 5) -> DataFrame:
+    """(a, b): all pairs of classes that link, a below b; ``document_classes`` has the classes' members.
+
+    The whole join, between different sets: a group of near copies with m different
+    sets gives up to m * m / 2 rows.
+    """
+    limit = Fraction(threshold)
+    rows = stored(document_classes(docs, words_each))
+    classes = rows.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("n"))
+    n_classes, n_tokens = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    hot = hot_shingles(rows, max(HOT_CLASSES, n_tokens // HOT_SHINGLES))
+    sets = stored(shared_shingles(docs, n_tokens, n_classes, limit, words_each, hot))
+    near = stored(postings(sets, limit)).withColumn("comp", F.col("cls"))
+    return verified(candidates(near, sets, limit), sets, limit)
+
+
 def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -338,26 +453,11 @@ def jaccard_components(docs: DataFrame, threshold: str = "3/4", words_each: int
     Repeated rows each come back; null doc_ids are kept and win no minimum.
     Shingles and classes are told apart by 64-bit hashes.  An empty table gives no rows.
     """
-    limit = Fraction(threshold)
     rows = stored(document_classes(docs, words_each))
     classes = stored(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n")))
-    n_classes, n_tokens = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ids = classes
-    if n_classes:
-        sets = stored(shared_shingles(docs, n_tokens, n_classes, limit, words_each))
-        posted = stored(postings(sets, limit))
-        groups = max(1, -(-posted.count() // 200_000))
-        hubs = hub_pairs(posted, groups, limit)
-        links = stored(verified(hubs.distinct(), sets, limit))
-        roots = components(links)
-        near = posted.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-        mixed = near.groupBy("ord", "token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("ord", "token")
-        near = near.join(mixed, ["ord", "token"]).join(bitmaps(sets), "cls")
-        rest = remaining_pairs(near, groups, limit)
-        rest = rest.groupBy("a", "b").agg(F.count_distinct("ord").alias("orders")).where(F.col("orders") == ORDERS)
-        more = stored(verified(rest.select("a", "b"), sets, limit))
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    if not classes.isEmpty():
+        roots = linked_classes(docs, rows, classes, Fraction(threshold), words_each)
         rooted = classes.join(roots.withColumnRenamed("v", "cls"), "cls", "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
         lows = rooted.groupBy("root").agg(F.min("low").alias("low"))
         ids = rooted.drop("low").join(lows, "root")

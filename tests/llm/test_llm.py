@@ -137,23 +137,44 @@ def test_jaccard_components(spark, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, range(len(texts)))
 
 
-def test_jaccard_hard_groups(spark, monkeypatch):
-    """Chains of near copies of which few pairs link, over many small groups of the shuffles."""
-    monkeypatch.setattr(jaccard_join, "TOKENS_A_PART", 500)
-    monkeypatch.setattr(jaccard_join, "CLASSES_A_PART", 10)
-    monkeypatch.setattr(jaccard_join, "HUBS", 1)
-    rng = random.Random(9)
-    base = [f"b{i}" for i in range(150)]
+def edited(count, most, size=150, seed=9):
+    """Chains of near copies of which few pairs link."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
     texts = []
-    for _ in range(70):
+    for _ in range(count):
         copy = list(base)
-        for at in rng.sample(range(150), rng.randint(1, 8)):
+        for at in rng.sample(range(size), rng.randint(1, most)):
             copy[at] = f"x{rng.randint(0, 3)}"
         texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize(("rounds", "list_rows", "hot"), [(1, 20_000, 10**6), (0, 4, 3), (3, 7, 5)])
+def test_jaccard_hard_groups(spark, monkeypatch, rounds, list_rows, hot):
+    """Over many small groups of the shuffles, with lists in blocks, hot shingles and few or no meetings with hubs."""
+    monkeypatch.setattr(jaccard_join, "TOKENS_A_PART", 500)
+    monkeypatch.setattr(jaccard_join, "CLASSES_A_PART", 10)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(jaccard_join, "HOT_CLASSES", hot)
+    texts = edited(70, 8) + ["b1 b2", "b1 b2 b3 b4 b5", None, ""]
     got = jaccard_join.jaccard_components(frame(spark, texts)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, range(len(texts)))
 
 
+def test_linked_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 9)
+    texts = sorted(set(edited(60, 8, seed=12))) * 2
+    docs = frame(spark, texts)
+    members = {r.doc_id: r.cls for r in jaccard_join.document_classes(docs).collect()}
+    got = [(r.a, r.b) for r in jaccard_join.linked_pairs(docs).collect()]
+    assert len(set(got)) == len(got)
+    sets = {members[i]: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in enumerate(texts)}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert set(got) == want
+
+
 def test_representatives(spark, docs):
     kept = jaccard_join.representatives(docs)
     assert kept.columns == docs.columns
