@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -35,7 +35,8 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def release() -> None:
-    """Give freed memory back to the machine, as idle workers stay next to later stages."""
+    """Give memory back to the machine at a task's end, as idle workers stay next to later stages."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)

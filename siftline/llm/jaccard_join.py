@@ -38,9 +38,10 @@ from .components import components
 from .tables import maybe_broadcast, stored
 
 U = np.uint64
-#: Shingles dealt to one group of the shuffle by shingle, and classes to one of that by class.
+#: Shingles dealt to one group of the shuffle by shingle, classes to one of that by class, postings to one that pairs them.
 TOKENS_A_PART = 1_500_000
 CLASSES_A_PART = 10_000
+POSTINGS_A_PART = 50_000
 #: Independent token orders, and rounds in which classes meet hubs.
 ORDERS = 2
 ROUNDS = 3
@@ -380,7 +381,7 @@ def remaining_pairs(near: DataFrame, groups: int, threshold: Fraction) -> DataFr
 
 def candidates(near: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): pairs of different components that share a prefix shingle under every order; ``near`` has ord, token, cls, n, own and comp."""
-    groups = max(1, -(-near.count() // 200_000))
+    groups = max(1, -(-near.count() // POSTINGS_A_PART))
     pairs = remaining_pairs(in_blocks(near, LIST_ROWS).join(bitmaps(sets), "cls"), groups, threshold)
     return pairs.groupBy("a", "b").agg(F.count_distinct("ord").alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
 

@@ -1,12 +1,15 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-One model per language is trained on a bounded sample of labelled documents
-(``SAMPLE`` whole documents a language, dealt by a hash of the id).  N-grams live
+One model per language, for every language, is trained on a bounded sample of
+labelled documents: at most ``SAMPLE`` whole documents a language and
+``ALL_SAMPLE`` of all, dealt by a hash of the id, with at most ``SAMPLE_BYTES`` of
+text in all (but one document of each language at least).  N-grams live
 in sorted arrays of 64-bit hashes next to their interpolated probabilities and
 back-off weights.  A text goes to the language with the lowest cross-entropy per
 character.  A slice of the sample that trained nothing calibrates two things: how
 sure a lead in cross-entropy is, and which cross-entropy is too high for any known
-language, which is a rejection.
+language, which is a rejection.  Only documents that the models find right calibrate a
+rejection, so that a wrong label does not.
 """
 
 from __future__ import annotations
@@ -22,15 +25,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import arrays as A
+from .tables import maybe_broadcast, stored
 
 U = np.uint64
 ORDER = 4
-#: Documents sampled for each language, a fifth of them for calibration; most frequent languages modelled.
+#: Documents sampled for each language, a fifth of them for calibration; of all languages together; bytes of their texts.
 SAMPLE = 500
-LANGUAGES = 32
+ALL_SAMPLE = 16_000
+SAMPLE_BYTES = 64 << 20
+#: Entries of the shared array of longest n-grams, by language; with more each language is looked up alone, to the same result.
+SHARED = 1 << 25
 UNKNOWN = "und"
-#: Rejection: standard deviations above the usual cross-entropy, at least.
-LEAST_Z = 8.0
+#: Rejection: standard deviations above the usual cross-entropy, at least; so many times the quantile of right documents.
+LEAST_Z, OVER, QUANTILE = 12.0, 1.5, 0.995
+#: Right calibration documents from which a language's own deviation and limit count; with fewer those of all languages do.
+ENOUGH = 20
 
 _LETTER: list[np.ndarray] = []
 
@@ -178,12 +187,14 @@ class Identifier:
         self.models = models
         self.keys = np.zeros(0, U)
         self.table = np.zeros((0, len(models)), np.float32)
-        self.usual = np.zeros((len(models), 3))
-        self.sharpness, self.limit = 20.0, LEAST_Z
+        self.usual = np.tile([0.0, 1.0, 1.0], (len(models), 1))
+        self.sharpness, self.limit = 20.0, np.full(len(models), np.inf)
 
     def share(self, texts: list[str]) -> None:
         """Fill the shared array with the longest n-grams of the given (training) texts."""
         keys, before, _ = longest_grams(texts)
+        if len(keys[ORDER]) * len(self.languages) > SHARED:
+            return
         self.keys = keys[ORDER]
         self.table = np.stack([log_probs(self.models[x], keys, before) for x in self.languages], 1).astype(np.float32) if self.languages else self.table
 
@@ -211,21 +222,28 @@ class Identifier:
         entropy, counts, square = (np.concatenate([p[i] for p in parts]) for i in range(3))
         column = np.array([self.languages.index(t) for t in truth], int)
         ok = counts > 0
-        for j in range(len(self.languages)):
-            mine = ok & (column == j)
-            if mine.any():
-                spread = np.sqrt(np.maximum(square[mine, j] - entropy[mine, j] ** 2, 1e-6)).mean()
-                self.usual[j] = entropy[mine, j].mean(), entropy[mine, j].std(), spread
-        if ok.any():
-            z = self._z(entropy[ok], counts[ok], column[ok])
-            self.limit = max(LEAST_Z, 1.5 * float(z.max()))
-            lead = entropy[ok].min(1, keepdims=True) - entropy[ok]
-            scores = []
-            for sharp in (5.0, 10.0, 20.0, 40.0):
-                p = np.exp(sharp * lead)
-                p /= p.sum(1, keepdims=True)
-                scores.append((np.log(np.maximum(p[np.arange(len(p)), column[ok]], 1e-9)).mean(), sharp))
-            self.sharpness = max(scores)[1]
+        right = ok & (entropy.argmin(1) == column)
+        mine = [right & (column == j) for j in range(len(self.languages))]
+        spread = np.sqrt(np.maximum(square - entropy**2, 1e-6))
+        if not right.any():
+            return
+        away = np.concatenate([entropy[m, j] - entropy[m, j].mean() for j, m in enumerate(mine) if m.any()])
+        at = np.flatnonzero(right), column[right]
+        for j, m in enumerate(mine):  # a language without right documents has the figures of all
+            values = (entropy[m, j], spread[m, j]) if m.any() else (entropy[at], spread[at])
+            deviation = entropy[m, j].std() if m.sum() >= ENOUGH else away.std() if m.any() else entropy[at].std()
+            self.usual[j] = values[0].mean(), deviation, values[1].mean()
+        z = self._z(entropy[right], counts[right], column[right])
+        for j, m in enumerate(mine):
+            known = z[column[right] == j] if m.sum() >= ENOUGH else z
+            self.limit[j] = max(LEAST_Z, OVER * float(np.quantile(known, QUANTILE)))
+        lead = entropy[ok].min(1, keepdims=True) - entropy[ok]
+        scores = []
+        for sharp in (5.0, 10.0, 20.0, 40.0):
+            p = np.exp(sharp * lead)
+            p /= p.sum(1, keepdims=True)
+            scores.append((np.log(np.maximum(p[np.arange(len(p)), column[ok]], 1e-9)).mean(), sharp))
+        self.sharpness = max(scores)[1]
 
     def _z(self, entropy: np.ndarray, counts: np.ndarray, column: np.ndarray) -> np.ndarray:
         usual, deviation, spread = self.usual[column].T
@@ -240,23 +258,31 @@ class Identifier:
         weights = np.exp(-self.sharpness * (entropy - entropy.min(1, keepdims=True)))
         score = weights.max(1) / weights.sum(1)
         none = counts == 0
-        rejected = none | (self._z(entropy, counts, best) > self.limit)
+        rejected = none | (self._z(entropy, counts, best) > self.limit[best])
         return [UNKNOWN if n else self.languages[b] for n, b in zip(none.tolist(), best.tolist(), strict=True)], np.where(none, 0.0, score), rejected
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Identifier:
-    """Train on rows (key, text, lang); ``key`` is any id that deals the sample, nulls are left out."""
+def sampled(labelled: DataFrame, sample: int = SAMPLE, total: int = ALL_SAMPLE, size: int = SAMPLE_BYTES) -> DataFrame:
+    """lang, text and calibrates of the documents to learn from.
+
+    The order within a language is by a hash of ``key``; texts beyond the language's
+    share of ``size`` come last.  Rows with a null are left out.
+    """
     usable = labelled.where("lang is not null and text is not null and key is not null")
     deal = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Identifier({})
-    near = F.lit(False)
-    for lang, count in sizes:
-        near = near | ((F.col("lang") == lang) & (F.col("deal") < int(min(1.0, (1.3 * sample + 60) / count) * (1 << 30))))
-    few = usable.withColumn("deal", deal).where(near)
-    few = few.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("deal", "key", "text"))).where(F.col("place") <= sample)
-    chosen = few.withColumn("calibrates", F.col("place") % 5 == 0).select("lang", "text", "calibrates").toPandas()
+    sizes = stored(usable.groupBy("lang").count())
+    many = max(1, sizes.count())
+    each, room = max(10, min(sample, total // many)), size // many
+    share = F.least(F.lit(1.0), F.lit(1.3 * each + 60) / F.col("count")) * (1 << 30)
+    near = usable.join(maybe_broadcast(sizes, 100), "lang").withColumn("deal", deal).where(F.col("deal") < share)
+    order = W.partitionBy("lang").orderBy(F.octet_length("text") > room, "deal", "key", "text")
+    near = near.select("lang", "text", F.row_number().over(order).alias("place"), F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("bytes"))
+    return near.where((F.col("place") <= each) & ((F.col("bytes") <= room) | (F.col("place") == 1))).select("lang", "text", (F.col("place") % 5 == 0).alias("calibrates"))
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Identifier:
+    """Train on rows (key, text, lang); ``key`` is any id that deals the sample, nulls are left out."""
+    chosen = sampled(labelled, sample).toPandas()
     models, rest = {}, chosen[chosen["calibrates"]]
     learn = chosen[~chosen["calibrates"]]
     for lang, texts in learn.groupby("lang")["text"]:
@@ -271,7 +297,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Identifier:
 
 def _judged(docs: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
     """kept_0, kept_1, ... (the columns ``keep``), lang_pred, score and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     frame = docs.select("text", *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     schema = "".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     names = [f"kept_{i}" for i in range(len(keep))] + ["lang_pred", "score", "rejected"]

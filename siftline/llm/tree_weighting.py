@@ -9,11 +9,14 @@ depths along the path of each byte's context, from the deepest node that trainin
 saw.
 
 No table of all nodes is ever held in one place.  Documents are dealt to chunks, and
-a chunk asks for each distinct gram of its texts once, with its count in training
-texts; grams are dealt by their two most recent context bytes, so that whole
-subtrees lie in one part.  A first pass over the parts adds up what contexts of one
-and no byte need, at most 255 * 257 nodes; a second weights each part's subtrees
-again, answers its grams from all nodes, and the answers join the chunk's texts.
+a chunk asks for each distinct gram and word of its texts once, with its count in
+training texts.  The asked keys are summed over all chunks by a hash of the whole
+key, so that what is frequent is a row for each chunk at most.  The distinct grams
+are then dealt by their two most recent context bytes, so that whole subtrees lie in
+one part.  A first pass over these parts adds up what contexts of one and no byte
+need, at most 255 * 257 nodes; a second weights each part's subtrees again and gives
+every gram its probability, and the answers join the chunks that asked and their
+texts.
 """
 
 from __future__ import annotations
@@ -23,23 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .tables import stored
+from .tables import row_key, stored
 
 U = np.uint64
 DEPTH = 5
-#: Text whose distinct grams are asked for together, and text for each part of the grams.
+#: Text whose distinct grams and words are asked for together, and text for each part of them.
 CHUNK_BYTES = 16 << 20
 PART_BYTES = 8 << 20
 #: Grams whose subtrees are weighted at once, unless one pair of context bytes has more.
 BLOCK_GRAMS = 100_000
-#: Groups of the shuffle that counts words, by input words.
-WORDS_A_PART = 1_500_000
-#: Documents whose sums one group adds up.
-DOCS_A_GROUP = 20_000
 _LN10 = math.log(10.0)
 
 
@@ -72,7 +72,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     since = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     for back in range(1, DEPTH + 1):
         prior = np.zeros(n, U)
-        prior[back:] = data[: n - back]
+        prior[back:] = data[: max(0, n - back)]
         prior[since < back] = 0
         out |= prior << U(8 * back)
     return out
@@ -83,53 +83,93 @@ def _near(gram: np.ndarray) -> np.ndarray:
     return (gram >> U(8)) & U(65535)
 
 
-def _pack(gram: np.ndarray) -> bytes:
-    return np.ascontiguousarray(gram.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].tobytes()
+#: Kinds of asked keys, and the bytes of one.
+GRAM, WORD = 0, 1
+WIDTH = {GRAM: DEPTH + 1, WORD: 8}
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // (DEPTH + 1), 8), np.uint8)
-    out[:, : DEPTH + 1] = np.frombuffer(blob, np.uint8).reshape(-1, DEPTH + 1)
+def _pack(key: np.ndarray, kind: int) -> bytes:
+    return np.ascontiguousarray(key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : WIDTH[kind]].tobytes()
+
+
+def _unpack(column: pa.ChunkedArray, kind: int) -> np.ndarray:
+    """The keys of all rows' blobs, one after the other."""
+    raw = b"".join(x.as_py() for x in column)
+    out = np.zeros((len(raw) // WIDTH[kind], 8), np.uint8)
+    out[:, : WIDTH[kind]] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH[kind])
     return out.view("<u8").reshape(-1)
 
 
+def _numbers(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind)
+
+
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     keys, inverse = np.unique(key, return_inverse=True)
     return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
 
 
-def asked_grams(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, chunk, grams, n): the distinct grams of each chunk's texts by part, packed, and their counts in training texts.
+def _groups(group: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """Each group and its values, in the order of groups."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(group[lo]), *(v[order[lo:hi]] for v in values)
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((A.mix(key) >> U(32)) * U(parts)) >> U(32)
+
+
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+
+def asked_keys(texts: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, chunk, keys, n): the distinct grams and words of each chunk's texts by part, packed, and their counts in training texts.
 
     ``texts`` has chunk, held_out and text.
     """
 
     def run(table: pa.Table) -> pa.Table:
         A.release()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        merged = lambda: _summed(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+
+        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
+            return _summed(*(np.concatenate([h[i] for h in held[kind]]) for i in range(2)))
+
         for batch in table.select(["held_out", "text"]).to_batches():
             for part in A.slices(batch, most=1 << 20):
-                data, offsets, _ = normalised(*A.utf8(part.column(1)))
+                data, offsets, (words, owner, _) = normalised(*A.utf8(part.column(1)))
                 learns = ~part.column(0).to_numpy(zero_copy_only=False).astype(bool)
-                for side in (True, False):
-                    mine = np.repeat(learns == side, np.diff(offsets))
-                    gram, times = np.unique(grams(data, offsets)[mine], return_counts=True)
-                    held.append((gram, times if side else np.zeros(len(gram), np.int64)))
-                if sum(len(h[0]) for h in held) > 2_000_000:
-                    held = [merged()]
-        gram, n = merged()
-        group = ((A.mix(_near(gram)) >> U(44)) * U(parts)) >> U(20)
-        order = np.argsort(group, kind="stable")
-        group, gram, n = group[order], gram[order], n[order]
-        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        chunk = table["chunk"][0].as_py()
-        out = [(int(group[lo]), chunk, _pack(gram[lo:hi]), n[lo:hi].astype("<u4").tobytes()) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["part", "chunk", "grams", "n"])
-
-    return texts.groupBy("chunk").applyInArrow(run, "part long, chunk long, grams binary, n binary")
+                for kind, keys, row in ((GRAM, grams(data, offsets), np.repeat(np.arange(len(learns)), np.diff(offsets))), (WORD, words, owner)):
+                    held[kind].append(_summed(keys, learns[row].astype(np.int64)))
+                    if sum(len(h[0]) for h in held[kind]) > 2_000_000:
+                        held[kind] = [merged(kind)]
+        chunk, out = table["chunk"][0].as_py(), []
+        for kind in (GRAM, WORD):
+            key, n = merged(kind)
+            out += [(kind, part, chunk, _pack(k, kind), m.astype("<u4").tobytes()) for part, k, m in _groups(_part(key, parts), key, n)]
+        return _table(out, kind=pa.int64(), part=pa.int64(), chunk=pa.int64(), keys=pa.binary(), n=pa.binary())
+
+    return texts.groupBy("chunk").applyInArrow(run, "kind long, part long, chunk long, keys binary, n binary")
+
+
+def counted_keys(asked: DataFrame, parts: int) -> DataFrame:
+    """(kind, part, keys, n, total, seen): all distinct keys with their counts in training texts, grams dealt by their two latest
+    context bytes; the sum of the row's counts, and how many are not 0."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        A.release()
+        kind = key[0].as_py()
+        keys, n = _summed(_unpack(table["keys"], kind), _numbers(table["n"], "<u4"))
+        part = _part(_near(keys), parts) if kind == GRAM else np.full(len(keys), key[1].as_py())
+        rows = [(kind, p, _pack(k, kind), m.astype("<i8").tobytes(), int(m.sum()), int((m > 0).sum())) for p, k, m in _groups(part, keys, n)]
+        return _table(rows, kind=pa.int64(), part=pa.int64(), keys=pa.binary(), n=pa.binary(), total=pa.int64(), seen=pa.int64())
+
+    return asked.select("kind", "part", "keys", "n").groupBy("kind", "part").applyInArrow(run, "kind long, part long, keys binary, n binary, total long, seen long")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -201,8 +241,8 @@ def subtrees(gram: np.ndarray, n: np.ndarray) -> tuple[list[Nodes], np.ndarray,
 
 def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """A part's distinct grams, ascending, and their training counts, in blocks of whole pairs of context bytes."""
-    gram, n = _summed(np.concatenate([_unpack(x.as_py()) for x in table["grams"]]), np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["n"]]))
-    order = np.argsort(_near(gram), kind="stable")
+    gram, n = _unpack(table["keys"], GRAM), _numbers(table["n"], "<i8")
+    order = np.lexsort((gram, _near(gram)))
     near = _near(gram[order])
     cuts = [*np.flatnonzero(np.r_[True, near[1:] != near[:-1]]).tolist(), len(near)]
     start = 0
@@ -212,7 +252,7 @@ def _blocks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             start = cut
 
 
-def shallow(asked: DataFrame) -> list[Nodes]:
+def shallow(counted: DataFrame) -> list[Nodes]:
     """Nodes of one and no context byte, at most 255 * 257, from sums of the rest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -227,7 +267,7 @@ def shallow(asked: DataFrame) -> list[Nodes]:
         kind = np.repeat([0, 1], [len(columns[0]), len(columns[2])])
         return pa.table({"kind": kind.astype(np.int64), "node": np.concatenate([columns[0], columns[2]]).astype(np.int64), "value": np.concatenate([columns[1], columns[3]]).astype(float)})
 
-    rows = asked.select("part", "grams", "n").groupBy("part").applyInArrow(run, "kind long, node long, value double")
+    rows = counted.where(F.col("kind") == GRAM).select("part", "keys", "n").groupBy("part").applyInArrow(run, "kind long, node long, value double")
     both = rows.groupBy("kind", "node").agg(F.sum("value").alias("value")).orderBy("kind", "node").toPandas()
     (gram, n), sums = ((x["node"].to_numpy(np.int64).view(U), x["value"].to_numpy()) for x in (both[both["kind"] == k] for k in (0, 1)))
     out = []
@@ -262,152 +302,88 @@ def log10_probs(gram: np.ndarray, tables: list[Nodes]) -> np.ndarray:
     return out
 
 
-def answers(asked: DataFrame, top: list[Nodes]) -> DataFrame:
-    """(chunk, grams, logs): each chunk's packed grams with their log10 probabilities, one row for each part."""
-    shared = asked.sparkSession.sparkContext.broadcast(top)  # at most 255 * 257 nodes
+def answers(asked: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    """(kind, chunk, keys, values): what each chunk asked for, grams with their log10 probabilities and words with their counts."""
+    shared = asked.sparkSession.sparkContext.broadcast(shallow(counted))  # at most 255 * 257 nodes
+    schema = "kind long, part long, keys binary, values binary"
+    kinds = {"kind": pa.int64(), "part": pa.int64(), "keys": pa.binary(), "values": pa.binary()}
 
-    def run(table: pa.Table) -> pa.Table:
+    def weigh(key: tuple, table: pa.Table) -> pa.Table:
         A.release()
-        keys, values = [], []
+        if key[0].as_py() == WORD:
+            return pa.table([table["kind"], table["part"], table["keys"], pa.array([x.as_py() for x in table["n"]], pa.binary())], names=list(kinds))
+        rows = []
         for gram, n in _blocks(table):
             seen = n > 0
-            keys.append(gram)
-            values.append(log10_probs(gram, [*subtrees(gram[seen], n[seen])[0], *shared.value]).astype(np.float32))
-        key, value = np.concatenate(keys), np.concatenate(values)
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        logs = [value[np.searchsorted(key, _unpack(x.as_py()))].tobytes() for x in table["grams"]]
-        return pa.table({"chunk": table["chunk"], "grams": table["grams"], "logs": pa.array(logs, pa.binary())})
+            logs = log10_probs(gram, [*subtrees(gram[seen], n[seen])[0], *shared.value]).astype("<f4")
+            rows += [(GRAM, p, _pack(g, GRAM), x.tobytes()) for p, g, x in _groups(_part(gram, parts), gram, logs)]
+        return _table(rows, **kinds)
 
-    return asked.groupBy("part").applyInArrow(run, "chunk long, grams binary, logs binary")
+    def look_up(key: tuple, asking: pa.Table, known: pa.Table) -> pa.Table:
+        A.release()
+        kind = key[0].as_py()
+        keys, values = _unpack(known["keys"], kind), _numbers(known["values"], "<f4" if kind == GRAM else "<i8")
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out = [values[np.searchsorted(keys, _unpack(asking["keys"].slice(i, 1), kind))].tobytes() for i in range(len(asking))]
+        return pa.table({"kind": asking["kind"], "chunk": asking["chunk"], "keys": asking["keys"], "values": pa.array(out, pa.binary())})
+
+    valued = counted.select("kind", "part", "keys", "n").groupBy("kind", "part").applyInArrow(weigh, schema)
+    by = asked.select("kind", "part", "chunk", "keys").groupBy("kind", "part")
+    return by.cogroup(valued.groupBy("kind", "part")).applyInArrow(look_up, "kind long, chunk long, keys binary, values binary")
 
 
 def code_lengths(docs: DataFrame, answered: DataFrame) -> DataFrame:
-    """doc_id, held_out, key, n_words, n_bytes, score: the log10 probability of each row's normalised bytes and end."""
-    names = ["doc_id", "held_out", "key", "n_words", "n_bytes", "score"]
+    """doc_id, held_out, n_words, n_bytes, known, logs, score: of each row the words seen in training, the sum of
+    log10(count + 1) of its words, and the log10 probability of its normalised bytes and end."""
+    names = ["doc_id", "held_out", "n_words", "n_bytes", "known", "logs", "score"]
 
-    def run(known: pa.Table, table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, texts: pa.Table) -> pa.Table:
         A.release()
-        key = np.concatenate([_unpack(x.as_py()) for x in known["grams"]])
-        value = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in known["logs"]])
-        order = np.argsort(key)
-        key, value, out = key[order], value[order].astype(float), []
-        for batch in table.select(["doc_id", "held_out", "key", "text"]).to_batches():
+        known = {}
+        for kind, number in ((GRAM, "<f4"), (WORD, "<i8")):
+            mine = table.filter(pc.equal(table["kind"], kind))
+            keys, values = _unpack(mine["keys"], kind), _numbers(mine["values"], number)
+            order = np.argsort(keys)
+            known[kind] = keys[order], values[order]
+        find = lambda kind, key: known[kind][1][np.searchsorted(known[kind][0], key)].astype(float)
+        out = []
+        for batch in texts.select(["doc_id", "held_out", "text"]).to_batches():
             for part in A.slices(batch, most=1 << 20):
-                data, offsets, (_, _, counts) = normalised(*A.utf8(part.column(3)))
-                logs, sizes = value[np.searchsorted(key, grams(data, offsets))], np.diff(offsets)
-                score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
-                out.append(pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts.astype(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(score)], names=names))
+                data, offsets, (words, owner, counts) = normalised(*A.utf8(part.column(2)))
+                sizes, rows = np.diff(offsets), part.num_rows
+                score = np.bincount(np.repeat(np.arange(rows), sizes), find(GRAM, grams(data, offsets)), rows)
+                c = find(WORD, words)
+                seen, logs = np.bincount(owner, c > 0, rows).astype(np.int64), np.bincount(owner, np.log10(c + 1), rows).astype(float)
+                out.append(pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, (counts.astype(np.int64), sizes.astype(np.int64), seen, logs, score))], names=names))
         return pa.Table.from_batches(out)
 
-    texts = docs.select("doc_id", "held_out", "key", "text", "chunk")
-    return answered.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, key long, n_words long, n_bytes long, score double")
-
-
-def word_scores(docs: DataFrame, parts: int, doc_groups: int) -> tuple[DataFrame, DataFrame]:
-    """Per row key the sums over its words, and per group of words what they add to the totals.
-
-    ``docs`` has key, held_out and text.  One shuffle by word hash, packed: a row is
-    a group's words of one slice of texts.  A second one brings the sums back, packed
-    by groups of documents.  First result: key, known (words seen in
-    training) and logs (sum of log10(c + 1)); second: total and distinct training
-    words of each group.
-    """
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in A.slices(batch):
-                data, offsets = A.utf8(part.column(2))
-                data = A.LOWER[data]
-                starts, ends, counts = A.words(data, offsets)
-                if not len(starts):
-                    continue
-                h, owner = A.word_hashes(data, starts, ends), np.repeat(np.arange(len(counts)), counts)
-                order = np.lexsort((owner, h))
-                h, owner = h[order], owner[order]
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-                h, owner, times = h[new], owner[new], np.diff(np.r_[new, len(h)])
-                group = ((h >> U(44)) * U(parts)) >> U(20)
-                order = np.lexsort((owner, group))
-                group, h, owner, times = group[order], h[order], owner[order], times[order]
-                keys = part.column(0).to_numpy().view(U)
-                learns = ~part.column(1).to_numpy(zero_copy_only=False)
-                cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-                rows = []
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    who, count = np.unique(owner[lo:hi], return_counts=True)
-                    head = np.concatenate([keys[who], (learns[who].astype(U) << U(32)) | count.astype(U)])
-                    rows.append((int(group[lo]), head.tobytes(), A.pack5(h[lo:hi]), times[lo:hi].astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(4)], names=["part", "head", "words", "times"])
-        A.release()
-
-    def count(table: pa.Table) -> pa.Table:
-        A.release()
-        keys, counts, learns = [], [], []
-        for blob in table["head"]:
-            head = np.frombuffer(blob.as_py(), U)
-            half = len(head) // 2
-            keys.append(head[:half])
-            counts.append((head[half:] & U(0xFFFFFFFF)).astype(np.int64))
-            learns.append(head[half:] >> U(32) > 0)
-        rows, counts, learns = np.concatenate(keys), np.concatenate(counts), np.concatenate(learns)
-        word = np.concatenate([A.unpack5(x.as_py()) for x in table["words"]])
-        times = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["times"]]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), counts)
-        kinds, inverse = np.unique(word, return_inverse=True)
-        seen = np.bincount(inverse, times * learns[owner], len(kinds))
-        c = seen[inverse]
-        # A row may have several slices' worth of entries only if its key repeats; those add up alike.
-        logs = np.bincount(owner, times * np.log10(c + 1), len(rows))
-        known = np.bincount(owner, times * (c > 0), len(rows)).astype(np.int64)
-        total, distinct = int(seen.sum()), int((seen > 0).sum())
-        # One packed row for each group of documents, not one for each document and group of words.
-        group = (A.mix(rows) >> U(40)).astype(np.int64) % doc_groups
-        order = np.argsort(group, kind="stable")
-        group, rows, known, logs = group[order], rows[order], known[order], logs[order]
-        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        out = [(int(group[lo]), rows[lo:hi].tobytes(), known[lo:hi].tobytes(), logs[lo:hi].tobytes(), 0, 0) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        out.append((-1, b"", b"", b"", total, distinct))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["grp", "keys", "known", "logs", "total", "distinct"])
-
-    def add(table: pa.Table) -> pa.Table:
-        key, known, logs = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[c]]) for c, kind in (("keys", U), ("known", np.int64), ("logs", np.float64)))
-        order = np.lexsort((logs, key))  # a fixed order of adding
-        keys, inverse = np.unique(key[order], return_inverse=True)
-        return pa.table({"key": keys.view(np.int64), "known": np.bincount(inverse, known[order], len(keys)).astype(np.int64), "logs": np.bincount(inverse, logs[order], len(keys))})
-
-    dealt = docs.select("key", "held_out", "text").mapInArrow(deal, "part long, head binary, words binary, times binary")
-    out = stored(dealt.groupBy("part").applyInArrow(count, "grp long, keys binary, known binary, logs binary, total long, distinct long"))
-    return out.where("grp >= 0").groupBy("grp").applyInArrow(add, "key long, known long, logs double"), out.where("grp = -1")
+    by = docs.select("doc_id", "held_out", "text", "chunk").groupBy("chunk")
+    return answered.groupBy("chunk").cogroup(by).applyInArrow(run, "doc_id long, held_out boolean, n_words long, n_bytes long, known long, logs double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; one row per row.
 
     ``docs`` needs doc_id, text and held_out; rows with held_out false are learned
-    from.  A null or empty text is its end token alone.  Rows with equal doc_id and
-    text count each in training and get equal results.  Without training rows all
-    words are unknown and the model is uniform.  An empty table gives no rows.
+    from, those with null count as held out.  A null or empty text is its end token
+    alone.  Repeated rows count each in training and get equal results; those with
+    equal doc_id and text share a chunk.  Without training rows all words are unknown
+    and the model is uniform.  An empty table gives no rows.
     """
-    row = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
-    keyed = docs.select(F.col("doc_id").cast("long"), "held_out", row.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("held_out", F.lit(True)).alias("held_out"), row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    size = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     dealt = keyed.withColumn("chunk", F.pmod("key", F.lit(1 + size // CHUNK_BYTES)))
-    asked = stored(asked_grams(dealt.select("chunk", "held_out", "text"), 1 + size // PART_BYTES))
-    lengths = stored(code_lengths(dealt, answers(asked, shallow(asked))))
-    facts = lengths.agg(F.sum("n_words").alias("words"), F.count("*").alias("docs"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
-    sums, totals = word_scores(keyed, max(1, -(-(facts.words or 0) // WORDS_A_PART)), max(1, -(-facts.docs // DOCS_A_GROUP)))
-    # Repeated rows were counted once for each; give each its own share back.
-    copies = lengths.groupBy("key").agg(F.count("*").alias("copies"))
-    whole = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct")).first()
-    ends = facts.ends
-    n, v = whole.total + ends, whole.distinct + (1 if ends else 0)
-    joined = lengths.join(sums, "key", "left").join(copies, "key")
-    known = (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long") + (1 if ends else 0)
+    parts = 1 + size // PART_BYTES
+    asked = stored(asked_keys(dealt.select("chunk", "held_out", "text"), parts))
+    counted = stored(counted_keys(asked, parts))
+    lengths = stored(code_lengths(dealt, answers(asked, counted, parts)))
+    ends = lengths.where("not held_out").count()
+    words = counted.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("seen"), F.lit(0)).alias("seen")).first()
+    n, v = words.total + ends, words.seen + (1 if ends else 0)
     tokens = F.col("n_words") + 1
-    base = F.coalesce("logs", F.lit(0.0)) / F.col("copies") + math.log10(ends + 1) - tokens * math.log10(n + v + 1)
-    return joined.select(
-        "doc_id", "held_out", tokens.alias("n_tokens"), known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+    return lengths.select(
+        "doc_id", "held_out", tokens.alias("n_tokens"), (F.col("known") + (1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + math.log10(ends + 1) - tokens * math.log10(n + v + 1)).alias("base_score"), "score",
         (-F.col("score") * (_LN10 / math.log(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -261,6 +261,75 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert any(blocks.values())
 
 
+def plain_kneser_ney(texts, order=language_id.ORDER):
+    """P(character | up to three before) of interpolated Kneser-Ney, from dictionaries."""
+    rows = [re.sub("[^a-z]+", " ", f" {t.lower()} ") for t in texts]
+    counts = {order: Counter((" " * order + r)[i + 1 : i + 1 + order] for r in rows for i in range(len(r)))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    size = len(counts[1]) + 1
+    total, kinds, discount = {}, {}, {}
+    for n in range(1, order + 1):
+        total[n], kinds[n] = Counter(), Counter()
+        for g, c in counts[n].items():
+            total[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+        ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / size
+        under, all_ = p(gram[1:]), total[n].get(gram[:-1], 0)
+        if not all_:
+            return under
+        return max(counts[n].get(gram, 0) - discount[n], 0) / all_ + discount[n] * kinds[n][gram[:-1]] / all_ * under
+
+    return p
+
+
+def test_language_model_is_kneser_ney():
+    rng = random.Random(3)
+    learn = [" ".join(rng.choice(["the", "then", "hen", "a", "other", "sheen"]) for _ in range(30)) for _ in range(20)]
+    model, p = language_id.train(learn), plain_kneser_ney(learn)
+    for text in ("the then", "zebra the", "q", "othering hens, a sheet!"):
+        codes, rows = language_id.characters([text])
+        keys = language_id.grams(codes, rows)
+        got = language_id.log_probs(model, keys, language_id.contexts(keys, rows))
+        low = re.sub("[^a-z]+", " ", f" {text} ")
+        want = [math.log(p((" " * language_id.ORDER + low)[i + 1 : i + 1 + language_id.ORDER])) for i in range(len(low))]
+        assert got.tolist() == pytest.approx(want, rel=1e-9)
+
+
+def test_language_id_rejects_foreign_text_despite_wrong_labels(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 100").select("doc_id", "text", "lang")
+    wrong = table.withColumn("lang", F.when(F.col("doc_id") % 25 == 0, F.lit("de")).otherwise(F.col("lang"))).withColumnRenamed("doc_id", "key")
+    greek = ["αβγδ εζηθ ικλμ νξοπ ρστυ " * 8, "хорошо говорить по русски " * 8, "qzxv jkwq xzzq vvkj " * 10]
+    few = frame(spark, ["ulla mopo tikki sun " * 20] * 3).select(F.col("doc_id").alias("key"), "text", F.lit("xx").alias("lang"))
+    model = language_id.fit(wrong.unionByName(few))
+    assert set(model.languages) >= {"de", "en", "xx"}
+    assert all(r.rejected for r in language_id.identify(frame(spark, greek), model).collect())
+    kept = language_id.accepted(table, model).count()
+    assert kept >= 0.99 * table.count()
+    assert {r.lang_pred for r in language_id.identify(frame(spark, ["tikki sun ulla mopo " * 9]), model).collect()} == {"xx"}
+
+
+def test_language_id_models_every_language(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12)] for i in range(40)}
+    rows = [(i, " ".join(rng.choices(w, k=60)), name) for i, (name, w) in enumerate((n, w) for n, w in words.items() for _ in range(12))]
+    table = spark.createDataFrame(rows, "key long, text string, lang string")
+    answers = []
+    for shared in (1 << 25, 10):  # with the shared array, and each language looked up alone
+        monkeypatch.setattr(language_id, "SHARED", shared)
+        model = language_id.fit(table)
+        answers.append([(r.lang_pred, round(r.score, 6)) for r in language_id.identify(table, model, ["key"]).orderBy("key").collect()])
+    assert answers[0] == answers[1]
+    assert [a[0] for a in answers[0]] == [r[2] for r in rows]
+    assert language_id.sampled(table.withColumn("text", F.expr("repeat(text, 10)")), size=40 * 9000).groupBy("lang").count().agg(F.max("count")).first()[0] <= 3
+
+
 def test_tree_weighting(spark, docs):
     texts = corpus()
     held = {i: i % 5 == 2 for i in range(len(texts))}
@@ -362,6 +431,21 @@ def test_tree_keeps_every_node(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == pytest.approx(exact_tree_scores(texts, held), rel=1e-6)
 
 
+def test_tree_on_short_texts(spark):
+    """Texts of 0 to 6 bytes, each a partition of its own, and a null held_out, which is not learned from."""
+    texts = ["", "a", "ab", "a b", "abc", "a  bc", "abcdef", None]
+    table = frame(spark, texts).repartition(len(texts), "doc_id").withColumn("held_out", F.when(F.col("doc_id") != 4, F.col("doc_id") == 2))
+    for one in [table] + [table.where(F.col("doc_id") == i) for i in (0, 3, 7)]:
+        rows = one.orderBy("doc_id").collect()
+        got = {r.doc_id: r for r in tree_weighting.score(one).collect()}
+        want = exact_tree_scores([texts[r.doc_id] for r in rows], [r.held_out is not False for r in rows])
+        assert [got[r.doc_id].score for r in rows] == pytest.approx(want, rel=1e-6)
+        words = Counter(w for r in rows if r.held_out is False for w in (texts[r.doc_id] or "").split())
+        for r in rows:
+            assert got[r.doc_id].n_known == sum(w in words for w in (texts[r.doc_id] or "").split()) + any(r.held_out is False for r in rows)
+            assert got[r.doc_id].train_tokens == sum(words.values()) + sum(r.held_out is False for r in rows)
+
+
 def test_line_dedup_edges(spark):
     line = "x" * 40
     texts = [f"{line}\nonly {i}" for i in range(4)] + [f" {line.upper()}\t\n{line}"] + ["x" * 39] * 6 + ["", None]
