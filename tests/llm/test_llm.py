@@ -240,6 +240,85 @@ def test_url_reputation_shrinks(spark):
     assert got["bad.other.io"].mean < 0.1
 
 
+def beta_below(a, b, x, steps=20_000):
+    """P(Beta(a, b) < x) by the midpoint rule over the logit."""
+    grid = np.linspace(-40, math.log(x / (1 - x)), steps + 1)
+    mid = (grid[1:] + grid[:-1]) / 2
+    log_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    return float(np.exp(a * -np.log1p(np.exp(-mid)) + b * -np.log1p(np.exp(mid)) - log_beta).sum() * (grid[1] - grid[0]))
+
+
+def test_beta_quantile():
+    a, b = np.array([1.5, 40.0, 0.8, 3000.0, 7.0, 15_000.0]), np.array([3.0, 2.0, 9.0, 1000.0, 7.0, 6000.0])
+    got = url_reputation._lower_quantile(a, b, 0.05)
+    assert [beta_below(x, y, q) for x, y, q in zip(a, b, got, strict=True)] == pytest.approx([0.05] * 6, rel=0.02)
+
+
+def plain_reputations(rows):
+    """host: (rows, mean, bound over 0.5), from (host, bad), one level after the other."""
+    counts = defaultdict(lambda: [0, 0])
+    for host, bad in rows:
+        counts[host][0] += bad is not None
+        counts[host][1] += bool(bad)
+
+    def place(host):
+        name = re.sub(r":\d*$", "", host.split("@")[-1]).rstrip(".")
+        if re.fullmatch("[0-9.]+", name):
+            return ("", name, host)
+        parts = name.split(".")
+        long = 2 if ".".join(parts[-2:]) in url_reputation.LONG_SUFFIXES else 1
+        return (".".join(parts[-long:]), ".".join(parts[-long - 1 :]), host)
+
+    mean = {(): (sum(k for _, k in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 1)}
+    for depth in (1, 2, 3):
+        level = defaultdict(lambda: [0, 0])
+        for host, (n, k) in counts.items():
+            level[place(host)[:depth]][0] += n
+            level[place(host)[:depth]][1] += k
+        over = pairs = 0.0
+        for key, (n, k) in level.items():
+            m = mean[key[:-1]]
+            over += (k - n * m) ** 2 - n * m * (1 - m)
+            pairs += n * (n - 1) * m * (1 - m)
+        weight = 1000.0 if not pairs or over <= 0 else min(1000.0, max(1.0, pairs / over - 1))
+        mean |= {key: (k + mean[key[:-1]] * weight) / (n + weight) for key, (n, k) in level.items()}
+    out = {}
+    for host, (n, _) in counts.items():
+        m = mean[place(host)]
+        out[host] = n, m, beta_below(m * (n + weight), (1 - m) * (n + weight), 0.5) < 0.05
+    return out
+
+
+def test_url_verdicts_on_all_pages(spark):
+    """The method blocks and keeps, row by row as a plain version does."""
+    larger = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{larger}/pages.parquet")
+    got = queries.op4_url_reputation(spark, larger).join(pages, "page_id").collect()
+    noise = lambda t: sum(t.count(c) for c in "#*$%&|!") / len(t) >= url_reputation.NOISE if t else False
+    visible = lambda h: re.sub(r"\s", "", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", h or ""))
+    words = re.compile(r"(?:^|[^a-z0-9])(?:" + "|".join(url_reputation.SPAM_WORDS) + ")(?:[^a-z0-9]|$)")
+    bad = [(r.host, bool(words.search(r.host + r.path.translate(LOWER))) or noise(visible(r.html))) for r in got]
+    plain = plain_reputations(bad)
+    assert len(got) == pages.count()
+    for r in got:
+        assert r.bad_mean == pytest.approx(plain[r.host][1], rel=1e-6)
+        if r.rule is None:
+            assert r.verdict == ("block" if plain[r.host][2] else "allow"), r.host
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_url_edges(spark):
+    odd = ["http://user@Casino-win.co.uk:80/x", "http://a.b.co.uk./", "http://10.0.0.1:8080/", "http://10.0.0.1/", None, "nothing", "http:///p", "://x y/", "http://" + "long." * 5000 + "com/"]
+    rows = [(None if i % 3 == 0 else i, u, None if i % 2 else "<p>text</p>", "k", "h") for i, u in enumerate(odd * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string")
+    got = url_reputation.judge(pages).collect()
+    assert len(got) == len(rows)
+    plain = plain_reputations([(r.host, "casino" in r.host) for r in got])
+    for r in got:
+        assert r.bad_mean == pytest.approx(plain[r.host][1], rel=1e-6), r.host
+    assert url_reputation.judge(pages.limit(0)).count() == 0
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "One two, three"), (10, " ".join(f"k{i}" for i in range(12))), (2, "!!"), (None, "zz"), (3, None)], "item_id long, text string")
     texts = ["x ONE-two three y one two three", " ".join(f"K{i}" for i in range(11)), " ".join(f"k{i}" for i in range(9)), None, "", "one two"]
