@@ -39,8 +39,8 @@ from . import arrays as A
 
 END = "</w>"
 #: Text that is worked on at once, and places (pre-tokens times window) that the transducer holds at once.
-BLOCK_BYTES = 8 << 20
-PLACES = 3 << 20
+BLOCK_BYTES = 3 << 20
+PLACES = 1 << 20
 #: Slots, as a power of two, of the table of neighbours.
 SLOTS = 19
 
@@ -502,6 +502,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
             for part in A.slices(batch, most=BLOCK_BYTES):
                 rows = encoder.texts(part.column(1), with_ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=names)
+            A.release()
         encoder = None  # idle workers keep no tables
         A.release()
 
