@@ -12,8 +12,15 @@ from siftline.llm import bpe, decontamination, jaccard_join, language_id, line_d
 from siftline.llm.tables import read, stored
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in small batches, as documents can be long and idle workers of earlier stages stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language model accepts, or without letters, go."""
+    _small_batches(spark)
     model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
     return language_id.accepted(docs, model)
 
@@ -26,6 +33,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
+    _small_batches(spark)
     return jaccard_join.representatives(docs)
 
 
@@ -36,6 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
+    _small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
