@@ -20,13 +20,18 @@ CHANGES = (
 MAX_DELETION_SPAN = 30
 
 
+def _trimmed(raw: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+
+
 def _compact(raw: Column) -> Column:
     return F.upper(F.regexp_replace(raw, r"\s+", ""))
 
 
 def normalize_allele(raw: Column) -> Column:
     """``HLA-A*02:01`` from any accepted spelling, two fields; null otherwise."""
-    name = F.trim(raw)
+    name = _trimmed(raw)
     part = lambda i: F.regexp_extract(name, ALLELE, i)
     return F.when(name.rlike(ALLELE), F.concat(F.lit("HLA-"), F.upper(part(1)), F.lit("*"), part(2), F.lit(":"), part(3)))
 
@@ -51,18 +56,22 @@ def _one_allele(name: Column, alias: Column) -> Column:
     return F.when(name.rlike(SUFFIXED_ALLELE), F.concat(F.lit("HLA-"), gene, F.lit("*"), part(2), F.lit(":"), part(3), part(4))).otherwise(alias)
 
 
-def canonical_allele(raw: Column, alias: Column) -> Column:
+def allele_chains(raw: Column) -> Column:
+    """The chains that a name states: several alleles, or two halves without any; else the name itself; empty for an empty name."""
+    name = compact_name(raw)
+    tokens = F.regexp_extract_all(name, F.lit(ALLELE_TOKEN), F.lit(0))
+    halves = F.split(name, "-")
+    paired = ~name.contains("*") & name.contains("-") & ~((F.size(halves) == 2) & (halves[0] == "HLA"))
+    return F.when(name == "", F.array().cast("array<string>")).when(F.size(tokens) >= 2, tokens).when(paired, halves).otherwise(F.array(name))
+
+
+def canonical_allele(raw: Column, aliases: Column) -> Column:
     """One canonical name; several chains are sorted and joined by ``-``, null if any fails.
 
-    ``alias`` is what the alias table says about the compact upper-case name, or null.
+    ``aliases`` maps chains (compact, upper-case) to canonical names.
     """
-    name = F.replace(_compact(raw), F.lit("_"), F.lit("-"))
-    tokens = F.regexp_extract_all(name, F.lit(ALLELE_TOKEN), F.lit(0))
-    halves = F.split(name, "-")
-    several = F.when(F.size(tokens) >= 2, tokens).when(~name.contains("*") & name.contains("-") & ~((F.size(halves) == 2) & (halves[0] == "HLA")), halves)
-    read = F.transform(several, lambda t: _one_allele(t, F.lit(None).cast("string")))
-    joined = F.when(F.forall(read, lambda r: r.isNotNull()), F.array_join(F.array_sort(read), "-"))
-    return F.when(name == "", F.lit(None)).when(several.isNotNull(), joined).otherwise(_one_allele(name, alias))
+    read = F.transform(allele_chains(raw), lambda t: _one_allele(t, F.try_element_at(aliases, t)))
+    return F.when((F.size(read) > 0) & F.forall(read, lambda r: r.isNotNull()), F.array_join(F.array_sort(read), "-"))
 
 
 def compact_name(raw: Column) -> Column:
@@ -72,20 +81,21 @@ def compact_name(raw: Column) -> Column:
 
 def strip_version(name: Column) -> Column:
     """An identifier without its version suffix."""
-    return F.split(F.trim(name), r"\.")[0]
+    return F.split(_trimmed(name), r"\.")[0]
 
 
 def protein_change(text: Column) -> Column:
     """struct(kind, start, end, ref, alt) of a protein change, by the first pattern that fits; null if unreadable."""
-    text = F.trim(F.coalesce(text, F.lit("")))
+    text = _trimmed(F.coalesce(text, F.lit("")))
     out = F.lit(None)
     for kind, pattern in reversed(CHANGES):
         part = lambda i, p=pattern: F.regexp_extract(text, p, i)
-        start = part(2).cast("int")
-        end = part(4).cast("int") if kind == "deletion_range" else start
+        start = part(2).try_cast("int")
+        end = part(4).try_cast("int") if kind == "deletion_range" else start
         ref = F.lit("") if kind in ("deletion_range", "insertion") else part(1)
         alt = part(3) if kind == "missense" else part(5) if kind == "insertion" else F.lit("")
         found = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), ref.alias("ref"), alt.alias("alt"))
+        found = F.when(start.isNotNull(), found)  # a number beyond any protein is unreadable
         if kind == "deletion_range":
             found = F.when((end >= start) & (end - start <= MAX_DELETION_SPAN), found)
         out = F.when(text.rlike(pattern), found).otherwise(out)

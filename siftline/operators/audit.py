@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import canonical_allele, compact_name
+from ..functions.names import allele_chains, canonical_allele
 
 
 def leaked(benchmark: DataFrame, panels: DataFrame, held_out: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,9 +24,13 @@ def canonicalised(source: DataFrame, aliases: DataFrame, column: str) -> DataFra
 
     ``aliases`` has alias (upper-case) and canonical; the first by canonical wins.
     """
-    table = aliases.groupBy(F.col("alias").alias("_alias")).agg(F.min("canonical").alias("_canonical"))
-    joined = source.join(table, compact_name(F.col(column)) == F.col("_alias"), "left")
-    return joined.withColumn("canonical", canonical_allele(F.col(column), F.col("_canonical"))).drop("_alias", "_canonical")
+    table = aliases.groupBy(F.col("alias").alias("_chain")).agg(F.min("canonical").alias("_canonical"))
+    named = source.select(F.col(column).alias("_name")).where(F.col(column).isNotNull()).distinct()
+    chains = named.select("_name", F.explode(allele_chains(F.col("_name"))).alias("_chain")).distinct()
+    known = chains.join(table, "_chain").groupBy("_name").agg(F.map_from_entries(F.collect_list(F.struct("_chain", "_canonical"))).alias("_known"))
+    joined = source.join(known, F.col(column) == F.col("_name"), "left")
+    known = F.coalesce("_known", F.create_map().cast("map<string,string>"))
+    return joined.withColumn("canonical", canonical_allele(F.col(column), known)).drop("_name", "_known")
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -108,3 +108,18 @@ def recall_curve(pool: DataFrame) -> DataFrame:
     totals = pool.groupBy("method").agg(F.sum("label").alias("_p"), F.count("*").alias("_n"))
     depth = F.col("before") + F.col("n")
     return deep.join(F.broadcast(totals), "method").select("method", depth.cast("long").alias("depth"), (F.col("_found") + F.col("pos")).cast("long").alias("found"), (F.col("_p") * depth / F.col("_n")).alias("chance"))
+
+
+def coverage(labelled: DataFrame, ranking: DataFrame, by: str) -> DataFrame:
+    """Per group: usable labels, those that the ranking scores and leaves out, and positives; ``labelled`` has key and label."""
+    scored = ranking.where("score is not null").select("key", F.lit(1).alias("_scored")).distinct()
+    usable = labelled.where("label is not null").join(scored, "key", "left")
+    counts = usable.groupBy(by).agg(F.count("*").alias("usable"), F.count("_scored").alias("scored"), F.sum("label").cast("long").alias("positives"))
+    return counts.select(by, "usable", "scored", (F.col("usable") - F.col("scored")).alias("unscored"), "positives")
+
+
+def facets(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """One row for each column and distinct value of it, with its number of rows."""
+    pairs = ", ".join(f"'{c}', cast({c} as string)" for c in columns)
+    long = frame.select(F.expr(f"stack({len(columns)}, {pairs}) as (facet, value)"))
+    return long.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))

@@ -91,3 +91,11 @@ def consequence_class(terms: Column) -> Column:
     known = F.filter(F.split(terms, "&"), lambda t: t.isin(*CODING))
     classes = F.create_map(*[F.lit(x) for item in CODING.items() for x in item])
     return F.coalesce(F.try_element_at(classes, F.try_element_at(known, F.lit(1))), F.lit("other"))
+
+
+def failure_counts(frame: DataFrame) -> DataFrame:
+    """Variants by every drop reason, also those that none broke."""
+    every = F.explode(F.array(*[F.lit(r) for r in REASONS])).alias("reason")
+    names = frame.sparkSession.range(1).select(every)
+    counted = frame.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return names.join(counted, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))

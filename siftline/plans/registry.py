@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, residues
-from ..operators import audit, evaluation, learning, matching, scoring, statistics, variants
+from ..operators import audit, evaluation, learning, matching, peptides, ranking, scoring, statistics, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -611,3 +611,121 @@ def permutation_p(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.bootstrap_interval(pool_rows(spark, sf).where("method = 'length'"), 200)
+
+
+# --- peptides ----------------------------------------------------------------
+
+RESIDUES_16 = "ACDEFGHIKLMNPQRS"
+
+
+def part_proteins(spark: SparkSession, sf: str) -> DataFrame:
+    """A protein of 64 residues for each part."""
+    seq = F.translate(F.sha2(F.col("p_partkey").cast("string"), 256), "0123456789abcdef", RESIDUES_16)
+    key = F.col("p_partkey").cast("string")
+    return read(spark, sf, "part").select(F.concat(F.lit("P"), key).alias("protein"), F.concat(F.lit("T"), key).alias("transcript"), F.concat(F.lit("G"), key).alias("symbol"), seq.alias("seq"))
+
+
+def lineitem_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Protein changes: of each seven lines three substitutions, an insertion, a deletion, a frameshift and one whose reference is wrong."""
+    line, key, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey").cast("string")
+    seq = F.translate(F.sha2(part, 256), "0123456789abcdef", RESIDUES_16)
+    start = (1 + key % 63).cast("int")
+    alt = F.substring(F.lit(RESIDUES_16), (1 + (key + line) % 16).cast("int"), F.lit(1))
+    kind = F.when(line == 4, "inframe_insertion").when(line == 5, "inframe_deletion").when(line == 6, "frameshift").otherwise("missense")
+    return read(spark, sf, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("variant"), F.concat(F.lit("T"), part, F.lit(".1")).alias("transcript"), F.concat(F.lit("G"), part).alias("gene"),
+        kind.alias("variant_class"), start.alias("protein_start"), F.when(line == 5, start + 1).otherwise(start).alias("protein_end"),
+        F.when(line == 7, "W").when(line == 4, "").when(line == 5, F.substring(seq, start, F.lit(2))).otherwise(F.substring(seq, start, F.lit(1))).alias("aa_ref"),
+        F.when(line == 5, "").when(line == 4, F.concat(alt, alt)).otherwise(alt).alias("aa_alt"),
+        F.when((line == 6) & (key % 5 != 0), F.concat(F.substring(F.reverse(seq), 1, 20), F.lit("*AC"))).alias("downstream"),
+        F.when(key % 2 == 0, 114).otherwise(112).cast("int").alias("release"), (start + (key % 3).cast("int") - 45).alias("length_change"),
+        (F.col("l_discount") * 5).alias("ccf"), F.col("l_tax").alias("rna_vaf"), F.col("l_discount").alias("dna_vaf"), F.col("l_extendedprice").alias("tpm"),
+    )
+
+
+C = f"""
+p AS (SELECT p_partkey AS k, translate(sha256(p_partkey::VARCHAR), '0123456789abcdef', '{RESIDUES_16}') AS seq FROM part),
+c AS (
+  SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS variant, l_linenumber AS line, l_orderkey AS o, seq, (1 + l_orderkey % 63)::INT AS s,
+    substr('{RESIDUES_16}', (1 + (l_orderkey + l_linenumber) % 16)::INT, 1) AS a
+  FROM lineitem JOIN p ON k = l_partkey
+),
+plain AS (
+  SELECT variant, line, seq, s, CASE line WHEN 4 THEN s WHEN 5 THEN s - 1 ELSE s - 1 END AS lo, CASE line WHEN 4 THEN s + 2 WHEN 5 THEN s - 1 ELSE s END AS hi,
+    CASE line WHEN 4 THEN substr(seq, 1, s) || a || a || substr(seq, s + 1) WHEN 5 THEN substr(seq, 1, s - 1) || substr(seq, s + 2) WHEN 7 THEN NULL
+      ELSE substr(seq, 1, s - 1) || a || substr(seq, s + 1) END AS m,
+    CASE line WHEN 7 THEN 'reference_mismatch' END AS error
+  FROM c WHERE line <> 6
+),
+tails AS (
+  SELECT *, CASE WHEN o % 5 <> 0 THEN substr(reverse(seq), 1, 20) ELSE '' END AS tail,
+    CASE WHEN o % 2 = 0 THEN 64 + (s + o % 3 - 45) - CASE WHEN o % 5 <> 0 THEN 20 ELSE 0 END + 1 END AS placed
+  FROM c WHERE line = 6
+),
+shifted AS (
+  SELECT variant, line, seq, s, s - 1 AS lo,
+    CASE WHEN tail = '' THEN 'no_tail'
+      WHEN placed IS NOT NULL AND (placed < 1 OR placed > 65 OR placed < s) THEN 'reference_mismatch'
+      WHEN coalesce(placed, s) = s AND substr(seq, s, 20) = tail THEN 'reference_mismatch'
+      WHEN coalesce(placed, s) <> s AND placed - s <> 1 THEN 'missing_residues' END AS error,
+    substr(seq, 1, s - 1) || CASE WHEN coalesce(placed, s) <> s THEN a ELSE '' END || tail AS built
+  FROM tails
+),
+made AS (
+  SELECT variant, line, seq, lo, hi, m, error FROM plain
+  UNION ALL SELECT variant, line, seq, lo, length(built), CASE WHEN error IS NULL THEN built END, error FROM shifted
+)
+"""
+
+
+@query(f"""WITH {C} SELECT CASE line WHEN 4 THEN 'inframe_insertion' WHEN 5 THEN 'inframe_deletion' WHEN 6 THEN 'frameshift' ELSE 'missense' END AS variant_class,
+  coalesce(error, 'built') AS outcome, count(*) AS n, sum(length(m))::BIGINT AS residues, min(m) AS least FROM made GROUP BY 1, 2""")
+def mutant_protein_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    built = peptides.mutant_proteins(peptides.with_protein(lineitem_changes(spark, sf), part_proteins(spark, sf)))
+    return built.groupBy("variant_class", F.coalesce("error", F.lit("built")).alias("outcome")).agg(
+        F.count("*").alias("n"), F.sum(F.length("mutant")).cast("long").alias("residues"), F.min("mutant").alias("least")
+    )
+
+
+@query(f"""WITH {C}, w AS (
+  SELECT variant, line, seq, m, lo, hi, unnest(generate_series(
+    greatest(0, CASE WHEN hi > lo THEN CASE line WHEN 6 THEN lo - 8 ELSE hi - 9 END ELSE lo - 8 END),
+    least(length(m) - 9, CASE WHEN hi > lo THEN CASE line WHEN 6 THEN hi - 1 ELSE lo END ELSE lo - 1 END))) AS st
+  FROM made WHERE m IS NOT NULL
+), f AS (SELECT variant, any_value(line) AS line, any_value(seq) AS seq, any_value(m) AS m, any_value(lo) AS lo, any_value(hi) AS hi, substr(m, st::INT + 1, 9) AS pep, min(st) AS st FROM w GROUP BY variant, substr(m, st::INT + 1, 9))
+SELECT variant, count(*) AS n, min(pep) AS least, count(CASE WHEN line <> 6 AND length(m) = 64 AND substr(seq, st::INT + 1, 9) <> pep THEN 1 END) AS with_wildtype,
+  sum(greatest(1, CASE WHEN hi > lo THEN lo ELSE greatest(lo - 1, 0) END - st + 1))::BIGINT AS positions,
+  sum(length(substr(m, (greatest(0, st - 10) + 1)::INT, (st - greatest(0, st - 10))::INT)))::BIGINT AS before, max(substr(m, (st + 10)::INT, 10)) AS after
+FROM f GROUP BY variant""")
+def mutant_peptides(spark: SparkSession, sf: str) -> DataFrame:
+    built = peptides.mutant_proteins(peptides.with_protein(lineitem_changes(spark, sf), part_proteins(spark, sf)))
+    found = peptides.peptides(built, "variant", (9,))
+    return found.groupBy("variant").agg(
+        F.count("*").alias("n"), F.min("peptide").alias("least"), F.count("wildtype").alias("with_wildtype"), F.sum("position").cast("long").alias("positions"),
+        F.sum(F.length("n_flank")).cast("long").alias("before"), F.max("c_flank").alias("after"),
+    )
+
+
+@query()
+def ranked_peptides(spark: SparkSession, sf: str) -> DataFrame:
+    """From changes to the ranked table; the self match and the predictor are deterministic stand-ins."""
+    built = peptides.mutant_proteins(peptides.with_protein(lineitem_changes(spark, sf), part_proteins(spark, sf)))
+    named = built.withColumn("hgvsp", ranking.change_text(F.col("gene"), F.col("variant_class"), F.col("protein_start"), F.col("protein_end"), F.col("aa_ref"), F.col("aa_alt")))
+    found = peptides.peptides(named, "variant", (9, 10))
+    calls = ranking.predicted(ranking.distinct_peptides(found), ["HLA-A*02:01", "HLA-B*07:02"])
+    rows = ranking.with_predictions(found, calls).withColumns({"normal_tpm": F.lit(None).cast("double"), "self_similarity": F.lit(None).cast("double"), "is_self": F.lit(False)})
+    return ranking.ranked_table(ranking.ranked(ranking.featured(rows), 50), "sample")
+
+
+@query(f"""WITH l AS (SELECT doc_id AS key, quality AS label, source FROM labels JOIN documents USING (doc_id)), r AS (SELECT doc_id AS key, n_chars AS score FROM documents WHERE doc_id % 3 <> 0)
+SELECT source, count(*) AS usable, count(r.key) AS scored, count(*) - count(r.key) AS unscored, sum(label)::BIGINT AS positives FROM l LEFT JOIN r ON l.key = r.key WHERE label IS NOT NULL GROUP BY source""")
+def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    labelled = read(spark, sf, "labels").join(docs.select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"), "source")
+    return evaluation.coverage(labelled, docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("score")), "source")
+
+
+@query("""SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang
+UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def facet_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.facets(read(spark, sf, "documents"), ["lang", "source"])

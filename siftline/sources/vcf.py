@@ -28,17 +28,40 @@ def header(spark: SparkSession, path: str) -> tuple[list[str], list[str], int |
     return names.split("\t")[9:], [f.strip() for f in csq[1].split("|")], int(release[1]) if release else None
 
 
+def last_wins(keys: Column, values: Column) -> Column:
+    """A map of two arrays in which the last of equal keys counts."""
+    at = F.sequence(F.lit(1), F.size(keys))
+    kept = F.filter(at, lambda i: ~F.array_contains(F.slice(keys, i + 1, F.size(keys)), F.element_at(keys, i)))
+    return F.map_from_arrays(F.transform(kept, lambda i: F.element_at(keys, i)), F.transform(kept, lambda i: F.element_at(values, i)))
+
+
 def info_map(info: Column) -> Column:
-    """``k=v`` pairs; a flag maps to 'true'."""
-    flagged = F.transform(F.split(info, ";"), lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("=true"))))
-    return F.str_to_map(F.array_join(flagged, ";"), F.lit(";"), F.lit("="))
+    """``k=v`` pairs; a flag maps to 'true', and the last of a repeated key counts."""
+    parts = F.filter(F.split(info, ";"), lambda x: x != "")
+    keys = F.transform(parts, lambda x: F.substring_index(x, "=", 1))
+    values = F.transform(parts, lambda x: F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit("true")))
+    return F.when(F.size(parts) > 0, last_wins(keys, values)).otherwise(F.create_map().cast("map<string,string>"))
+
 
+def depths(call: Column) -> Column:
+    """The sample's depths by allele; null if there is none or one is no number."""
+    read = F.transform(F.split(F.try_element_at(call, F.lit("AD")), ","), lambda x: x.try_cast("int"))
+    return F.when(F.forall(read, lambda x: x.isNotNull()), read)
 
-def allele_fraction(sample: Column) -> Column:
+
+def allele_fraction(call: Column) -> Column:
     """From the sample's fields: the second of at least two depths over their sum, else AF."""
-    depths = F.transform(F.split(sample["AD"], ","), lambda x: x.try_cast("double"))
-    total = F.aggregate(depths, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return F.when((F.size(depths) >= 2) & (total > 0), depths[1] / total).otherwise(F.split(sample["AF"], ",")[0].try_cast("double"))
+    read = depths(call)
+    total = F.aggregate(read, F.lit(0), lambda a, x: a + x)
+    share = F.when((F.size(read) >= 2) & (total > 0), F.get(read, 1) / total)
+    return F.coalesce(share, F.get(F.split(F.try_element_at(call, F.lit("AF")), ","), 0).try_cast("double"))
+
+
+def total_depth(call: Column) -> Column:
+    """DP, else the sum of at least two depths where it is positive."""
+    read = depths(call)
+    total = F.aggregate(read, F.lit(0), lambda a, x: a + x)
+    return F.coalesce(F.try_element_at(call, F.lit("DP")).try_cast("int"), F.when((F.size(read) >= 2) & (total > 0), total))
 
 
 def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
@@ -51,22 +74,22 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataF
     samples, fields, release = header(spark, path)
     column = 9 + (samples.index(sample) if sample else max(len(samples) - 1, 0))
     part = F.split("value", "\t")
+    keys = F.split(F.coalesce(F.get(part, 8), F.lit("")), ":")  # files without samples have eight columns
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     rows = rows.select(
         part[0].alias("chrom"), part[1].try_cast("long").alias("pos"), part[2].alias("id"), part[3].alias("ref"), part[4].alias("alt"),
         F.when(part[6].isin(".", ""), F.array().cast("array<string>")).otherwise(F.split(part[6], ";")).alias("filters"), info_map(part[7]).alias("info"),
-        F.map_from_arrays(F.split(part[8], ":"), F.slice(F.concat(F.split(F.try_element_at(part, F.lit(column + 1)), ":"), F.array_repeat(F.lit("."), 64)), F.lit(1), F.size(F.split(part[8], ":")))).alias("call"),
+        last_wins(keys, F.concat(F.split(F.coalesce(F.get(part, column), F.lit("")), ":"), F.array_repeat(F.lit("."), F.size(keys)))).alias("call"),
     )
     entry = lambda e: F.struct(*[F.coalesce(F.try_element_at(F.split(e, r"\|"), F.lit(i + 1)), F.lit("")).alias(f) for i, f in enumerate(fields)])
-    entries = F.transform(F.split(F.col("info")["CSQ"], ","), entry)
+    entries = F.transform(F.split(F.try_element_at("info", F.lit("CSQ")), ","), entry)
     coding = F.filter(entries, lambda e: consequence_class(e["Consequence"]) != "other")
     order = [F.filter(coding, lambda e: e["CANONICAL"] == "YES")] if "CANONICAL" in fields else []
     order += [F.filter(coding, lambda e: e["BIOTYPE"] == "protein_coding")] if "BIOTYPE" in fields else []
     picked = F.coalesce(*[F.try_element_at(o, F.lit(1)) for o in [*order, coding]])
-    population = F.coalesce(*[F.split(F.col("info")[k], ",")[0].try_cast("double") for k in ("gnomADe_AF", "gnomAD_AF", "AF_popmax", "POPAF")])
-    depth = F.coalesce(F.col("call")["DP"].try_cast("int"), F.aggregate(F.transform(F.split(F.col("call")["AD"], ","), lambda x: x.try_cast("int")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))))
+    population = F.coalesce(*[F.get(F.split(F.try_element_at("info", F.lit(k)), ","), 0).try_cast("double") for k in ("gnomADe_AF", "gnomAD_AF", "AF_popmax", "POPAF")])
     out = rows.withColumn("csq", picked).where("csq is not null")
     return out.select(
         "chrom", "pos", "id", "ref", "alt", "filters", "csq", consequence_class(F.col("csq.Consequence")).alias("consequence"),
-        allele_fraction(F.col("call")).alias("dna_vaf"), depth.alias("tumor_depth"), population.alias("population_af"), F.lit(release).cast("int").alias("release"),
+        allele_fraction(F.col("call")).alias("dna_vaf"), total_depth(F.col("call")).alias("tumor_depth"), population.alias("population_af"), F.lit(release).cast("int").alias("release"),
     )

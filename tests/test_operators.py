@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import names, residues
-from siftline.operators import audit, evaluation, learning, matching, scoring, statistics, variants
+from siftline.operators import audit, evaluation, learning, matching, peptides, ranking, scoring, statistics, variants
 
 
 def one(spark, *columns):
@@ -145,3 +145,99 @@ def test_streaming_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.key: r.reason for r in spark.table("annotated").collect()} == {"a": None, "b": "not_pass"}
+
+
+CHANGE = "variant string, seq string, variant_class string, protein_start int, protein_end int, aa_ref string, aa_alt string, downstream string, release int, length_change int"
+PROTEIN = "MKTAYIAKQRQISFVKSHFSRQ"
+
+
+@pytest.mark.parametrize(
+    ("change", "want"),
+    [
+        (("missense", 5, 5, "Y", "C", None, None, None), ("MKTACIAKQRQISFVKSHFSRQ", 4, 5, None)),
+        (("missense", 5, 5, "A", "C", None, None, None), (None, 4, 5, "reference_mismatch")),
+        (("missense", 40, 40, "Y", "C", None, None, None), (None, 39, 40, "reference_mismatch")),
+        (("inframe_insertion", 5, 6, None, "GG", None, None, None), ("MKTAYGGIAKQRQISFVKSHFSRQ", 5, 7, None)),
+        (("inframe_deletion", 5, 6, "YI", None, None, None, None), ("MKTAAKQRQISFVKSHFSRQ", 4, 4, None)),
+        (("frameshift", 5, 5, "Y", "X", "WWWG*AA", 111, 3), ("MKTAWWWG", 4, 8, None)),
+        (("frameshift", 5, 5, "Y", "X", None, 111, 3), (None, 4, None, "no_tail")),
+        (("frameshift", 5, 5, "Y", "X", "YIAKX", 111, None), (None, 4, None, "reference_mismatch")),
+        (("frameshift", 5, 5, "Y", "C", "WWWG", 114, -13), ("MKTACWWWG", 4, 9, None)),
+        (("frameshift", 5, 5, "Y", "X", "WWWG", 114, -13), (None, 4, None, "missing_residues")),
+        (("frameshift", 5, 5, None, "X", "WWWG", 114, -13), ("MKTAYWWWG", 5, 9, None)),
+        (("frameshift", 5, 5, "Y", "C", "WWWG", 114, -19), (None, 4, None, "reference_mismatch")),
+    ],
+)
+def test_mutant_proteins(spark, change, want):
+    kind, start, end, ref, alt, tail, release, grown = change
+    rows = spark.createDataFrame([("v", PROTEIN, kind, start, end, ref, alt, tail, release, grown)], CHANGE)
+    got = peptides.mutant_proteins(rows).first()
+    assert (got.mutant, got.first, got.last, got.error) == want
+
+
+def test_peptides_of_a_substitution(spark):
+    rows = spark.createDataFrame([("v", PROTEIN, "missense", 12, 12, "I", "W", None, None, None), ("none", None, "missense", 1, 1, "M", "A", None, None, None)], CHANGE)
+    got = {r.peptide: r for r in peptides.peptides(peptides.mutant_proteins(rows), "variant", (9, 30), flank=3).collect()}
+    mutant = PROTEIN[:11] + "W" + PROTEIN[12:]
+    assert set(got) == {mutant[s : s + 9] for s in range(3, 12)}
+    for s in range(3, 12):
+        r = got[mutant[s : s + 9]]
+        assert (r.wildtype, r.position, r.n_flank, r.c_flank) == (PROTEIN[s : s + 9], 12 - s, mutant[max(0, s - 3) : s], mutant[s + 9 : s + 12])
+
+
+def test_peptides_of_a_junction_and_a_tail(spark):
+    rows = spark.createDataFrame(
+        [("del", PROTEIN, "inframe_deletion", 5, 6, "YI", None, None, None, None), ("fs", PROTEIN, "frameshift", 20, 20, "S", "X", "WWGXA", None, None), ("same", "A" * 20, "missense", 9, 9, "A", "A", None, None, None)], CHANGE
+    )
+    got = peptides.peptides(peptides.mutant_proteins(rows), "variant", (8,)).collect()
+    cut, shifted = "MKTAAKQRQISFVKSHFSRQ", PROTEIN[:19] + "WWG"
+    assert {r.peptide for r in got if r.variant == "del"} == {cut[s : s + 8] for s in range(4)}
+    assert {r.peptide for r in got if r.variant == "fs"} == {shifted[s : s + 8] for s in range(12, 15)}
+    assert [r.position for r in got if r.variant == "same"] == [8]  # of equal windows the first counts
+    assert all(r.wildtype is None for r in got if r.variant != "same")
+
+
+def test_protein_lookup(spark):
+    known = spark.createDataFrame([("P1", "T1", "G1", "MA"), ("P2", "T2", "G1", "MAA"), ("P3", "T3", "G1", "MAC")], "protein string, transcript string, symbol string, seq string")
+    asked = spark.createDataFrame([(1, "T1.4", "G1"), (2, "P3", "G9"), (3, "none", "G1"), (4, None, None)], "id int, transcript string, gene string")
+    assert {r.id: r.seq for r in peptides.with_protein(asked, known).collect()} == {1: "MA", 2: "MAC", 3: "MAA", 4: None}
+
+
+def test_ranking_end_to_end(spark):
+    rows = spark.createDataFrame([(f"v{i}", PROTEIN, "missense", 5 + i, 5 + i, PROTEIN[4 + i], "W", None, None, None) for i in range(4)], CHANGE)
+    found = peptides.peptides(peptides.mutant_proteins(rows), "variant", (9,))
+    unique = ranking.distinct_peptides(found)
+    assert unique.count() == unique.select("peptide").distinct().count()
+    calls = ranking.predicted(unique, ["HLA-A*02:01", "HLA-B*07:02", "HLA-A*02:01"])
+    assert calls.count() == 2 * unique.count()
+    names = ("ccf", "tpm", "normal_tpm", "self_similarity", "dna_vaf", "rna_vaf")
+    joined = ranking.with_predictions(found, calls).withColumns({n: F.lit(None).cast("double") for n in names} | {"is_self": F.lit(False), "gene": F.lit("G"), "transcript": F.lit("T"), "hgvsp": F.lit("h")})
+    scored = ranking.featured(joined, max_percentile=50.0)
+    table = ranking.ranked_table(ranking.ranked(scored, 5, cap=2), "s")
+    assert tuple(table.columns) == ranking.RANKED
+    got = table.orderBy("rank").collect()
+    want, taken = [], {}
+    for r in sorted(scored.collect(), key=lambda r: (-r.score, r.variant, r.peptide, r.allele)):
+        if not r.gate_failures and taken.get(r.variant, 0) < 2:
+            taken[r.variant] = taken.get(r.variant, 0) + 1
+            want.append((r.variant, r.peptide, r.allele))
+    assert [(r.variant, r.mutant_peptide, r.allele) for r in got] == want[:5]
+    assert all(r.wt_affinity_nm is not None and r.clonality == 0.5 for r in scored.collect())
+
+
+def test_names_read_odd_input(spark):
+    got = one(spark, names.protein_change(F.lit("p.A99999999999C")).alias("a"), names.protein_change(F.lit("\tp.A12C\n")).alias("b"))
+    assert got.a is None
+    assert (got.b.kind, got.b.start) == ("missense", 12)
+    source = spark.createDataFrame([("OLD10-OLD12",), ("HLA-A*02:01",), ("A0201",), ("",), (None,), ("OLD10-unknown",)], "allele string")
+    aliases = spark.createDataFrame([("OLD10", "HLA-DQA1*05:01"), ("OLD12", "HLA-DQB1*02:01")], "alias string, canonical string")
+    got = {r.allele: r.canonical for r in audit.canonicalised(source, aliases, "allele").collect()}
+    assert got["OLD10-OLD12"] == "HLA-DQA1*05:01-HLA-DQB1*02:01"
+    assert got["HLA-A*02:01"] == "HLA-A*02:01"
+    assert got[""] is None and got[None] is None and got["OLD10-unknown"] is None
+
+
+def test_every_drop_reason_is_counted(spark):
+    frame = spark.createDataFrame([("low_vaf",), ("low_vaf",), (None,)], "reason string")
+    got = {r.reason: r.n for r in variants.failure_counts(frame).collect()}
+    assert got == dict.fromkeys(variants.REASONS, 0) | {"low_vaf": 2}

@@ -22,7 +22,8 @@ def test_query_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
+    frame = registry.QUERIES[name](spark, SF)
+    assert len(frame.collect()) > 0
 
 
 def test_entry_has_rows(spark):

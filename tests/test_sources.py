@@ -66,3 +66,19 @@ def test_writers(spark, tmp_path):
     assert "x" not in spark.read.json(str(tmp_path / "f")).first().asDict()
     assert tables.file_digests(spark, [str(tmp_path / "t" / "*.csv")]).count() >= 1
     assert tables.config_digest({"b": 1, "a": 2}) == tables.config_digest({"a": 2, "b": 1})
+
+
+def test_vcf_odd_lines(spark, tmp_path):
+    from siftline.sources import vcf
+
+    head = '##INFO=<ID=CSQ,Number=.,Type=String,Description="Format: Consequence|SYMBOL">\n'
+    eight = head + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t5\tx\tA\tC\t.\tPASS\tCSQ=missense_variant|G;POPAF=0.1;POPAF=0.2;FLAG\n1\t6\ty\tA\tC\t.\tPASS\t.\n"
+    (tmp_path / "eight.vcf").write_text(eight)
+    row = vcf.read_vcf(spark, str(tmp_path / "eight.vcf")).first()
+    assert (row.dna_vaf, row.tumor_depth, row.population_af) == (None, None, 0.2)
+    calls = {"GT:AD": "0/1:.", "AD:DP": "3,1:9", "AD:AD": "1,1:6,2", "AD:AF": "7:0.25", "AF:AD": "0.5:3,x", "DP:AD": "8:.", "AD": "0,0"}
+    want = {"GT:AD": (None, None), "AD:DP": (0.25, 9), "AD:AD": (0.25, 8), "AD:AF": (0.25, None), "AF:AD": (0.5, None), "DP:AD": (None, 8), "AD": (None, None)}
+    lines = [f"1\t{i}\t{fmt}\tA\tC\t.\tPASS\tCSQ=missense_variant|G\t{fmt}\t{call}" for i, (fmt, call) in enumerate(calls.items())]
+    (tmp_path / "calls.vcf").write_text(head + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tTUMOR\n" + "\n".join(lines) + "\n")
+    got = {r.id: (r.dna_vaf, r.tumor_depth) for r in vcf.read_vcf(spark, str(tmp_path / "calls.vcf")).collect()}
+    assert got == want
