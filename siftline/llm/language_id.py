@@ -36,6 +36,8 @@ SAMPLE_BYTES = 64 << 20
 #: Entries of the shared array of longest n-grams, by language; with more each language is looked up alone, to the same result.
 SHARED = 1 << 25
 UNKNOWN = "und"
+#: Text that a task judges at once.
+SLICE_BYTES = 1 << 18
 #: Rejection: standard deviations above the usual cross-entropy, at least; so many times the quantile of right documents.
 LEAST_Z, OVER, QUANTILE = 12.0, 1.5, 0.995
 #: Right calibration documents from which a language's own deviation and limit count; with fewer those of all languages do.
@@ -305,7 +307,7 @@ def _judged(docs: DataFrame, model: Identifier, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in A.slices(batch, most=1 << 20):
+            for part in A.slices(batch, most=SLICE_BYTES):
                 lang, score, rejected = model.judge(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=names)
         A.release()
