@@ -39,8 +39,8 @@ from . import arrays as A
 
 END = "</w>"
 #: Text that is worked on at once, and places (pre-tokens times window) that the transducer holds at once.
-BLOCK_BYTES = 3 << 20
-PLACES = 1 << 20
+BLOCK_BYTES = 1 << 20
+PLACES = 1 << 18
 #: Slots, as a power of two, of the table of neighbours.
 SLOTS = 19
 
