@@ -99,3 +99,18 @@ def ranked_table(ranking: DataFrame, sample_id: str, run_id: str = "") -> DataFr
         "rank": F.col("rank").cast("long"),
     }
     return ranking.select(*[renamed.get(c, F.col(c)).alias(c) for c in RANKED])
+
+
+def with_gated(shortlist: DataFrame, scored: DataFrame, keys: list[str], order: list[Column], top_n: int) -> DataFrame:
+    """The shortlist, then the best ``top_n`` rows that failed a gate and are not in it; these have no rank.
+
+    ``shortlist`` has rank and the columns of ``scored``; both have gate_failures.
+    """
+    failed = scored.where(F.size("gate_failures") > 0).join(shortlist.select(*keys), keys, "left_anti")
+    return shortlist.unionByName(failed.orderBy(*order).limit(top_n).withColumn("rank", F.lit(None).cast("int")), allowMissingColumns=True)
+
+
+def assay_request(ranking: DataFrame, assay: str = "IFNG_ELISPOT") -> DataFrame:
+    """A sheet for the laboratory from ranked rows (sample_id, peptide, allele, rank, score); what it fills in is empty."""
+    blank = [F.lit("").alias(c) for c in ("call", "effect_size", "replicate_count", "run_date", "operator", "notes")]
+    return ranking.select("sample_id", "peptide", "allele", F.lit(assay).alias("assay"), *blank, F.col("rank").alias("predicted_rank"), F.col("score").alias("predicted_score"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, residues
-from ..operators import audit, evaluation, learning, matching, peptides, ranking, scoring, statistics, variants
+from ..operators import audit, claims, evaluation, learning, matching, peptides, ranking, scoring, statistics, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -729,3 +729,63 @@ def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY source""")
 def facet_counts(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.facets(read(spark, sf, "documents"), ["lang", "source"])
+
+
+# --- claims ------------------------------------------------------------------
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, translate(sha256(p_partkey::VARCHAR), '0123456789abcdef', '{RESIDUES_16}') AS seq FROM part),
+c AS (
+  SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS claim_id, l_partkey, l_linenumber AS line, l_orderkey % 3 AS o, seq, (1 + l_orderkey % 63)::INT AS s,
+    substr('{RESIDUES_16}', (1 + (l_orderkey + l_linenumber) % 16)::INT, 1) AS a
+  FROM lineitem JOIN p ON k = l_partkey
+),
+m AS (SELECT *, substr(seq, 1, s - 1) || a || substr(seq, s + 1) AS mut FROM c),
+q AS (SELECT *, CASE o WHEN 0 THEN substr(mut, greatest(1, s - 4), 9) WHEN 1 THEN substr(seq, greatest(1, s - 4), 9) ELSE substr(mut, 1, 9) END AS pep FROM m)
+SELECT DISTINCT claim_id, CASE WHEN line NOT IN (3, 4, 5, 6) THEN 'T' || l_partkey END AS transcript,
+  CASE line WHEN 3 THEN 'no_consistent_isoform' WHEN 4 THEN 'unparseable_change' WHEN 5 THEN 'gene_not_found' WHEN 6 THEN 'tail_required'
+    ELSE CASE WHEN strpos(substr(mut, (greatest(1, s - length(pep) + 1))::INT, (least(64, s + length(pep) - 1) - greatest(1, s - length(pep) + 1) + 1)::INT), pep) > 0 THEN 'derivable' ELSE 'peptide_not_generated' END END AS verdict
+FROM q""")
+def claim_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims from lineitem changes: line 3 states a wrong residue, 4 is unreadable, 5 names no gene, 6 lacks its tail, 7 uses an old symbol."""
+    li = read(spark, sf, "lineitem")
+    line, key, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey").cast("string")
+    seq = F.translate(F.sha2(part, 256), "0123456789abcdef", RESIDUES_16)
+    start = (1 + key % 63).cast("int")
+    alt = F.substring(F.lit(RESIDUES_16), (1 + (key + line) % 16).cast("int"), F.lit(1))
+    ref = F.when(line == 3, "W").otherwise(F.substring(seq, start, F.lit(1)))
+    mutant = F.concat(F.substring(seq, F.lit(1), start - 1), alt, F.substring(seq, start + 1, F.lit(64)))
+    near = F.greatest(F.lit(1), start - 4)
+    made = li.select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"), F.concat(F.when(line == 5, "X").when(line == 7, "OLD").otherwise("G"), part).alias("gene"),
+        F.when(line == 4, "c.12").otherwise(F.concat(F.lit("p."), ref, start.cast("string"), F.when(line == 6, "fs").otherwise(alt))).alias("protein_change"),
+        F.when(key % 3 == 0, F.substring(mutant, near, F.lit(9))).when(key % 3 == 1, F.substring(seq, near, F.lit(9))).otherwise(F.substring(mutant, 1, 9)).alias("peptide"),
+        F.lit(None).cast("string").alias("downstream"),
+    ).distinct()
+    proteins = part_proteins(spark, sf)
+    isoforms = proteins.select("symbol", "transcript", "seq", F.lit(True).alias("primary"))
+    aliases = proteins.select(F.regexp_replace("symbol", "^G", "OLD").alias("old"), F.col("symbol").alias("new"))
+    return claims.reconcile(made, isoforms, aliases)
+
+
+@query("""WITH known AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 <> 0),
+t AS (SELECT p_partkey AS place, p_partkey AS new, 'S' || (p_partkey * 3 % 900) AS o1, 'S' || (p_partkey % 50 * 3) AS o2 FROM part JOIN known ON k = p_partkey WHERE p_size % 2 = 0),
+l AS (SELECT place, new, 0 AS spot, o1 AS old FROM t UNION ALL SELECT place, new, 1, o2 FROM t),
+w AS (SELECT * FROM l WHERE old IN (SELECT 'S' || p_partkey FROM part WHERE p_partkey % 3 = 0))
+SELECT old, 'S' || arg_min(new, place * 2 + spot) AS new FROM w GROUP BY old""")
+def retired_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third part stands for a symbol that is no longer known; others list old names."""
+    part, k = read(spark, sf, "part"), F.col("p_partkey")
+    name = lambda e: F.concat(F.lit("S"), e.cast("string"))
+    known = part.where("p_partkey % 3 <> 0").select(name(k).alias("symbol"))
+    table = part.select(
+        k.alias("place"), name(k).alias("symbol"), F.when(F.col("p_size") % 2 == 0, "Approved").otherwise("Entry Withdrawn").alias("status"),
+        name(k * 3 % 900).alias("prev_symbol"), F.concat(F.lit('"'), name(k % 50 * 3), F.lit('|"')).alias("alias_symbol"),
+    )
+    return claims.retired_symbols(part.select(name(k).alias("symbol")), table, known)
+
+
+@query()
+def cross_validated_auc(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scored_variants(spark, sf).withColumn("label", (F.col("line") % 3 == 0).cast("int"))
+    return learning.cross_validated(rows, ["presentation", "clonality", "expression", "agretopicity"], "supplier")

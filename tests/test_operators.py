@@ -241,3 +241,51 @@ def test_every_drop_reason_is_counted(spark):
     frame = spark.createDataFrame([("low_vaf",), ("low_vaf",), (None,)], "reason string")
     got = {r.reason: r.n for r in variants.failure_counts(frame).collect()}
     assert got == dict.fromkeys(variants.REASONS, 0) | {"low_vaf": 2}
+
+
+def test_reconcile_verdicts_and_odd_claims(spark):
+    from siftline.operators import claims
+
+    seq = "MACDEFGHIKLMNPQRSTVWY"
+    isoforms = spark.createDataFrame([("KRAS", "T1", seq, True), ("KRAS", "T2", seq[:9], False)], "symbol string, transcript string, seq string, primary boolean")
+    aliases = spark.createDataFrame([("OLD", "KRAS"), ("KRAS", "OTHER"), ("GONE", "NOWHERE")], "old string, new string")
+    rows = [
+        (1, "KRAS", "p.G7W", "CDEFWHIKL", None, "derivable"), (2, "KRAS", "p.G7W", "CDEFGHIKL", None, "peptide_not_generated"), (3, "KRAS", "p.A7W", "CDEFWHIKL", None, "no_consistent_isoform"),
+        (4, "OLD", "p.G7W", "CDEFWHIKL", None, "derivable"), (5, "OLD", "p.A7W", "CDEFWHIKL", None, "gene_not_found"), (6, "GONE", "p.G7W", "CDEFWHIKL", None, "gene_not_found"),
+        (7, "KRAS", "p.G7fs", "DEFWWWW", "", "tail_required"), (8, "KRAS", "p.G7fs", "DEFWWWWW", "WWWWW*", "derivable"), (9, "KRAS", "odd", "CDEFWHIKL", None, "unparseable_change"),
+        (10, None, "p.G7W", "CDEFWHIKL", None, "gene_not_found"), (11, "KRAS", "p.G7W", None, None, "peptide_not_generated"), (12, "KRAS", "p.G7W", "", None, "peptide_not_generated"),
+        (13, "KRAS", None, "CDEFWHIKL", None, "unparseable_change"), (14, "KRAS", "p.F6_G7del", "DEHIKLMNP", None, "derivable"),
+    ]
+    frame = spark.createDataFrame([r[:5] for r in rows], "claim_id int, gene string, protein_change string, peptide string, downstream string")
+    got = {r["claim_id"]: r["verdict"] for r in claims.reconcile(frame, isoforms, aliases).collect()}
+    assert got == {r[0]: r[5] for r in rows}
+    assert claims.reconcile(frame.limit(0), isoforms, aliases).count() == 0
+
+
+def test_request_gated_tail_and_weight_changes(spark):
+    from pyspark.sql import functions as F
+
+    from siftline.operators import learning, ranking
+
+    scored = spark.createDataFrame(
+        [("s", "A", "a1", 0.9, []), ("s", "B", "a1", 0.8, ["self_peptide"]), ("s", "C", "a1", 0.7, ["weak_binder"]), ("s", "D", "a1", 0.6, ["weak_binder"])],
+        "sample_id string, peptide string, allele string, score double, gate_failures array<string>",
+    )
+    short = scored.where("peptide = 'A'").withColumn("rank", F.lit(1))
+    out = ranking.with_gated(short, scored, ["peptide", "allele"], [F.desc("score")], 2).collect()
+    assert [(r["peptide"], r["rank"]) for r in sorted(out, key=lambda r: r["peptide"])] == [("A", 1), ("B", None), ("C", None)]
+    sheet = ranking.assay_request(short).first()
+    assert (sheet["assay"], sheet["call"], sheet["predicted_rank"], sheet["predicted_score"]) == ("IFNG_ELISPOT", "", 1, 0.9) and len(sheet) == 12
+    changes = learning.weight_changes({"b": 1.0, "a": 0.5}, {"a": 0.25, "b": 2.0}, spark).collect()
+    assert [c["text"] for c in changes] == ["a                  +0.500 -> +0.250  (-0.250)", "b                  +1.000 -> +2.000  (+1.000)"]
+
+
+def test_cross_validation_needs_groups(spark):
+    from siftline.operators import learning
+
+    rows = spark.createDataFrame([(i % 12, float(i % 7) + 3 * (i % 2), i % 2) for i in range(240)], "g int, x double, label int")
+    out = learning.cross_validated(rows, ["x"], "g").collect()
+    assert out == [] or all(0 <= r["auc"] <= 1 for r in out)
+    mixed = rows.withColumn("g", (rows["x"] * 0 + rows["g"] % 12 + (rows["x"] % 2)).cast("int"))
+    assert all(r["auc"] > 0.5 for r in learning.cross_validated(mixed, ["x"], "g").collect())
+    assert learning.cross_validated(rows.where("g < 2"), ["x"], "g").count() == 0
