@@ -46,7 +46,9 @@ def reconcile(claims: DataFrame, isoforms: DataFrame, aliases: DataFrame | None
     found; a null or empty peptide is not generated.
     """
     c = F.col("_c")
-    read = claims.select("claim_id", "gene", "peptide", "downstream", protein_change(F.col("protein_change")).alias("_c")).withColumns(
+    # As a generated row the change is parsed once, not again in every expression that uses it.
+    parsed = F.explode(F.array(protein_change(F.col("protein_change")))).alias("_c")
+    read = claims.select("claim_id", "gene", "peptide", "downstream", parsed).withColumns(
         {"start": c["start"], "end": c["end"], "ref": c["ref"], "aa_alt": c["alt"], "_kind": c["kind"], "symbol": F.col("gene")}
     )
     known = isoforms.select(F.col("symbol").alias("gene"), F.lit(True).alias("_known")).distinct()
