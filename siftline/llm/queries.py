@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, quality_rules, sharding, sql, substring_dedup, tree_weighting, url_reputation
+from . import bpe, conversation_trie, decontamination, language_id, line_dedup, quality_rules, sharding, simhash, source_divergence, sql, substring_dedup, tree_weighting, url_reputation
 from .jaccard_join import jaccard_components
 from .tables import crc_remainder, read
 
@@ -58,6 +58,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"), 35, 20)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    rebuilt = conversation_trie.with_shared_openings(conversations, 20, 4)
+    return conversation_trie.report(conversation_trie.prefix_trie(rebuilt, conversations.select("conv_id")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(read(spark, sf_dir, "documents"), 30, 50)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"), 2, 3, 42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_sharding": op1_kd_sharding,
     "op2_jaccard_join": op2_jaccard_join,
@@ -69,10 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_simhash": op13_simhash,
 }
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": sql.OP2,
     "op5_decontamination": sql.OP5,
     "op7_line_dedup": sql.OP7,
     "op10_substring_dedup": sql.OP10,
+    "op11_conversation_trie": sql.OP11,
+    "op12_source_divergence": sql.OP12,
 }

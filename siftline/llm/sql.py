@@ -62,3 +62,57 @@ a AS (
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN a USING (doc_id)
 """
+
+#: crc32 of a string's bytes (all ASCII), bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"
+
+#: Prefixes are told apart by their whole texts; each node's words go to all its ancestors along its smallest member.
+OP11 = rf"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, {_CRC.format("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+  UNION ALL SELECT t.conv_id, t.pos, t.role, t.text FROM t JOIN c ON c.conv_id = t.conv_id WHERE t.pos > c.h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w AS path,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), u AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS up, lead(path) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS last FROM p),
+n AS (SELECT path, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(words) AS words FROM u GROUP BY path, depth),
+k AS (SELECT up AS path, count(*)::BIGINT AS n_children FROM n WHERE depth > 0 GROUP BY up),
+s AS (
+  SELECT a.path, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.path IS NULL)::BIGINT AS n_leaves
+  FROM n v JOIN p a ON a.conv_id = v.conv_id AND a.depth <= v.depth LEFT JOIN k ON k.path = v.path GROUP BY a.path
+), e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM u WHERE last GROUP BY path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM n LEFT JOIN n m ON m.path = n.up LEFT JOIN k ON k.path = n.path JOIN s ON s.path = n.path LEFT JOIN e ON e.path = n.path
+"""
+
+OP12 = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: {LOWER.format("x")}) AS ts FROM documents
+), o AS (SELECT d, lang, source, unnest(ts) AS term FROM w),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o GROUP BY ALL),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM w),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p FROM x JOIN v USING (lang)
+), l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM x GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q FROM l JOIN v USING (lang)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(a.p - b.p)), 0) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50
+"""
