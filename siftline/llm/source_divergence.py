@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ def shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_sums(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """(lang, a, b, value) of each tile and stripe; rows are sorted by tile, stripe, chunk and group."""
     tile: tuple | None = None
     matrix = ids = None
@@ -131,7 +132,7 @@ def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang, low, high, _ = tile
             i, j = np.triu_indices(len(ids), 1)
             if low != high:  # pairs within one block belong to its own tile
-                apart = (ids[i] // BLOCK_GROUPS) != (ids[j] // BLOCK_GROUPS)
+                apart = ids[i] // block != ids[j] // block
                 i, j = i[apart], j[apart]
             columns = [pa.array([lang] * len(i), pa.string()), pa.array(ids[i], pa.int32()), pa.array(ids[j], pa.int32()), pa.array(matrix[i, j])]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "a", "b", "value"])
@@ -172,7 +173,7 @@ def group_pairs(groups: DataFrame, chunks: DataFrame, weighted: DataFrame) -> Da
         "lang", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.floor(F.col("chunk") / STRIPE_CHUNKS).cast("int").alias("stripe"),
         "chunk", "gid", "width", "whole", F.col("cells.slot").alias("slots"), F.col("cells.n").alias("counts"),
     )
-    sums = tiles.repartition(*keys).sortWithinPartitions(*keys, "chunk", "gid").mapInArrow(_tile_sums, "lang string, a int, b int, value long")
+    sums = tiles.repartition(*keys).sortWithinPartitions(*keys, "chunk", "gid").mapInArrow(partial(_tile_sums, block=BLOCK_GROUPS), "lang string, a int, b int, value long")
     return sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 

@@ -210,11 +210,11 @@ def near(ids, prints, most=2):
     for i, doc in enumerate(ids):
         if doc is not None:
             low[find(i)] = min(low.get(find(i), doc), doc)
-    return [(d, f"{p:016x}", low.get(find(i)) if d is not None or find(i) in low else None) for i, (d, p) in enumerate(zip(ids, prints, strict=True))]
+    return [(d, f"{p:016x}", low.get(find(i))) for i, (d, p) in enumerate(zip(ids, prints, strict=True))]
 
 
 def key(row):
-    return [(v is None, v or "") for v in row]
+    return [(v is None, str(v)) for v in row]
 
 
 def texts(seed=4):
