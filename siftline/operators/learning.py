@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .evaluation import rank_auc
-
 
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features (sample, peptide, allele, ...) with labels (sample, peptide, allele or '*', label).
@@ -36,32 +34,6 @@ def refit(rows: DataFrame, names: list[str], c: float = 0.3, least_rows: int = 4
     return dict(zip(names, map(float, model.coefficients), strict=True)) | {"bias": float(model.intercept)}
 
 
-def grouped_folds(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """Adds ``fold``: whole groups go to one fold, by a hash."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(folds)).cast("int"))
-
-
-def cross_validated(rows: DataFrame, names: list[str], group: str, c: float = 0.3, folds: int = 5, least_groups: int = 3) -> DataFrame:
-    """(fold, auc) of models that saw none of the fold's groups; no row with fewer groups than ``least_groups``.
-
-    A fold lacking a class on either side has no row.  ``rows`` has label and the columns ``names``.
-    """
-    dealt = grouped_folds(rows, group, folds)
-    spark = rows.sparkSession
-    many = dealt.agg(F.count_distinct(group)).first()[0]
-    tested = None
-    for fold in range(folds) if many >= least_groups else []:
-        weights = refit(dealt.where(F.col("fold") != fold), names, c, 2, 1)
-        if weights is None:
-            continue
-        score = sum((F.col(n) * w for n, w in weights.items() if n != "bias"), F.lit(weights["bias"]))
-        held = dealt.where(F.col("fold") == fold).select("fold", score.alias("score"), "label")
-        tested = held if tested is None else tested.unionByName(held)
-    if tested is None:
-        return spark.createDataFrame([], "fold int, auc double")
-    return rank_auc(tested, ["fold"]).where("auc is not null").select("fold", "auc")
-
-
 def weight_changes(prior: dict[str, float], fitted: dict[str, float], spark: SparkSession) -> DataFrame:
     """(name, prior, fitted, change, text) of each weight of the prior, by name."""
     rows = spark.createDataFrame([(n, float(prior[n]), float(fitted.get(n, 0.0))) for n in sorted(prior)], "name string, prior double, fitted double")

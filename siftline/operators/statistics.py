@@ -1,9 +1,9 @@
-"""Exact tails, tests, multiple-testing correction, power and resampling."""
+"""Exact tails, tests, multiple-testing correction and power."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,9 +14,6 @@ from pyspark.sql import Window as W
 
 from .evaluation import running_before
 
-#: Largest labelled pool that resampling broadcasts; a larger one is refused, never cut.
-POOL_ROWS = 2_000_000
-
 
 def upper_tail(hits: int, drawn: int, positives: int, pool: int) -> float:
     """P(at least so many hits) when drawing without replacement, in whole numbers."""
@@ -109,63 +106,6 @@ def smallest_sample(curve: DataFrame, target: float) -> DataFrame:
     return curve.where(F.col("power") >= target).agg(F.min("n").alias("min_n"))
 
 
-def resampled(pool: DataFrame, draws: int, statistic: Callable[[pd.DataFrame, np.random.Generator], float], seed: int = 0) -> DataFrame:
-    """(draw, value): a statistic of ``draws`` seeded resamplings of a labelled pool, spread over tasks.
-
-    A pool holds assayed rows, so it is small; its size is checked before it is sent.
-    """
-    rows = pool.count()
-    if rows > POOL_ROWS:
-        raise ValueError(f"a pool of {rows} rows is too large to resample; at most {POOL_ROWS}")
-    held = pool.sparkSession.sparkContext.broadcast(pool.toPandas())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            draws = batch["id"].tolist()
-            yield pd.DataFrame({"draw": draws, "value": [statistic(held.value, np.random.default_rng([seed, d])) for d in draws]})
-
-    return pool.sparkSession.range(draws).mapInPandas(run, "draw long, value double")
-
-
-def auc_of(score: np.ndarray, label: np.ndarray) -> float:
-    """Rank AUC of arrays; NaN if a class is empty."""
-    positives = int(label.sum())
-    negatives = len(label) - positives
-    if not positives or not negatives:
-        return math.nan
-    ranks = pd.Series(score).rank(method="average").to_numpy()
-    return float((ranks[label == 1].sum() - positives * (positives + 1) / 2) / (positives * negatives))
-
-
-def permutation_p(pool: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """observed AUC and its label-permutation p-value (upper tail), from columns score and label."""
-    def shuffled(frame: pd.DataFrame, rng: np.random.Generator) -> float:
-        return auc_of(frame["score"].to_numpy(), rng.permutation(frame["label"].to_numpy()))
-
-    frame = pool.select("score", "label").orderBy("score", "label")
-    observed = auc_of(*(np.array(c) for c in frame.toPandas()[["score", "label"]].to_numpy().T))
-    values = resampled(frame, rounds, shuffled, seed)
-    return values.agg(F.lit(observed).alias("auc"), ((1 + F.count_if(F.col("value") >= observed)) / F.lit(rounds + 1)).alias("p"))
-
-
-def bootstrap_interval(pool: DataFrame, draws: int = 500, seed: int = 0) -> DataFrame:
-    """95 % interval of the stratified AUC: strata are drawn, then rows within each drawn stratum."""
-    def drawn(frame: pd.DataFrame, rng: np.random.Generator) -> float:
-        groups = [g for _, g in frame.groupby("stratum", sort=True)]
-        wins = pairs = 0.0
-        for i in rng.integers(0, len(groups), len(groups)):
-            g = groups[i].iloc[rng.integers(0, len(groups[i]), len(groups[i]))]
-            value = auc_of(g["score"].to_numpy(), g["label"].to_numpy())
-            n = g["label"].sum() * (len(g) - g["label"].sum())
-            if n:
-                wins, pairs = wins + value * n, pairs + n
-        return wins / pairs if pairs else math.nan
-
-    values = resampled(pool.select("stratum", "score", "label").orderBy("stratum", "score", "label"), draws, drawn, seed).where(~F.isnan("value"))
-    ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
-    return values.agg(ends[0].alias("low"), ends[1].alias("high"), F.count("*").alias("draws"))
-
-
 def population_overlap(sample: DataFrame, population: DataFrame) -> DataFrame:
     """Sizes of population, group, sample and of the sample's part in the group."""
     distinct = population.groupBy("item").agg(F.max("in_group").alias("in_group"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, residues
-from ..operators import audit, claims, evaluation, learning, matching, peptides, ranking, scoring, statistics, variants
+from ..operators import audit, claims, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -605,12 +605,76 @@ def refit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def permutation_p(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.permutation_p(pool_rows(spark, sf).where("method = 'length'"), 500)
+    """The AUC of each method over the labelled documents, and its chance under permuted labels."""
+    return permutation.permutation_p(pool_rows(spark, sf).where("label is not null"), ["method"], 500).select("method", r6("auc", "auc"), r6("p", "p"))
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.bootstrap_interval(pool_rows(spark, sf).where("method = 'length'"), 200)
+    """95 % intervals of each method's AUC within languages."""
+    return permutation.bootstrap_interval(pool_rows(spark, sf).where("label is not null"), ["method"], 200)
+
+
+#: Two rankings of the lines of each order, k = 2; all arrangements of an order's labels are listed.
+_PAIRED = """WITH r AS (
+  SELECT l_orderkey AS pool_id, l_extendedprice AS a, l_quantity AS b, (l_discount > 0.05)::INT AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem
+), m AS (
+  SELECT pool_id, y, i, 2 * rank() OVER (PARTITION BY pool_id ORDER BY a) + count(*) OVER (PARTITION BY pool_id, a) - 1 AS ra, 2 * rank() OVER (PARTITION BY pool_id ORDER BY b) + count(*) OVER (PARTITION BY pool_id, b) - 1 AS rb,
+    rank() OVER (PARTITION BY pool_id ORDER BY a DESC) - 1 AS ua, count(*) OVER (PARTITION BY pool_id, a) AS na, rank() OVER (PARTITION BY pool_id ORDER BY b DESC) - 1 AS ub, count(*) OVER (PARTITION BY pool_id, b) AS nb FROM r
+), n AS (SELECT pool_id, count(*) AS n, sum(y) AS k, sum(y << i)::BIGINT AS own FROM m GROUP BY pool_id),
+s AS (SELECT pool_id, n, k, own, unnest(range(0, 1 << n::INT)) AS mask FROM n),
+t AS (
+  SELECT pool_id, any_value(n) AS n, any_value(k) AS k, bool_or(mask = own) AS seen, mask, sum(((mask >> i) & 1) * ra) AS ta, sum(((mask >> i) & 1) * rb) AS tb,
+    sum(((mask >> i) & 1) * (ua + na <= 2)::INT) + greatest(0, sum(((mask >> i) & 1) * (ua < 2 AND ua + na > 2)::INT) - max(CASE WHEN ua < 2 AND ua + na > 2 THEN ua + na - 2 ELSE 0 END)) AS ha,
+    sum(((mask >> i) & 1) * (ub + nb <= 2)::INT) + greatest(0, sum(((mask >> i) & 1) * (ub < 2 AND ub + nb > 2)::INT) - max(CASE WHEN ub < 2 AND ub + nb > 2 THEN ub + nb - 2 ELSE 0 END)) AS hb
+  FROM s JOIN m USING (pool_id) WHERE bit_count(mask) = k GROUP BY pool_id, mask
+), o AS (SELECT pool_id, n, k, ta, tb, ha, hb FROM t WHERE seen),
+p AS (SELECT t.pool_id, avg((abs(t.ta - t.tb) >= abs(o.ta - o.tb))::INT) AS ap, avg((abs(t.ha - t.hb) >= abs(o.ha - o.hb))::INT) AS hp FROM t JOIN o USING (pool_id) GROUP BY t.pool_id)
+SELECT pool_id, n::BIGINT AS pool, k::BIGINT AS positives, least(2, n)::INT AS depth, ha::BIGINT AS hits_a, hb::BIGINT AS hits_b, round(hp, 6) AS hits_p,
+  CASE WHEN k > 0 AND k < n THEN round((ta - k * (k + 1)) / (2.0 * k * (n - k)), 6) END AS auc_a, CASE WHEN k > 0 AND k < n THEN round((tb - k * (k + 1)) / (2.0 * k * (n - k)), 6) END AS auc_b,
+  CASE WHEN k > 0 AND k < n THEN round(ap, 6) END AS auc_p
+FROM o JOIN p USING (pool_id)"""
+
+
+@query(_PAIRED)
+def paired_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rankings of each order's lines, compared exactly."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pool_id"), F.col("l_extendedprice").alias("score_a"), F.col("l_quantity").alias("score_b"), (F.col("l_discount") > 0.05).cast("int").alias("label"))
+    found = permutation.paired_comparison(rows, ["pool_id"], 2)
+    return found.select("pool_id", "pool", "positives", "depth", "hits_a", "hits_b", r6("hits_p", "hits_p"), r6("auc_a", "auc_a"), r6("auc_b", "auc_b"), r6("auc_p", "auc_p"))
+
+
+@query()
+def paired_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """Two methods over the labelled documents of each language, with drawn permutations."""
+    wide = pool_rows(spark, sf).where("method <> 'arbitrary'").groupBy("key", "stratum").agg(
+        F.max("label").alias("label"), F.max(F.when(F.col("method") == "length", F.col("score"))).alias("score_a"), F.max(F.when(F.col("method") == "mixed", F.col("score"))).alias("score_b")
+    )
+    return permutation.paired_comparison(wide, ["stratum"], 20, 500)
+
+
+# --- ensembles -----------------------------------------------------------------
+
+FEATURES = ["presentation", "clonality", "expression", "agretopicity"]
+
+
+def labelled_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return scored_variants(spark, sf).withColumn("label", (F.col("line") % 3 == 0).cast("int"))
+
+
+@query()
+def bootstrap_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of models refitted to resampled suppliers."""
+    rows = labelled_variants(spark, sf)
+    return ensembles.bootstrap_ensemble(rows, FEATURES, "supplier", "key", 40).withColumn("weight", F.round("weight", 4))
+
+
+@query()
+def weight_uncertainty(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the ensemble's members disagree on each variant."""
+    rows = labelled_variants(spark, sf)
+    members = ensembles.bootstrap_ensemble(rows, FEATURES, "supplier", "key", 40)
+    return rows.select("key", F.round(ensembles.weight_uncertainty(ensembles.member_scores(members, FEATURES)), 4).alias("spread"))
 
 
 # --- peptides ----------------------------------------------------------------
@@ -787,5 +851,9 @@ def retired_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def cross_validated_auc(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored_variants(spark, sf).withColumn("label", (F.col("line") % 3 == 0).cast("int"))
-    return learning.cross_validated(rows, ["presentation", "clonality", "expression", "agretopicity"], "supplier")
+    return ensembles.cross_validated(labelled_variants(spark, sf), FEATURES, "supplier")
+
+
+@query()
+def cross_validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    return ensembles.cross_validation_report(labelled_variants(spark, sf), FEATURES, "supplier")

@@ -278,14 +278,3 @@ def test_request_gated_tail_and_weight_changes(spark):
     assert (sheet["assay"], sheet["call"], sheet["predicted_rank"], sheet["predicted_score"]) == ("IFNG_ELISPOT", "", 1, 0.9) and len(sheet) == 12
     changes = learning.weight_changes({"b": 1.0, "a": 0.5}, {"a": 0.25, "b": 2.0}, spark).collect()
     assert [c["text"] for c in changes] == ["a                  +0.500 -> +0.250  (-0.250)", "b                  +1.000 -> +2.000  (+1.000)"]
-
-
-def test_cross_validation_needs_groups(spark):
-    from siftline.operators import learning
-
-    rows = spark.createDataFrame([(i % 12, float(i % 7) + 3 * (i % 2), i % 2) for i in range(240)], "g int, x double, label int")
-    out = learning.cross_validated(rows, ["x"], "g").collect()
-    assert out == [] or all(0 <= r["auc"] <= 1 for r in out)
-    mixed = rows.withColumn("g", (rows["x"] * 0 + rows["g"] % 12 + (rows["x"] % 2)).cast("int"))
-    assert all(r["auc"] > 0.5 for r in learning.cross_validated(mixed, ["x"], "g").collect())
-    assert learning.cross_validated(rows.where("g < 2"), ["x"], "g").count() == 0
