@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..sources.shared import stored
 from .ensembles import multiplicities
 from .evaluation import running_before
 
@@ -31,21 +32,20 @@ EXACT_ROWS = 16
 BLOCK_CELLS = 10_000
 
 
-def double_midranks(pool: DataFrame, groups: list[str], score: str, name: str) -> DataFrame:
-    """Adds twice the midrank of ``score`` (1 for the lowest), a whole number."""
-    sizes = pool.groupBy(*groups, score).agg(F.count("*").alias("_n"))
-    placed = running_before(sizes, score, "_n", groups)
-    return pool.join(placed.select(*groups, score, (2 * F.col("before") + F.col("_n") + 1).cast("long").alias(name)), [*groups, score])
+def placed(cells: DataFrame, groups: list[str], score: str) -> DataFrame:
+    """(groups, score, rank, below, tied): twice the midrank of each score (1 for the lowest row), the rows below it and at it.
+
+    ``cells`` has n, its rows.
+    """
+    sizes = cells.groupBy(*groups, score).agg(F.sum("n").alias("tied"))
+    return running_before(sizes, score, "tied", groups).select(*groups, score, (2 * F.col("before") + F.col("tied") + 1).cast("long").alias("rank"), F.col("before").alias("below"), "tied")
 
 
-def zones(pool: DataFrame, groups: list[str], score: str, k: int, name: str) -> DataFrame:
-    """Adds a struct of place (2 above the k-th best score, 1 tied with it, 0 below) and spare: the tied rows beyond the k best."""
-    sizes = pool.groupBy(*groups, score).agg(F.count("*").alias("_n")).withColumn("_down", -F.col(score))
-    placed = running_before(sizes, "_down", "_n", groups)
-    above, end = F.col("before"), F.col("before") + F.col("_n")
+def zone(pool: Column, below: Column, tied: Column, k: int) -> Column:
+    """place (2 above the k-th best score, 1 tied with it, 0 below) and spare: the tied rows beyond the k best."""
+    above, end = pool - below - tied, pool - below
     place = F.when(end <= k, 2).when(above >= k, 0).otherwise(1)
-    spare = F.when((above < k) & (end > k), end - k).otherwise(0).cast("long")
-    return pool.join(placed.select(*groups, score, F.struct(place.alias("place"), spare.alias("spare")).alias(name)), [*groups, score])
+    return F.struct(place.alias("place"), F.when(place == 1, end - k).otherwise(0).cast("long").alias("spare"))
 
 
 @lru_cache(maxsize=100_000)
@@ -87,7 +87,8 @@ def _share(ways: dict[int, int], observed: int, two_sided: bool) -> float:
 def _exact(two_sided: bool):
     @F.pandas_udf(T.DoubleType())
     def p(values: pd.Series, positives: pd.Series, observed: pd.Series) -> pd.Series:
-        return pd.Series([_share(_sums(tuple(sorted(map(int, v))), int(k)), int(o), two_sided) for v, k, o in zip(values, positives, observed, strict=True)], dtype=float)
+        each = (tuple(sorted(c["value"] for c in cells for _ in range(c["n"]))) for cells in values)
+        return pd.Series([_share(_sums(v, int(k)), int(o), two_sided) for v, k, o in zip(each, positives, observed, strict=True)], dtype=float)
 
     return p
 
@@ -120,15 +121,14 @@ def drawn_sums(cells: DataFrame, groups: list[str], rounds: int, seed: int) -> D
     return sums.groupBy(*groups, "round").agg(F.sum("total").alias("total"))
 
 
-def _p_values(pool: DataFrame, groups: list[str], value: str, rounds: int, seed: int, two_sided: bool) -> DataFrame:
-    """(groups, observed, p) of the sum of ``value`` over the positives."""
-    whole = pool.groupBy(*groups).agg(F.count("*").alias("_rows"), F.sum("label").cast("long").alias("positives"), F.sum(F.col(value) * F.col("label")).cast("long").alias("observed"))
-    sized = pool.join(whole, groups)
-    small = sized.where(F.col("_rows") <= EXACT_ROWS).groupBy(*groups).agg(F.collect_list(value).alias("values"), F.first("positives").alias("positives"), F.first("observed").alias("observed"))
+def _p_values(cells: DataFrame, groups: list[str], rounds: int, seed: int, two_sided: bool) -> DataFrame:
+    """(groups, observed, p) of the sum of ``value`` over the positives; ``cells`` has value, n and k and is stored."""
+    cells = cells.groupBy(*groups, "value").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    whole = cells.groupBy(*groups).agg(F.sum("n").alias("_rows"), F.sum("k").alias("positives"), F.sum(F.col("value") * F.col("k")).alias("observed"))
+    sized = cells.join(whole, groups)
+    small = sized.where(F.col("_rows") <= EXACT_ROWS).groupBy(*groups).agg(F.collect_list(F.struct("value", "n")).alias("values"), F.first("positives").alias("positives"), F.first("observed").alias("observed"))
     small = small.select(*groups, "observed", _exact(two_sided)("values", "positives", "observed").alias("p"))
-    large = sized.where(F.col("_rows") > EXACT_ROWS)
-    cells = large.groupBy(*groups, F.col(value).alias("value")).agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k"))
-    drawn = drawn_sums(cells, groups, rounds, seed).join(whole.select(*groups, "observed"), groups)
+    drawn = drawn_sums(sized.where(F.col("_rows") > EXACT_ROWS).select(*groups, "value", "n", "k"), groups, rounds, seed).join(whole.select(*groups, "observed"), groups)
     far = (F.abs("total") >= F.abs("observed")) if two_sided else (F.col("total") >= F.col("observed"))
     tested = drawn.groupBy(*groups).agg(F.first("observed").alias("observed"), ((1 + F.count_if(far)) / F.lit(rounds + 1)).alias("p"))
     return small.unionByName(tested)
@@ -137,12 +137,15 @@ def _p_values(pool: DataFrame, groups: list[str], value: str, rounds: int, seed:
 def permutation_p(pool: DataFrame, groups: list[str], rounds: int = 1000, seed: int = 0) -> DataFrame:
     """(groups, auc, p): the rank AUC of each pool and the chance of one as large when labels are permuted.
 
-    ``pool`` has score and label (0 or 1) and at least one column of ``groups``.  Pools of up to EXACT_ROWS rows are
-    enumerated, others drawn ``rounds`` times, the observed labels included.  Pools of one class have neither value.
+    ``pool`` has score and label (0 or 1; rows lacking either take no part) and at least one
+    column of ``groups``.  Pools of up to EXACT_ROWS rows are enumerated, others drawn ``rounds``
+    times, the observed labels included.  Pools of one class have neither value.
     """
-    ranked = double_midranks(pool.select(*groups, "score", F.col("label").cast("int").alias("label")), groups, "score", "_rank")
-    counts = ranked.groupBy(*groups).agg(F.sum("label").cast("long").alias("_k"), F.sum(1 - F.col("label")).cast("long").alias("_m"))
-    tested = counts.join(_p_values(ranked, groups, "_rank", rounds, seed, False), groups)
+    rows = pool.where("score is not null and label is not null")
+    cells = stored(rows.groupBy(*groups, "score").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k")))
+    valued = stored(cells.join(placed(cells, groups, "score"), [*groups, "score"]).select(*groups, F.col("rank").alias("value"), "n", "k"))
+    counts = cells.groupBy(*groups).agg(F.sum("k").alias("_k"), F.sum(F.col("n") - F.col("k")).alias("_m"))
+    tested = counts.join(_p_values(valued, groups, rounds, seed, False), groups)
     both = (F.col("_k") > 0) & (F.col("_m") > 0)
     auc = (F.col("observed") - F.col("_k") * (F.col("_k") + 1)) / (2 * F.col("_k") * F.col("_m"))
     return tested.select(*groups, F.when(both, auc).alias("auc"), F.when(both, F.col("p")).alias("p"))
@@ -179,15 +182,18 @@ def paired_comparison(pool: DataFrame, groups: list[str], k: int, rounds: int =
     negatives first.  Both p-values are two-sided over permuted labels, exact for pools
     of up to EXACT_ROWS rows.  Pools of one class have no auc.
     """
-    rows = pool.where("score_a is not null and score_b is not null and label is not null").select(*groups, "score_a", "score_b", F.col("label").cast("int").alias("label"))
+    rows = pool.where("score_a is not null and score_b is not null and label is not null")
+    cells = stored(rows.groupBy(*groups, "score_a", "score_b").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k")))
+    found = cells.join(cells.groupBy(*groups).agg(F.sum("n").alias("_pool")), groups)
     for side in ("a", "b"):
-        rows = zones(double_midranks(rows, groups, f"score_{side}", f"_rank_{side}"), groups, f"score_{side}", k, f"_zone_{side}")
-    rows = rows.withColumn("_gap", F.col("_rank_a") - F.col("_rank_b"))
-    zone = rows.groupBy(*groups, F.col("_zone_a.place").alias("a"), F.col("_zone_b.place").alias("b")).agg(
-        F.count("*").alias("n"), F.sum("label").cast("long").alias("k"), F.max("_zone_a.spare").alias("sa"), F.max("_zone_b.spare").alias("sb"),
-        F.sum(F.col("_rank_a") * F.col("label")).cast("long").alias("ra"), F.sum(F.col("_rank_b") * F.col("label")).cast("long").alias("rb"),
+        own = placed(cells, groups, f"score_{side}").withColumnsRenamed({"rank": f"_r{side}", "below": "_below", "tied": "_tied"})
+        found = found.join(own, [*groups, f"score_{side}"]).withColumn(f"_z{side}", zone(F.col("_pool"), F.col("_below"), F.col("_tied"), k)).drop("_below", "_tied")
+    found = stored(found.withColumn("value", F.col("_ra") - F.col("_rb")))
+    zones = found.groupBy(*groups, F.col("_za.place").alias("a"), F.col("_zb.place").alias("b")).agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.max("_za.spare").alias("sa"), F.max("_zb.spare").alias("sb"),
+        F.sum(F.col("_ra") * F.col("k")).alias("ra"), F.sum(F.col("_rb") * F.col("k")).alias("rb"),
     )
-    whole = zone.groupBy(*groups).agg(
+    whole = zones.groupBy(*groups).agg(
         F.sum("n").alias("pool"), F.sum("k").alias("positives"), F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("ra").alias("ra"), F.sum("rb").alias("rb"),
         F.collect_list(F.struct("a", "b", "n", "k")).alias("cells"),  # nine at most
     )
@@ -197,7 +203,7 @@ def paired_comparison(pool: DataFrame, groups: list[str], k: int, rounds: int =
         return _hit_gaps(cells, spare_a, spare_b, keys, rounds, seed)
 
     whole = whole.withColumn("hits", tested("cells", "sa", "sb", F.xxhash64(*groups)))
-    auc = _p_values(rows, groups, "_gap", rounds, seed, True).select(*groups, F.col("p").alias("_auc_p"))
+    auc = _p_values(found, groups, rounds, seed, True).select(*groups, F.col("p").alias("_auc_p"))
     positives, negatives = F.col("positives"), F.col("pool") - F.col("positives")
     both = (positives > 0) & (negatives > 0)
     of = lambda c: F.when(both, (F.col(c) - positives * (positives + 1)) / (2 * positives * negatives))
@@ -231,11 +237,12 @@ def bootstrap_interval(pool: DataFrame, groups: list[str], draws: int = 500, see
     into blocks by score, so that none is resampled in one task.
     """
     strata = [*groups, "stratum"]
-    cells = pool.groupBy(*strata, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    rows = pool.where("score is not null and label is not null")
+    cells = stored(rows.groupBy(*strata, "score").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")))
     usable = cells.groupBy(*strata).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"), F.count("*").alias("_cells")).where("_p > 0 and _q > 0")
-    placed = running_before(cells.join(usable, strata).withColumn("_one", F.lit(1)), "score", "_one", strata)
-    dealt = placed.withColumn("_block", F.expr(f"cast(before div {BLOCK_CELLS} as int)"))
-    packed = dealt.groupBy(*strata, "_block").agg(F.array_sort(F.collect_list(F.struct("score", "pos", "neg"))).alias("cells"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    ordered = running_before(cells.join(usable, strata).withColumn("_one", F.lit(1)), "score", "_one", strata)
+    dealt = ordered.withColumn("_block", F.expr(f"cast(before div {BLOCK_CELLS} as int)"))
+    packed = stored(dealt.groupBy(*strata, "_block").agg(F.array_sort(F.collect_list(F.struct("score", "pos", "neg"))).alias("cells"), F.sum(F.col("pos") + F.col("neg")).alias("n")))
     sizes = packed.groupBy(*strata).agg(F.array_sort(F.collect_list(F.struct("_block", "n"))).alias("sizes"))
     names = usable.select(*strata)
     few = names.groupBy(*groups).agg(F.count("*").alias("_strata"))
@@ -250,8 +257,8 @@ def bootstrap_interval(pool: DataFrame, groups: list[str], draws: int = 500, see
                 yield found.assign(**{g: row[g] for g in strata}, _block=row["_block"])[schema.fieldNames()]
 
     parts = rows.repartition(*strata, "_block").mapInPandas(run, schema)
-    ordered = W.partitionBy(*strata, "draw", "copy").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(ordered), F.lit(0))
+    earlier = W.partitionBy(*strata, "draw", "copy").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
     copies = parts.withColumn("wins", F.col("wins") + F.col("pos") * below).groupBy(*strata, "draw", "copy").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum("wins").alias("w"))
     values = copies.groupBy(*groups, "draw").agg(F.sum(F.col("p") * F.col("q")).alias("pairs"), F.sum("w").alias("w")).where("pairs > 0").withColumn("value", F.col("w") / F.col("pairs"))
     ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
