@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, residues
-from ..operators import audit, claims, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
+from ..operators import audit, claims, coding, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,6 +244,81 @@ def codon_translate(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("item_id", residues.translate_codons(F.col("cds")).alias("protein"))
 
 
+# --- coding positions ----------------------------------------------------------
+
+#: Two coding spans for each part, 128 bases in all, on either strand of five sequences.
+_SPANS = """tr AS (
+  SELECT p_partkey AS k, 'T' || p_partkey AS transcript, 'C' || (p_partkey % 5) AS sequence, p_partkey % 2 = 1 AS back, p_partkey * 300 AS base, 40 + p_size AS e,
+    translate(sha256(p_partkey::VARCHAR) || sha256((-p_partkey)::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS cds FROM part
+), sp AS (
+  SELECT *, base + 1 AS s, base + e AS t, CASE WHEN back THEN 128 - e ELSE 0 END AS before FROM tr
+  UNION ALL SELECT *, base + 150, base + 277 - e, CASE WHEN back THEN 0 ELSE e END FROM tr
+)"""
+
+
+def part_spans(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    base, first = k * 300, 40 + F.col("p_size")
+    spans = F.array(F.struct((base + 1).alias("start"), (base + first).alias("end")), F.struct((base + 150).alias("start"), (base + 277 - first).alias("end")))
+    return read(spark, sf, "part").select(
+        F.concat(F.lit("T"), k).alias("transcript"), F.concat(F.lit("C"), k % 5).alias("sequence"), F.when(k % 2 == 1, "-").otherwise("+").alias("strand"), F.inline(spans)
+    )
+
+
+def part_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    hashed = F.concat(F.sha2(k.cast("string"), 256), F.sha2((-k).cast("string"), 256))
+    return read(spark, sf, "part").select(F.concat(F.lit("T"), k).alias("transcript"), F.translate(hashed, "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+
+
+_CODING = f"""{_SPANS}, v AS (
+  SELECT l_orderkey || ':' || l_linenumber || ':' || l_suppkey AS variant_id, 'C' || (l_partkey % 5) AS sequence, l_partkey * 300 + (l_orderkey * 7 + l_linenumber * 13) % 300 AS pos,
+    substr('ACGT', 1, 1 + l_linenumber % 3) AS ref, substr('GTCA', 1, 1 + (l_linenumber + 1) % 3) AS alt FROM lineitem
+), i AS (
+  SELECT variant_id, transcript, cds, CASE WHEN back THEN before + t - (pos + length(ref) - 1) ELSE before + pos - s END AS cds_pos,
+    CASE WHEN back THEN reverse(translate(ref, 'ACGT', 'TGCA')) ELSE ref END AS ref, CASE WHEN back THEN reverse(translate(alt, 'ACGT', 'TGCA')) ELSE alt END AS alt
+  FROM v JOIN sp ON v.sequence = sp.sequence AND pos >= s AND pos + length(ref) - 1 <= t
+), m AS (SELECT *, cds_pos // 3 AS start_offset, substr(cds, 1, cds_pos::INT) || alt || substr(cds, (cds_pos + length(ref) + 1)::INT) AS mutant FROM i),
+x AS (SELECT *, substr(mutant, (start_offset * 3 + 1)::INT) AS c FROM m), k AS (SELECT {_CODE} AS code),
+d AS (
+  SELECT variant_id, transcript, cds_pos::BIGINT AS cds_pos, start_offset::BIGINT AS start_offset,
+    regexp_extract(array_to_string(list_transform(range(1, length(c) - 1, 3), lambda j: coalesce(code[substr(c, j::INT, 3)], 'X')), ''), '^[^*]*\\*?') AS peptide FROM x, k
+)"""
+
+
+def lineitem_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes at positions of each line's part, in or between its coding spans."""
+    order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    found = read(spark, sf, "lineitem").select(
+        F.concat_ws(":", order, line, "l_suppkey").alias("variant_id"), F.concat(F.lit("C"), part % 5).alias("sequence"), (part * 300 + (order * 7 + line * 13) % 300).alias("pos"),
+        F.substring(F.lit("ACGT"), F.lit(1), (1 + line % 3).cast("int")).alias("ref"), F.substring(F.lit("GTCA"), F.lit(1), (1 + (line + 1) % 3).cast("int")).alias("alt"),
+    )
+    placed = coding.coding_positions(found, coding.span_offsets(part_spans(spark, sf)), 4096)
+    return placed.join(part_transcripts(spark, sf), "transcript")
+
+
+@query(f"WITH {_CODING} SELECT * FROM d")
+def coding_changes(spark: SparkSession, sf: str) -> DataFrame:
+    made = lineitem_positions(spark, sf).withColumn("m", coding.downstream(F.col("seq"), F.col("cds_pos"), F.col("ref"), F.col("alt")))
+    return made.select("variant_id", "transcript", "cds_pos", "m.start_offset", "m.peptide")
+
+
+@query(f"""WITH {_CODING}, r AS (
+  SELECT *, length(transcript) % 2 AS odd, start_offset + CASE WHEN start_offset % 7 = 3 THEN 1 ELSE 0 END AS told, CASE WHEN start_offset % 5 = 1 THEN peptide || 'A' ELSE peptide END AS said FROM d
+)
+SELECT CASE WHEN start_offset % 11 = 2 THEN 'not_recomputed' WHEN told <> start_offset THEN 'offset_drift' WHEN said <> peptide THEN 'peptide_differs' ELSE 'equal' END AS verdict,
+  count(*) AS n, sum(CASE WHEN start_offset % 11 <> 2 THEN told - start_offset END)::BIGINT AS drift FROM r GROUP BY 1""")
+def drift_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Reported results of which some have a wrong offset or peptide, and some no counterpart."""
+    found = coding_changes(spark, sf).select(F.concat_ws("/", "variant_id", "transcript").alias("variant_id"), F.col("peptide").alias("downstream_peptide"), "start_offset")
+    offset, peptide = F.col("start_offset"), F.col("downstream_peptide")
+    told = found.select(
+        "variant_id", F.when(offset % 5 == 1, F.concat(peptide, F.lit("A"))).otherwise(peptide).alias("downstream_peptide"), (offset + F.when(offset % 7 == 3, 1).otherwise(0)).alias("start_offset")
+    )
+    judged = coding.drift(told.distinct(), found.where(offset % 11 != 2).distinct())
+    return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("drift").cast("long").alias("drift"))
+
+
 # --- matching ----------------------------------------------------------------------
 
 
