@@ -18,6 +18,7 @@ CHANGES = (
     ("insertion", r"^p?\.?([A-Z])(\d+)_([A-Z])(\d+)ins([ACDEFGHIKLMNPQRSTVWY]+)$"),
 )
 MAX_DELETION_SPAN = 30
+CLASS_I = ("A", "B", "C")
 
 
 def _trimmed(raw: Column) -> Column:
@@ -36,6 +37,30 @@ def normalize_allele(raw: Column) -> Column:
     return F.when(name.rlike(ALLELE), F.concat(F.lit("HLA-"), F.upper(part(1)), F.lit("*"), part(2), F.lit(":"), part(3)))
 
 
+def gene_of(allele: Column) -> Column:
+    """The gene of a canonical name, as ``A`` of ``HLA-A*02:01``."""
+    return F.regexp_extract(allele, r"^[^-]*-([^*]*)", 1)
+
+
+def is_class_i(allele: Column) -> Column:
+    return gene_of(allele).isin(*CLASS_I)
+
+
+def genotype(tokens: Column) -> Column:
+    """alleles, canonical, each once and in order, and the tokens that are ``unreadable``; empty tokens are left out."""
+    tokens = F.filter(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: _trimmed(t) != "")
+    read = F.transform(tokens, normalize_allele)
+    return F.struct(
+        F.array_distinct(F.filter(read, lambda a: a.isNotNull())).alias("alleles"),
+        F.array_distinct(F.filter(tokens, lambda t: normalize_allele(t).isNull())).alias("unreadable"),
+    )
+
+
+def genotype_tokens(text: Column) -> Column:
+    """The names of a comma, semicolon or space separated list."""
+    return F.split(text, r"[,;\s]+")
+
+
 def normalize_peptide(raw: Column) -> Column:
     """Letters only, upper-case, white space dropped; null otherwise."""
     name = _compact(raw)

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.residues import ALPHABET, BLOSUM62, PAIR_SCORES, literal_map, windows
+from ..functions.residues import ALPHABET, BLOSUM62, PAIR_SCORES, is_valid, literal_map, windows
+from ..sources.shared import stored
 
 SEED = 4
 #: Window starts of one block of a sequence.
 BLOCK = 256
+#: Residues of the index of exact matches, most of its entries that are sent to all tasks, places of a sequence and windows held at a time.
+PREFIX = 8
+MOST_PREFIXES = 1_000_000
+MASK = (1 << 20) - 3
+PIECE = 1 << 20
+HELD_WINDOWS = 100_000
 
 
 def kmers(sequences: DataFrame, id_column: str, length: int) -> DataFrame:
@@ -25,18 +37,91 @@ def kmers(sequences: DataFrame, id_column: str, length: int) -> DataFrame:
     return inner.select(id_column, (F.col("first") + F.col("at")).alias("start"), F.substring(F.col("block"), F.col("at"), F.lit(length)).alias("kmer"))
 
 
-def exact_matches(peptides: DataFrame, reference: DataFrame, length: int) -> DataFrame:
-    """The peptides (column peptide, of one length) that occur anywhere in the reference sequences.
-
-    Windows that no peptide asks for drop out before anything is shuffled, where the
-    peptides are few enough for Spark to send them along.
+def _letter_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Five bits a letter, and which bytes are residues."""
+    known = np.zeros(256, bool)
+    known[[ord(c) for c in ALPHABET]] = True
+    return (data & 31).astype(np.int64), known[data]
+
+
+def prefix_codes(data: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of a length, -1 where it holds anything but residues."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    codes, known = _letter_codes(data)
+    out, ok = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(length):
+        out = (out << 5) | codes[i : n + i]
+        ok &= known[i : n + i]
+    return np.where(ok, out, -1)
+
+
+def _prefix_hits(reference: DataFrame, prefixes: dict[int, np.ndarray], longest: int) -> DataFrame:
+    """(window): up to ``longest`` residues from each place of a sequence (column seq) where one of the prefixes starts."""
+    spark = reference.sparkSession
+    tables = {}
+    for length, codes in prefixes.items():
+        maybe = np.zeros(1 << 20, bool)  # most places are ruled out by one look-up
+        maybe[codes % MASK] = True
+        tables[length] = (np.sort(codes), maybe)
+    sent = spark.sparkContext.broadcast(tables)  # at most MOST_PREFIXES numbers
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[bytes] = set()
+            for text in batch.column(0):
+                raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
+                for length, (codes, maybe) in sent.value.items():
+                    for lo in range(0, len(raw) - length + 1, PIECE):
+                        own = prefix_codes(raw[lo : lo + PIECE + length - 1], length)
+                        at = np.flatnonzero(maybe[own % MASK] & (own >= 0))
+                        at = at[codes[np.minimum(np.searchsorted(codes, own[at]), len(codes) - 1)] == own[at]]
+                        found.update(raw[i : i + longest].tobytes() for i in (at + lo).tolist())
+                if len(found) > HELD_WINDOWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["window"])
+                    found = set()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["window"])
+
+    raw = reference.select(F.col("seq").cast("string")).mapInArrow(scan, "window binary")
+    return raw.select(F.decode("window", "UTF-8").alias("window")).distinct()
+
+
+def self_matches(peptides: DataFrame, reference: DataFrame) -> DataFrame:
+    """(peptide): the distinct peptides, of any lengths, that occur anywhere in the reference sequences (column seq).
+
+    All lengths share one index of their first PREFIX residues: a reference place is
+    looked at once, and only where a prefix starts does it become a row, which is then
+    compared as a whole.  Peptides with other letters than residues match nothing.
+    Beyond MOST_PREFIXES prefixes all windows are shuffled instead.
     """
-    wanted = peptides.where(F.length("peptide") == length)
-    windows_ = kmers(reference.withColumn("_one", F.lit(1)), "_one", length).select(F.col("kmer").alias("peptide"))
-    seen = windows_.join(wanted.select("peptide").distinct(), "peptide", "left_semi").distinct()
+    wanted = stored(peptides.where(is_valid(F.col("peptide"))).select("peptide").distinct())
+    index = wanted.select(F.substring("peptide", 1, PREFIX).alias("prefix"), F.length("peptide").alias("size"))
+    sizes = [r["size"] for r in index.select("size").distinct().collect()]
+    if not sizes:
+        return wanted
+    distinct = index.select("prefix").distinct()
+    if distinct.count() <= MOST_PREFIXES:
+        texts = [r["prefix"].encode() for r in distinct.collect()]
+        by_length: dict[int, list[bytes]] = {}
+        for t in texts:
+            by_length.setdefault(len(t), []).append(t)
+        codes = {n: np.concatenate([prefix_codes(np.frombuffer(t, np.uint8), n) for t in own]) for n, own in by_length.items()}
+        hits = _prefix_hits(reference, codes, max(sizes))
+        cuts = F.array(*[F.when(F.length("window") >= n, F.substring("window", 1, n)) for n in sizes])
+        seen = hits.select(F.explode(cuts).alias("peptide")).where("peptide is not null").distinct()
+    else:
+        numbered_ = reference.withColumn("_one", F.lit(1))
+        seen = reduce(DataFrame.union, [kmers(numbered_, "_one", n).select(F.col("kmer").alias("peptide")) for n in sizes])
     return wanted.join(seen, "peptide", "left_semi")
 
 
+def exact_matches(peptides: DataFrame, reference: DataFrame, length: int) -> DataFrame:
+    """The rows of ``peptides`` (column peptide) of one length that occur anywhere in the reference sequences."""
+    wanted = peptides.where(F.length("peptide") == length)
+    return wanted.join(self_matches(wanted, reference), "peptide", "left_semi")
+
+
 def keep_longest(sequences: DataFrame, key: str, order: str) -> DataFrame:
     """Per key the longest sequence; of equal ones the first by ``order``."""
     best = F.max_by("seq", F.struct(F.length("seq"), -F.col(order)))
@@ -90,3 +175,14 @@ def resolve_isoform(changes: DataFrame, isoforms: DataFrame) -> DataFrame:
 def catalog_matches(found: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a shared catalogue that were found."""
     return catalog.join(found.select(*keys).distinct(), keys, "left_semi")
+
+
+def eligible(catalog: DataFrame, genotypes: DataFrame, key: str, sample: str) -> DataFrame:
+    """(key, sample): catalogue entries with a documented allele in a sample's genotype.
+
+    ``catalog`` has the array ``restricting``, ``genotypes`` the array ``alleles``, both of
+    canonical names; entries meet samples on single alleles.
+    """
+    documented = catalog.select(key, F.explode(F.array_distinct("restricting")).alias("allele"))
+    owned = genotypes.select(sample, F.explode(F.array_distinct("alleles")).alias("allele"))
+    return documented.join(owned, "allele").select(key, sample).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import hydropathy, mutation_exposure, substitution_dissimilarity
-from . import scoring
+from . import matching, scoring
 
 #: A predictor: from peptide and allele to columns presentation_score, affinity_nm and affinity_percentile.
 Predictor = Callable[[Column, Column], dict[str, Column]]
@@ -45,6 +45,28 @@ def with_predictions(candidates: DataFrame, calls: DataFrame) -> DataFrame:
     return candidates.join(calls, "peptide").join(wild, ["wildtype", "allele"], "left")
 
 
+def presentable(calls: DataFrame, max_percentile: float = 2.0, min_presentation: float = 0.0) -> DataFrame:
+    """(peptide): those that some allele is predicted to present; missing measures rule nothing out."""
+    low = F.coalesce(F.col("affinity_percentile") <= max_percentile, F.lit(True))
+    high = F.coalesce(F.col("presentation_score") >= min_presentation, F.lit(True))
+    return calls.where(low & high).select("peptide").distinct()
+
+
+def self_scanned(candidates: DataFrame, calls: DataFrame | None, reference: DataFrame, nearest_by: str | None = None, max_percentile: float = 2.0, min_presentation: float = 0.0) -> DataFrame:
+    """Adds is_self, and self_similarity where ``nearest_by`` names the reference's id column (else null).
+
+    Only presentable mutant peptides are looked up (all, without ``calls``); others are not self and have
+    no similarity.
+    """
+    own = candidates.select("peptide").distinct()
+    wanted = own if calls is None else own.join(presentable(calls, max_percentile, min_presentation), "peptide", "left_semi")
+    exact = matching.self_matches(wanted, reference).withColumn("_self", F.lit(True))
+    out = candidates.join(exact, "peptide", "left").withColumn("is_self", F.coalesce("_self", F.lit(False))).drop("_self")
+    if nearest_by is None:
+        return out.withColumn("self_similarity", F.lit(None).cast("double"))
+    return out.join(matching.nearest_similarity(wanted, reference, nearest_by).withColumnRenamed("similarity", "self_similarity"), "peptide", "left")
+
+
 def featured(rows: DataFrame, max_percentile: float = 2.0, min_presentation: float = 0.0, normal_ceiling: float | None = None) -> DataFrame:
     """Adds the nine scored features, agretopicity_raw, wt_dissimilarity_raw, self_match, wildtype_missing, gate_failures and score.
 

@@ -7,6 +7,7 @@ labels and rankings, events measurements.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, residues
 from ..operators import audit, claims, coding, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
+from ..sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,6 +246,75 @@ def codon_translate(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("item_id", residues.translate_codons(F.col("cds")).alias("protein"))
 
 
+# --- self matches and eligibility ------------------------------------------------
+
+_CALLS = """q AS (
+  SELECT DISTINCT substr(seq, i, n) AS peptide FROM (SELECT seq, n, unnest(range(1, length(seq) - n + 2)) AS i FROM b, (SELECT unnest([8, 9, 10, 11]) AS n) WHERE length(seq) >= n)
+), c AS (
+  SELECT peptide, (ascii(peptide) + 3 * ascii(right(peptide, 1))) % 10 AS pct, CASE WHEN ascii(substr(peptide, 2, 1)) % 5 <> 0 THEN (ascii(substr(peptide, 3, 1)) % 7) / 7.0 END AS score FROM q
+)"""
+
+
+def benchmark_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Peptides of four lengths with a stand-in prediction; some lack a score."""
+    seqs = residue_rows(spark, sf, "benchmark", "item_id")
+    found = [matching.kmers(seqs, "item_id", n).select(F.col("kmer").alias("peptide")) for n in (8, 9, 10, 11)]
+    letter = lambda i: F.ascii(F.substring("peptide", i, 1))
+    return functools.reduce(DataFrame.union, found).distinct().select(
+        "peptide", ((letter(1) + 3 * letter(-1)) % 10).cast("double").alias("affinity_percentile"), F.when(letter(2) % 5 != 0, (letter(3) % 7) / 7.0).alias("presentation_score")
+    )
+
+
+@query(f"""WITH b AS (SELECT {SEQ.format("text")} AS seq FROM benchmark), d AS (SELECT {SEQ.format("text")} AS seq FROM documents), {_CALLS},
+p AS (SELECT DISTINCT peptide FROM c WHERE pct <= 5 AND (score IS NULL OR score >= 0.3)),
+r AS (SELECT DISTINCT substr(seq, i, n) AS peptide FROM (SELECT seq, n, unnest(range(1, length(seq) - n + 2)) AS i FROM d, (SELECT unnest([8, 9, 10, 11]) AS n) WHERE length(seq) >= n))
+SELECT q.peptide, p.peptide IS NOT NULL AND r.peptide IS NOT NULL AS is_self FROM q LEFT JOIN p ON p.peptide = q.peptide LEFT JOIN r ON r.peptide = q.peptide""")
+def self_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Which presentable peptides of any length occur in the documents' sequences."""
+    calls = benchmark_calls(spark, sf)
+    scanned = ranking.self_scanned(calls.select("peptide"), calls, residue_rows(spark, sf, "documents", "doc_id"), None, 5.0, 0.3)
+    return scanned.select("peptide", "is_self")
+
+
+#: Names as the tables spell them: gene, two fields, sometimes more, in several styles; class II too.
+_NAMES = """n AS (
+  SELECT k, i, CASE (k + i) % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'A' ELSE 'DRB1' END AS gene, lpad(((k * 7 + i * 3) % 23 + 1)::VARCHAR, 2, '0') AS f1, lpad(((k * 5 + i) % 19 + 1)::VARCHAR, 2, '0') AS f2
+  FROM (SELECT c_custkey AS k, unnest([0, 1, 2, 3]) AS i FROM customer)
+), g AS (SELECT k, gene, 'HLA-' || gene || '*' || f1 || ':' || f2 AS allele FROM n)"""
+
+
+def customer_genotypes(spark: SparkSession, sf: str) -> DataFrame:
+    """(sample, alleles, unreadable) from a text list for each customer."""
+    key = F.col("c_custkey")
+    parts = []
+    for i in range(4):
+        gene = F.element_at(F.array(*map(F.lit, ("A", "B", "C", "A", "DRB1"))), ((key + i) % 5 + 1).cast("int"))
+        one, two = F.lpad(((key * 7 + i * 3) % 23 + 1).cast("string"), 2, "0"), F.lpad(((key * 5 + i) % 19 + 1).cast("string"), 2, "0")
+        parts.append([F.concat(gene, one, two), F.concat(F.lit("HLA-"), gene, F.lit("*"), one, F.lit(":"), two), F.concat(gene, F.lit("*"), one, F.lit(":"), two, F.lit(":01")), F.concat(F.lower(gene), F.lit("*"), one, F.lit(":"), two)][i])
+    text = F.concat(parts[0], F.lit(", "), parts[1], F.lit(";"), parts[2], F.lit(" nonsense\t"), parts[3])
+    return read(spark, sf, "customer").select(key.alias("sample"), names.genotype(names.genotype_tokens(text)).alias("g")).select("sample", "g.alleles", "g.unreadable")
+
+
+@query(f"WITH {_NAMES} SELECT k AS sample, count(DISTINCT allele) AS n, count(DISTINCT CASE WHEN gene IN ('A', 'B', 'C') THEN allele END) AS class_i, 1 AS unreadable, min(allele) AS least FROM g GROUP BY k")
+def genotypes(spark: SparkSession, sf: str) -> DataFrame:
+    found = customer_genotypes(spark, sf)
+    return found.select("sample", F.size("alleles").cast("long").alias("n"), F.size(F.filter("alleles", names.is_class_i)).cast("long").alias("class_i"), F.size("unreadable").alias("unreadable"), F.array_min("alleles").alias("least"))
+
+
+@query(f"""WITH {_NAMES}, c AS (
+  SELECT p_partkey AS entry, unnest(['HLA-A*' || lpad((p_partkey % 23 + 1)::VARCHAR, 2, '0') || ':' || lpad((p_partkey % 19 + 1)::VARCHAR, 2, '0'), 'HLA-B*' || lpad((p_size % 23 + 1)::VARCHAR, 2, '0') || ':' || lpad((p_partkey % 19 + 1)::VARCHAR, 2, '0')]) AS allele FROM part
+) SELECT entry, count(DISTINCT k) AS samples, min(k) AS first_sample FROM c JOIN g USING (allele) GROUP BY entry""")
+def eligible_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue entries that are documented for an allele of a sample's genotype."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    key = F.col("p_partkey")
+    last = two(key % 19 + 1)
+    restricting = F.array(F.concat(F.lit("HLA-A*"), two(key % 23 + 1), F.lit(":"), last), F.concat(F.lit("HLA-B*"), two(F.col("p_size") % 23 + 1), F.lit(":"), last))
+    catalog = read(spark, sf, "part").select(key.alias("entry"), restricting.alias("restricting"))
+    found = matching.eligible(catalog, customer_genotypes(spark, sf), "entry", "sample")
+    return found.groupBy("entry").agg(F.count("*").alias("samples"), F.min("sample").alias("first_sample"))
+
+
 # --- coding positions ----------------------------------------------------------
 
 #: Two coding spans for each part, 128 bases in all, on either strand of five sequences.
@@ -847,12 +918,13 @@ def mutant_peptides(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ranked_peptides(spark: SparkSession, sf: str) -> DataFrame:
-    """From changes to the ranked table; the self match and the predictor are deterministic stand-ins."""
+    """From changes to the ranked table, with self matches in the proteins; the predictor is a deterministic stand-in."""
     built = peptides.mutant_proteins(peptides.with_protein(lineitem_changes(spark, sf), part_proteins(spark, sf)))
     named = built.withColumn("hgvsp", ranking.change_text(F.col("gene"), F.col("variant_class"), F.col("protein_start"), F.col("protein_end"), F.col("aa_ref"), F.col("aa_alt")))
-    found = peptides.peptides(named, "variant", (9, 10))
+    found = stored(peptides.peptides(named, "variant", (9, 10)))
     calls = ranking.predicted(ranking.distinct_peptides(found), ["HLA-A*02:01", "HLA-B*07:02"])
-    rows = ranking.with_predictions(found, calls).withColumns({"normal_tpm": F.lit(None).cast("double"), "self_similarity": F.lit(None).cast("double"), "is_self": F.lit(False)})
+    scanned = ranking.self_scanned(found, calls, part_proteins(spark, sf))
+    rows = ranking.with_predictions(scanned, calls).withColumn("normal_tpm", F.lit(None).cast("double"))
     return ranking.ranked_table(ranking.ranked(ranking.featured(rows), 50), "sample")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
+
 VARIANT_COLUMNS = ("chrom", "pos", "ref", "alt", "gene", "transcript", "consequence", "protein_position", "amino_acids")
 
 
@@ -60,16 +63,45 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_ranking(spark: SparkSession, path: str, method: str) -> DataFrame:
     """(method, key, score); rows without peptide or score are skipped, of equal keys the last wins."""
     raw = read_tsv(spark, path, ("score",)).withColumn("_line", F.monotonically_increasing_id())
-    names = [c for c in ("mutant_peptide", "peptide") if c in raw.columns]
-    if not names:
+    stated = [c for c in ("mutant_peptide", "peptide") if c in raw.columns]
+    if not stated:
         raise SchemaError("missing columns: peptide")
-    peptide = F.coalesce(*[F.col(c) for c in names])
+    peptide = F.coalesce(*[F.col(c) for c in stated])
     allele = F.coalesce("allele", F.lit("*")) if "allele" in raw.columns else F.lit("*")
     sample = F.col("sample_id") if "sample_id" in raw.columns else F.lit("")
     rows = raw.select(F.concat_ws("|", sample, peptide, allele).alias("key"), number("score").alias("score"), "_line", peptide.alias("_p")).where("_p is not null and score is not null")
     return rows.groupBy("key").agg(F.max_by("score", "_line").alias("score")).select(F.lit(method).alias("method"), "key", "score")
 
 
+def read_genotypes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, alleles, unreadable): the genotype of each file, a list with ``#`` comments or a table with an allele column.
+
+    A file is a table if its first line has a tab and the word allele.  The files are
+    small and many: each is one row.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", r"\r?\n").alias("lines"))
+    header = F.lower(F.get("lines", F.lit(0)))
+    at = F.array_position(F.split(header, "\t"), "allele").cast("int") - 1
+    cells = F.transform(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.coalesce(F.get(F.split(x, "\t"), at), F.lit("")))
+    stated = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+    listed = F.flatten(F.transform(stated, names.genotype_tokens))
+    tokens = F.when(header.contains("\t") & header.contains("allele"), cells).otherwise(listed)
+    return files.select("path", names.genotype(tokens).alias("g")).select("path", "g.alleles", "g.unreadable")
+
+
+def read_feature_index(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(key, features): feature rows of JSON arrays under ``sample|peptide|allele`` and ``sample|peptide|*``.
+
+    Files count in the order given, rows by their place: of rows with the same allele the
+    last wins, without one (``*``) the first, unless a row states ``*`` itself.
+    """
+    read = [spark.read.json(p, multiLine=True).select("sample_id", "peptide", "allele", "features", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("at")).alias("at")) for i, p in enumerate(paths)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+    exact = rows.groupBy(F.concat_ws("|", "sample_id", "peptide", "allele").alias("key")).agg(F.max_by("features", "at").alias("features"))
+    any_allele = rows.groupBy(F.concat_ws("|", "sample_id", "peptide", F.lit("*")).alias("key")).agg(F.min_by("features", "at").alias("features"))
+    return exact.unionByName(any_allele.join(exact.select("key"), "key", "left_anti"))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """The feature rows of a JSON array."""
     return spark.read.json(path, multiLine=True)
