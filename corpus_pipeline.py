@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,28 @@ from siftline.llm import bpe, decontamination, jaccard_join, language_id, line_d
 from siftline.llm.tables import read, stored
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Texts go to Python workers in small batches, as documents can be long and idle workers of earlier stages stay."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python workers in small batches, as documents can be long and idle workers of earlier stages stay.
+
+    What runs within must be written within: the settings are those of the session again afterwards.
+    """
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language model accepts, or without letters, go."""
-    _small_batches(spark)
-    model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
-    return language_id.accepted(docs, model)
+    with _small_batches(spark):
+        model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+        return stored(language_id.accepted(docs, model))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +45,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    _small_batches(spark)
-    return jaccard_join.representatives(docs)
+    with _small_batches(spark):
+        return jaccard_join.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +56,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
-    _small_batches(spark)
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    with _small_batches(spark):
+        return stored(bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encoding", encode),
 ]
 
-#: No SQL expresses the first and the last stage; tests hold run() against a plain Python version.
+#: No SQL expresses the first and the last stage; tests/llm holds the stages to plain Python versions.
 ORACLE_SQL: str | None = None
 
 
