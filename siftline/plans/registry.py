@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, residues
-from ..operators import audit, claims, coding, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
+from ..operators import audit, checks, claims, coding, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
+from ..sources import submissions
 from ..sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,6 +316,60 @@ def eligible_entries(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("entry").agg(F.count("*").alias("samples"), F.min("sample").alias("first_sample"))
 
 
+# --- checks and submissions -------------------------------------------------------
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, translate(sha256(p_partkey::VARCHAR), '0123456789abcdef', '{{RESIDUES_16}}') AS seq FROM part),
+c AS (
+  SELECT l_linenumber AS line, (l_orderkey % 50 + 1)::INT AS s, (l_orderkey % 14)::INT AS pos, 6 + l_linenumber * 2 AS n, seq,
+    CASE WHEN l_suppkey % 9 = 0 THEN 'B' ELSE '' END AS odd FROM lineitem JOIN p ON k = l_partkey
+), w AS (
+  SELECT substr(seq, s, n::INT) || odd AS pep, CASE line WHEN 1 THEN NULL WHEN 2 THEN substr(seq, s, n::INT) ELSE substr(seq, s + 1, (n - line % 2)::INT) END AS wt, pos FROM c
+), r AS (
+  SELECT length(pep) < 8 OR length(pep) > 15 AS a, regexp_matches(pep, '[^{residues.ALPHABET}]') OR regexp_matches(coalesce(wt, ''), '[^{residues.ALPHABET}]') AS b, pos < 1 OR pos > length(pep) AS c,
+    length(wt) <> length(pep) AS d, wt = pep AS e FROM w
+)
+SELECT 'length_outside' AS rule, count(*) FILTER (WHERE a) AS n FROM r UNION ALL SELECT 'unknown_residue', count(*) FILTER (WHERE b) FROM r UNION ALL SELECT 'position_outside', count(*) FILTER (WHERE c) FROM r
+UNION ALL SELECT 'register_differs', count(*) FILTER (WHERE d) FROM r UNION ALL SELECT 'wildtype_identical', count(*) FILTER (WHERE e) FROM r""".replace("{RESIDUES_16}", "ACDEFGHIKLMNPQRS"))
+def candidate_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Peptides cut from each line's part, some of them wrong in one way or another."""
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    first, size = (order % 50 + 1).cast("int"), (6 + line * 2).cast("int")
+    rows = read(spark, sf, "lineitem").join(part_proteins(spark, sf), F.concat(F.lit("P"), F.col("l_partkey")) == F.col("protein"))
+    cut = F.substring(F.col("seq"), first, size)
+    wild = F.when(line == 1, None).when(line == 2, cut).otherwise(F.substring(F.col("seq"), first + 1, (size - line % 2).cast("int")))
+    rows = rows.select(
+        F.concat(cut, F.when(F.col("l_suppkey") % 9 == 0, "B").otherwise("")).alias("peptide"), wild.alias("wildtype"), (order % 14).cast("int").alias("position"), F.lit("").alias("n_flank"), F.lit(None).cast("string").alias("c_flank")
+    )
+    return checks.rule_counts(rows, checks.candidate_rules())
+
+
+@query("""WITH i AS (
+  SELECT l_orderkey AS submission, CASE WHEN l_linenumber = 3 THEN '12' ELSE 'PEP' || translate((l_partkey % 9)::VARCHAR, '0123456789', 'ACDEFGHIKL') END AS pep,
+    CASE WHEN l_linenumber = 4 THEN 'nonsense' ELSE 'A*' || lpad((l_suppkey % 7 + 1)::VARCHAR, 2, '0') || ':01' END AS allele FROM lineitem
+), g AS (
+  SELECT submission, submission % 5 AS kind, count(*) AS n, count(*) FILTER (WHERE pep = '12' OR allele = 'nonsense') AS bad,
+    count(DISTINCT CASE WHEN pep <> '12' AND allele <> 'nonsense' THEN pep || allele END) AS good FROM i GROUP BY submission
+)
+SELECT submission, kind <> 3 AS valid, kind NOT IN (3, 4) AS listed, CASE WHEN kind < 3 THEN n ELSE 0 END::INT AS stated, CASE WHEN kind < 3 THEN bad ELSE 0 END::INT AS malformed, CASE WHEN kind < 3 THEN good ELSE 0 END::INT AS pairs FROM g""")
+def submitted_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order as a submission: a list of lists, of objects, a side file, broken JSON, or no list."""
+    line, key = F.col("l_linenumber"), F.col("l_orderkey")
+    peptide = F.when(line == 3, "12").otherwise(F.concat(F.lit("pep"), F.translate((F.col("l_partkey") % 9).cast("string"), "0123456789", "ACDEFGHIKL")))
+    allele = F.when(line == 4, "nonsense").otherwise(F.concat(F.lit("A*"), F.lpad((F.col("l_suppkey") % 7 + 1).cast("string"), 2, "0"), F.lit(":01")))
+    rows = read(spark, sf, "lineitem").select(key.alias("submission"), peptide.alias("peptide"), allele.alias("mhc_allele"))
+    lists = rows.groupBy("submission").agg(F.collect_list(F.struct("peptide", "mhc_allele")).alias("items"))
+    kind = F.col("submission") % 5
+    arrays = F.to_json(F.transform("items", lambda x: F.array(x["peptide"], x["mhc_allele"])))
+    answer = (
+        F.when(kind == 0, F.concat(F.lit('{"leaked_pairs": '), arrays, F.lit("}"))).when(kind == 1, F.concat(F.lit('{"leaked_pairs": '), F.to_json("items"), F.lit("}")))
+        .when(kind == 2, '{"note": 1, "leaked_pairs": null}').when(kind == 3, '{"leaked_pairs": [').otherwise('{"leaked_pairs": "none"}')
+    )
+    side = F.when(kind == 2, F.concat(F.lit("peptide_1,allele\n"), F.array_join(F.transform("items", lambda x: F.concat_ws(",", x["peptide"], x["mhc_allele"])), "\n")))
+    found = submissions.submitted_pairs(lists.select("submission", answer.alias("answer"), side.alias("side")))
+    return found.select("submission", "valid", "listed", "stated", "malformed", F.size("pairs").alias("pairs"))
+
+
 # --- coding positions ----------------------------------------------------------
 
 #: Two coding spans for each part, 128 bases in all, on either strand of five sequences.
