@@ -95,12 +95,22 @@ def substitution_dissimilarity(mutant: Column, wildtype: Column) -> Column:
 
 def translate_codons(cds: Column) -> Column:
     """Residues of whole codons up to and including the first stop (``*``); unknown codons are X."""
-    bases = F.upper(cds)
-    whole = F.floor(F.length(bases) / 3).cast("int")
-    starts = F.when(whole > 0, F.sequence(F.lit(1), whole * 3 - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    code = literal_map(CODONS)
-    protein = F.array_join(F.transform(starts, lambda i: F.coalesce(code[F.substring(bases, i, F.lit(3))], F.lit("X"))), "")
-    return F.regexp_extract(protein, r"^[^*]*\*?", 0)
+    # Bases become digits 1 to 4 and anything else 0, so a codon is a number and its residue a place in CODE.
+    digits = F.regexp_replace(F.translate(F.upper(cds), BASES, "1234"), "[^1-4]", "0")
+
+    def residue(codon: Column) -> Column:
+        number = codon.cast("int")
+        place = F.floor(number / 100) * 16 + F.floor(number % 100 / 10) * 4 + number % 10 - 20
+        return F.when(codon.contains("0"), "X").otherwise(F.substring(F.lit(CODE), place.cast("int"), F.lit(1)))
+
+    def protein(text: Column) -> Column:
+        whole = F.floor(F.length(text) / 3).cast("int")
+        starts = F.when(whole > 0, F.sequence(F.lit(1), whole * 3 - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(F.transform(starts, lambda i: F.substring(text, i, F.lit(3))), residue), "")
+
+    # A lambda's argument is computed once, where a column would be computed again for each codon.
+    made = F.transform(F.array(digits), protein)[0]
+    return F.when(cds.isNotNull(), F.regexp_extract(made, r"^[^*]*\*?", 0))
 
 
 def windows(sequence: Column, length: int) -> Column:
