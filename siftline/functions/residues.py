@@ -70,9 +70,13 @@ def hydropathy(peptide: Column) -> Column:
     """
     inner = F.substring(peptide, 3, 1 << 20)
     inner = F.when(F.length(peptide) > 3, inner.substr(F.lit(1), F.length(peptide) - 3)).otherwise(F.lit(""))
-    # One pass per residue kind keeps the sum inside generated code, however long the sequence.
-    total = sum((F.length(inner) - F.length(F.replace(inner, F.lit(r)))) * F.lit(v) for r, v in KYTE_DOOLITTLE.items())
-    return F.when(F.length(inner) > 0, clip((total / F.length(inner) + 4.5) / 9.0)).otherwise(F.when(peptide.isNotNull(), F.lit(0.5)))
+
+    def mean(text: Column) -> Column:
+        total = sum((F.length(text) - F.length(F.replace(text, F.lit(r)))) * F.lit(v) for r, v in KYTE_DOOLITTLE.items())
+        return F.when(F.length(text) > 0, clip((total / F.length(text) + 4.5) / 9.0)).otherwise(F.lit(0.5))
+
+    # The residues are cut out once, as a lambda's argument, and counted kind by kind, however long the sequence.
+    return F.when(peptide.isNotNull(), F.transform(F.array(inner), mean)[0])
 
 
 def mutation_exposure(position: Column, length: Column) -> Column:
