@@ -82,3 +82,23 @@ def reconcile(claims: DataFrame, isoforms: DataFrame, aliases: DataFrame | None
         .otherwise("peptide_not_generated")
     )
     return out.select("claim_id", "transcript", verdict.alias("verdict"))
+
+
+# Columns of the verdict table, in order.
+VERDICT = ("peptide", "gene", "protein_change", "source", "verdict", "transcript", "detail")
+DETAILS = {
+    "unparseable_change": "the change cannot be read", "tail_required": "a frameshift needs its novel tail", "gene_not_found": "no isoform of this gene",
+    "no_consistent_isoform": "no isoform has the stated residues", "derivable": "the peptide covers the change", "peptide_not_generated": "the changed isoform has no such peptide over the change",
+}
+
+
+def verdict_table(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The columns of the verdict table: each claim (claim_id, peptide, gene, protein_change, source) with its verdict from ``reconcile``."""
+    detail = F.coalesce(*[F.when(F.col("verdict") == k, F.lit(v)) for k, v in DETAILS.items()])
+    return claims.join(verdicts, "claim_id").withColumn("detail", detail).select(*VERDICT)
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """(verdict, n), also of verdicts that no claim has."""
+    sums = verdicts.agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in DETAILS])
+    return sums.select(F.expr(f"stack({len(DETAILS)}, {', '.join(f"'{v}', {v}" for v in DETAILS)}) as (verdict, n)"))

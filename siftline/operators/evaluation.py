@@ -123,3 +123,25 @@ def facets(frame: DataFrame, columns: list[str]) -> DataFrame:
     pairs = ", ".join(f"'{c}', cast({c} as string)" for c in columns)
     long = frame.select(F.expr(f"stack({len(columns)}, {pairs}) as (facet, value)"))
     return long.where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def key_overlap(assayed: DataFrame, rankings: DataFrame) -> DataFrame:
+    """(method, keys, shared): distinct keys of each ranking (method, key), and how many were assayed (key).
+
+    A ranking that shares none would give an empty figure; ``shared`` tells before one is drawn.
+    Null keys are left out.
+    """
+    known = assayed.select("key").where("key is not null").distinct().withColumn("_known", F.lit(True))
+    own = rankings.select("method", "key").where("key is not null").distinct()
+    return own.join(known, "key", "left").groupBy("method").agg(F.count("*").alias("keys"), F.count("_known").alias("shared"))
+
+
+def method_coverage(labels: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Per method: labels in the file, usable ones, those that it scores and leaves out, positives and positives scored.
+
+    ``labels`` has key (unique) and label (null: not usable), ``rankings`` method, key and score.
+    """
+    totals = labels.agg(F.count("*").alias("labels"), F.count("label").alias("usable"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("positives"))
+    own = rankings.where("score is not null").select("method", "key").distinct()
+    met = own.join(labels.where("label is not null"), "key", "left").groupBy("method").agg(F.count("label").alias("scored"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("positives_scored"))
+    return met.join(F.broadcast(totals), how="left").select("method", "labels", "usable", "scored", (F.col("usable") - F.col("scored")).alias("unscored"), "positives", "positives_scored")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..sources.shared import stored
+
 
 def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Features (sample, peptide, allele, ...) with labels (sample, peptide, allele or '*', label).
@@ -47,34 +50,40 @@ def ensemble_spread(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(spread.alias("spread"))
 
 
+def _spent(column: str, values: list) -> Column:
+    """Whether a key is one of those whose cap is reached; null is a key like any other."""
+    found = F.coalesce(F.col(column).isin([v for v in values if v is not None]), F.lit(False))
+    return found | F.col(column).isNull() if None in values else found
+
+
 def active_batch(items: DataFrame, order: list[Column], batch_size: int, per_variant: int, per_allele: int) -> DataFrame:
     """Greedy pick in order under two caps (0: none), at most ``batch_size`` rows, with their rank.
 
-    The pick depends on all rows before it, so it runs as one group.  Before that,
-    each (variant, allele) pair keeps only as many of its best rows as either cap
-    allows; without caps, the batch itself limits what is needed.
+    Each (variant, allele) pair keeps only as many of its best rows as either cap
+    allows.  Under both caps a pick depends on all before it: the driver looks at the
+    best few rows whose keys still have room, takes what the caps allow and asks for
+    the next.  A row that it leaves has a key without room, so no row is looked at twice,
+    and the driver holds no more than the batch and one such block.
     """
     limit = min([c for c in (per_variant, per_allele) if c] or [batch_size])
     near = items.withColumn("_n", F.row_number().over(W.partitionBy("variant", "allele").orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
-    if per_variant and not per_allele:
-        near = near.withColumn("_n", F.row_number().over(W.partitionBy("variant").orderBy(*order))).where(F.col("_n") <= per_variant).drop("_n")
+    if not (per_variant and per_allele):
+        for key, cap in (("variant", per_variant), ("allele", per_allele)):
+            if cap:
+                near = near.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
         return near.orderBy(*order).limit(batch_size).withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    placed = near.orderBy(*order).withColumns({"_place": F.monotonically_increasing_id(), "_all": F.lit(1)})
-    schema = T.StructType([*near.schema.fields, T.StructField("rank", T.IntegerType())])
-
-    def pick(frame):  # one row at a time, in order: the caps of later rows depend on it
-        frame = frame.sort_values("_place")
-        variants: dict = {}
-        alleles: dict = {}
-        taken = []
-        for i, (v, a) in enumerate(zip(frame["variant"], frame["allele"], strict=True)):
-            if (per_variant and variants.get(v, 0) >= per_variant) or (per_allele and alleles.get(a, 0) >= per_allele):
-                continue
-            variants[v], alleles[a] = variants.get(v, 0) + 1, alleles.get(a, 0) + 1
-            taken.append(i)
-            if len(taken) == batch_size:
-                break
-        out = frame.iloc[taken].drop(columns=["_place", "_all"])
-        return out.assign(rank=range(1, len(out) + 1))
-
-    return placed.groupBy("_all").applyInPandas(pick, schema)
+    rows = stored(near.withColumn("_row", F.monotonically_increasing_id()))
+    variants, alleles, taken = Counter(), Counter(), []
+    while len(taken) < batch_size:
+        full = lambda counts, cap: [k for k, n in counts.items() if n >= cap]
+        open_ = rows.where(~_spent("variant", full(variants, per_variant)) & ~_spent("allele", full(alleles, per_allele)) & ~F.col("_row").isin(taken))
+        block = open_.orderBy(*order, "_row").limit(4 * batch_size).select("_row", "variant", "allele").collect()
+        for r in block:
+            if len(taken) < batch_size and variants[r.variant] < per_variant and alleles[r.allele] < per_allele:
+                variants[r.variant] += 1
+                alleles[r.allele] += 1
+                taken.append(r["_row"])
+        if len(block) < 4 * batch_size:
+            break
+    places = rows.sparkSession.createDataFrame([(r, i) for i, r in enumerate(taken, 1)], "_row long, rank int")
+    return rows.where(F.col("_row").isin(taken)).join(places, "_row").drop("_row")

@@ -77,28 +77,47 @@ def _smallest_from_here(ranked: DataFrame) -> DataFrame:
     return dealt.withColumn("_inner", inner).join(F.broadcast(later), "_range").withColumn("low", F.least("_inner", "_later")).drop("_range", "_inner", "_later")
 
 
-def power_curve(spark: SparkSession, population: int, successes: int, odds: float, alpha: float = 0.05) -> DataFrame:
-    """(n, critical, power) for every sample size, under Fisher's noncentral hypergeometric law."""
-    logs = np.r_[0.0, np.cumsum(np.log(np.arange(1, population + 1)))]
+def _law(n: int, population: int, successes: int, log_odds: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hits in a sample of n and their chances; neighbours' ratios are summed, so no table of the population is held."""
+    k = np.arange(max(0, n - (population - successes)), min(n, successes) + 1)
+    up = k[1:].astype(float)
+    steps = np.log((successes - up + 1) * (n - up + 1)) - np.log(up * (population - successes - n + up)) + log_odds
+    w = np.r_[0.0, np.cumsum(steps)]
+    w = np.exp(w - w.max())
+    return k, w / w.sum()
 
-    def law(n: int, log_odds: float) -> tuple[np.ndarray, np.ndarray]:
-        k = np.arange(max(0, n - (population - successes)), min(n, successes) + 1)
-        w = k * log_odds - logs[k] - logs[successes - k] - logs[n - k] - logs[population - successes - n + k]
-        w = np.exp(w - w.max())
-        return k, w / w.sum()
+
+def power_curve(spark: SparkSession, population: int, successes: int, odds: float, alpha: float = 0.05, first: int = 1, last: int | None = None) -> DataFrame:
+    """(n, critical, power) for sample sizes ``first`` to ``last`` (all, if null), under Fisher's noncentral hypergeometric law."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for n in batch["id"].tolist():
-                k, null = law(n, 0.0)
+                k, null = _law(n, population, successes, 0.0)
                 tail = np.cumsum(null[::-1])[::-1]
                 ok = np.flatnonzero(tail <= alpha)
-                _, shifted = law(n, math.log(odds))
+                _, shifted = _law(n, population, successes, math.log(odds))
                 rows.append((n, int(k[ok[0]]) if len(ok) else None, float(shifted[ok[0] :].sum()) if len(ok) else 0.0))
             yield pd.DataFrame(rows, columns=["n", "critical", "power"]).astype({"critical": "Int64"})
 
-    return spark.range(1, population + 1).mapInPandas(run, "n long, critical long, power double")
+    return spark.range(first, (last or population) + 1).mapInPandas(run, "n long, critical long, power double")
+
+
+def least_sample(spark: SparkSession, population: int, successes: int, odds: float, target: float, alpha: float = 0.05) -> int | None:
+    """The smallest n that reaches the target power, or null.
+
+    Sizes are tried in blocks that double; the first block with one that reaches it holds
+    the smallest, so large samples of a large population are not computed.
+    """
+    first, size = 1, 512
+    while first <= population:
+        last = min(population, first + size - 1)
+        found = smallest_sample(power_curve(spark, population, successes, odds, alpha, first, last), target).first().min_n
+        if found is not None:
+            return found
+        first, size = last + 1, 2 * size
+    return None
 
 
 def smallest_sample(curve: DataFrame, target: float) -> DataFrame:
@@ -114,3 +133,8 @@ def population_overlap(sample: DataFrame, population: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("population"), F.count_if(F.col("in_group")).alias("grouped"), F.count_if(both).alias("sampled"), F.count_if(both & F.col("in_group")).alias("overlap"))
 
 
+
+
+def screened(values: DataFrame, sheet: DataFrame) -> DataFrame:
+    """The rows of ``values`` (feature) that the sample sheet (feature, role) lists with the role screen: spike-ins and unlisted ones go."""
+    return values.join(sheet.where("trim(role) = 'screen'").select("feature"), "feature", "left_semi")

@@ -99,3 +99,36 @@ def failure_counts(frame: DataFrame) -> DataFrame:
     names = frame.sparkSession.range(1).select(every)
     counted = frame.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
     return names.join(counted, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _integer(text: Column) -> Column:
+    return F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text).try_cast("int"))
+
+
+def protein_span(text: Column) -> tuple[Column, Column]:
+    """First and last residue of ``12``, ``12-14`` or ``12-14/300``; null without a readable first one, and the last is never before the first."""
+    part = F.split(F.substring_index(text, "/", 1), "-")
+    start, end = _integer(part[0]), _integer(F.get(part, 1))
+    return start, F.when(start.isNotNull(), F.greatest(start, F.coalesce(end, start)))
+
+
+def residue_change(text: Column) -> tuple[Column, Column]:
+    """Residues before and after of ``R/A``; ``-`` stands for none, and one side alone for both."""
+    text = F.coalesce(text, F.lit(""))
+    side = lambda s: F.when(s == "-", F.lit("")).otherwise(s)
+    before = F.substring_index(text, "/", 1)
+    return side(before), F.when(text.contains("/"), side(F.regexp_replace(text, "^[^/]*/", ""))).otherwise(side(text))
+
+
+def novel_tail(whole: Column | None, tail: Column | None, length_change: Column | None, start: Column) -> tuple[Column, Column]:
+    """A frameshift's tail, and the change of length that belongs to it.
+
+    ``whole`` is the whole new protein, of which the tail begins at ``start``; its length
+    change is not known.  Without it ``tail`` counts, with ``length_change``.  Empty texts and
+    ``-`` are missing; so are columns that an annotation lacks (None).
+    """
+    stated = lambda c: F.lit(None).cast("string") if c is None else F.when(~F.trim(c).isin("", "-"), F.trim(c))
+    own, other = stated(whole), stated(tail)
+    cut = F.substring(own, start, F.length(own))
+    change = F.lit(None).cast("int") if length_change is None else _integer(length_change)
+    return F.when(own.isNotNull(), F.when(cut != "", cut)).otherwise(other), F.when(own.isNull() & other.isNotNull(), change)

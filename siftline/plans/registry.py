@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, residues
-from ..operators import audit, checks, claims, coding, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, statistics, variants
+from ..operators import audit, checks, claims, coding, ensembles, evaluation, learning, matching, peptides, permutation, ranking, scoring, sheets, statistics, variants
 from ..sources import submissions
 from ..sources.shared import stored
 
@@ -674,10 +674,10 @@ def multiple_testing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def power_min_n(spark: SparkSession, sf: str) -> DataFrame:
-    """Population and group come from orders; the whole range of sample sizes is looked at."""
+    """Population and group come from customer."""
     facts = read(spark, sf, "customer").agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("k")).first()
-    curve = statistics.power_curve(spark, facts.n, facts.k, 2.5)
-    return statistics.smallest_sample(curve, 0.8)
+    least = statistics.least_sample(spark, facts.n, facts.k, 2.5, 0.8)
+    return spark.createDataFrame([(least,)], "min_n long")
 
 
 # --- audit ------------------------------------------------------------------------------------
@@ -1059,3 +1059,84 @@ def cross_validated_auc(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cross_validation_report(spark: SparkSession, sf: str) -> DataFrame:
     return ensembles.cross_validation_report(labelled_variants(spark, sf), FEATURES, "supplier")
+
+
+# --- sheets and screens --------------------------------------------------------
+
+_CLASSES = "CASE l_linenumber WHEN 4 THEN 'In_Frame_Ins' WHEN 5 THEN 'In_Frame_Del' WHEN 6 THEN 'Nonsense_Mutation' ELSE 'Missense_Mutation' END"
+_CHANGE = """CASE WHEN l_orderkey % 11 = 0 THEN 'c.' || s WHEN l_linenumber = 4 THEN 'p.' || r || s || '_' || r || (s + 1) || 'ins' || a || a
+  WHEN l_linenumber = 5 THEN 'p.' || r || s || '_' || r || (s + 1) || 'del' WHEN l_linenumber = 7 THEN 'p.W' || s || a ELSE 'p.' || r || s || a END"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, translate(sha256(p_partkey::VARCHAR), '0123456789abcdef', '{RESIDUES_16}') AS seq FROM part),
+c AS (
+  SELECT DISTINCT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS row_id, l_orderkey, l_linenumber, l_partkey, (l_suppkey % 8)::INT AS patient, seq, (1 + l_orderkey % 63)::INT AS s,
+    substr('{RESIDUES_16}', (1 + (l_orderkey + l_linenumber) % 16)::INT, 1) AS a, substr(seq, (1 + l_orderkey % 63)::INT, 1) AS r
+  FROM lineitem JOIN p ON k = l_partkey
+),
+d AS (SELECT *, CASE WHEN patient NOT BETWEEN 1 AND 6 THEN 'patient' WHEN l_linenumber = 6 THEN 'class' WHEN l_orderkey % 11 = 0 THEN 'change'
+  WHEN l_linenumber = 7 OR l_linenumber = 2 AND l_orderkey % 2 = 0 THEN 'isoform' END AS dropped FROM c)
+SELECT row_id, patient, coalesce(dropped, 'kept') AS outcome, CASE WHEN dropped IS NULL THEN 'T' || l_partkey END AS transcript,
+  CASE WHEN dropped IS NULL THEN CASE l_linenumber WHEN 5 THEN s || '-' || (s + 1) ELSE s::VARCHAR END END AS protein_position,
+  CASE WHEN dropped IS NULL THEN CASE l_linenumber WHEN 4 THEN '-/' || a || a WHEN 5 THEN substr(seq, s, 2) || '/-' ELSE r || '/' || a END END AS amino_acids FROM d""")
+def sheet_mutations(spark: SparkSession, sf: str) -> DataFrame:
+    """A mutation sheet from lineitem: line 7 states a wrong residue, 6 a class that makes no peptides, 1 an old symbol, and half of 2 an unknown gene."""
+    line, key, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey").cast("string")
+    seq = F.translate(F.sha2(part, 256), "0123456789abcdef", RESIDUES_16)
+    s = (1 + key % 63).cast("int")
+    base = read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"), (F.col("l_suppkey") % 8).cast("string").alias("patient"),
+        F.concat(F.when(line == 1, "OLD").when((line == 2) & (key % 2 == 0), "X").otherwise("G"), part).alias("gene"), F.expr(_CLASSES).alias("class"), s.alias("s"),
+        F.substring(F.lit(RESIDUES_16), (1 + (key + line) % 16).cast("int"), F.lit(1)).alias("a"), F.substring(seq, s, F.lit(1)).alias("r"),
+    ).distinct()
+    sheet = base.select("row_id", "patient", "gene", "class", F.expr(_CHANGE).alias("change"), F.lit("1").alias("chrom"), F.col("s").cast("string").alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt"))
+    proteins = part_proteins(spark, sf)
+    isoforms = proteins.select("symbol", "transcript", "seq", F.lit(True).alias("primary"))
+    aliases = proteins.select(F.regexp_replace("symbol", "^G", "OLD").alias("old"), F.col("symbol").alias("new"))
+    found = sheets.mutations(sheet, isoforms, list(range(1, 7)), aliases)
+    kept = F.col("dropped").isNull()
+    return found.select("row_id", "patient", F.coalesce("dropped", F.lit("kept")).alias("outcome"), F.when(kept, F.col("transcript")).alias("transcript"), "protein_position", "amino_acids")
+
+
+@query("""WITH s AS (SELECT doc_id, upper(regexp_extract(text, '[A-Za-z]+')) AS peptide, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'HLA-A*02:01' ELSE 'A*02:01' END AS allele, quality, toxic, source FROM labels JOIN documents USING (doc_id)),
+d AS (SELECT *, CASE WHEN peptide = '' OR NOT regexp_full_match(peptide, '[ACDEFGHIKLMNPQRSTVWY]+') THEN 'peptide' WHEN allele = '' THEN 'allele' WHEN quality IS NULL OR doc_id % 7 = 0 THEN 'call' END AS dropped FROM s)
+SELECT doc_id, coalesce(dropped, 'kept') AS outcome, 'PT' || (doc_id % 6) AS sample_id, peptide, CASE WHEN allele = '' THEN '' ELSE 'HLA-A*02:01' END AS allele,
+  CASE WHEN doc_id % 7 <> 0 THEN CASE quality WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' END END AS call,
+  'gene=' || coalesce(trim(source), '') || ';protein_change=p.' || doc_id || ';minigene=' || CASE toxic WHEN 1 THEN 'positive' WHEN 0 THEN 'negative' ELSE 'nd' END || ';tumor=na;source=sheet' AS notes FROM d""")
+def sheet_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """An assay sheet from labels: the first word of each document is the peptide, quality the readout, toxic the secondary one."""
+    key = F.col("doc_id")
+    joined = read(spark, sf, "labels").join(read(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
+    sheet = joined.select(
+        (key % 6).cast("string").alias("patient"), F.col("source").alias("gene"), F.concat(F.lit("p."), key.cast("string")).alias("change"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("peptide"),
+        F.when(key % 5 == 0, "").when(key % 2 == 0, "HLA-A*02:01").otherwise("A*02:01").alias("allele"), F.when(key % 7 == 0, "n.d.").otherwise(F.col("quality").cast("string")).alias("readout"), F.col("toxic").cast("string").alias("second"),
+    )
+    found = sheets.assay_labels(sheet, "readout", {"minigene": "second", "tumor": "third"}, "PT", "sheet")
+    doc = F.regexp_extract("notes", r"protein_change=p\.(\d+)", 1).cast("long")
+    return found.select(doc.alias("doc_id"), F.coalesce("dropped", F.lit("kept")).alias("outcome"), "sample_id", "peptide", "allele", "call", "notes")
+
+
+@query(f"WITH {_M} SELECT feature, round((a - b) / sqrt(1 / na + 1 / nb), 6) AS z FROM m JOIN customer ON c_custkey = feature WHERE na > 0 AND nb > 0 AND c_mktsegment = 'BUILDING'")
+def screened_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the screen only: customers of one segment; all others are spike-ins or unlisted."""
+    sheet = read(spark, sf, "customer").select(F.col("c_custkey").alias("feature"), F.when(F.col("c_mktsegment") == "BUILDING", " screen").otherwise("spike_in").alias("role"))
+    return statistics.z_test(statistics.screened(measurements(spark, sf), sheet)).select("feature", r6("z", "z"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_returnflag AS method, l_orderkey AS key FROM lineitem WHERE l_returnflag IS NOT NULL UNION SELECT 'none', -doc_id FROM documents),
+k AS (SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderstatus = 'F')
+SELECT method, count(*) AS keys, count(k.key) AS shared FROM r LEFT JOIN k ON r.key = k.key WHERE r.key IS NOT NULL GROUP BY method""")
+def key_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Return flags as methods over orders; one method shares no key."""
+    rankings = read(spark, sf, "lineitem").where("l_returnflag is not null").select(F.col("l_returnflag").alias("method"), F.col("l_orderkey").alias("key"))
+    other = read(spark, sf, "documents").select(F.lit("none").alias("method"), (-F.col("doc_id")).alias("key"))
+    assayed = read(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    return evaluation.key_overlap(assayed, rankings.unionByName(other))
+
+
+@query(f"""WITH {P}, l AS (SELECT * FROM p WHERE NOT (method = 'length' AND key % 3 = 0))
+SELECT method, (SELECT count(*) FROM labels) AS labels, (SELECT count(quality) FROM labels) AS usable, count(label) AS scored, (SELECT count(quality) FROM labels) - count(label) AS unscored,
+  (SELECT sum(quality)::BIGINT FROM labels) AS positives, sum(label)::BIGINT AS positives_scored FROM l GROUP BY method""")
+def method_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    rows = pool_rows(spark, sf).where("not (method = 'length' and key % 3 = 0)").select("method", "key", "score")
+    return evaluation.method_coverage(read(spark, sf, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label")), rows)

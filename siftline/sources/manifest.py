@@ -7,7 +7,8 @@ import platform
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import config_digest, file_digests
 
@@ -41,3 +42,11 @@ def write_manifest(spark: SparkSession, record: dict, path: str) -> None:
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, sample_id, started_at, finished_at, backend, counts) of all manifests in the folders below ``path``, newest first."""
+    schema = "run_id string, sample_id string, started_at string, finished_at string, backend string, counts map<string, bigint>"
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    read = text.select(F.from_json("value", schema).alias("m")).select("m.*").where("run_id is not null")
+    return read.orderBy(F.desc("started_at"), F.desc("run_id"))

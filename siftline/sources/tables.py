@@ -73,6 +73,22 @@ def read_ranking(spark: SparkSession, path: str, method: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("score", "_line").alias("score")).select(F.lit(method).alias("method"), "key", "score")
 
 
+def read_claims(spark: SparkSession, path: str) -> DataFrame:
+    """Published claims: claim_id (unique within the read), peptide, gene, protein_change, source and downstream.
+
+    Cells are trimmed; rows without a peptide are skipped, a missing source is empty, a missing
+    downstream protein null.
+    """
+    raw = spark.read.csv(path, sep="\t", header=True)
+    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
+    missing = [c for c in ("peptide", "gene", "protein_change") if c not in raw.columns]
+    if missing:
+        raise SchemaError(f"missing columns: {', '.join(missing)}")
+    text = lambda c: F.trim(F.coalesce(F.col(c) if c in raw.columns else F.lit(None).cast("string"), F.lit("")))
+    rows = raw.select(F.monotonically_increasing_id().alias("claim_id"), *[text(c).alias(c) for c in ("peptide", "gene", "protein_change", "source")], F.nullif(text("downstream_protein"), F.lit("")).alias("downstream"))
+    return rows.where("peptide <> ''")
+
+
 def read_genotypes(spark: SparkSession, path: str) -> DataFrame:
     """(path, alleles, unreadable): the genotype of each file, a list with ``#`` comments or a table with an allele column.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.variants import consequence_class
+from ..operators.variants import consequence_class, novel_tail, protein_span, residue_change
 
 
 class VCFError(ValueError):
@@ -67,8 +67,11 @@ def total_depth(call: Column) -> Column:
 def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
     """One row per line: the picked annotation's fields, filters, allele fraction, depth and population frequency.
 
+    The protein position, the residues and a frameshift's tail are columns too, named as
+    ``peptides.mutant_proteins`` reads them.
     Of the annotations that change a protein the canonical one is picked, else a
-    protein-coding one, else the first.  Lines without one are left out.  ``.gz``
+    protein-coding one, else the first.  Lines without one are left out, and those
+    without a readable protein position where the annotation has that field.  ``.gz``
     files are read as one part each.
     """
     samples, fields, release = header(spark, path)
@@ -77,8 +80,8 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataF
     keys = F.split(F.coalesce(F.get(part, 8), F.lit("")), ":")  # files without samples have eight columns
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     rows = rows.select(
-        part[0].alias("chrom"), part[1].try_cast("long").alias("pos"), part[2].alias("id"), part[3].alias("ref"), part[4].alias("alt"),
-        F.when(part[6].isin(".", ""), F.array().cast("array<string>")).otherwise(F.split(part[6], ";")).alias("filters"), info_map(part[7]).alias("info"),
+        F.get(part, 0).alias("chrom"), F.get(part, 1).try_cast("long").alias("pos"), F.get(part, 2).alias("id"), F.get(part, 3).alias("ref"), F.get(part, 4).alias("alt"),
+        F.when(F.get(part, 6).isin(".", ""), F.array().cast("array<string>")).otherwise(F.split(F.get(part, 6), ";")).alias("filters"), info_map(F.get(part, 7)).alias("info"),
         last_wins(keys, F.concat(F.split(F.coalesce(F.get(part, column), F.lit("")), ":"), F.array_repeat(F.lit("."), F.size(keys)))).alias("call"),
     )
     entry = lambda e: F.struct(*[F.coalesce(F.try_element_at(F.split(e, r"\|"), F.lit(i + 1)), F.lit("")).alias(f) for i, f in enumerate(fields)])
@@ -89,7 +92,16 @@ def read_vcf(spark: SparkSession, path: str, sample: str | None = None) -> DataF
     picked = F.coalesce(*[F.try_element_at(o, F.lit(1)) for o in [*order, coding]])
     population = F.coalesce(*[F.get(F.split(F.try_element_at("info", F.lit(k)), ","), 0).try_cast("double") for k in ("gnomADe_AF", "gnomAD_AF", "AF_popmax", "POPAF")])
     out = rows.withColumn("csq", picked).where("csq is not null")
-    return out.select(
+    of = lambda name: F.col(f"csq.{name}") if name in fields else None
+    text = lambda name: F.lit(None).cast("string") if of(name) is None else of(name)
+    start, end = protein_span(text("Protein_position"))
+    before, after = residue_change(text("Amino_acids"))
+    tail, change = novel_tail(of("FrameshiftSequence"), of("DownstreamProtein"), of("ProteinLengthChange"), start)
+    gene = F.coalesce(*[F.when(text(c) != "", text(c)) for c in ("SYMBOL", "Gene")], F.lit(""))
+    found = out.where(start.isNotNull()) if "Protein_position" in fields else out
+    return found.select(
         "chrom", "pos", "id", "ref", "alt", "filters", "csq", consequence_class(F.col("csq.Consequence")).alias("consequence"),
+        gene.alias("gene"), text("Feature").alias("transcript"), consequence_class(F.col("csq.Consequence")).alias("variant_class"),
+        start.alias("protein_start"), end.alias("protein_end"), before.alias("aa_ref"), after.alias("aa_alt"), tail.alias("downstream"), change.alias("length_change"),
         allele_fraction(F.col("call")).alias("dna_vaf"), total_depth(F.col("call")).alias("tumor_depth"), population.alias("population_af"), F.lit(release).cast("int").alias("release"),
     )
