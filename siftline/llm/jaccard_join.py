@@ -307,13 +307,13 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("cls", "tokens").mapInArrow(run, "cls long, bits binary")
 
 
-def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarray, bits: list, main: int, block: int, blocks: int, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one block of a posting list from different components that sizes and bitmaps allow to link.
+def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarray, bits: list, few: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group from different components that sizes and bitmaps allow to link.
 
-    Members outside the component ``main`` are in all blocks, and meet each other
-    in one of them.  Two sets differ in at least their unshared shingles and the bits
-    in which their parities differ.  Bitmaps of neighbouring widths meet at the
-    narrower one.
+    A member of ``first`` that is one of ``few`` meets those of ``second``; where both are
+    the whole group, each pair is looked at once.  Two sets differ in at least their
+    unshared shingles and the bits in which their parities differ.  Bitmaps of
+    neighbouring widths meet at the narrower one.
     """
     num, den = threshold.numerator, threshold.denominator
     widths = np.array([len(b) for b in bits])
@@ -324,15 +324,12 @@ def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarr
         for at, i in enumerate(index.tolist()):
             raw = np.frombuffer(bits[i], U)
             rows[at] = raw if at < len(same) else raw[: width // 8] ^ raw[width // 8 :]
-        c, m, o, p = cls[index], n[index], own[index], comp[index]
-        few = p != main
+        c, m, o, p, to = cls[index], n[index], own[index], comp[index], second[index]
         narrow = np.arange(len(index)) < len(same)
         done = np.zeros(len(index), bool)
-        for i in np.flatnonzero(few).tolist():
-            j = np.flatnonzero((p != p[i]) & ~done & (narrow | narrow[i]))
+        for i in np.flatnonzero((few & first)[index]).tolist():
+            j = np.flatnonzero((p != p[i]) & to & ~done & (narrow | narrow[i]))
             done[i] = True
-            if blocks > 1:
-                j = j[~few[j] | ((c[j] ^ c[i]) % blocks == block)]
             j = j[(m[j] * den >= num * m[i]) & (m[i] * den >= num * m[j])]
             apart = np.bitwise_count(rows[j] ^ rows[i]).sum(1, dtype=np.int64) + o[j] + o[i]
             j = j[apart * (den + num) <= (den - num) * (m[j] + m[i])]
@@ -340,32 +337,54 @@ def _unconnected(cls: np.ndarray, n: np.ndarray, own: np.ndarray, comp: np.ndarr
                 yield np.full(len(j), c[i]), c[j]
 
 
-def in_blocks(near: DataFrame, list_rows: int) -> DataFrame:
-    """Adds main, block and blocks: members of a list's largest component are dealt to blocks, all others are in each."""
-    sizes = near.groupBy("ord", "token", "comp").count()
-    lists = sizes.groupBy("ord", "token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.ceil(F.sum("count") / list_rows).cast("int").alias("blocks"))
-    dealt = F.array(F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    return near.join(lists, ["ord", "token"]).withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), dealt).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+def in_blocks(near: DataFrame, list_rows: int) -> tuple[DataFrame, int]:
+    """``near`` with few, cell, lo and hi, and its number of rows: each pair of a list's members from different components is in one group.
+
+    A list of up to ``list_rows`` members is one group.  The members of a longer one are
+    dealt to cells of half that size, and every two cells make a group (lo, hi), as does each
+    alone.  If one component fills more than a cell, its members have cells of their own,
+    which only meet those of the others.  ``few`` is 1 for members that look for
+    partners, -1 where a group holds its whole list and finds that out itself.
+    Long lists are at most one for each ``list_rows`` postings.
+    """
+    half = f"{list_rows} / 2"
+    lists = near.groupBy("ord", "token", "comp").count().groupBy("ord", "token").agg(F.max(F.struct("count", "comp")).alias("big"), F.sum("count").alias("total")).where(F.col("total") > list_rows)
+    split = lists.select("ord", "token", "total", "big.*").withColumn("apart", F.expr(f"count > {half}")).withColumn("others", F.expr("total - if(apart, count, 0)"))
+    split = split.withColumns({"fewer": F.expr(f"cast(greatest(1, ceil(others / ({half}))) as int)"), "mains": F.expr(f"cast(if(apart, ceil(count / ({half})), 0) as int)")})
+    long = stored(split.select("ord", "token", F.when(F.col("apart"), F.col("comp")).alias("main"), "total", "others", "fewer", "mains"))
+    extra = long.agg(F.coalesce(F.sum(F.expr("others * (fewer + mains) + (total - others) * fewer - total")), F.lit(0))).first()[0]
+    joined = near.join(maybe_broadcast(long.drop("total", "others"), 64), ["ord", "token"], "left")
+    main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    place = F.xxhash64("cls")
+    cell = F.when(F.col("fewer").isNull(), 0).when(main, F.col("fewer") + F.pmod(place, "mains")).otherwise(F.pmod(place, "fewer")).cast("int")
+    last = F.when(F.col("fewer").isNull(), 0).when(main, F.col("fewer") - 1).otherwise(F.col("fewer") + F.col("mains") - 1)
+    dealt = joined.withColumns({"few": F.when(F.col("fewer").isNull(), -1).otherwise((~main).cast("int")), "cell": cell, "_other": F.explode(F.sequence(F.lit(0), last))})
+    dealt = dealt.withColumns({"lo": F.least("cell", "_other"), "hi": F.greatest("cell", "_other")})
+    return dealt.drop("main", "fewer", "mains", "_other"), near.count() + extra
 
 
 def remaining_pairs(near: DataFrame, groups: int, threshold: Fraction) -> DataFrame:
     """(ord, a, b): all candidate pairs by order that are not yet connected.
 
-    ``near`` has ord, token, cls, n, own, comp, bits, main, block and blocks.
+    ``near`` has ord, token, cls, n, own, comp, bits, few, cell, lo and hi.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         A.release()
-        token, cls, n, own, comp, main, block, blocks = (table[c].to_numpy() for c in ("token", "cls", "n", "own", "comp", "main", "block", "blocks"))
+        token, cls, n, own, comp, few, cell, low, high = (table[c].to_numpy() for c in ("token", "cls", "n", "own", "comp", "few", "cell", "lo", "hi"))
         bits = table["bits"].combine_chunks()
         left, right, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        order = np.lexsort((cls, block, token))
-        lists = np.stack([token[order], block[order]], 1)
+        order = np.lexsort((cls, high, low, token))
+        lists = np.stack([token[order], low[order], high[order]], 1)
         cuts = np.flatnonzero(np.r_[True, (lists[1:] != lists[:-1]).any(1), True]) if len(lists) else np.zeros(1, np.int64)
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             at = order[lo:hi]
-            one = at[0]
-            for a, b in _unconnected(cls[at], n[at], own[at], comp[at], [bits[i].as_buffer() for i in at.tolist()], main[one], block[one], blocks[one], threshold):
+            looking = few[at] == 1
+            if few[at[0]] < 0:  # the whole list: its largest component need not look for the others
+                names, counts = np.unique(comp[at], return_counts=True)
+                looking = comp[at] != names[np.argmax(counts)]
+            first, second = cell[at] == low[at], cell[at] == high[at]
+            for a, b in _unconnected(cls[at], n[at], own[at], comp[at], [bits[i].as_buffer() for i in at.tolist()], looking, first, second, threshold):
                 left.append(a)
                 right.append(b)
                 held += len(a)
@@ -375,14 +394,14 @@ def remaining_pairs(near: DataFrame, groups: int, threshold: Fraction) -> DataFr
         a, b = _distinct_pairs(left, right)
         return pa.table({"ord": np.full(len(a), key[0].as_py(), np.int64), "a": a, "b": b})
 
-    dealt = near.withColumn("part", F.pmod(F.xxhash64("token", "block"), F.lit(groups)))
+    dealt = near.withColumn("part", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(groups)))
     return dealt.groupBy("ord", "part").applyInArrow(run, "ord long, a long, b long")
 
 
 def candidates(near: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): pairs of different components that share a prefix shingle under every order; ``near`` has ord, token, cls, n, own and comp."""
-    groups = max(1, -(-near.count() // POSTINGS_A_PART))
-    pairs = remaining_pairs(in_blocks(near, LIST_ROWS).join(bitmaps(sets), "cls"), groups, threshold)
+    dealt, rows = in_blocks(near, LIST_ROWS)
+    pairs = remaining_pairs(dealt.join(bitmaps(sets), "cls"), max(1, -(-rows // POSTINGS_A_PART)), threshold)
     return pairs.groupBy("a", "b").agg(F.count_distinct("ord").alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
 
 

@@ -163,6 +163,25 @@ def test_jaccard_hard_groups(spark, monkeypatch, rounds, list_rows, hot):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, range(len(texts)))
 
 
+@pytest.mark.parametrize(("sizes", "list_rows"), [([1] * 400, 20), ([300] + [1] * 5, 20), ([300, 90] + [2] * 30, 40), ([12, 7], 20), ([60], 20)])
+def test_long_lists_are_split(spark, sizes, list_rows):
+    """Every two members of different components share one group, and no group is large."""
+    comps = [c for c, n in enumerate(sizes) for _ in range(n)]
+    near = spark.createDataFrame([(o, t, i, c) for o, t in ((0, 5), (1, 5)) for i, c in enumerate(comps)], "ord int, token long, cls long, comp long")
+    dealt, rows = jaccard_join.in_blocks(near, list_rows)
+    groups = defaultdict(list)
+    for r in dealt.collect():
+        groups[r.ord, r.lo, r.hi].append(r)
+    assert sum(map(len, groups.values())) == rows and max(map(len, groups.values())) <= 2 * list_rows
+    met = Counter()
+    for (o, lo, hi), own in groups.items():
+        first = [r for r in own if r.cell == lo and r.few != 0]
+        second = [r for r in own if r.cell == hi]
+        met.update((o, *p) for p in {tuple(sorted((a.cls, b.cls))) for a in first for b in second if a.comp != b.comp})
+    want = {(o, i, j) for o in (0, 1) for i in range(len(comps)) for j in range(i + 1, len(comps)) if comps[i] != comps[j]}
+    assert set(met) == want and set(met.values()) <= {1}
+
+
 def test_linked_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 9)
     texts = sorted(set(edited(60, 8, seed=12))) * 2
