@@ -19,11 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is missing (tests), the session gets one below /tmp.
+    Where the setting is missing in a single process (tests), it is below /tmp; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = held.get() if held.isDefined() else "/tmp/spark-siftline"
     return f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 
