@@ -31,6 +31,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Codes of a second hash of the same span, drawn apart from the first ones.
+CHECK_CODES = np.random.default_rng(20250311).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -102,11 +104,11 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal spans in any batch."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = _BYTE_CODES) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal spans in any batch; other codes of the bytes give another hash."""
     n = len(data)
     total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE_CODES[data] * powers(_BASE, n), out=total[1:])
+    np.cumsum(codes[data] * powers(_BASE, n), out=total[1:])
     spans = (total[ends] - total[starts]) * powers(_BASE_INV, n + 1)[starts]
     return mix(spans ^ ((ends - starts).astype(U) * U(0xA24BAED4963EE407)))
 
@@ -136,15 +138,3 @@ def inside(counts: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, bool)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)
     return left[: n - k + 1] >= k
-
-
-def pack5(values: np.ndarray) -> bytes:
-    """The low 40 bits of each value, five bytes each."""
-    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack5(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").reshape(-1)

@@ -10,8 +10,12 @@ it, so each of its occurrences is extended to both sides, 15 words at most, and
 windows over the extension are matched by hash, again in one shuffle.  The windows
 of one document that match elsewhere, put together, are its maximal repeats.
 
-No pairs of occurrences are formed: a passage that a third of all documents share
-costs a row for each occurrence of its windows.
+Anchors are told apart by 64 bits, as a false one only costs windows that then match
+nothing.  Windows are told apart by 128: two hashes over words hashed by separately drawn
+codes, so n windows hold a false pair with a chance of about n * n / 2**129.
+
+No pairs of occurrences are formed, and two occurrences settle a window: a slice of
+texts sends each of its windows once, however many of its documents share it.
 """
 
 from __future__ import annotations
@@ -25,34 +29,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .tables import maybe_broadcast, row_key, stored
+from .tables import broadcast_if_small, row_key, stored
 
 U = np.uint64
 WINDOW, SEED = 35, 20
 #: Hashes that one group of a shuffle holds.
-HASHES_A_PART = 1_500_000
+HASHES_A_PART = 1_000_000
+
+_HITS = "part long, head binary, body binary, check binary, pos binary"
+
 
-_HITS = "part long, head binary, body binary, pos binary"
+def _twice(hashes: np.ndarray, checks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair (hash, check) that occurs twice or more: all places, and the first place alone."""
+    order = np.argsort(hashes, kind="stable") if checks is None else np.lexsort((checks, hashes))
+    same = np.zeros(len(order) + 1, bool)
+    h = hashes[order]
+    same[1:-1] = h[1:] == h[:-1]
+    if checks is not None:
+        c = checks[order]
+        same[1:-1] &= c[1:] == c[:-1]
+    return order[same[1:] | same[:-1]], order[same[1:] & ~same[:-1]]
 
 
-def _deal(part_count: int, keys: np.ndarray, owner: np.ndarray, hashes: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Pack (row, hash, position) by the group of the hash: heads (key, count), hashes and positions."""
-    part = ((hashes >> U(44)) * U(part_count)) >> U(20)
-    order = np.argsort(part, kind="stable")
-    part, owner, hashes, pos = part[order], owner[order], hashes[order], pos[order]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
+def _deal(part_count: int, keys: np.ndarray, owner: np.ndarray, hashes: np.ndarray, checks: np.ndarray | None, pos: np.ndarray) -> pa.RecordBatch:
+    """Pack (row, hash, check, position) by the group of the hash: heads (key, count), hashes, checks and positions.
+
+    Two occurrences settle a hash.  Those of a hash that this slice holds twice go, without
+    hashes, to one more group that only hands them on; one of them stands for the slice in
+    the group of the hash.  So a hash that many documents share costs its group a row a slice.
+    """
+    part = (((hashes >> U(44)) * U(part_count)) >> U(20)).astype(np.int64)
+    settled, first = _twice(hashes, checks)
+    alone = np.ones(len(hashes), bool)
+    alone[settled] = False
+    alone[first] = True
+    asked = np.flatnonzero(alone)
+    asked = asked[np.argsort(part[asked], kind="stable")]
+    cuts = np.flatnonzero(np.r_[True, part[asked[1:]] != part[asked[:-1]], True]) if len(asked) else np.zeros(1, int)
     rows = []
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        who = owner[lo:hi]
+
+    def add(group: int, at: np.ndarray, answered: bool) -> None:
+        who = owner[at]
         starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        head = np.concatenate([keys[who[starts]], np.diff(np.r_[starts, hi - lo]).astype(U)])
-        rows.append((int(part[lo]), head.tobytes(), A.pack5(hashes[lo:hi]), pos[lo:hi].astype(np.uint32).tobytes()))
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "head", "body", "pos"])
+        head = np.concatenate([keys[who[starts]], np.diff(np.r_[starts, len(at)]).astype(U)])
+        body, check = (b"", b"") if answered else (hashes[at].tobytes(), b"" if checks is None else checks[at].tobytes())
+        rows.append((group, head.tobytes(), body, check, pos[at].astype(np.uint32).tobytes()))
+
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        add(int(part[asked[lo]]), asked[lo:hi], False)
+    if len(settled):
+        settled.sort()
+        add(part_count + int(keys[owner[settled[0]]] % U(part_count)), settled, True)
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "head", "body", "check", "pos"])
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
-    """(key, pos) of all hashes that occur at least twice, in whichever rows."""
+    """(key, pos) of all hashes that occur at least twice, in whichever rows; a place may come back twice."""
 
     def run(table: pa.Table) -> pa.Table:
         A.release()
@@ -61,13 +94,9 @@ def _repeated(dealt: DataFrame) -> DataFrame:
             head = np.frombuffer(blob.as_py(), U)
             keys.append(np.repeat(head[: len(head) // 2], head[len(head) // 2 :].astype(np.int64)))
         key = np.concatenate(keys)
-        low = np.concatenate([A.unpack5(x.as_py()) for x in table["body"]])
-        pos = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["pos"]])
-        order = np.argsort(low, kind="stable")
-        low = low[order]
-        same = np.zeros(len(low) + 1, bool)
-        same[1:-1] = low[1:] == low[:-1]
-        twice = order[same[1:] | same[:-1]]
+        whole = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
+        hashes, checks, pos = whole("body", U), whole("check", U), whole("pos", np.uint32)
+        twice = _twice(hashes, checks if len(checks) else None)[0] if len(hashes) else np.arange(len(pos))  # a group without hashes is settled
         twice = twice[np.lexsort((pos[twice], key[twice]))]
         return pa.table({"key": key[twice].view(np.int64), "pos": pos[twice].astype(np.int32)})
 
@@ -100,12 +129,12 @@ def _covered(size: int, blob: bytes | None) -> np.ndarray:
     return np.cumsum(step[:size]) > 0
 
 
-def _hashed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row keys, word counts, word hashes and each word's place in its row, from columns key and text."""
+def _hashed(part: pa.RecordBatch, checked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Row keys, word counts, word hashes, each word's place in its row, and second hashes if asked, from columns key and text."""
     data, offsets = A.utf8(part.column(part.schema.get_field_index("text")))
     starts, ends, counts = A.words(data, offsets)
     place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return part.column(0).to_numpy().view(U), counts, A.word_hashes(data, starts, ends), place
+    return part.column(0).to_numpy().view(U), counts, A.word_hashes(data, starts, ends), place, A.word_hashes(data, starts, ends, A.CHECK_CODES) if checked else None
 
 
 def winnowed(hashes: np.ndarray, counts: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -131,16 +160,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, most=2 << 20):
-                keys, counts, hashes, place = _hashed(part)
+                keys, counts, hashes, place, _ = _hashed(part)
                 at, runs = winnowed(hashes, counts, window, seed)
                 owner = np.repeat(np.arange(len(counts)), counts)
-                yield _deal(max(1, parts // 4), keys, owner[at], runs[at], place[at])
+                yield _deal(max(1, parts // 4), keys, owner[at], runs[at], None, place[at])
         A.release()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, most=2 << 20):
-                keys, counts, hashes, place = _hashed(part)
+                keys, counts, hashes, place, second = _hashed(part, checked=True)
                 starts = np.cumsum(counts) - counts
                 near = np.zeros(len(hashes), bool)
                 for i, blob in enumerate(part.column(2)):
@@ -148,18 +177,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
                 valid = A.inside(counts, window)
                 at = np.flatnonzero(valid & near[: len(valid)])
                 owner = np.repeat(np.arange(len(counts)), counts)
-                yield _deal(parts, keys, owner[at], A.window_hashes(hashes, window)[at], place[at])
+                yield _deal(parts, keys, owner[at], A.window_hashes(hashes, window)[at], A.window_hashes(second, window)[at], place[at])
         A.release()
 
     anchors = _repeated(keyed.mapInArrow(seeds, _HITS))
     shared = stored(_intervals(anchors, window - seed, 1))  # starts of the windows that contain an anchor
-    near = keyed.join(maybe_broadcast(shared, 100), F.col("key") == F.col("span_key")).select("key", "text", "spans")
+    near = keyed.join(broadcast_if_small(shared), F.col("key") == F.col("span_key")).select("key", "text", "spans")
     windows = _repeated(near.mapInArrow(extend, _HITS))
     return stored(_intervals(windows, 0, window))
 
 
 def _removed(docs: DataFrame, window: int, seed: int, schema: str, finish) -> DataFrame:
-    spans = maybe_broadcast(repeats(docs, window, seed), 100)
+    spans = broadcast_if_small(repeats(docs, window, seed))
     keyed = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("key"))
     names = [c.split()[0] for c in schema.split(", ")]
 

@@ -56,9 +56,9 @@ def maybe_broadcast(side: DataFrame, row_bytes: int) -> DataFrame:
 def broadcast_if_small(side: DataFrame) -> DataFrame:
     """The side marked for broadcasting if the bytes of its values, summed over the whole table, are few.
 
-    Its columns are numbers, booleans or strings; ``side`` should be stored or cheap, as it is read here.
+    Its columns are numbers, booleans, strings or bytes; ``side`` should be stored or cheap, as it is read here.
     """
-    row = sum(F.coalesce(F.octet_length(c), F.lit(0)) + 16 if kind == "string" else F.lit(8) for c, kind in side.dtypes)
+    row = sum(F.coalesce(F.octet_length(c), F.lit(0)) + 16 if kind in ("string", "binary") else F.lit(8) for c, kind in side.dtypes)
     total = side.agg(F.sum(row.cast("long"))).first()[0] or 0
     return F.broadcast(side) if total <= BROADCAST_BYTES else side
 

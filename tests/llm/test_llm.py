@@ -732,6 +732,29 @@ def test_substring_dedup(spark, docs):
     assert {r.n_removed for r in substring_dedup.report(twice).collect()} == {55}
 
 
+def test_windows_are_told_apart_by_two_hashes():
+    """With a first hash that hardly tells windows apart, the second one does; a shared one is sent once a slice."""
+    rng = np.random.default_rng(4)
+    hashes, checks = rng.integers(0, 3, 500).astype(np.uint64) << np.uint64(62), rng.integers(0, 400, 500).astype(np.uint64)
+    count = Counter(zip(hashes.tolist(), checks.tolist(), strict=True))
+    places, first = substring_dedup._twice(hashes, checks)
+    assert sorted(places.tolist()) == [i for i, x in enumerate(zip(hashes.tolist(), checks.tolist(), strict=True)) if count[x] > 1]
+    assert len(first) == sum(n > 1 for n in count.values())
+    owner, keys = np.repeat(np.arange(50), 10), np.arange(50).astype(np.uint64)
+    dealt = substring_dedup._deal(4, keys, owner, hashes, checks, np.tile(np.arange(10), 50)).to_pylist()
+    assert sum(len(r["body"]) // 8 for r in dealt) == len(count)
+    assert [len(r["pos"]) // 4 for r in dealt if not r["body"]] == [len(places)]
+
+
+def test_a_passage_of_very_many_copies(spark):
+    """Copies within a slice and across slices, and one that stands alone in its slice, all go."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"a{i} b{i} {passage} c{i}" for i in range(400)] + [" ".join(f"x{i}" for i in range(400_000)) + " " + passage]
+    got = {r.doc_id: r for r in substring_dedup.report(frame(spark, texts).repartition(5)).collect()}
+    assert {r.n_removed for r in got.values()} == {60}
+    assert got[400].kept_sha256 == sha(" ".join(f"x{i}" for i in range(400_000)))
+
+
 def test_shuffled_sides_give_the_same(spark, docs, monkeypatch):
     """Beyond the broadcast bound every join shuffles."""
     from siftline.llm import tables
