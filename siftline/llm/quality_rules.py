@@ -5,7 +5,8 @@ histogram per (language, source, feature) is the quantile sketch: its bins hold
 counts, so sketches merge by adding and are the same however the rows are dealt;
 a quantile comes back within ``ACCURACY`` of its value.  Each group's fences follow
 from its sketch, shrunk towards those of its language where it is small.  Features
-then join the fences of their group.
+then join the fences of their group; no fence has a fixed part, and a count must
+exceed its fence by more than counts vary by chance.
 """
 
 from __future__ import annotations
@@ -28,12 +29,15 @@ ACCURACY = 0.01
 REACH = 3.0
 #: Documents' worth of the language's fence that a group's own fence is mixed with.
 PRIOR_ROWS = 50
-#: The judged features: their expression over the base counts, and the tiny distance from the median where a group has no spread.
-FEATURES: dict[str, tuple[str, float]] = {
-    "mean_word_chars": ("word_chars / n_words", 0.1),
-    "symbol_share": ("n_symbols / (word_chars + 1)", 0.002),
-    "repeat_share": ("n_repeat_words / n_words", 0.02),
-    "dup_line_share": ("n_dup_lines / n_lines", 0.05),
+#: Deviations by which a count must exceed what its fence explains: one count in a hundred does by chance.
+DEVIATIONS = 2.326
+#: The judged features: their expression over the base counts and, for shares, the count, what it is a share of, and how many make one event
+#: (two runs of three words are the least that repeats).
+FEATURES: dict[str, tuple[str, tuple[str, str, int] | None]] = {
+    "mean_word_chars": ("word_chars / n_words", None),
+    "symbol_share": ("n_symbols / (word_chars + 1)", ("n_symbols", "word_chars + 1", 1)),
+    "repeat_share": ("n_repeat_words / n_words", ("n_repeat_words", "n_words", 6)),
+    "dup_line_share": ("n_dup_lines / n_lines", ("n_dup_lines", "n_lines", 1)),
 }
 
 _SYMBOLS = np.zeros(256, bool)
@@ -142,17 +146,33 @@ def fences(features: DataFrame) -> DataFrame:
     both = own.join(whole, F.col("lang").eqNullSafe(F.col("l")) & (F.col("feature") == F.col("f")))
     trust = F.col("rows") / (F.col("rows") + PRIOR_ROWS)
     mixed = {q: F.col(q) * trust + F.col(f"w{q}") * (1 - trust) for q in used}
-    least = F.coalesce(*[F.when(F.col("feature") == n, F.lit(d)) for n, (_, d) in FEATURES.items()])
     error = ACCURACY * mixed["q50"]  # what the sketch may have taken off the spread
     bounds = both.select(
         "lang", "source", "feature",
-        (mixed["q50"] - F.greatest(REACH * (mixed["q50"] - mixed["q10"] + error), least)).alias("low"),
-        (mixed["q50"] + F.greatest(REACH * (mixed["q90"] - mixed["q50"] + error), least)).alias("high"),
+        (mixed["q50"] - REACH * (mixed["q50"] - mixed["q10"] + error)).alias("low"),
+        (mixed["q50"] + REACH * (mixed["q90"] - mixed["q50"] + error)).alias("high"),
     )
     pick = lambda n, side: F.max(F.when(F.col("feature") == n, F.col(side))).alias(f"{n}_{side}")
     return bounds.groupBy("lang", "source").agg(*[pick(n, s) for n in FEATURES for s in ("low", "high")])
 
 
+def outside(name: str) -> Column:
+    """Whether a row's feature lies outside its fences, in columns ``name``, ``name``_low and ``name``_high.
+
+    A share is a count over a size.  Above its fence it is only outside if the count
+    exceeds what the fence explains at that size by DEVIATIONS, as counts vary (square
+    roots of counts have a deviation of one half): one doubled line of four is no
+    outlier even where nine tenths of a group have none, a third of a long text is.
+    """
+    value, counted = F.col(name), FEATURES[name][1]
+    high = value > F.col(f"{name}_high")
+    if counted is not None:
+        count, size, event = F.expr(counted[0]) / counted[2], F.expr(counted[1]), counted[2]
+        explained = F.greatest(F.col(f"{name}_high"), F.lit(0.0)) * size / event
+        high &= 2 * (F.sqrt(count + 0.375) - F.sqrt(explained + 0.375)) > DEVIATIONS
+    return high | (value < F.col(f"{name}_low"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts, base_failed, the features outside their group's fences, and kept; one row per row.
 
@@ -168,7 +188,7 @@ def judge(docs: DataFrame) -> DataFrame:
     bounds = stored(fences(rows.where("not base_failed")))
     side = maybe_broadcast(bounds.withColumnsRenamed({"lang": "l", "source": "s"}), 120)
     joined = rows.join(side, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    outside = [F.when((F.col(n) < F.col(f"{n}_low")) | (F.col(n) > F.col(f"{n}_high")), F.lit(n)) for n in FEATURES]
+    outliers = [F.when(outside(n), F.lit(n)) for n in FEATURES]
     return joined.select(
-        "doc_id", *BASE, "base_failed", F.array_compact(F.array(*outside)).alias("outliers")
+        "doc_id", *BASE, "base_failed", F.array_compact(F.array(*outliers)).alias("outliers")
     ).withColumn("kept", ~F.col("base_failed") & (F.size("outliers") == 0))

@@ -605,7 +605,7 @@ def test_every_quality_fence_comes_from_its_group(spark):
 
     usual = {"a": lambda: text(6, rng.randint(0, 4), rng.choice([0, 2, 3]), 0), "b": lambda: text(9, rng.randint(10, 30), rng.choice([0, 4, 6]), rng.randint(0, 2))}
     rows = [(1000 * k + i, make(), "xx", g) for k, (g, make) in enumerate(usual.items()) for i in range(300)]
-    odd = {"mean_word_chars": text(7.8, 2, 0, 0), "symbol_share": text(6, 40, 0, 0), "repeat_share": text(6, 2, 24, 0), "dup_line_share": text(6, 2, 0, 4)}
+    odd = {"mean_word_chars": text(7.8, 2, 0, 0), "symbol_share": text(6, 40, 0, 0), "repeat_share": text(6, 2, 24, 0), "dup_line_share": text(6, 2, 0, 6)}
     rows += [(5000 + i, t, "xx", "a") for i, t in enumerate(odd.values())]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(table).collect()}
@@ -619,6 +619,53 @@ def test_every_quality_fence_comes_from_its_group(spark):
         assert abs(a[f"{name}_high"] - b[f"{name}_high"]) > 0.1 * a[f"{name}_high"], name
 
 
+def test_quality_verdicts_follow_exact_quantiles(spark):
+    """Over a whole table, outliers are those of fences from sorted values, but for values next to a fence."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    base = quality_rules.base_counts(docs).withColumns({n: F.when(F.col("n_words") > 0, F.expr(e)) for n, (e, _) in quality_rules.FEATURES.items()})
+    base = base.toPandas().fillna({"lang": "", "source": ""})
+    passed = base[[not got[i].base_failed for i in base.doc_id]]
+    near = kept = 0
+    for n, (_, counted) in quality_rules.FEATURES.items():
+        at = lambda values: [sorted(values)[max(0, math.ceil(len(values) * q) - 1)] for q in (0.1, 0.5, 0.9)]
+        wide = {k: at(list(v)) for k, v in passed.groupby("lang")[n]}
+        fences = {}
+        for (lang, source), v in passed.groupby(["lang", "source"])[n]:
+            trust = len(v) / (len(v) + 50)
+            q10, q50, q90 = (x * trust + y * (1 - trust) for x, y in zip(at(list(v)), wide[lang], strict=True))
+            fences[lang, source] = q50 - 3 * (q50 - q10 + 0.01 * q50), q50 + 3 * (q90 - q50 + 0.01 * q50)
+        for r in base.to_dict("records"):
+            if r["n_words"] == 0 or (r["lang"], r["source"]) not in fences:
+                continue
+            low, high = fences[r["lang"], r["source"]]
+            verdicts = set()
+            for slack in (0.9, 1, 1.1):
+                over = r[n] > high * slack
+                if counted:
+                    count, size, event = r[counted[0]], r["word_chars"] + 1 if "char" in counted[1] else r[counted[1]], counted[2]
+                    over = over and 2 * (math.sqrt(count / event + 0.375) - math.sqrt(max(high * slack, 0) * size / event + 0.375)) > 2.326
+                verdicts.add(over or r[n] < low / slack)
+            if len(verdicts) > 1:
+                near += 1
+            else:
+                kept += 1
+                assert (n in got[r["doc_id"]].outliers) == verdicts.pop(), (n, r)
+    assert near < 0.05 * kept
+
+
+def test_quality_counts_need_evidence(spark):
+    """Where a group has no doubled lines, one in a short text is kept and five in a longer one are not."""
+    rng = random.Random(9)
+    lines = lambda n: [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(10)) for _ in range(n)]
+    texts = ["\n".join(lines(rng.randint(6, 20))) for _ in range(200)]
+    short, long = ["a short line here", *lines(6)], lines(20)
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, [*texts, "\n".join([*short, short[0]]), "\n".join([*long, *long[:5]])])).collect()}
+    assert not [r for i, r in got.items() if i < 201 and set(r.outliers) - {"mean_word_chars"}]
+    assert "dup_line_share" not in got[200].outliers
+    assert "dup_line_share" in got[201].outliers
+
+
 def test_quantile_sketch_merges(spark):
     values = spark.createDataFrame([(i % 3, float(i)) for i in range(1, 1000)], "g int, value double")
     bins = values.select("g", F.lit("f").alias("feature"), quality_rules.bin_of(F.col("value")).alias("bin")).groupBy("g", "feature", "bin").agg(F.count("*").alias("n"))
