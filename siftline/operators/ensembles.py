@@ -151,10 +151,16 @@ def member_scores(ensemble: DataFrame, names: list[str]) -> Column:
 
 def weight_uncertainty(scores: Column) -> Column:
     """min(1, sample deviation / 0.5) of an array of scores; 0 with fewer than two."""
-    n = F.size(scores)
-    mean = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / n
-    squares = F.aggregate(scores, F.lit(0.0), lambda a, s: a + (s - mean) * (s - mean))
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.sqrt(squares / (n - 1)) / 0.5))
+
+    def spread(own: Column, mean: Column) -> Column:
+        squares = F.aggregate(own, F.lit(0.0), lambda a, s: a + (s - mean) * (s - mean))
+        return F.when(F.size(own) < 2, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.sqrt(squares / (F.size(own) - 1)) / 0.5))
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    # A lambda's argument is computed once, where a column would be computed again for each score.
+    return once(scores, lambda own: once(F.aggregate(own, F.lit(0.0), lambda a, s: a + s) / F.size(own), lambda mean: spread(own, mean)))
 
 
 def _deal(profiles: list[tuple[int, float, float]], folds: int) -> list[list[int]]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import matching
+from siftline.operators import ensembles, matching
 
 
-def nodes(frame: DataFrame) -> list[tuple[str, int]]:
-    """(name, output rows) of the physical operators of a frame that has been collected; rows are -1 where none are counted."""
+def operators(frame: DataFrame) -> list:
+    """The physical operators of a frame that has been collected."""
     out, queue = [], [frame._jdf.queryExecution().executedPlan()]
     while queue:
         node = queue.pop()
@@ -20,12 +20,22 @@ def nodes(frame: DataFrame) -> list[tuple[str, int]]:
         if kind.endswith("QueryStageExec"):
             queue.append(node.plan())
             continue
-        rows = node.metrics().get("numOutputRows")
-        out.append((node.nodeName(), rows.get().value() if rows.isDefined() else -1))
+        out.append(node)
         queue += [node.children().apply(i) for i in range(node.children().size())]
     return out
 
 
+def most_rows(frame: DataFrame) -> int:
+    """The rows of the operator that made most."""
+    counted = [node.metrics().get("numOutputRows") for node in operators(frame)]
+    return max(c.get().value() for c in counted if c.isDefined())
+
+
+def exchanges(frame: DataFrame) -> list[str]:
+    """The columns of each shuffle."""
+    return [node.output().mkString(",") for node in operators(frame) if node.nodeName() == "Exchange"]
+
+
 def test_eligible_counts(spark):
     catalog = spark.createDataFrame([("k", ["a", "b", "a"]), ("l", ["c"]), ("l", ["a", None]), ("m", []), ("n", None), ("o", ["z"])], "entry string, restricting array<string>")
     owned = spark.createDataFrame([(1, ["b", "a"]), (2, ["c", "c"]), (2, ["a"]), (3, []), (4, None), (5, ["a", "b"])], "sample int, alleles array<string>")
@@ -44,4 +54,21 @@ def test_entries_and_samples_of_few_alleles_make_no_pairs(spark):
         assert {(r.samples, r.first_sample) for r in found.collect()} == {(2000, 0)}
     finally:
         registry.read = read
-    assert max(rows for _, rows in nodes(found)) <= 2000 * 4
+    assert most_rows(found) <= 2000 * 4
+
+
+def test_scores_are_computed_once_for_the_deviation(spark):
+    """Each score is a Python call that counts itself; no score may be computed again for another."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def scores(x: float) -> list[float]:
+        calls.add(1)
+        return [x, x + 0.1, x + 0.2]
+
+    members = spark.createDataFrame([(i, n, float(i)) for i in range(40) for n in ("a", "bias")], "member int, name string, weight double")
+    column = ensembles.weight_uncertainty(ensembles.member_scores(members, ["a"]))
+    assert column._jc.toString().count("exp(") == 1
+    spread = spark.range(4).select(F.round(ensembles.weight_uncertainty(scores(F.col("id") / 10)), 6).alias("s"))
+    assert [r.s for r in spread.collect()] == [0.2] * 4
+    assert calls.value == 4
