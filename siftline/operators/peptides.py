@@ -27,13 +27,18 @@ def with_protein(variants: DataFrame, proteins: DataFrame) -> DataFrame:
     ``variants`` has transcript and gene; ``proteins`` protein, transcript, symbol and
     seq.  Of several proteins of one key the longest counts, then the first by name.
     """
-    out, found = variants.withColumn("_key", strip_version(F.col("transcript"))), []
-    for at, (key, column) in enumerate((("_key", "transcript"), ("_key", "protein"), ("gene", "symbol"))):
+    # Each distinct pair of names is looked up once, and only its protein meets the variants.
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    named = variants.withColumns({"_key": plain(strip_version(F.col("transcript"))), "_gene": plain(F.col("gene"))})
+    pairs, found = named.select("_key", "_gene").distinct(), []
+    for at, (key, column) in enumerate((("_key", "transcript"), ("_key", "protein"), ("_gene", "symbol"))):
         known = proteins.where(f"{column} <> '' and seq <> ''")
         best = known.groupBy(F.col(column).alias(f"_k{at}")).agg(F.min_by("seq", F.struct(-F.length("seq"), "protein")).alias(f"_s{at}"))
-        out = out.join(best, F.col(key) == F.col(f"_k{at}"), "left")
+        # Sizes of files say little of texts made from them, so no side is sent to all tasks by such an estimate.
+        pairs = pairs.join(best.hint("merge"), F.col(key) == F.col(f"_k{at}"), "left")
         found.append(f"_s{at}")
-    return out.withColumn("seq", F.coalesce(*found)).drop("_key", *[f"_k{at}" for at in range(3)], *found)
+    met = pairs.select("_key", "_gene", F.coalesce(*found).alias("seq"))
+    return named.join(met.hint("merge"), ["_key", "_gene"]).drop("_key", "_gene")
 
 
 def _cut(text: Column, start: Column, stop: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import ensembles, matching
+from siftline.operators import ensembles, matching, peptides
 
 
 def operators(frame: DataFrame) -> list:
@@ -72,3 +72,11 @@ def test_scores_are_computed_once_for_the_deviation(spark):
     spread = spark.range(4).select(F.round(ensembles.weight_uncertainty(scores(F.col("id") / 10)), 6).alias("s"))
     assert [r.s for r in spread.collect()] == [0.2] * 4
     assert calls.value == 4
+
+
+def test_proteins_are_not_sent_to_all_tasks(spark):
+    variants = spark.createDataFrame([("v", "T1.2", "G9"), ("w", "P2", None), ("x", None, "G3"), ("y", None, None), ("z", "", "")], "variant string, transcript string, gene string")
+    proteins = spark.createDataFrame([("P1", "T1", "G1", "AC"), ("P2", "T2", "G2", "CD"), ("P3", "T3", "G3", "DE"), ("P4", "", "", "EF")], "protein string, transcript string, symbol string, seq string")
+    found = peptides.with_protein(variants, proteins)
+    assert {r.variant: r.seq for r in found.collect()} == {"v": "AC", "w": "CD", "x": "DE", "y": None, "z": None}
+    assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
