@@ -1,8 +1,8 @@
 """Mutant proteins and the peptides that cover a protein change.
 
 Everything is column arithmetic over a joined (variant, protein) row: no step needs
-more than one variant at a time, so the plans have no shuffle but those of the
-protein look-up and of the duplicates within a variant.
+more than one variant at a time, so the plans have no shuffle of such rows but that of
+the protein look-up; ids alone are counted to find those that several rows share.
 """
 
 from __future__ import annotations
@@ -97,6 +97,47 @@ def window_starts(size: Column, first: Column, last: Column, length: Column, ove
     return F.when((low <= high) & (length <= size), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
+def peptide_lists(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTHS, flank: int = FLANK) -> DataFrame:
+    """The rows of ``built`` that have peptides, with ``found``: an array of their start, length, peptide, wildtype, position, n_flank and c_flank.
+
+    What counts as a peptide is told at ``peptides``.  A row's repeats are left out within the
+    row.  Only rows that share an id are compared with each other; each of their peptides
+    has a row of its own.
+    """
+    first, last = (F.col(c).cast("int") for c in ("first", "last"))
+    shift, size = F.col("variant_class") == "frameshift", F.length("mutant")
+    anchor = F.when(F.col("last") > F.col("first"), F.col("first")).otherwise(F.greatest(F.col("first") - 1, F.lit(0)))
+
+    def described(start: Column, n: int, peptide: Column) -> Column:
+        stop = start + n
+        before = _cut(F.col("seq"), start, stop)
+        same = ~shift & (size == F.length("seq")) & is_valid(before) & (before != peptide)
+        return F.struct(
+            start.alias("start"), F.lit(n).alias("length"), peptide.alias("peptide"), F.when(same, before).alias("wildtype"), F.greatest(F.lit(1), anchor - start + 1).cast("int").alias("position"),
+            F.regexp_extract(_cut(F.col("mutant"), start - flank, start), f"[{ALPHABET}]*$", 0).alias("n_flank"), F.regexp_extract(_cut(F.col("mutant"), stop, stop + flank), f"^[{ALPHABET}]*", 0).alias("c_flank"),
+        )
+
+    def sized(n: int) -> Column:
+        def of(starts: Column) -> Column:
+            cut = F.filter(F.array_distinct(F.transform(starts, lambda s: F.substring("mutant", s + 1, F.lit(n)))), is_valid)
+            # The first window of a text is its first place from the lowest start on.
+            at = lambda p: F.call_function("locate", p, F.col("mutant"), starts[0] + 1) - 1
+            return F.transform(F.transform(cut, lambda p: F.struct(at(p).alias("s"), p.alias("p"))), lambda w: described(w["s"], n, w["p"]))
+
+        # A lambda's argument is computed once.
+        return F.transform(F.array(window_starts(size, first, last, F.lit(n), shift)), of)[0]
+
+    whole = built.where("mutant is not null")
+    # As a generated row the list is made once; a filter on a plain column would be moved ahead and make all of it again.
+    rows = whole.select("*", F.explode(F.array(F.flatten(F.array(*[sized(n) for n in lengths])))).alias("found")).where(F.size("found") > 0)
+    shared = whole.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    same_id = F.col(id_column).eqNullSafe(F.col("_id"))
+    alone = rows.join(shared, same_id, "left_anti")
+    place = F.row_number().over(W.partitionBy(id_column, "_w.peptide").orderBy("_w.start"))
+    merged = rows.join(shared, same_id, "left_semi").withColumn("_w", F.explode("found")).withColumn("_place", place).where("_place = 1")
+    return alone.unionByName(merged.withColumn("found", F.array("_w")).drop("_w", "_place"))
+
+
 def peptides(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTHS, flank: int = FLANK) -> DataFrame:
     """All columns of ``built`` and start, peptide, wildtype, position, n_flank and c_flank; one row per peptide of a variant.
 
@@ -106,23 +147,5 @@ def peptides(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTH
     frame and the length stay and it differs.  ``position`` is that of the first altered
     residue, 1 where it lies before.  Flanks end at the first unknown residue.
     """
-    ints = [F.col(c).cast("int") for c in ("first", "last")]
-    shift, size = F.col("variant_class") == "frameshift", F.length("mutant")
-    sized = lambda n: F.transform(window_starts(size, *ints, F.lit(n), shift), lambda s: F.struct(s.alias("start"), F.lit(n).alias("length")))
-    every = F.flatten(F.array(*[sized(n) for n in lengths]))
-    rows = built.where("mutant is not null").withColumn("_w", F.explode(every)).select("*", "_w.start", "_w.length").drop("_w")
-    stop = F.col("start") + F.col("length")
-    rows = rows.withColumn("peptide", _cut(F.col("mutant"), F.col("start"), stop)).where(is_valid(F.col("peptide")))
-    place = F.row_number().over(W.partitionBy(id_column, "peptide").orderBy("start"))
-    rows = rows.withColumn("_place", place).where("_place = 1").drop("_place")
-    before = _cut(F.col("seq"), F.col("start"), stop)
-    same = ~shift & (size == F.length("seq")) & is_valid(before) & (before != F.col("peptide"))
-    anchor = F.when(F.col("last") > F.col("first"), F.col("first")).otherwise(F.greatest(F.col("first") - 1, F.lit(0)))
-    return rows.withColumns(
-        {
-            "wildtype": F.when(same, before),
-            "position": F.greatest(F.lit(1), anchor - F.col("start") + 1).cast("int"),
-            "n_flank": F.regexp_extract(_cut(F.col("mutant"), F.col("start") - flank, F.col("start")), f"[{ALPHABET}]*$", 0),
-            "c_flank": F.regexp_extract(_cut(F.col("mutant"), stop, stop + flank), f"^[{ALPHABET}]*", 0),
-        }
-    )
+    listed = peptide_lists(built, id_column, lengths, flank)
+    return listed.select(*built.columns, F.inline("found"))

@@ -74,6 +74,21 @@ def test_scores_are_computed_once_for_the_deviation(spark):
     assert calls.value == 4
 
 
+def test_peptides_of_lone_rows_are_not_shuffled(spark):
+    columns = "variant string, variant_class string, seq string, mutant string, first int, last int"
+    rows = [("a", "missense", "AAAAAAAAAAAAAAAAAAAA", "AAAAAAAAAACAAAAAAAAA", 10, 11), ("b", "frameshift", "MKLVMKLVMKLV", "MAAAAAAAAAAAAAAAAAAA", 1, 20),
+            ("b", "frameshift", "MKLVMKLVMKLV", "CCAAAAAAAAAAAAAAAAAA", 2, 20), (None, "missense", "CDEFGHIKLM", "CDEFGHIKLN", 9, 10), (None, "missense", "CDEFGHIKLM", "CDEFGHIKLN", 9, 10), ("z", "missense", "CDEF", "CDEX", 3, 4)]
+    built = spark.createDataFrame(rows, columns)
+    found = peptides.peptides(built, "variant", (9,))
+    got = sorted((r.variant or "", r.start, r.length, r.peptide, r.position) for r in found.collect())
+    # A frameshift repeats one text, which also another row of its id has: the first place of all counts.
+    assert [g for g in got if g[0] == "b"] == [("b", 0, 9, "CCAAAAAAA", 3), ("b", 0, 9, "MAAAAAAAA", 2), ("b", 1, 9, "AAAAAAAAA", 1), ("b", 1, 9, "CAAAAAAAA", 2)]
+    assert [g for g in got if g[0] == ""] == [("", 1, 9, "DEFGHIKLN", 9)] and sum(g[0] == "a" for g in got) == 9
+    lone = peptides.peptides(built.where("variant in ('a', 'z')"), "variant", (9,))
+    assert len(lone.collect()) == 9
+    assert all("peptide" not in text for text in exchanges(lone))
+
+
 def test_proteins_are_not_sent_to_all_tasks(spark):
     variants = spark.createDataFrame([("v", "T1.2", "G9"), ("w", "P2", None), ("x", None, "G3"), ("y", None, None), ("z", "", "")], "variant string, transcript string, gene string")
     proteins = spark.createDataFrame([("P1", "T1", "G1", "AC"), ("P2", "T2", "G2", "CD"), ("P3", "T3", "G3", "DE"), ("P4", "", "", "EF")], "protein string, transcript string, symbol string, seq string")
