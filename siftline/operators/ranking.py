@@ -36,20 +36,24 @@ def predicted(peptides: DataFrame, alleles: list[str], predict: Predictor | str
     return paired.select("peptide", "allele", *[c.alias(name) for name, c in predict(F.col("peptide"), F.col("allele")).items()])
 
 
-def with_predictions(candidates: DataFrame, calls: DataFrame) -> DataFrame:
+def with_predictions(candidates: DataFrame, calls: DataFrame, usable: Column | None = None) -> DataFrame:
     """Candidates by allele with the call of the mutant peptide, and wt_affinity_nm of the wild type where it has one.
 
-    A candidate without any call is left out.
+    A candidate without any call is left out, and so is one whose call is not ``usable`` if that is given.
     """
     wild = calls.select(F.col("peptide").alias("wildtype"), "allele", F.col("affinity_nm").alias("wt_affinity_nm"))
-    return candidates.join(calls, "peptide").join(wild, ["wildtype", "allele"], "left")
+    own = calls if usable is None else calls.where(usable)
+    return candidates.join(own.hint("merge"), "peptide").join(wild.hint("merge"), ["wildtype", "allele"], "left")
+
+
+def presented(max_percentile: float = 2.0, min_presentation: float = 0.0) -> Column:
+    """Whether a call fails no gate on its own; missing measures rule nothing out."""
+    return F.coalesce(F.col("affinity_percentile") <= max_percentile, F.lit(True)) & F.coalesce(F.col("presentation_score") >= min_presentation, F.lit(True))
 
 
 def presentable(calls: DataFrame, max_percentile: float = 2.0, min_presentation: float = 0.0) -> DataFrame:
     """(peptide): those that some allele is predicted to present; missing measures rule nothing out."""
-    low = F.coalesce(F.col("affinity_percentile") <= max_percentile, F.lit(True))
-    high = F.coalesce(F.col("presentation_score") >= min_presentation, F.lit(True))
-    return calls.where(low & high).select("peptide").distinct()
+    return calls.where(presented(max_percentile, min_presentation)).select("peptide").distinct()
 
 
 def self_scanned(candidates: DataFrame, calls: DataFrame | None, reference: DataFrame, nearest_by: str | None = None, max_percentile: float = 2.0, min_presentation: float = 0.0) -> DataFrame:
@@ -59,12 +63,12 @@ def self_scanned(candidates: DataFrame, calls: DataFrame | None, reference: Data
     no similarity.
     """
     own = candidates.select("peptide").distinct()
-    wanted = own if calls is None else own.join(presentable(calls, max_percentile, min_presentation), "peptide", "left_semi")
+    wanted = own if calls is None else own.join(presentable(calls, max_percentile, min_presentation).hint("merge"), "peptide", "left_semi")
     exact = matching.self_matches(wanted, reference).withColumn("_self", F.lit(True))
-    out = candidates.join(exact, "peptide", "left").withColumn("is_self", F.coalesce("_self", F.lit(False))).drop("_self")
+    out = candidates.join(exact.hint("merge"), "peptide", "left").withColumn("is_self", F.coalesce("_self", F.lit(False))).drop("_self")
     if nearest_by is None:
         return out.withColumn("self_similarity", F.lit(None).cast("double"))
-    return out.join(matching.nearest_similarity(wanted, reference, nearest_by).withColumnRenamed("similarity", "self_similarity"), "peptide", "left")
+    return out.join(matching.nearest_similarity(wanted, reference, nearest_by).withColumnRenamed("similarity", "self_similarity").hint("merge"), "peptide", "left")
 
 
 def featured(rows: DataFrame, max_percentile: float = 2.0, min_presentation: float = 0.0, normal_ceiling: float | None = None) -> DataFrame:

@@ -95,3 +95,16 @@ def test_proteins_are_not_sent_to_all_tasks(spark):
     found = peptides.with_protein(variants, proteins)
     assert {r.variant: r.seq for r in found.collect()} == {"v": "AC", "w": "CD", "x": "DE", "y": None, "z": None}
     assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
+
+
+def test_reference_windows_are_not_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MOST_PREFIXES", 0)
+    wanted = spark.createDataFrame([("ACDEFGHIK",), ("CCCCCCCCC",), ("ACDEFGHI",)], "peptide string")
+    found = matching.self_matches(wanted, spark.createDataFrame([("MACDEFGHIKL",)], "seq string"))
+    assert sorted(r.peptide for r in found.collect()) == ["ACDEFGHI", "ACDEFGHIK"]
+    assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
+
+
+def test_prefixes_reach_the_driver_as_numbers(spark):
+    codes = matching._collected_codes(spark.createDataFrame([("ACDEFGHI",), ("CCCCCCCC",), ("AC",)], "prefix string"))
+    assert {n: len(c) for n, c in codes.items()} == {2: 1, 8: 2} and codes[2].dtype == "int64"
