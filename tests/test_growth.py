@@ -108,3 +108,13 @@ def test_reference_windows_are_not_sent_to_all_tasks(spark, monkeypatch):
 def test_prefixes_reach_the_driver_as_numbers(spark):
     codes = matching._collected_codes(spark.createDataFrame([("ACDEFGHI",), ("CCCCCCCC",), ("AC",)], "prefix string"))
     assert {n: len(c) for n, c in codes.items()} == {2: 1, 8: 2} and codes[2].dtype == "int64"
+
+
+def test_changes_and_isoforms_of_one_symbol_make_no_pairs(spark):
+    i = F.col("id")
+    changes = spark.range(2000).select(i.alias("change_id"), F.lit("s").alias("symbol"), (1 + i % 3).cast("int").alias("start"), (2 + i % 3).cast("int").alias("end"), F.when(i % 2 == 0, "C").otherwise("").alias("ref"))
+    isoforms = spark.range(2000).select(F.lit("s").alias("symbol"), i.alias("transcript"), F.lit("ACDEF").alias("seq"), (i == 7).alias("primary"))
+    found = matching.resolve_isoform(changes, isoforms)
+    got = {(r.change_id % 6, r.transcript, r.outcome) for r in found.collect()}
+    assert got == {(0, None, "no_isoform_fits"), (1, 7, "resolved"), (2, None, "no_isoform_fits"), (3, 7, "resolved"), (4, 7, "resolved"), (5, 7, "resolved")}
+    assert most_rows(found) <= 2000 * 6
