@@ -5,18 +5,19 @@ on labels, so an AUC, or the gap between two, is a sum over the positives of a w
 number that each row keeps.  Rows with the same number are one cell, and the
 positives of a permutation are a multivariate hypergeometric draw from the cells:
 first over blocks of cells, by a generator that all tasks seed alike, then in each
-block alone; the blocks' sums are added.  Small pools are enumerated instead.
+block alone; the blocks' sums are added.  Small pools are enumerated instead: each is
+one list, and a task enumerates pools of equal size and positives side by side.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from math import comb
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,12 @@ from .evaluation import running_before
 EXACT_ROWS = 16
 #: Cells of a block.
 BLOCK_CELLS = 10_000
+#: Large pools up to which their keys are sent to all tasks.
+MOST_KEYS = 100_000
+#: Sums of arrangements that a task holds at once.
+SUMS = 1 << 20
+
+Arrays = list[np.ndarray]
 
 
 def placed(cells: DataFrame, groups: list[str], score: str) -> DataFrame:
@@ -48,49 +55,102 @@ def zone(pool: Column, below: Column, tied: Column, k: int) -> Column:
     return F.struct(place.alias("place"), F.when(place == 1, end - k).otherwise(0).cast("long").alias("spare"))
 
 
-@lru_cache(maxsize=100_000)
-def _sums(values: tuple[int, ...], positives: int) -> dict[int, int]:
-    """How many arrangements of the positives give each sum of values."""
-    ways: dict[tuple[int, int], int] = {(0, 0): 1}
-    for value in values:
-        more = defaultdict(int, ways)
-        for (taken, total), n in ways.items():
-            if taken < positives:
-                more[taken + 1, total + value] += n
-        ways = dict(more)
-    return {total: n for (taken, total), n in ways.items() if taken == positives}
-
-
-@lru_cache(maxsize=100_000)
-def _gaps(cells: tuple[tuple[int, int, int], ...], positives: int, spare_a: int, spare_b: int) -> dict[int, int]:
-    """How many arrangements give each gap in hits; cells: place under a and b, and rows."""
-    ways: dict[tuple[int, int, int, int, int], int] = {(0, 0, 0, 0, 0): 1}
-    for a, b, rows in cells:
-        more: dict = defaultdict(int)
-        for (taken, top_a, tied_a, top_b, tied_b), n in ways.items():
-            for j in range(min(rows, positives - taken) + 1):
-                more[taken + j, top_a + j * (a == 2), tied_a + j * (a == 1), top_b + j * (b == 2), tied_b + j * (b == 1)] += n * comb(rows, j)
-        ways = more
-    out: dict[int, int] = defaultdict(int)
-    for (taken, top_a, tied_a, top_b, tied_b), n in ways.items():
-        if taken == positives:
-            out[top_a + max(0, tied_a - spare_a) - top_b - max(0, tied_b - spare_b)] += n
-    return out
+def _by_size(rows: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of pools of up to EXACT_ROWS rows and those of larger ones (None without any); rows that lack a group are left out."""
+    for g in groups:
+        rows = rows.where(F.col(g).isNotNull())
+    large = stored(rows.groupBy(*groups).agg(F.count("*").alias("_n")).where(F.col("_n") > EXACT_ROWS).select(*groups))
+    n = large.count()
+    if n == 0:
+        return rows, None
+    large = F.broadcast(large) if n <= MOST_KEYS else large.hint("merge")
+    return rows.join(large, groups, "left_anti"), rows.join(large, groups, "left_semi")
 
 
-def _share(ways: dict[int, int], observed: int, two_sided: bool) -> float:
-    all_ways = sum(ways.values())
-    far = sum(n for v, n in ways.items() if (abs(v) >= abs(observed) if two_sided else v >= observed))
-    return far / all_ways
+@lru_cache(maxsize=None)
+def _arrangements(n: int, positives: int) -> np.ndarray:
+    """All arrangements of the positives among n rows, a column each."""
+    chosen = np.array(list(combinations(range(n), positives)), np.int64)
+    out = np.zeros((len(chosen), n), np.float32)
+    np.put_along_axis(out, chosen, 1, 1)
+    return out.T
 
 
-def _exact(two_sided: bool):
-    @F.pandas_udf(T.DoubleType())
-    def p(values: pd.Series, positives: pd.Series, observed: pd.Series) -> pd.Series:
-        each = (tuple(sorted(c["value"] for c in cells for _ in range(c["n"]))) for cells in values)
-        return pd.Series([_share(_sums(v, int(k)), int(o), two_sided) for v, k, o in zip(each, positives, observed, strict=True)], dtype=float)
+def _as_far(parts: Arrays, spares: Arrays, value: Callable[[Arrays, Arrays], np.ndarray], labels: np.ndarray, two_sided: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each pool, and the share of its arrangements whose value is as far.
 
-    return p
+    ``value`` takes the sums over the positives of each of ``parts`` (pools by rows) and the ``spares`` (one a pool).
+    Single precision is exact for sums this small.
+    """
+    every = _arrangements(labels.shape[1], int(labels[0].sum()))
+    seen = value([(p * labels).sum(1, keepdims=True) for p in parts], spares)
+    share, step = np.empty(len(labels)), max(1, SUMS // every.shape[1])
+    for at in range(0, len(labels), step):
+        some = slice(at, at + step)
+        made, own = value([p[some].astype(np.float32) @ every for p in parts], [x[some] for x in spares]), seen[some]
+        share[some] = ((np.abs(made) >= np.abs(own)) if two_sided else (made >= own)).sum(1) / every.shape[1]
+    return seen[:, 0], share
+
+
+def _below_tied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of its pool stand below each row, and at it."""
+    return (codes[:, None, :] < codes[:, :, None]).sum(2), (codes[:, None, :] == codes[:, :, None]).sum(2)
+
+
+def _one_ranking(scores: Arrays, labels: np.ndarray) -> Arrays:
+    """observed and p of pools of equal size and positives, given as pools by rows."""
+    below, tied = _below_tied(scores[0])
+    return list(_as_far([2 * below + tied + 1], [], lambda sums, _: sums[0], labels, False))
+
+
+def _two_rankings(scores: Arrays, labels: np.ndarray, k: int) -> Arrays:
+    """ra, rb, hits_a, hits_b, hits_p and auc_p of pools of equal size and positives, given as pools by rows."""
+    ranks, places, spares = [], [], []
+    for codes in scores:
+        below, tied = _below_tied(codes)
+        ranks.append(2 * below + tied + 1)
+        end = codes.shape[1] - below  # as in ``zone``
+        edge = (end > k) & (end - tied < k)
+        places += [end <= k, edge]
+        spares.append(np.where(edge, end - k, 0).max(1, keepdims=True))
+
+    def hits(sums: Arrays, spares: Arrays) -> Arrays:
+        return [top + np.maximum(0, edge - spare) for top, edge, spare in zip(sums[::2], sums[1::2], spares, strict=True)]
+
+    def gap(sums: Arrays, spares: Arrays) -> np.ndarray:
+        a, b = hits(sums, spares)
+        return a - b
+
+    seen = hits([(p * labels).sum(1, keepdims=True) for p in places], spares)
+    _, hits_p = _as_far(places, spares, gap, labels, True)
+    _, auc_p = _as_far([ranks[0] - ranks[1]], [], lambda sums, _: sums[0], labels, True)
+    return [*[(r * labels).sum(1) for r in ranks], *[h[:, 0] for h in seen], hits_p, auc_p]
+
+
+def _enumerated(rows: DataFrame, groups: list[str], scores: list[str], made: dict[str, T.DataType], of: Callable[[Arrays, np.ndarray], Arrays]) -> DataFrame:
+    """(groups, pool, positives, ``made``) of pools of up to EXACT_ROWS rows; ``of`` makes the last of pools of equal size and positives."""
+    packed = rows.groupBy(*groups).agg(F.collect_list(F.struct(*scores, F.col("label").cast("long").alias("label"))).alias("_rows"))
+    columns = {"pool": T.LongType(), "positives": T.LongType(), **made}
+    schema = T.StructType([*(rows.schema[g] for g in groups), *(T.StructField(c, t) for c, t in columns.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(groups))
+            *values, labels = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            codes = [np.unique(v, return_inverse=True)[1] for v in values]  # ranks take the order of scores only
+            pool = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(pool):
+                continue
+            first = np.cumsum(pool) - pool
+            out = {"pool": pool, "positives": np.add.reduceat(labels, first)} | {c: np.zeros(len(pool), np.float64 if t == T.DoubleType() else np.int64) for c, t in made.items()}
+            for size, positives in np.unique(np.stack([pool, out["positives"]], 1), axis=0):
+                alike = np.flatnonzero((pool == size) & (out["positives"] == positives))
+                at = first[alike, None] + np.arange(size)
+                for c, found in zip(made, of([v[at] for v in codes], labels[at]), strict=True):
+                    out[c][alike] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(groups)], *map(pa.array, out.values())], schema.fieldNames())
+
+    return packed.select(*groups, "_rows").mapInArrow(run, schema)
 
 
 def drawn_sums(cells: DataFrame, groups: list[str], rounds: int, seed: int) -> DataFrame:
@@ -122,16 +182,12 @@ def drawn_sums(cells: DataFrame, groups: list[str], rounds: int, seed: int) -> D
 
 
 def _p_values(cells: DataFrame, groups: list[str], rounds: int, seed: int, two_sided: bool) -> DataFrame:
-    """(groups, observed, p) of the sum of ``value`` over the positives; ``cells`` has value, n and k and is stored."""
+    """(groups, observed, p) of the sum of ``value`` over the positives, drawn; ``cells`` has value, n and k and is stored."""
     cells = cells.groupBy(*groups, "value").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = cells.groupBy(*groups).agg(F.sum("n").alias("_rows"), F.sum("k").alias("positives"), F.sum(F.col("value") * F.col("k")).alias("observed"))
-    sized = cells.join(whole, groups)
-    small = sized.where(F.col("_rows") <= EXACT_ROWS).groupBy(*groups).agg(F.collect_list(F.struct("value", "n")).alias("values"), F.first("positives").alias("positives"), F.first("observed").alias("observed"))
-    small = small.select(*groups, "observed", _exact(two_sided)("values", "positives", "observed").alias("p"))
-    drawn = drawn_sums(sized.where(F.col("_rows") > EXACT_ROWS).select(*groups, "value", "n", "k"), groups, rounds, seed).join(whole.select(*groups, "observed"), groups)
+    whole = cells.groupBy(*groups).agg(F.sum(F.col("value") * F.col("k")).alias("observed"))
+    drawn = drawn_sums(cells, groups, rounds, seed).join(whole, groups)
     far = (F.abs("total") >= F.abs("observed")) if two_sided else (F.col("total") >= F.col("observed"))
-    tested = drawn.groupBy(*groups).agg(F.first("observed").alias("observed"), ((1 + F.count_if(far)) / F.lit(rounds + 1)).alias("p"))
-    return small.unionByName(tested)
+    return drawn.groupBy(*groups).agg(F.first("observed").alias("observed"), ((1 + F.count_if(far)) / F.lit(rounds + 1)).alias("p"))
 
 
 def permutation_p(pool: DataFrame, groups: list[str], rounds: int = 1000, seed: int = 0) -> DataFrame:
@@ -141,18 +197,20 @@ def permutation_p(pool: DataFrame, groups: list[str], rounds: int = 1000, seed:
     column of ``groups``.  Pools of up to EXACT_ROWS rows are enumerated, others drawn ``rounds``
     times, the observed labels included.  Pools of one class have neither value.
     """
-    rows = pool.where("score is not null and label is not null")
-    cells = stored(rows.groupBy(*groups, "score").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k")))
-    valued = stored(cells.join(placed(cells, groups, "score"), [*groups, "score"]).select(*groups, F.col("rank").alias("value"), "n", "k"))
-    counts = cells.groupBy(*groups).agg(F.sum("k").alias("_k"), F.sum(F.col("n") - F.col("k")).alias("_m"))
-    tested = counts.join(_p_values(valued, groups, rounds, seed, False), groups)
-    both = (F.col("_k") > 0) & (F.col("_m") > 0)
-    auc = (F.col("observed") - F.col("_k") * (F.col("_k") + 1)) / (2 * F.col("_k") * F.col("_m"))
-    return tested.select(*groups, F.when(both, auc).alias("auc"), F.when(both, F.col("p")).alias("p"))
+    small, large = _by_size(pool.where("score is not null and label is not null"), groups)
+    tested = _enumerated(small, groups, ["score"], {"observed": T.LongType(), "p": T.DoubleType()}, _one_ranking)
+    if large is not None:
+        cells = stored(large.groupBy(*groups, "score").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k")))
+        valued = stored(cells.join(placed(cells, groups, "score"), [*groups, "score"]).select(*groups, F.col("rank").alias("value"), "n", "k"))
+        counts = cells.groupBy(*groups).agg(F.sum("n").alias("pool"), F.sum("k").alias("positives"))
+        tested = tested.unionByName(counts.join(_p_values(valued, groups, rounds, seed, False), groups))
+    k, m = F.col("positives"), F.col("pool") - F.col("positives")
+    both = (k > 0) & (m > 0)
+    return tested.select(*groups, F.when(both, (F.col("observed") - k * (k + 1)) / (2 * k * m)).alias("auc"), F.when(both, F.col("p")).alias("p"))
 
 
 def _hit_gaps(cells: pd.Series, spare_a: pd.Series, spare_b: pd.Series, keys: pd.Series, rounds: int, seed: int) -> pd.DataFrame:
-    """hits under a and b and the p-value of their gap, from the rows and positives of nine zones a pool."""
+    """hits under a and b and the drawn p-value of their gap, from the rows and positives of nine zones a pool."""
     out = []
     for zone, sa, sb, key in zip(cells, spare_a, spare_b, keys, strict=True):
         a, b, n, k = (np.array([int(c[f]) for c in zone]) for f in ("a", "b", "n", "k"))
@@ -163,12 +221,9 @@ def _hit_gaps(cells: pd.Series, spare_a: pd.Series, spare_b: pd.Series, keys: pd
 
         seen = int(hits(k, a, sa)), int(hits(k, b, sb))
         gap = seen[0] - seen[1]
-        if n.sum() <= EXACT_ROWS:
-            p = _share(_gaps(tuple(sorted(zip(a.tolist(), b.tolist(), n.tolist(), strict=True))), positives, sa, sb), gap, True)
-        else:
-            rng = np.random.default_rng([seed, int(key) & 0xFFFFFFFF, int(key) >> 32 & 0xFFFFFFFF, 7])
-            drawn = rng.multivariate_hypergeometric(n, positives, size=rounds, method="marginals")
-            p = (1 + int((np.abs(hits(drawn, a, sa) - hits(drawn, b, sb)) >= abs(gap)).sum())) / (rounds + 1)
+        rng = np.random.default_rng([seed, int(key) & 0xFFFFFFFF, int(key) >> 32 & 0xFFFFFFFF, 7])
+        drawn = rng.multivariate_hypergeometric(n, positives, size=rounds, method="marginals")
+        p = (1 + int((np.abs(hits(drawn, a, sa) - hits(drawn, b, sb)) >= abs(gap)).sum())) / (rounds + 1)
         out.append((*seen, p))
     return pd.DataFrame(out, columns=["hits_a", "hits_b", "p"])
 
@@ -182,7 +237,22 @@ def paired_comparison(pool: DataFrame, groups: list[str], k: int, rounds: int =
     negatives first.  Both p-values are two-sided over permuted labels, exact for pools
     of up to EXACT_ROWS rows.  Pools of one class have no auc.
     """
-    rows = pool.where("score_a is not null and score_b is not null and label is not null")
+    small, large = _by_size(pool.where("score_a is not null and score_b is not null and label is not null"), groups)
+    made = dict.fromkeys(("ra", "rb", "hits_a", "hits_b"), T.LongType()) | dict.fromkeys(("hits_p", "_auc_p"), T.DoubleType())
+    tested = _enumerated(small, groups, ["score_a", "score_b"], made, lambda scores, labels: _two_rankings(scores, labels, k))
+    if large is not None:
+        tested = tested.unionByName(_drawn_comparison(large, groups, k, rounds, seed))
+    positives, negatives = F.col("positives"), F.col("pool") - F.col("positives")
+    both = (positives > 0) & (negatives > 0)
+    of = lambda c: F.when(both, (F.col(c) - positives * (positives + 1)) / (2 * positives * negatives))
+    return tested.select(
+        *groups, "pool", "positives", F.least(F.lit(k), "pool").cast("int").alias("depth"), "hits_a", "hits_b", "hits_p",
+        of("ra").alias("auc_a"), of("rb").alias("auc_b"), F.when(both, F.col("_auc_p")).alias("auc_p"),
+    )
+
+
+def _drawn_comparison(rows: DataFrame, groups: list[str], k: int, rounds: int, seed: int) -> DataFrame:
+    """(groups, pool, positives, ra, rb, hits_a, hits_b, hits_p, _auc_p) of pools that are drawn; ra and rb are the positives' sums of ranks."""
     cells = stored(rows.groupBy(*groups, "score_a", "score_b").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("k")))
     found = cells.join(cells.groupBy(*groups).agg(F.sum("n").alias("_pool")), groups)
     for side in ("a", "b"):
@@ -195,7 +265,7 @@ def paired_comparison(pool: DataFrame, groups: list[str], k: int, rounds: int =
     )
     whole = zones.groupBy(*groups).agg(
         F.sum("n").alias("pool"), F.sum("k").alias("positives"), F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.sum("ra").alias("ra"), F.sum("rb").alias("rb"),
-        F.collect_list(F.struct("a", "b", "n", "k")).alias("cells"),  # nine at most
+        F.array_sort(F.collect_list(F.struct("a", "b", "n", "k"))).alias("cells"),  # nine at most, in one order for the draws
     )
 
     @F.pandas_udf("hits_a long, hits_b long, p double")
@@ -204,13 +274,7 @@ def paired_comparison(pool: DataFrame, groups: list[str], k: int, rounds: int =
 
     whole = whole.withColumn("hits", tested("cells", "sa", "sb", F.xxhash64(*groups)))
     auc = _p_values(found, groups, rounds, seed, True).select(*groups, F.col("p").alias("_auc_p"))
-    positives, negatives = F.col("positives"), F.col("pool") - F.col("positives")
-    both = (positives > 0) & (negatives > 0)
-    of = lambda c: F.when(both, (F.col(c) - positives * (positives + 1)) / (2 * positives * negatives))
-    return whole.join(auc, groups).select(
-        *groups, "pool", "positives", F.least(F.lit(k), "pool").cast("int").alias("depth"), "hits.hits_a", "hits.hits_b", F.col("hits.p").alias("hits_p"),
-        of("ra").alias("auc_a"), of("rb").alias("auc_b"), F.when(both, F.col("_auc_p")).alias("auc_p"),
-    )
+    return whole.join(auc, groups).select(*groups, "pool", "positives", "ra", "rb", "hits.hits_a", "hits.hits_b", F.col("hits.p").alias("hits_p"), "_auc_p")
 
 
 def _resample(row: dict, seed: int) -> Iterator[tuple[int, int, int, int, float]]:

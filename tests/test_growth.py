@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import ensembles, matching, peptides
+from siftline.operators import ensembles, matching, peptides, permutation
 
 
 def operators(frame: DataFrame) -> list:
@@ -118,3 +118,14 @@ def test_changes_and_isoforms_of_one_symbol_make_no_pairs(spark):
     got = {(r.change_id % 6, r.transcript, r.outcome) for r in found.collect()}
     assert got == {(0, None, "no_isoform_fits"), (1, 7, "resolved"), (2, None, "no_isoform_fits"), (3, 7, "resolved"), (4, 7, "resolved"), (5, 7, "resolved")}
     assert most_rows(found) <= 2000 * 6
+
+
+def test_small_pools_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(permutation, "placed", None)  # no score of a small pool is ranked over ranges
+    rows = spark.range(4000).selectExpr("id div 4 as g", "if(id % 4 = 0, double('nan'), id % 4) as score_a", "cast(id % 4 as decimal(9, 2)) as score_b", "cast(id % 4 = 0 as int) as label")
+    found = permutation.paired_comparison(rows, ["g"], 2)
+    got = {tuple(r)[1:] for r in found.collect()}
+    assert got == {(4, 1, 2, 1, 0, 0.5, 1.0, 0.0, 0.25)} and found.count() == 1000
+    assert len(exchanges(found)) == 1
+    single = permutation.permutation_p(rows.withColumnRenamed("score_a", "score"), ["g"])
+    assert {tuple(r)[1:] for r in single.collect()} == {(1.0, 0.25)} and len(exchanges(single)) == 1
