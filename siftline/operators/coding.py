@@ -10,12 +10,26 @@ from ..functions.residues import translate_codons
 
 #: Width of the bins in which positions meet spans.
 BIN = 16_384
+#: Rows up to which a side of a join is sent to all tasks; it is counted, as the planner's guess leaves out what is made of a row.
+MOST_ROWS = 100_000
+#: Spans or results that a task sorts, however small they are when compressed.
+TASK_ROWS = 250_000
 
 
 def reverse_complement(bases: Column) -> Column:
     return F.reverse(F.translate(F.upper(bases), "ACGT", "TGCA"))
 
 
+def sized(side: DataFrame) -> DataFrame:
+    """A side of a join, sent to all tasks only if its rows are few."""
+    return side.hint("broadcast" if side.count() <= MOST_ROWS else "merge")
+
+
+def tasks(frame: DataFrame) -> int:
+    """Tasks of TASK_ROWS rows each, but no fewer than the session's."""
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frame.count() // TASK_ROWS))
+
+
 def span_offsets(spans: DataFrame) -> DataFrame:
     """Adds ``before``: the coding bases of a transcript's spans ahead of each, in the direction of its strand.
 
@@ -23,7 +37,7 @@ def span_offsets(spans: DataFrame) -> DataFrame:
     """
     ahead = F.when(F.col("strand") == "-", -F.col("start")).otherwise(F.col("start"))
     order = W.partitionBy("transcript").orderBy(ahead).rowsBetween(W.unboundedPreceding, -1)
-    return spans.withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(order), F.lit(0)))
+    return spans.repartition(tasks(spans), "transcript").withColumn("before", F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(order), F.lit(0)))
 
 
 def coding_positions(variants: DataFrame, spans: DataFrame, width: int = BIN) -> DataFrame:
@@ -35,7 +49,7 @@ def coding_positions(variants: DataFrame, spans: DataFrame, width: int = BIN) ->
     """
     bins = F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}"))
     binned = spans.where("start <= end").select("sequence", "transcript", "start", "end", "strand", "before", F.explode(bins).alias("_bin"))
-    met = variants.withColumn("_bin", F.expr(f"pos div {width}")).join(binned, ["sequence", "_bin"])
+    met = variants.withColumn("_bin", F.expr(f"pos div {width}")).join(sized(binned), ["sequence", "_bin"])
     stop = F.col("pos") + F.length("ref") - 1
     inside = met.where((F.col("pos") >= F.col("start")) & (stop <= F.col("end")))
     back = F.col("strand") == "-"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators import ensembles, matching, peptides, permutation
+from siftline.operators import coding, ensembles, matching, peptides, permutation
 
 
 def operators(frame: DataFrame) -> list:
@@ -129,3 +129,15 @@ def test_small_pools_are_shuffled_once(spark, monkeypatch):
     assert len(exchanges(found)) == 1
     single = permutation.permutation_p(rows.withColumnRenamed("score_a", "score"), ["g"])
     assert {tuple(r)[1:] for r in single.collect()} == {(1.0, 0.25)} and len(exchanges(single)) == 1
+
+
+def test_many_spans_are_not_sent_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(coding, "MOST_ROWS", 0)
+    monkeypatch.setattr(coding, "TASK_ROWS", 10)
+    spans = spark.range(100).selectExpr("concat('t', id div 2) as transcript", "'c' as sequence", "id * 10 + 1 as start", "id * 10 + 10 as end", "'+' as strand")
+    offsets = coding.span_offsets(spans)
+    assert offsets.rdd.getNumPartitions() == 10 and {r.before for r in offsets.collect()} == {0, 10}
+    variants = spark.createDataFrame([("v", "c", 25, "A", "C")], "variant_id string, sequence string, pos long, ref string, alt string")
+    found = coding.coding_positions(variants, offsets)
+    assert [(r.transcript, r.cds_pos) for r in found.collect()] == [("t1", 4)]
+    assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
