@@ -141,3 +141,19 @@ def test_many_spans_are_not_sent_to_all_tasks(spark, monkeypatch):
     found = coding.coding_positions(variants, offsets)
     assert [(r.transcript, r.cds_pos) for r in found.collect()] == [("t1", 4)]
     assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
+
+
+def test_results_are_recomputed_once(spark, monkeypatch):
+    from siftline.plans import registry
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def peptide(_: int) -> str:
+        calls.add(1)
+        return "A"
+
+    made = spark.range(50).select(F.col("id").cast("string").alias("variant_id"), F.lit("t").alias("transcript"), F.col("id").alias("start_offset"), peptide("id").alias("peptide"))
+    monkeypatch.setattr(registry, "coding_changes", lambda *_: made)
+    assert sum(r.n for r in registry.drift_verdicts(spark, "").collect()) == 50
+    assert calls.value == 50
