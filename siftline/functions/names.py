@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def _compact(raw: Column) -> Column:
     return F.upper(F.regexp_replace(raw, r"\s+", ""))
 
 
+def once(name: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of a name that is computed once: a lambda's argument, where a column would be computed again at each place."""
+    return F.transform(F.array(name), read)[0]
+
+
 def normalize_allele(raw: Column) -> Column:
     """``HLA-A*02:01`` from any accepted spelling, two fields; null otherwise."""
     name = _trimmed(raw)
@@ -63,15 +70,13 @@ def genotype_tokens(text: Column) -> Column:
 
 def normalize_peptide(raw: Column) -> Column:
     """Letters only, upper-case, white space dropped; null otherwise."""
-    name = _compact(raw)
-    return F.when(name.rlike(r"^\p{L}+$"), name)
+    return once(_compact(raw), lambda name: F.when(name.rlike(r"^\p{L}+$"), name))
 
 
 def normalize_panel_allele(raw: Column) -> Column:
     """The allele spelling of assay panels; null if it fits none."""
-    name = F.replace(_compact(raw), F.lit("_"), F.lit("-"))
-    part = lambda i: F.regexp_extract(name, PANEL_ALLELE, i)
-    return F.when(name.rlike(PANEL_ALLELE), F.concat(F.lit("HLA-"), part(1), F.lit("*"), part(2), F.lit(":"), part(3)))
+    # What may stand behind the end of the pattern, a line's end, is dropped.
+    return once(compact_name(raw), lambda name: F.when(name.rlike(PANEL_ALLELE), F.regexp_replace(name, f"(?s){PANEL_ALLELE}.*", r"HLA-$1*$2:$3")))
 
 
 def _one_allele(name: Column, alias: Column) -> Column:

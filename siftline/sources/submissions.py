@@ -30,10 +30,10 @@ def _text(item: Column, path: str) -> Column:
     return F.when(_kind(inner) == "STRING", F.try_variant_get(item, path, "string"))
 
 
-def _pair(peptide: Column, allele: Column) -> Column:
-    """A pair in canonical spelling; null unless both can be read."""
-    peptide, allele = names.normalize_peptide(peptide), names.normalize_panel_allele(allele)
-    return F.when(peptide.isNotNull() & allele.isNotNull(), F.struct(peptide.alias("peptide"), allele.alias("allele")))
+def _pairs(raw: Column) -> Column:
+    """Pairs in canonical spelling from raw ones; null for those of which both cannot be read."""
+    read = F.transform(raw, lambda c: F.struct(names.normalize_peptide(c["peptide"]).alias("peptide"), names.normalize_panel_allele(c["allele"]).alias("allele")))
+    return F.transform(read, lambda c: F.when(c["peptide"].isNotNull() & c["allele"].isNotNull(), c))
 
 
 def parsed(submissions: DataFrame) -> DataFrame:
@@ -61,18 +61,17 @@ def submitted_pairs(submissions: DataFrame, field: str = "leaked_pairs") -> Data
     """
     rows = parsed(submissions)
     value = F.try_variant_get("json", f"$.{field}", "variant")
-    absent = F.col("valid") & (value.isNull() | F.is_variant_null(value))
-    items = F.when(_kind(value) == "ARRAY", F.try_variant_get("json", f"$.{field}", "array<variant>"))
-
-    def read(item: Column) -> Column:
-        long = F.try_variant_get(item, "$[1]", "variant").isNotNull()
-        listed = F.when((_kind(item) == "ARRAY") & long, _pair(_text(item, "$[0]"), _text(item, "$[1]")))
-        return F.when(_kind(item) == "OBJECT", _pair(_text(item, "$.peptide"), _text(item, "$.mhc_allele"))).otherwise(listed)
-
-    inline = F.transform(items, read)
-    aside = F.transform(side_rows(F.col("side")), lambda c: _pair(c["peptide"], c["allele"]))
-    found = F.when(absent, aside).when(F.col("valid"), inline)
-    out = rows.withColumn("_found", found)
+    rows = rows.withColumn("_value", value).withColumn("_list", _kind(F.col("_value")) == "ARRAY")
+    absent = F.col("valid") & (F.col("_value").isNull() | F.is_variant_null("_value"))
+    items = F.when(F.col("_list"), F.try_variant_get("_value", "$", "array<variant>"))
+
+    def texts(item: Column, peptide: str, allele: str) -> Column:
+        return F.struct(_text(item, peptide).alias("peptide"), _text(item, allele).alias("allele"))
+
+    # An item's kind is told by its own first level only, and its texts are spelled once for lists, objects and side files alike.
+    raw = F.transform(items, lambda i: names.once(_kind(i), lambda kind: F.when(kind == "OBJECT", texts(i, "$.peptide", "$.mhc_allele")).when(kind == "ARRAY", texts(i, "$[0]", "$[1]"))))
+    rows = rows.withColumn("_raw", F.when(absent, side_rows(F.col("side"))).when(F.col("valid"), raw))
+    out = rows.withColumn("_found", _pairs(F.col("_raw")))
     good = F.filter("_found", lambda p: p.isNotNull())
     return out.select(
         "submission", "valid", F.col("_found").isNotNull().alias("listed"), F.coalesce(F.size("_found"), F.lit(0)).alias("stated"),

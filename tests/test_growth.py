@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions import names
 from siftline.operators import coding, ensembles, matching, peptides, permutation
 
 
@@ -157,3 +158,10 @@ def test_results_are_recomputed_once(spark, monkeypatch):
     monkeypatch.setattr(registry, "coding_changes", lambda *_: made)
     assert sum(r.n for r in registry.drift_verdicts(spark, "").collect()) == 50
     assert calls.value == 50
+
+
+def test_names_are_compacted_once(spark):
+    spelled = names.normalize_panel_allele(F.col("a"))
+    assert spelled._jc.toString().count("\\s+") == 1 and names.normalize_peptide(F.col("a"))._jc.toString().count("\\s+") == 1
+    rows = spark.createDataFrame([("hla_a02:01",), ("A*02:01\u2028",), ("A*02:01:03",), ("nonsense",), (None,)], "a string")
+    assert [r[0] for r in rows.select(spelled).collect()] == ["HLA-A*02:01", "HLA-A*02:01", "HLA-A*02:01", None, None]
