@@ -2,7 +2,7 @@
 
 Everything is column arithmetic over a joined (variant, protein) row: no step needs
 more than one variant at a time, so the plans have no shuffle of such rows but that of
-the protein look-up; ids alone are counted to find those that several rows share.
+the protein look-up; hashes of ids are counted to find those that several rows share.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import Window as W
 
 from ..functions.names import strip_version
 from ..functions.residues import ALPHABET, is_valid
+from ..sources.shared import stored
 
 #: Annotation release from which a length change tells where a novel tail starts.
 TAIL_RELEASE = 114
 #: Lengths of class I peptides, and residues kept on either side.
 LENGTHS = (8, 9, 10, 11)
 FLANK = 10
+#: Most shared ids that are sent to all tasks.
+MOST_IDS = 100_000
 
 
 def with_protein(variants: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -97,29 +100,64 @@ def window_starts(size: Column, first: Column, last: Column, length: Column, ove
     return F.when((low <= high) & (length <= size), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def peptide_lists(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTHS, flank: int = FLANK) -> DataFrame:
+def shared_ids(variants: DataFrame, id_column: str) -> DataFrame:
+    """(_hash): hashes of the ids that more than one row has, stored.
+
+    A row shuffles the eight bytes of its id's hash.  Two ids of one hash are found as
+    well; that only sends their rows the longer way.
+    """
+    hashes = variants.select(F.xxhash64(id_column).alias("_hash")).repartition("_hash")
+    return stored(hashes.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"))
+
+
+def _parted(built: DataFrame, id_column: str, shared: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with a mutant whose id is theirs alone, and those that may share it; no rows of the latter are None."""
+    whole = built.where("mutant is not null")
+    shared = shared_ids(whole, id_column) if shared is None else shared
+    n = shared.count()
+    if n == 0:
+        return whole, None
+    ids, same = F.broadcast(shared) if n <= MOST_IDS else shared.hint("merge"), F.xxhash64(id_column) == F.col("_hash")
+    return whole.join(ids, same, "left_anti"), whole.join(ids, same, "left_semi")
+
+
+def _anchor() -> Column:
+    return F.when(F.col("last") > F.col("first"), F.col("first")).otherwise(F.greatest(F.col("first") - 1, F.lit(0)))
+
+
+def _described(start: Column, stop: Column, peptide: Column, flank: int) -> dict[str, Column]:
+    """wildtype, position, n_flank and c_flank of a peptide; _pure and _clean tell whether seq and mutant have residues only."""
+    before = _cut(F.col("seq"), start, stop)
+    same = (F.col("variant_class") != "frameshift") & (F.length("mutant") == F.length("seq")) & (F.col("_pure") | is_valid(before)) & (before != "") & (before != peptide)
+    left, right = _cut(F.col("mutant"), start - flank, start), _cut(F.col("mutant"), stop, stop + flank)
+    return {
+        "wildtype": F.when(same, before), "position": F.greatest(F.lit(1), _anchor() - start + 1).cast("int"),
+        "n_flank": F.when(F.col("_clean"), left).otherwise(F.regexp_extract(left, f"[{ALPHABET}]*$", 0)),
+        "c_flank": F.when(F.col("_clean"), right).otherwise(F.regexp_extract(right, f"^[{ALPHABET}]*", 0)),
+    }
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """Adds _clean and _pure: a sequence that is valid as a whole spares the check of each of its parts."""
+    return rows.withColumns({"_clean": F.coalesce(is_valid(F.col("mutant")), F.lit(False)), "_pure": F.coalesce(is_valid(F.col("seq")), F.lit(False))})
+
+
+def peptide_lists(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTHS, flank: int = FLANK, shared: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The rows of ``built`` that have peptides, with ``found``: an array of their start, length, peptide, wildtype, position, n_flank and c_flank.
 
-    What counts as a peptide is told at ``peptides``.  A row's repeats are left out within the
-    row.  Only rows that share an id are compared with each other; each of their peptides
-    has a row of its own.
+    What counts as a peptide is told at ``peptides``.  First the rows whose id is theirs alone;
+    their repeats are left out within the row, and no list is shuffled.  Then, if there are
+    any, those that share an id: each of their peptides has a row of its own.
     """
     first, last = (F.col(c).cast("int") for c in ("first", "last"))
     shift, size = F.col("variant_class") == "frameshift", F.length("mutant")
-    anchor = F.when(F.col("last") > F.col("first"), F.col("first")).otherwise(F.greatest(F.col("first") - 1, F.lit(0)))
 
     def described(start: Column, n: int, peptide: Column) -> Column:
-        stop = start + n
-        before = _cut(F.col("seq"), start, stop)
-        same = ~shift & (size == F.length("seq")) & is_valid(before) & (before != peptide)
-        return F.struct(
-            start.alias("start"), F.lit(n).alias("length"), peptide.alias("peptide"), F.when(same, before).alias("wildtype"), F.greatest(F.lit(1), anchor - start + 1).cast("int").alias("position"),
-            F.regexp_extract(_cut(F.col("mutant"), start - flank, start), f"[{ALPHABET}]*$", 0).alias("n_flank"), F.regexp_extract(_cut(F.col("mutant"), stop, stop + flank), f"^[{ALPHABET}]*", 0).alias("c_flank"),
-        )
+        return F.struct(start.alias("start"), F.lit(n).alias("length"), peptide.alias("peptide"), *[c.alias(name) for name, c in _described(start, start + n, peptide, flank).items()])
 
     def sized(n: int) -> Column:
         def of(starts: Column) -> Column:
-            cut = F.filter(F.array_distinct(F.transform(starts, lambda s: F.substring("mutant", s + 1, F.lit(n)))), is_valid)
+            cut = F.filter(F.array_distinct(F.transform(starts, lambda s: F.substring("mutant", s + 1, F.lit(n)))), lambda p: F.col("_clean") | is_valid(p))
             # The first window of a text is its first place from the lowest start on.
             at = lambda p: F.call_function("locate", p, F.col("mutant"), starts[0] + 1) - 1
             return F.transform(F.transform(cut, lambda p: F.struct(at(p).alias("s"), p.alias("p"))), lambda w: described(w["s"], n, w["p"]))
@@ -127,25 +165,42 @@ def peptide_lists(built: DataFrame, id_column: str, lengths: tuple[int, ...] = L
         # A lambda's argument is computed once.
         return F.transform(F.array(window_starts(size, first, last, F.lit(n), shift)), of)[0]
 
-    whole = built.where("mutant is not null")
-    # As a generated row the list is made once; a filter on a plain column would be moved ahead and make all of it again.
-    rows = whole.select("*", F.explode(F.array(F.flatten(F.array(*[sized(n) for n in lengths])))).alias("found")).where(F.size("found") > 0)
-    shared = whole.groupBy(F.col(id_column).alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
-    same_id = F.col(id_column).eqNullSafe(F.col("_id"))
-    alone = rows.join(shared, same_id, "left_anti")
+    def listed(rows: DataFrame) -> DataFrame:
+        # As a generated row the list is made once; a filter on a plain column would be moved ahead and make all of it again.
+        return _checked(rows).select(*built.columns, F.explode(F.array(F.flatten(F.array(*[sized(n) for n in lengths])))).alias("found")).where(F.size("found") > 0)
+
+    alone, together = _parted(built, id_column, shared)
+    if together is None:
+        return listed(alone), None
     place = F.row_number().over(W.partitionBy(id_column, "_w.peptide").orderBy("_w.start"))
-    merged = rows.join(shared, same_id, "left_semi").withColumn("_w", F.explode("found")).withColumn("_place", place).where("_place = 1")
-    return alone.unionByName(merged.withColumn("found", F.array("_w")).drop("_w", "_place"))
+    merged = listed(together).withColumn("_w", F.explode("found")).withColumn("_place", place).where("_place = 1")
+    return listed(alone), merged.withColumn("found", F.array("_w")).drop("_w", "_place")
 
 
-def peptides(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTHS, flank: int = FLANK) -> DataFrame:
-    """All columns of ``built`` and start, peptide, wildtype, position, n_flank and c_flank; one row per peptide of a variant.
+def peptides(built: DataFrame, id_column: str, lengths: tuple[int, ...] = LENGTHS, flank: int = FLANK, shared: DataFrame | None = None) -> DataFrame:
+    """All columns of ``built`` and start, length, peptide, wildtype, position, n_flank and c_flank; one row per peptide of a variant.
 
     ``built`` has the columns of ``mutant_proteins``; rows with an error give none.  A
     peptide with an unknown residue is left out, and one that occurs twice under one id
     counts at its first place.  ``wildtype`` is the reference at the same place where the
     frame and the length stay and it differs.  ``position`` is that of the first altered
-    residue, 1 where it lies before.  Flanks end at the first unknown residue.
+    residue, 1 where it lies before.  Flanks end at the first unknown residue.  ``shared``
+    has the ``shared_ids`` of the rows, if a narrower frame than ``built`` gave them.
     """
-    listed = peptide_lists(built, id_column, lengths, flank)
-    return listed.select(*built.columns, F.inline("found"))
+    first, last = (F.col(c).cast("int") for c in ("first", "last"))
+    shift, size = F.col("variant_class") == "frameshift", F.length("mutant")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        by_length = F.inline(F.array(*[F.struct(F.lit(n).alias("length"), window_starts(size, first, last, F.lit(n), shift).alias("_starts")) for n in lengths]))
+        places = _checked(rows).select("*", by_length).select("*", F.explode("_starts").alias("start")).withColumn("peptide", F.substring("mutant", F.col("start") + 1, F.col("length")))
+        # A repeat within a row is one that is found before its own start, from the row's lowest start on.
+        once = F.call_function("locate", F.col("peptide"), F.col("mutant"), F.col("_starts")[0] + 1) == F.col("start") + 1
+        return places.where((F.col("_clean") | is_valid(F.col("peptide"))) & once).drop("_starts")
+
+    alone, together = _parted(built, id_column, shared)
+    found = cut(alone)
+    if together is not None:
+        place = F.row_number().over(W.partitionBy(id_column, "peptide").orderBy("start"))
+        found = found.unionByName(cut(together).withColumn("_place", place).where("_place = 1").drop("_place"))
+    told = _described(F.col("start"), F.col("start") + F.col("length"), F.col("peptide"), flank)
+    return found.select(*built.columns, "start", "length", "peptide", *[c.alias(name) for name, c in told.items()])

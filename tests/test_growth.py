@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftline.functions import names
 from siftline.operators import coding, ensembles, matching, peptides, permutation
 
+from .conftest import SF
+
 
 def operators(frame: DataFrame) -> list:
     """The physical operators of a frame that has been collected."""
@@ -165,3 +167,21 @@ def test_names_are_compacted_once(spark):
     assert spelled._jc.toString().count("\\s+") == 1 and names.normalize_peptide(F.col("a"))._jc.toString().count("\\s+") == 1
     rows = spark.createDataFrame([("hla_a02:01",), ("A*02:01\u2028",), ("A*02:01:03",), ("nonsense",), (None,)], "a string")
     assert [r[0] for r in rows.select(spelled).collect()] == ["HLA-A*02:01", "HLA-A*02:01", "HLA-A*02:01", None, None]
+
+
+def test_lists_of_peptides_are_not_shuffled(spark):
+    from siftline.plans import registry
+
+    found = registry.mutant_peptides(spark, SF)
+    assert len(found.collect()) > 0
+    assert not [text for text in exchanges(found) if "found" in text or "least" in text or "mutant" in text]
+
+
+def test_rows_that_share_an_id_are_found_by_hash(spark, monkeypatch):
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,), (None,), ("c",)], "variant string")
+    shared = peptides.shared_ids(rows, "variant")
+    assert shared.count() == 2 and not [text for text in exchanges(shared) if "variant" in text]
+    monkeypatch.setattr(peptides, "MOST_IDS", 0)
+    alone, together = peptides._parted(rows.withColumn("mutant", F.lit("A")), "variant", shared)
+    assert sorted(r.variant for r in alone.collect()) == ["b", "c"] and together.count() == 4
+    assert not [n for n in operators(alone) if n.nodeName() == "BroadcastExchange"]
