@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import hydropathy, mutation_exposure, substitution_dissimilarity
+from ..sources.shared import stored
 from . import matching, scoring
 
 #: A predictor: from peptide and allele to columns presentation_score, affinity_nm and affinity_percentile.
 Predictor = Callable[[Column, Column], dict[str, Column]]
 #: Predictors by name; others can be added.
 PREDICTORS: dict[str, Predictor] = {"null": scoring.null_prediction}
+#: Best rows that are looked up for self matches first, and most that are held apart for it.
+FIRST_BLOCK = 1_000
+MOST_BLOCK = 1_100_000
 # Columns of the ranked table, in order.
 RANKED = (
     "rank", "run_id", "sample_id", "gene", "hgvsp", "transcript", "variant", "variant_class", "mutant_peptide", "wildtype_peptide", "length", "mutation_position",
@@ -46,6 +50,21 @@ def with_predictions(candidates: DataFrame, calls: DataFrame, usable: Column | N
     return candidates.join(own.hint("merge"), "peptide").join(wild.hint("merge"), ["wildtype", "allele"], "left")
 
 
+def called(candidates: DataFrame, alleles: list[str], predict: Predictor | str = "null", usable: Column | None = None) -> DataFrame:
+    """What ``with_predictions`` makes of the candidates and their ``predicted`` peptides, computed in each row.
+
+    A predictor that is a cheap expression costs less than a peptide's way to its call, and no
+    row is shuffled.
+    """
+    predict = PREDICTORS[predict] if isinstance(predict, str) else predict
+    paired = candidates.select("*", F.explode(F.array(*[F.lit(a) for a in dict.fromkeys(alleles)])).alias("allele"))
+    calls = predict(F.col("peptide"), F.col("allele"))
+    # As a generated row a call is made once; a filter on plain columns would be moved ahead and make it again for each measure.
+    paired = paired.withColumns(calls).select(*paired.columns, F.inline(F.array(F.struct(*calls))))
+    wild = F.when(F.col("wildtype").isNotNull(), predict(F.col("wildtype"), F.col("allele"))["affinity_nm"])
+    return (paired if usable is None else paired.where(usable)).withColumn("wt_affinity_nm", wild)
+
+
 def presented(max_percentile: float = 2.0, min_presentation: float = 0.0) -> Column:
     """Whether a call fails no gate on its own; missing measures rule nothing out."""
     return F.coalesce(F.col("affinity_percentile") <= max_percentile, F.lit(True)) & F.coalesce(F.col("presentation_score") >= min_presentation, F.lit(True))
@@ -100,14 +119,40 @@ def featured(rows: DataFrame, max_percentile: float = 2.0, min_presentation: flo
         }
     )
     out = out.withColumn("self_match", F.array_contains("gate_failures", "self_peptide").cast("double"))
-    return out.withColumn("score", scoring.sigmoid(scoring.logit({n: F.col(n) for n in scoring.WEIGHTS})))
+    # A feature without weight adds nothing, so what needs the score alone need not make it.
+    return out.withColumn("score", scoring.sigmoid(scoring.logit({n: F.col(n) for n, weight in scoring.WEIGHTS.items() if weight})))
 
 
 def ranked(scored: DataFrame, top_n: int = 20, cap: int = 2, shift_cap: int = 6, include_failed: bool = False) -> DataFrame:
     """The shortlist with its rank: best scores first, at most ``cap`` peptides of a variant, ``shift_cap`` of a frameshift."""
     eligible = scored if include_failed else scored.where(F.size("gate_failures") == 0)
     limit = F.when(F.col("variant_class") == "frameshift", F.lit(shift_cap)).otherwise(F.lit(cap))
-    return scoring.shortlist(eligible, "variant", [F.desc("score"), F.asc("variant"), F.asc("transcript"), F.asc("peptide"), F.asc("allele")], top_n, limit)
+    return scoring.shortlist(eligible, "variant", best_first(), top_n, limit)
+
+
+def best_first() -> list[Column]:
+    """The order of the shortlist."""
+    return [F.desc("score"), F.asc("variant"), F.asc("transcript"), F.asc("peptide"), F.asc("allele")]
+
+
+def ranked_unscanned(rows: DataFrame, reference: DataFrame, top_n: int = 20, cap: int = 2, shift_cap: int = 6, first: int = FIRST_BLOCK, most: int = MOST_BLOCK) -> DataFrame:
+    """``ranked`` over the ``featured`` and ``self_scanned`` rows, where only the best rows are looked up in the reference.
+
+    A self match fails a row and changes no score, and the caps are taken best first: once
+    the best rows, less their self matches, fill the shortlist, no later row can enter it.
+    Until they do, or are all rows, larger blocks follow; beyond ``most`` all rows are looked up.
+    """
+    blank = {"is_self": F.lit(False), "self_similarity": F.lit(None).cast("double")}
+    # The order needs the score alone; the other features are made of the few rows that are left.
+    scored = featured(rows.withColumns(blank)).where(F.size("gate_failures") == 0).select(*rows.columns, "score")
+    size = max(first, top_n)
+    while size <= most:
+        best = stored(scored.orderBy(*best_first()).limit(size))
+        found = stored(ranked(featured(self_scanned(best, None, reference)), top_n, cap, shift_cap))
+        if found.count() == top_n or best.count() < size:
+            return found
+        size *= 32
+    return ranked(featured(self_scanned(scored, None, reference)), top_n, cap, shift_cap)
 
 
 def change_text(gene: Column, kind: Column, start: Column, end: Column, ref: Column, alt: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import names
-from siftline.operators import coding, ensembles, matching, peptides, permutation
+from siftline.operators import coding, ensembles, matching, peptides, permutation, ranking, scoring
 
 from .conftest import SF
 
@@ -169,6 +169,52 @@ def test_names_are_compacted_once(spark):
     assert [r[0] for r in rows.select(spelled).collect()] == ["HLA-A*02:01", "HLA-A*02:01", "HLA-A*02:01", None, None]
 
 
+def candidates(spark):
+    """Twelve peptides of four variants; every third occurs in the reference."""
+    letters = F.split(F.lit("ACDEFGHIKLMN"), "")
+    peptide = lambda tail: F.concat(F.element_at(letters, (F.col("id") + 1).cast("int")), F.lit(tail))
+    null = F.lit(None).cast("double")
+    rows = spark.range(12).select(
+        F.concat(F.lit("v"), (F.col("id") % 4).cast("string")).alias("variant"), F.lit("T").alias("transcript"), F.when(F.col("id") % 4 == 0, "frameshift").otherwise("missense").alias("variant_class"),
+        peptide("KLMNPQRS").alias("peptide"), F.when(F.col("id") % 2 == 0, peptide("KLMWPQRS")).alias("wildtype"), F.lit(3).alias("position"), F.lit("").alias("n_flank"), F.lit("").alias("c_flank"), null.alias("ccf"), null.alias("tpm"), null.alias("normal_tpm"),
+    )
+    return rows, rows.where("ascii(peptide) % 3 = 0").select(F.concat(F.lit("M"), "peptide").alias("seq"))
+
+
+def test_best_rows_alone_are_looked_up(spark, monkeypatch):
+    alleles, (rows, reference) = ["A", "B"], candidates(spark)
+    predictor = lambda p, a: scoring.null_prediction(p, a) | {"affinity_percentile": F.lit(1.0)}
+    calls = ranking.predicted(ranking.distinct_peptides(rows), alleles, predictor)
+    want = ranking.ranked(ranking.featured(ranking.with_predictions(ranking.self_scanned(rows, None, reference), calls)), 5, 1, 2)
+    columns = ["rank", "variant", "peptide", "allele", "score", "wt_affinity_nm", "hydrophobicity", "is_self"]
+    want = [tuple(r) for r in want.select(*columns).orderBy("rank").collect()]
+    asked = []
+    monkeypatch.setattr(matching, "self_matches", lambda p, r, look=matching.self_matches: (asked.append(p.count()), look(p, r))[1])
+    made = ranking.called(rows, alleles, predictor)
+    for first, most, looked in ((10, 20, None), (1, 0, [12]), (5, 1000, None), (24, 24, [12])):
+        asked.clear()
+        got = ranking.ranked_unscanned(made, reference, 5, 1, 2, first, most)
+        assert [tuple(r) for r in got.select(*columns).orderBy("rank").collect()] == want
+        assert looked is None or asked == looked
+    assert ranking.ranked_unscanned(made, reference, 1, 1, 2, 2).count() == 1 and asked[-1] <= 2
+    assert not exchanges(made)
+
+
+def test_calls_are_made_once_a_candidate(spark):
+    """A call counts itself; filters on its measures may not make it again."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(_: str, __: str) -> float:
+        calls.add(1)
+        return 1.0
+
+    predictor = lambda p, a: {"presentation_score": score(p, a), "affinity_nm": score(p, a) * 2, "affinity_percentile": score(p, a)}
+    rows, _ = candidates(spark)
+    made = ranking.called(rows.drop("wildtype").withColumn("wildtype", F.lit(None).cast("string")), ["A", "B", "A"], predictor, ranking.presented())
+    assert len(made.collect()) == 24 and calls.value == 24
+
+
 def test_lists_of_peptides_are_not_shuffled(spark):
     from siftline.plans import registry
 
@@ -185,3 +231,16 @@ def test_rows_that_share_an_id_are_found_by_hash(spark, monkeypatch):
     alone, together = peptides._parted(rows.withColumn("mutant", F.lit("A")), "variant", shared)
     assert sorted(r.variant for r in alone.collect()) == ["b", "c"] and together.count() == 4
     assert not [n for n in operators(alone) if n.nodeName() == "BroadcastExchange"]
+
+
+def test_short_references_are_scanned_together(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(matching, "prefix_codes", lambda d, n, make=matching.prefix_codes: (calls.append(len(d)), make(d, n))[1])
+    import pyarrow as pa
+
+    joined = list(matching._joined(pa.array(["ACD", None, "", "EF", "G" * matching.PIECE, "H"])))
+    assert [len(j) for j in joined] == [8 + matching.PIECE, 1] and bytes(joined[0][:8]) == b"ACD\n\nEF\n"
+    # A window ends with its sequence: neither prefix nor rest reaches into the next one.
+    wanted = spark.createDataFrame([("ACDEFGHIK",), ("ACDEFGHI",), ("GHIKLMNPQ",)], "peptide string")
+    found = matching.self_matches(wanted, spark.createDataFrame([("MACDEFGHI",), ("KLMNPQ",), (None,)], "seq string").coalesce(1))
+    assert [r.peptide for r in found.collect()] == ["ACDEFGHI"]
