@@ -244,3 +244,26 @@ def test_short_references_are_scanned_together(spark, monkeypatch):
     wanted = spark.createDataFrame([("ACDEFGHIK",), ("ACDEFGHI",), ("GHIKLMNPQ",)], "peptide string")
     found = matching.self_matches(wanted, spark.createDataFrame([("MACDEFGHI",), ("KLMNPQ",), (None,)], "seq string").coalesce(1))
     assert [r.peptide for r in found.collect()] == ["ACDEFGHI"]
+
+
+def test_claims_and_sheets_are_shuffled_whole_twice(spark):
+    from siftline.plans import registry
+
+    for name, own in (("claim_verdicts", "claim_id"), ("sheet_mutations", "row_id")):
+        found = registry.QUERIES[name](spark, SF)
+        assert len(found.collect()) > 0
+        sent = exchanges(found)
+        assert sum(own in text for text in sent) == 2 and sum("l_suppkey" in text for text in sent) == 1
+        assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
+
+
+def test_isoform_of_a_row(spark):
+    asked = [(1, "G", (2, 2, "C")), (2, "G", (2, 6, "CDEFG")), (3, "OLD", (1, 3, "ACD")), (4, "G", (2, 2, "W")), (5, "OLD", (1, 1, "W")), (6, "X", (1, 1, "A")),
+             (7, None, (1, 1, "A")), (8, "G", (3, 3, "DE")), (9, "G", (3, 3, "DEFGH")), (1, "G", (2, 2, "C")), (10, "t1", (1, 1, "A"))]
+    rows = spark.createDataFrame(asked, "id int, gene string, change struct<start: int, end: int, ref: string>")
+    isoforms = spark.createDataFrame([("G", "t2", "ACDE", True), ("G", "t1", "ACDE", True), ("G", "t0", "ACDEFG", False), (None, "t9", "A", True)], "symbol string, transcript string, seq string, primary boolean")
+    aliases = spark.createDataFrame([("OLD", "G")], "old string, new string")
+    found = matching.with_isoform(rows, isoforms, aliases)
+    got = sorted((r.id, r.gene, r.transcript, r.seq) for r in found.collect())
+    assert [(i, t, s) for i, _, t, s in got] == [(1, "t1", "ACDE"), (1, "t1", "ACDE"), (2, "t0", "ACDEFG"), (3, "t1", "ACDE"), (4, None, None), (5, None, None), (6, None, None), (7, None, None), (8, "t1", "ACDE"), (9, None, None), (10, None, None)]
+    assert {r.id: r.known for r in found.where("transcript is null").collect()} == {4: True, 5: False, 6: False, 7: False, 9: True, 10: False}
