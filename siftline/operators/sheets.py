@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import protein_change
 from ..functions.residues import is_valid
 from .claims import usable_aliases
-from .matching import resolve_isoform
+from .matching import with_isoform
 
 # Classes of the mutation sheet and their consequence terms.
 CLASSES = {"Missense_Mutation": "missense_variant", "In_Frame_Del": "inframe_deletion", "In_Frame_Ins": "inframe_insertion"}
@@ -46,21 +46,20 @@ def mutations(sheet: DataFrame, isoforms: DataFrame, patients: list[int], aliase
     """
     number = F.col("patient").try_cast("double").cast("int")
     # As a generated row the change is parsed once, not again in every expression that uses it.
-    parsed = F.explode(F.array(F.when(F.trim("change").startswith("p."), protein_change(F.col("change"))))).alias("_c")
+    parsed = F.explode(F.array(F.when(F.trim("change").startswith("p."), protein_change(F.col("change"))))).alias("change")
     read = sheet.select(
         "row_id", number.alias("patient"), F.trim(F.coalesce("gene", F.lit(""))).alias("gene"), F.coalesce("class", F.lit("")).alias("class"), "chrom",
         F.col("pos").try_cast("double").cast("long").alias("pos"), F.coalesce("ref", F.lit("N")).alias("ref"), F.coalesce("alt", F.lit("N")).alias("alt"), parsed,
     ).where("patient is not null")
-    c = F.col("_c")
+    c = F.col("change")
     early = _first({"patient": ~F.col("patient").isin(patients), "class": ~F.col("class").isin(list(CLASSES)), "change": c.isNull() | (c["kind"] == "frameshift")})
-    read = read.withColumns({"_early": early, "symbol": F.col("gene")})
-    if aliases is not None:
-        read = read.join(usable_aliases(aliases, isoforms), F.col("gene") == F.col("old"), "left").withColumn("symbol", F.coalesce("new", "gene")).drop("old", "new")
-    changes = read.where("_early is null").select(F.col("row_id").alias("change_id"), "symbol", c["start"].alias("start"), c["end"].alias("end"), c["ref"].alias("ref"))
-    best = resolve_isoform(changes, isoforms).where("transcript is not null").select(F.col("change_id").alias("row_id"), "transcript")
-    spans = best.join(changes.withColumnRenamed("change_id", "row_id"), "row_id").join(isoforms.select("transcript", "seq"), "transcript")
-    spans = spans.select("row_id", "transcript", F.expr("substring(seq, start, end - start + 1)").alias("span")).where("span <> ''")
-    out = read.join(spans, "row_id", "left").withColumn("dropped", F.coalesce("_early", F.when(F.col("transcript").isNull(), "isoform")))
+    read = read.withColumn("dropped", early)
+    # Rows that drop by their text alone meet nothing; a row that is looked up goes along whole.
+    nothing = {"transcript": F.lit(None).cast(isoforms.schema["transcript"].dataType), "span": F.lit(None).cast("string")}
+    early = read.where("dropped is not null").withColumns(nothing)
+    placed = with_isoform(read.where("dropped is null").drop("dropped"), isoforms, None if aliases is None else usable_aliases(aliases, isoforms))
+    placed = placed.withColumn("span", F.substring(F.col("seq"), c["start"], c["end"] - c["start"] + 1)).withColumn("transcript", F.when(F.col("span") != "", F.col("transcript")))
+    out = placed.drop("seq", "known").withColumn("dropped", F.when(F.col("transcript").isNull(), "isoform")).unionByName(early)
     acids = F.when(F.col("class") == "In_Frame_Del", F.concat("span", F.lit("/-"))).when(F.col("class") == "In_Frame_Ins", F.concat(F.lit("-/"), c["alt"])).otherwise(F.concat(c["ref"], F.lit("/"), c["alt"]))
     place = F.when(c["start"] == c["end"], c["start"].cast("string")).otherwise(F.concat_ws("-", c["start"].cast("string"), c["end"].cast("string")))
     term = F.coalesce(*[F.when(F.col("class") == k, F.lit(v)) for k, v in CLASSES.items()])
