@@ -2,11 +2,14 @@
 
 Everything is column arithmetic over a joined (variant, protein) row: no step needs
 more than one variant at a time, so the plans have no shuffle of such rows but that of
-the protein look-up; hashes of ids are counted to find those that several rows share.
+the protein look-up, whose names are looked up first and stored; hashes of ids are counted
+to find those that several rows share.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,7 +23,7 @@ TAIL_RELEASE = 114
 #: Lengths of class I peptides, and residues kept on either side.
 LENGTHS = (8, 9, 10, 11)
 FLANK = 10
-#: Most shared ids that are sent to all tasks.
+#: Most shared ids, or names without a protein yet, that are sent to all tasks.
 MOST_IDS = 100_000
 
 
@@ -32,16 +35,43 @@ def with_protein(variants: DataFrame, proteins: DataFrame) -> DataFrame:
     """
     # Each distinct pair of names is looked up once, and only its protein meets the variants.
     plain = lambda c: F.coalesce(c, F.lit(""))
-    named = variants.withColumns({"_key": plain(strip_version(F.col("transcript"))), "_gene": plain(F.col("gene"))})
-    pairs, found = named.select("_key", "_gene").distinct(), []
-    for at, (key, column) in enumerate((("_key", "transcript"), ("_key", "protein"), ("_gene", "symbol"))):
-        known = proteins.where(f"{column} <> '' and seq <> ''")
-        best = known.groupBy(F.col(column).alias(f"_k{at}")).agg(F.min_by("seq", F.struct(-F.length("seq"), "protein")).alias(f"_s{at}"))
+    named = variants.select(plain(strip_version(F.col("transcript"))).alias("_key"), plain(F.col("gene")).alias("_gene"), "*")
+    asked, met = named.select("_key", "_gene").distinct(), []
+    for key, column in (("_key", "transcript"), ("_key", "protein"), ("_gene", "symbol")):
+        known = proteins.where(f"{column} <> '' and seq <> ''").select(F.col(column).alias("_name"), "protein", "seq")
+        if met:  # what has a protein is not looked up again, and proteins that few names ask for are not shuffled whole
+            left = asked.count()
+            if left == 0:
+                break
+            if left <= MOST_IDS:
+                known = known.join(F.broadcast(asked.select(F.col(key).alias("_name")).distinct()), "_name", "left_semi")
+        best = known.groupBy("_name").agg(F.min_by("seq", F.struct(-F.length("seq"), "protein")).alias("seq"))
         # Sizes of files say little of texts made from them, so no side is sent to all tasks by such an estimate.
-        pairs = pairs.join(best.hint("merge"), F.col(key) == F.col(f"_k{at}"), "left")
-        found.append(f"_s{at}")
-    met = pairs.select("_key", "_gene", F.coalesce(*found).alias("seq"))
-    return named.join(met.hint("merge"), ["_key", "_gene"]).drop("_key", "_gene")
+        looked = stored(asked.join(best.hint("merge"), F.col(key) == F.col("_name"), "left").select("_key", "_gene", "seq"))
+        met.append(looked.where("seq is not null"))
+        asked = looked.where("seq is null").select("_key", "_gene")
+    found = reduce(DataFrame.unionByName, met).unionByName(asked.withColumn("seq", F.lit(None).cast("string")))
+    return named.join(found.hint("merge"), ["_key", "_gene"]).drop("_key", "_gene")
+
+
+def change_fields(variants: DataFrame) -> DataFrame:
+    """What ``with_protein`` and ``mutant_proteins`` read of each variant, for callers that need no other column: both give the same with it.
+
+    Only a frameshift has a tail, of which nothing counts from the first stop or unknown residue on,
+    and a release and a length change that place it; an end that repeats the start is null.
+    Columns that most rows lack stand last, side by side, so that shuffled rows compress well.
+    """
+    of_shift = lambda c: F.when(F.col("variant_class") != "frameshift", F.lit(None)).otherwise(c)
+    end = F.when(~F.col("protein_end").eqNullSafe(F.col("protein_start")), F.col("protein_end"))
+    return variants.select(
+        "transcript", "gene", "variant_class", "aa_ref", "aa_alt", "protein_start", of_shift(_tail(F.col("downstream"))).alias("downstream"),
+        end.alias("protein_end"), of_shift(F.col("release")).alias("release"), of_shift(F.col("length_change")).alias("length_change"),
+    )
+
+
+def _tail(downstream: Column) -> Column:
+    """Residues before the first stop or unknown residue."""
+    return F.regexp_extract(downstream, "^[^*X]*", 0)
 
 
 def _cut(text: Column, start: Column, stop: Column) -> Column:
@@ -62,7 +92,7 @@ def mutant_proteins(variants: DataFrame) -> DataFrame:
     missing_residues.
     """
     seq, size, start, shift = F.col("seq"), F.length("seq"), F.col("protein_start"), F.col("variant_class") == "frameshift"
-    out = variants.withColumns({"_ref": F.coalesce("aa_ref", F.lit("")), "_alt": F.coalesce("aa_alt", F.lit("")), "_tail": F.regexp_extract(F.coalesce("downstream", F.lit("")), "^[^*X]*", 0)})
+    out = variants.withColumns({"_ref": F.coalesce("aa_ref", F.lit("")), "_alt": F.coalesce("aa_alt", F.lit("")), "_tail": _tail(F.coalesce("downstream", F.lit("")))})
     ref, alt, tail = F.col("_ref"), F.col("_alt"), F.col("_tail")
     out = out.withColumn("_placed", F.when(shift & (F.col("release") >= TAIL_RELEASE), size + F.col("length_change") - F.length(tail) + 1))
     placed = F.col("_placed")

@@ -100,6 +100,39 @@ def test_proteins_are_not_sent_to_all_tasks(spark):
     assert not [n for n in operators(found) if n.nodeName() == "BroadcastExchange"]
 
 
+def test_names_with_a_protein_are_not_looked_up_again(spark, monkeypatch):
+    proteins = [("P1", "T1", "G1", "AC"), ("P2", "T1", "G1", "ACD"), ("P3", "T3", None, "DE"), ("T1", None, "G9", "EEEE"), (None, "T4", "G4", "EF"), ("P5", None, "", ""), ("P3", "T3", None, "DE")]
+    known = spark.createDataFrame(proteins, "protein string, transcript string, symbol string, seq string")
+    names = [("T1.2", "G4"), ("P3", "G1"), (None, "G9"), ("none", "G4"), ("", ""), (None, None), ("P5", "none"), ("T1.2", "G4")]
+    variants = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "variant int, transcript string, gene string")
+    want = {0: "ACD", 1: "DE", 2: "EEEE", 3: "EF", 4: None, 5: None, 6: None, 7: "ACD"}
+    for most in (peptides.MOST_IDS, 0):  # names that are left are few, or too many to be sent
+        monkeypatch.setattr(peptides, "MOST_IDS", most)
+        got = peptides.with_protein(variants, known).collect()
+        assert len(got) == 8 and {r.variant: r.seq for r in got} == want and got[0].asDict().keys() == {"variant", "transcript", "gene", "seq"}
+    assert peptides.with_protein(variants.where("false"), known).collect() == []
+    found = peptides.with_protein(variants.where("transcript = 'T1.2'"), known.repartition(2))
+    assert [r.seq for r in found.collect()] == ["ACD", "ACD"]
+    assert len(exchanges(found)) == 2  # variants and the proteins they were given; all look-ups are done by then
+
+
+def test_change_fields_build_the_same_proteins(spark):
+    columns = "transcript string, gene string, variant_class string, protein_start int, protein_end int, aa_ref string, aa_alt string, downstream string, release int, length_change int, note string"
+    changes = [("missense", 2, 2, "C", "W", "WW*", 114, 0), ("missense", 2, None, "C", "W", None, None, None), ("inframe_deletion", 2, 3, "CD", "", "A", 112, 3), ("inframe_insertion", 2, 2, "", "WW", None, 114, 2),
+               ("frameshift", 3, 3, "D", "WX", "KLM*AC", 114, 1), ("frameshift", 3, 3, "D", "", "KLMXAC", 112, 9), ("frameshift", 3, None, "", "", "KL", 115, 1), ("frameshift", 2, 2, "C", "A", "*", 114, 0),
+               (None, 2, 3, "C", "W", "KLM*", 114, 0), ("frameshift", None, 2, None, None, None, None, None), ("missense", None, 9, "C", None, "K", 114, 0)]
+    rows = spark.createDataFrame([(t, "G", *c, "n") for c in [*changes, changes[0]] for t in ("T", "none", None)], columns)
+    proteins = spark.createDataFrame([("P", "T", "H", "ACDEFGHIKL")], "protein string, transcript string, symbol string, seq string")
+    fields = peptides.change_fields(rows)
+    told = ["transcript", "gene", "variant_class", "aa_ref", "aa_alt", "protein_start", "seq", "mutant", "first", "last", "error"]
+    whole, narrow = (sorted(map(str, peptides.mutant_proteins(peptides.with_protein(x, proteins)).select(*told).collect())) for x in (rows, fields))
+    assert whole == narrow and len(whole) == 36 and any("KLM" in r for r in whole)
+    of_others = fields.where("variant_class <> 'frameshift'").select("downstream", "release", "length_change").distinct().collect()
+    assert [tuple(r) for r in of_others] == [(None, None, None)]
+    assert {r.downstream for r in fields.where("variant_class = 'frameshift'").collect()} == {"KLM", "KL", "", None}
+    assert "note" not in fields.columns
+
+
 def test_reference_windows_are_not_sent_to_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(matching, "MOST_PREFIXES", 0)
     wanted = spark.createDataFrame([("ACDEFGHIK",), ("CCCCCCCCC",), ("ACDEFGHI",)], "peptide string")
