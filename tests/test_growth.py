@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import names
-from siftline.operators import coding, ensembles, matching, peptides, permutation, ranking, scoring
+from siftline.operators import audit, coding, ensembles, matching, peptides, permutation, ranking, scoring
 
 from .conftest import SF
 
@@ -133,6 +133,43 @@ def test_change_fields_build_the_same_proteins(spark):
     assert "note" not in fields.columns
 
 
+def test_names_are_read_once_each(spark, monkeypatch):
+    """Reading a name is a Python call that counts itself."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def canonical(name: str, known: dict) -> str:
+        calls.add(1)
+        return known.get(name, name)
+
+    monkeypatch.setattr(audit, "canonical_allele", canonical)
+    aliases = spark.createDataFrame([("B", "Y"), ("B", "X"), (None, "Z")], "alias string, canonical string")
+    source = spark.range(2000).selectExpr("id", "element_at(array('A', 'B', '', null), int(id % 5 % 4) + 1) as name")
+    found = audit.canonicalised(source, aliases, "name")
+    got = {(r.id % 5 % 4, r.canonical) for r in found.collect()}
+    assert got == {(0, "A"), (1, "X"), (2, ""), (3, None)} and found.columns == ["id", "name", "canonical"]
+    assert found.count() == 2000 and calls.value <= 6
+
+
+def test_hot_names_are_not_shuffled_by_row(spark):
+    from siftline.plans import registry
+
+    keys = F.when(F.col("id") % 5 < 2, F.col("id") * 720 + 1).when(F.col("id") % 5 == 4, F.lit(None)).otherwise(F.col("id"))
+    folder = {"part": spark.range(20000).select(keys.alias("p_partkey")), "customer": spark.range(20000).select(keys.alias("c_custkey"))}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    read, registry.read = registry.read, lambda _, __, table: folder[table]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = registry.allele_normalize_join(spark, "")
+        got = {r.canonical: (r.payload_a, r.payload_b) for r in found.collect()}
+    finally:
+        registry.read = read
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got["HLA-A*02:11"][0] == 19996 * 720 + 1 and got["HLA-B*44:11"][1] == 19996 * 720 + 1
+    written = [n.metrics().get("shuffleRecordsWritten").get().value() for n in operators(found) if n.nodeName() == "Exchange"]
+    assert max(written) <= 721 * 8
+
+
 def test_reference_windows_are_not_sent_to_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(matching, "MOST_PREFIXES", 0)
     wanted = spark.createDataFrame([("ACDEFGHIK",), ("CCCCCCCCC",), ("ACDEFGHI",)], "peptide string")
