@@ -20,14 +20,13 @@ def read_submissions(spark: SparkSession, path: str, answer: str = "submission.j
 
 
 def _kind(value: Column) -> Column:
-    """ARRAY, OBJECT, STRING and so on."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^([A-Z]+)", 1)
+    """ARRAY, OBJECT, STRING and so on; it takes all parts of a value, so only texts are asked for it."""
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
 
 
-def _text(item: Column, path: str) -> Column:
-    """A string within a variant; null for anything else."""
-    inner = F.try_variant_get(item, path, "variant")
-    return F.when(_kind(inner) == "STRING", F.try_variant_get(item, path, "string"))
+def _text(item: Column) -> Column:
+    """The string that a variant is; null for anything else."""
+    return F.when(_kind(item) == "STRING", item.try_cast("string"))
 
 
 def _pairs(raw: Column) -> Column:
@@ -38,16 +37,19 @@ def _pairs(raw: Column) -> Column:
 
 def parsed(submissions: DataFrame) -> DataFrame:
     """Adds ``json``, the answer as a variant, and ``valid``: whether it is a JSON object."""
-    json = F.try_parse_json("answer")
-    return submissions.withColumn("json", json).withColumn("valid", F.coalesce(_kind(F.col("json")) == "OBJECT", F.lit(False)))
+    # A text that could be read is an object if it begins with a brace; no part of it is asked for its kind.
+    rows = submissions.withColumn("json", F.try_parse_json("answer"))
+    return rows.withColumn("valid", F.coalesce(F.col("json").isNotNull() & F.col("answer").rlike(r"^[ \t\r\n]*\{"), F.lit(False)))
 
 
 def side_rows(text: Column) -> Column:
     """Pairs of the first two cells of each line; the first line is left out unless its first cell is all letters, as are shorter lines."""
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
-    cells = F.transform(lines, lambda x: F.transform(F.split(x, ","), lambda c: F.regexp_replace(c, '^"|"$', "")))
-    kept = F.filter(cells, lambda c, i: (i > 0) | F.trim(c[0]).rlike(r"^\p{L}+$"))
-    return F.transform(F.filter(kept, lambda c: F.size(c) >= 2), lambda c: F.struct(c[0].alias("peptide"), c[1].alias("allele")))
+    bare = lambda c: F.regexp_replace(c, '^"|"$', "")
+    # What stands behind the second comma is not cut further.
+    cells = F.transform(lines, lambda x: F.split(x, ",", 3))
+    kept = F.filter(cells, lambda c, i: (F.size(c) >= 2) & ((i > 0) | F.trim(bare(c[0])).rlike(r"^\p{L}+$")))
+    return F.transform(kept, lambda c: F.struct(bare(c[0]).alias("peptide"), bare(c[1]).alias("allele")))
 
 
 def submitted_pairs(submissions: DataFrame, field: str = "leaked_pairs") -> DataFrame:
@@ -59,21 +61,20 @@ def submitted_pairs(submissions: DataFrame, field: str = "leaked_pairs") -> Data
     no readable pair, and ``pairs`` has the distinct readable ones in canonical spelling,
     sorted.  Answers that are no JSON object are not valid and have none.
     """
-    rows = parsed(submissions)
+    # The list is read as objects and as lists at once: an item that is neither is null in both, as is what is no list.
+    objects, lists = (F.try_variant_get("json", f"$.{field}", f"array<{kind}>") for kind in ("struct<peptide: variant, mhc_allele: variant>", "array<variant>"))
+    rows = parsed(submissions).withColumns({"_objects": objects, "_lists": lists})
     value = F.try_variant_get("json", f"$.{field}", "variant")
-    rows = rows.withColumn("_value", value).withColumn("_list", _kind(F.col("_value")) == "ARRAY")
-    absent = F.col("valid") & (F.col("_value").isNull() | F.is_variant_null("_value"))
-    items = F.when(F.col("_list"), F.try_variant_get("_value", "$", "array<variant>"))
+    absent = F.col("valid") & F.col("_objects").isNull() & (value.isNull() | F.is_variant_null(value))
 
-    def texts(item: Column, peptide: str, allele: str) -> Column:
-        return F.struct(_text(item, peptide).alias("peptide"), _text(item, allele).alias("allele"))
+    def texts(item: Column, i: Column) -> Column:
+        at = lambda k: F.get(F.get("_lists", i), F.lit(k))
+        return F.struct(_text(F.coalesce(item["peptide"], at(0))).alias("peptide"), _text(F.coalesce(item["mhc_allele"], at(1))).alias("allele"))
 
-    # An item's kind is told by its own first level only, and its texts are spelled once for lists, objects and side files alike.
-    raw = F.transform(items, lambda i: names.once(_kind(i), lambda kind: F.when(kind == "OBJECT", texts(i, "$.peptide", "$.mhc_allele")).when(kind == "ARRAY", texts(i, "$[0]", "$[1]"))))
-    rows = rows.withColumn("_raw", F.when(absent, side_rows(F.col("side"))).when(F.col("valid"), raw))
+    rows = rows.withColumn("_raw", F.when(absent, side_rows(F.col("side"))).when(F.col("valid"), F.transform("_objects", texts)))
     out = rows.withColumn("_found", _pairs(F.col("_raw")))
-    good = F.filter("_found", lambda p: p.isNotNull())
+    out = out.withColumn("_good", F.filter("_found", lambda p: p.isNotNull()))
     return out.select(
         "submission", "valid", F.col("_found").isNotNull().alias("listed"), F.coalesce(F.size("_found"), F.lit(0)).alias("stated"),
-        F.coalesce(F.size("_found") - F.size(good), F.lit(0)).alias("malformed"), F.coalesce(F.array_sort(F.array_distinct(good)), F.array()).alias("pairs"),
+        F.coalesce(F.size("_found") - F.size("_good"), F.lit(0)).alias("malformed"), F.coalesce(F.sort_array(F.array_distinct("_good")), F.array()).alias("pairs"),
     )

@@ -57,6 +57,31 @@ def test_submissions_of_all_shapes(spark, tmp_path):
     }
 
 
+def test_submissions_of_odd_texts(spark):
+    """Texts around an object, items of other kinds, keys in another case, and ends of lines that the patterns let pass."""
+    acd, listed = ("ACD", "HLA-A*02:01"), '{"leaked_pairs": %s}'
+    none, bad = (True, False, 0, 0, []), (False, False, 0, 0, [])
+    want = {
+        None: bad, "": bad, "null": bad, '"{}"': bad, "[{}]": bad, "\x0b{}": bad, "{a: 1}": bad, '{"a": 1, "a": 2}': bad, " \n\t\r{}": none, "{} x": none,
+        '{"Leaked_Pairs": [["ACD", "A0201"]]}': none, '{"x": {"leaked_pairs": [["ACD", "A0201"]]}}': none,
+        **{listed % x: none for x in ("true", "1.5", '"[]"', "{}", '{"peptide": "ACD", "mhc_allele": "A0201"}', '{"0": ["ACD", "A0201"]}')},
+        listed % '[null, 7, true, "ACD,A0201", [["ACD"], "A0201"], [1, "A0201"], {"Peptide": "ACD", "mhc_allele": "A0201"}, {"0": "ACD", "1": "A0201"}]': (True, True, 8, 8, []),
+        listed % '[{"peptide": {"a": 1}, "mhc_allele": "A0201"}, {"peptide": "A C D", "mhc_allele": "A_0201", "n": [1]}, ["acd", "hla-a02:01:03", {"y": 1}]]': (True, True, 3, 2, [acd]),
+        listed % '[["Z", "B0702"], ["A", "B0702"], ["Z", "A0201"], ["z", "A0201\\n"], ["\u00df", "A0201"]]': (True, True, 5, 0, [("A", "HLA-B*07:02"), ("SS", acd[1]), ("Z", acd[1]), ("Z", "HLA-B*07:02")]),
+    }
+    rows = spark.createDataFrame([(i, a, None) for i, a in enumerate(want)], "submission int, answer string, side string")
+    got = {r.submission: (r.valid, r.listed, r.stated, r.malformed, [tuple(p) for p in r.pairs]) for r in submissions.submitted_pairs(rows).collect()}
+    assert {a: got[i] for i, a in enumerate(want)} == want
+
+
+def test_submissions_are_not_taken_apart_for_their_kinds(spark):
+    """The schema of a variant takes all of its parts: it is asked for the two texts of a pair only, and no comparison of pairs is interpreted."""
+    found = submissions.submitted_pairs(spark.createDataFrame([(1, '{"leaked_pairs": [["ACD", "A0201"]]}', None)], "submission int, answer string, side string"))
+    assert [tuple(p) for p in found.first().pairs] == [("ACD", "HLA-A*02:01")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("schemaofvariant(") == 2 and plan.count("try_parse_json") + plan.count("parsejson(") == 1 and "array_sort(" not in plan
+
+
 def test_side_file_without_header(spark):
     got = spark.range(1).select(submissions.side_rows(F.lit("ACD,A*02:01,x\nonly\n")).alias("r")).first().r
     assert [tuple(r) for r in got] == [("ACD", "A*02:01")]
